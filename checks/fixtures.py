@@ -18,6 +18,7 @@ from trajecta.operators.features import basic_features
 from trajecta.operators.label import default_target, label_quality, split_by_target
 from trajecta.operators.profile import build_profile
 from trajecta.operators.scale import plain, positions
+from trajecta.session import cut_lineage
 
 VARIABLES = ["quantity", "price", "discount", "tax"]
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -33,7 +34,7 @@ def stage(fn):
     def once(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, fn.__name__)
         if key not in _STAGES:
-            _STAGES[key] = fn(spark, sf_dir).persist()
+            _STAGES[key] = cut_lineage(fn(spark, sf_dir), fn.__name__)
         return _STAGES[key]
 
     return once

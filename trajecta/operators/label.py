@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trajecta import config
 from trajecta.functions.numeric import pearson
 from trajecta.operators.scale import lookup, quantiles
+from trajecta.session import cut_lineage
 
 __all__ = [
     "label_quality", "choose_golden", "choose_training", "split_by_target", "default_target",
@@ -18,14 +19,18 @@ __all__ = [
 ]
 
 
+def yield_cuts(batches: DataFrame, probs: Sequence[float], name: str = "_cuts") -> DataFrame:
+    """Quantiles of the batch yields.  Ingest rounds a yield to two decimals of
+    a percentage, so its distinct values are few however many batches there are."""
+    return quantiles(batches, [], "yield", probs, name, few_values=True)
+
+
 def label_quality(batches: DataFrame) -> DataFrame:
     """Add ``quality`` and ``is_golden`` from the yield quartiles.
 
     Labels need every yield and at least four batches.
     """
-    cuts = quantiles(
-        batches, [], "yield", [config.GOLDEN_PERCENTILE, config.GOOD_PERCENTILE], "_cuts"
-    )
+    cuts = yield_cuts(batches, [config.GOLDEN_PERCENTILE, config.GOOD_PERCENTILE])
     totals = batches.agg(
         F.count(F.lit(1)).alias("_n"), F.count("yield").alias("_known")
     )
@@ -49,7 +54,7 @@ def label_quality(batches: DataFrame) -> DataFrame:
 
 def _rungs(batches: DataFrame, probs: Sequence[float], eligible: Column) -> DataFrame:
     """One row: the cut and the number of eligible batches of every rung."""
-    cuts = quantiles(batches, [], "yield", probs, "_cuts")
+    cuts = yield_cuts(batches, probs)
     counts = [
         F.count(F.when(eligible & (F.col("yield") >= F.col("_cuts")[i]), 1)).alias(f"n{i}")
         for i in range(len(probs))
@@ -57,22 +62,32 @@ def _rungs(batches: DataFrame, probs: Sequence[float], eligible: Column) -> Data
     return batches.crossJoin(F.broadcast(cuts)).groupBy("_cuts").agg(*counts)
 
 
-def choose_golden(batches: DataFrame, aligned_ids: DataFrame | None = None) -> DataFrame:
+def mark_aligned(batches: DataFrame, aligned_ids: DataFrame) -> DataFrame:
+    """Batches flagged ``_in`` when they have an aligned trajectory; written
+    out, because the ladder reads it several times (one row per batch)."""
+    ids = aligned_ids.select("batch_id").distinct().withColumn("_in", F.lit(True))
+    marked = batches.select("batch_id", "yield").join(ids, "batch_id", "left")
+    return cut_lineage(marked.withColumn("_in", F.coalesce("_in", F.lit(False))), "marked")
+
+
+def choose_golden(
+    batches: DataFrame, aligned_ids: DataFrame | None = None
+) -> DataFrame:
     """One row ``(golden_pct_used, yield_threshold, n_golden)``: the first rung
     of the percentile ladder that leaves at least three aligned batches.
 
     A rung's cut uses every batch; its count only the aligned ones.  All
     columns are NULL when no rung qualifies.
     """
-    probs = config.GOLDEN_LADDER
     if aligned_ids is None:
-        marked = batches.withColumn("_in", F.lit(True))
-    else:
-        marked = lookup(
-            batches, aligned_ids.select("batch_id").distinct().withColumn("_in", F.lit(True)),
-            ["batch_id"], "left", heaviest=1,
-        )
-    rungs = _rungs(marked.select("yield", "_in"), probs, F.coalesce(F.col("_in"), F.lit(False)))
+        return ladder(batches.withColumn("_in", F.lit(True)))
+    return ladder(mark_aligned(batches, aligned_ids))
+
+
+def ladder(marked: DataFrame) -> DataFrame:
+    """The golden ladder over batches flagged by :func:`mark_aligned`."""
+    probs = config.GOLDEN_LADDER
+    rungs = _rungs(marked, probs, F.col("_in"))
     pct, cut, n = F, F, F
     for i, p in enumerate(probs):
         enough = F.col(f"n{i}") >= 3
@@ -111,7 +126,7 @@ def choose_training(batches: DataFrame, target: float | None = None) -> DataFram
 
 def default_target(batches: DataFrame, saved: float | None = None) -> DataFrame:
     """One row ``target``: the saved value when in range, else p75, clamped to [1, 100]."""
-    cut = quantiles(batches, [], "yield", [config.GOLDEN_PERCENTILE], "_cut")
+    cut = yield_cuts(batches, [config.GOLDEN_PERCENTILE], "_cut")
     usable = saved is not None and 1.0 <= saved <= 100.0
     base = F.lit(float(saved)) if usable else F.col("_cut")[0]
     return cut.select(F.greatest(F.lit(1.0), F.least(F.lit(100.0), base)).alias("target"))

@@ -9,20 +9,21 @@ from trajecta import config
 from trajecta.functions.numeric import tier
 from trajecta.functions.stats import t_quantile
 from trajecta.operators.align import index_phase, with_phases
-from trajecta.operators.label import choose_golden
-from trajecta.operators.scale import lookup
+from trajecta.operators.label import ladder, mark_aligned
+from trajecta.session import cut_lineage
 
 
 def golden_members(batches: DataFrame, aligned: DataFrame) -> DataFrame:
     """Golden batch ids by the percentile ladder; empty when no rung holds."""
-    ids = aligned.select("batch_id").distinct()
-    chosen = choose_golden(batches, ids)
-    return (
-        batches.join(ids, "batch_id", "left_semi")
+    marked = mark_aligned(batches, aligned)
+    chosen = ladder(marked)
+    members = (
+        marked.where("_in")
         .crossJoin(F.broadcast(chosen))
         .where(F.col("yield") >= F.col("yield_threshold"))
         .select("batch_id", "golden_pct_used", "yield_threshold")
     )
+    return cut_lineage(members, "golden")
 
 
 def golden_rows(batches: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -51,10 +52,10 @@ def inconsistent_members(rows: DataFrame) -> DataFrame:
 
     Nothing is left out under five members, or when fewer than three would stay.
     """
-    per_batch = erratic_rates(rows).groupBy("batch_id").agg(
+    per_batch = cut_lineage(erratic_rates(rows).groupBy("batch_id").agg(
         F.max("rate").alias("worst_rate"),
         F.sort_array(F.collect_set(F.when(F.col("rate") > 0.30, F.col("variable")))).alias("causes"),
-    )
+    ), "rates")
     counts = per_batch.agg(
         F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("worst_rate") <= 0.30, 1)).alias("_kept")
     )

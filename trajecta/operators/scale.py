@@ -138,24 +138,31 @@ def _bins(lo: str, hi: str, value: str) -> Column:
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q"
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q",
+    few_values: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key, as one array column.
 
+    ``few_values`` says that the distinct values are few by construction (a
+    percentage with two decimals), so that no size check is needed.
+
     Small groups use ``percentile``.  Larger ones are located by a histogram
     pass; only the rows of the bins that hold a wanted rank are then ordered.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    direct = base.groupBy(*keys).agg(
+        F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(name)
+    )
+    if few_values:
+        return direct
     sizes = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     ).persist()
     groups, biggest = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
     if (biggest or 0) <= config.QUANTILE_ROWS:
         sizes.unpersist()
-        return base.groupBy(*keys).agg(
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(name)
-        )
+        return direct
     wanted = []
     for i, p in enumerate(probs):
         at = (F.col("_n") - 1) * F.lit(float(p))

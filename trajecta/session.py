@@ -49,9 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to a table in the shared folder and read them back."""
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write the rows to a table in the shared folder and read them back.
+
+    Later steps then start from a plain scan: a lost executor costs one file
+    split, not the whole history, and plans stay small.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, "stage")
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
