@@ -182,6 +182,8 @@ cte("gappy_cells", ("gappy",), """
 cte("sparse_cells", ("sparse",), f"""
   SELECT batch_id, time_index, variable, value FROM sparse
   UNPIVOT INCLUDE NULLS (value FOR variable IN ({", ".join(KINDS)}))""")
+cte("event_cells", ("event_readings",), """
+  SELECT batch_id, time_index, 'value' AS variable, value FROM event_readings""")
 cte("yields", (), """
   SELECT CAST(l_suppkey AS VARCHAR) AS batch_id,
     round(100 * avg(CASE WHEN l_returnflag <> 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS yield,

@@ -37,8 +37,6 @@ def aligned_runs(spark, sf_dir):
     return rounded(rounded(fx.aligned(spark, sf_dir), 5, "value"), 6, "time_norm")
 
 
-fx.cte("event_cells", ("event_readings",), """
-  SELECT batch_id, time_index, 'value' AS variable, value FROM event_readings""")
 fx.cte("event_aligned", ("event_cells",), fx.aligned_sql("event_cells"))
 
 

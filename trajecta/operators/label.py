@@ -30,6 +30,7 @@ def label_quality(batches: DataFrame) -> DataFrame:
 
     Labels need every yield and at least four batches.
     """
+    batches = cut_lineage(batches, "batches")  # one row per batch, read three times
     cuts = yield_cuts(batches, [config.GOLDEN_PERCENTILE, config.GOOD_PERCENTILE])
     totals = batches.agg(
         F.count(F.lit(1)).alias("_n"), F.count("yield").alias("_known")
