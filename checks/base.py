@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 ENTRIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-TWINS: dict[str, str] = {}
+TWINS: dict[str, str | Callable[[], str]] = {}
 
+# Named pieces of the twins.  ``twin`` puts the ones a query needs in front.
+CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
-def entry(name: str, sql: str | None = None):
+
+def entry(name: str, sql: str | Callable[[], str] | None = None):
     """Register a query and, when SQL can express it, its twin."""
 
     def add(fn):
@@ -24,27 +27,31 @@ def entry(name: str, sql: str | None = None):
     return add
 
 
-# Named pieces of the twins.  ``twin`` puts the ones a query needs in front.
-CTES: dict[str, tuple[tuple[str, ...], str]] = {}
-
-
 def cte(name: str, needs: tuple[str, ...], body: str) -> None:
     CTES[name] = (needs, body)
 
 
-def twin(select: str, *needs: str, recursive: bool = False) -> str:
+def twin(select: str, *needs: str, recursive: bool = False) -> Callable[[], str]:
     """``WITH`` the needed pieces, in dependency order, then ``select``."""
-    ordered: list[str] = []
-
-    def visit(name: str) -> None:
-        if name in ordered:
-            return
-        for dep in CTES[name][0]:
-            visit(dep)
-        ordered.append(name)
-
-    for name in needs:
-        visit(name)
-    parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
-    head = "WITH RECURSIVE " if recursive else "WITH "
-    return (head + parts + "\n" if parts else "") + select
+
+    def build() -> str:
+        ordered: list[str] = []
+
+        def visit(name: str) -> None:
+            if name in ordered:
+                return
+            for dep in CTES[name][0]:
+                visit(dep)
+            ordered.append(name)
+
+        for name in needs:
+            visit(name)
+        parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
+        head = "WITH RECURSIVE " if recursive else "WITH "
+        return (head + parts + "\n" if parts else "") + select
+
+    return build
+
+
+def twins() -> dict[str, str]:
+    return {name: sql if isinstance(sql, str) else sql() for name, sql in TWINS.items()}

@@ -240,21 +240,29 @@ def trend_lines(spark, sf_dir):
     return rounded(rounded(asn.trend_lines(rows, top), 6, "r"), 5, "slope", "intercept")
 
 
+@fx.stage
+def forest(spark, sf_dir):
+    return asn.forest_importance(lm.feature_matrix(prepared(spark, sf_dir)))
+
+
+@fx.stage
+def boosted(spark, sf_dir):
+    return asn.boosted_importance(lm.feature_matrix(prepared(spark, sf_dir)))
+
+
 @entry("forest_importance")
 def forest_importance(spark, sf_dir):
-    return rounded(asn.forest_importance(lm.feature_matrix(prepared(spark, sf_dir))), 6, "importance")
+    return rounded(forest(spark, sf_dir), 6, "importance")
 
 
 @entry("boosted_importance")
 def boosted_importance(spark, sf_dir):
-    return rounded(asn.boosted_importance(lm.feature_matrix(prepared(spark, sf_dir)), trees=20), 6, "importance")
+    return rounded(boosted(spark, sf_dir), 6, "importance")
 
 
 @entry("tree_score")
 def tree_score(spark, sf_dir):
-    matrix = lm.feature_matrix(prepared(spark, sf_dir))
-    score = asn.tree_score(asn.forest_importance(matrix), asn.boosted_importance(matrix, trees=20))
-    return rounded(score, 6, "score")
+    return rounded(asn.tree_score(forest(spark, sf_dir), boosted(spark, sf_dir)), 6, "score")
 
 
 @entry("component_importance")
@@ -362,7 +370,7 @@ def fitted_ranking(spark, sf_dir):
     scores = asn.correlations(rows, with_p=False).select(
         "feature", F.lit("corr").alias("method"), F.col("combined").alias("score"))
     fitted = {
-        "tree": asn.tree_score(asn.forest_importance(matrix)),
+        "tree": asn.tree_score(forest(spark, sf_dir)),
         "pca": lm.component_importance(matrix).importance,
         "lasso": lm.sparse_regression(matrix).table,
     }

@@ -67,6 +67,9 @@ def trend_lines(prepared: DataFrame, top: DataFrame) -> DataFrame:
     )
 
 
+ROWS_PER_TREE_TASK = 20_000
+
+
 @dataclass(frozen=True)
 class TreeSizes:
     """Model sizes that fit the number of batches and features."""
@@ -87,8 +90,10 @@ def tree_sizes(n: int, p: int) -> TreeSizes:
 
 
 def _importances(matrix: FeatureMatrix, estimator) -> DataFrame:
+    # one row per batch: few batches need no more than a task or two per pass
     data = matrix.rows.select(array_to_vector("x").alias("features"), F.col("y").alias("label"))
-    found = estimator.fit(data.persist()).featureImportances.toArray()
+    data = data.coalesce(1 + matrix.n // ROWS_PER_TREE_TASK).persist()
+    found = estimator.fit(data).featureImportances.toArray()
     data.unpersist()
     return vector_frame(matrix.rows.sparkSession, matrix.names, importance=found)
 
