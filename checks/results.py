@@ -172,7 +172,7 @@ cte("audit", (), """
     'http_status=' || (200 + event_id % 4 * 100) || ' duration_ms=' || CAST(trunc(value) AS INTEGER) AS detail,
     CASE WHEN event_id % 4 < 2 THEN 'success' WHEN event_id % 4 = 2 THEN 'warning' ELSE 'failure' END AS status,
     substr(repeat(props, 80), 1, 500) AS user_agent, CAST(trunc(value) AS INTEGER) AS duration_ms,
-    epoch_us(ts) AS at FROM events""")
+    epoch_us(ts) AS "at" FROM events""")
 
 
 @entry("audit_rows", twin("SELECT * FROM audit", "audit"))
@@ -183,7 +183,7 @@ def audit_rows_query(spark, sf_dir):
 
 
 @entry("audit_log_latest", twin("""
-  SELECT action, detail, status, at FROM audit ORDER BY at DESC, action, detail LIMIT 100""", "audit"))
+  SELECT action, detail, status, "at" FROM audit ORDER BY "at" DESC, action, detail LIMIT 100""", "audit"))
 def audit_log_latest(spark, sf_dir):
     store = _store(spark)
     store.audit_requests(_requests(spark, sf_dir))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from checks import fixtures as fx
 from checks import monitoring as mon
@@ -65,14 +64,14 @@ def sliding_summary(spark, sf_dir):
 
 
 @entry("run_sessions", f"""
-  SELECT batch_id, min(at) AS session_start, max(at) + {6 * HOUR} AS session_end, count(*) AS n,
+  SELECT batch_id, min("at") AS session_start, max("at") + {6 * HOUR} AS session_end, count(*) AS n,
     round(avg(value), 6) AS mean
-  FROM (SELECT *, sum(fresh) OVER (PARTITION BY batch_id ORDER BY at) AS g FROM (
-    SELECT CAST(user_id AS VARCHAR) AS batch_id, epoch_us(ts) AS at, value,
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY batch_id ORDER BY "at") AS g FROM (
+    SELECT CAST(user_id AS VARCHAR) AS batch_id, epoch_us(ts) AS "at", value,
       CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < {6 * HOUR} THEN 0 ELSE 1 END AS fresh
     FROM events))
   GROUP BY batch_id, g
-  HAVING max(at) + {6 * HOUR} <= (SELECT epoch_ms(max(ts)) * 1000 - {2 * HOUR} FROM events)""")
+  HAVING max("at") + {6 * HOUR} <= (SELECT epoch_ms(max(ts)) * 1000 - {2 * HOUR} FROM events)""")
 def run_sessions(spark, sf_dir):
     """Sessions the watermark has closed; a pause of six hours ends one."""
     out = windows.run_sessions(_event_stream(spark, sf_dir), "6 hours")

@@ -76,14 +76,15 @@ OUTPUT = (
 
 def monitor_stream(
     aligned: DataFrame, terms: DataFrame, meta: DataFrame, variables: Sequence[str], components: int,
-    points: int = config.GRID_POINTS, idle_ms: int = 24 * 3600 * 1000, run: int = 3,
+    points: int = config.GRID_POINTS, idle_ms: int | None = None, run: int = 3,
 ) -> DataFrame:
     """One row per completed step of every run: T², SPE, forecast, breaches and
     the run rule.  A row for a step that is closed already comes out ``late``.
 
     A step is complete when all variables arrived and the step before is
-    closed.  A finished run keeps only its closed mark; any state goes after
-    ``idle_ms`` without input.
+    closed.  A finished run keeps only its closed mark.  On a continuous
+    trigger give ``idle_ms``: state then goes after that long without input
+    (such a timer keeps an ``availableNow`` query from ending).
     """
     width = len(list(variables))
     z = (F.col("value") - F.col("mu")) / F.col("sigma")
@@ -103,7 +104,7 @@ def monitor_stream(
     base = float(m["intercept"]) if "intercept" in m else 0.0
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if idle_ms and state.hasTimedOut:
             state.remove()
             return
         if state.exists:
@@ -138,7 +139,8 @@ def monitor_stream(
             # keep the closed mark, so that a repeated row still counts as late
             held["sums"] = []
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({
                 c: "boolean" for c in (
@@ -146,4 +148,5 @@ def monitor_stream(
                     "t2_sustained", "spe_sustained", "late")})
 
     return parts.groupBy("batch_id").applyInPandasWithState(
-        advance, OUTPUT, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        advance, OUTPUT, "held string", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
