@@ -65,6 +65,7 @@ def lineitem_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(placed)
 
 
+@stage
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of four variables; batches differ in length."""
     return lineitem_ordered(spark, sf_dir).select(
@@ -77,6 +78,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stage
 def gappy_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with scattered gaps and with one variable missing in some batches."""
     key = F.col("l_orderkey") * 7 + F.col("l_linenumber")

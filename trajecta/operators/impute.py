@@ -9,7 +9,7 @@ chunk, with the last and first valid point carried across chunks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -180,19 +180,51 @@ def neighbours(readings: DataFrame, variables: Sequence[str]) -> DataFrame:
     return plain(joined.withColumns(filled).drop(*drop))
 
 
-def _spline_block(pdf: pd.DataFrame) -> pd.DataFrame:
+KNOT_KEYS = ["batch_id", "variable", "block"]
+INTERVALS = "batch_id string, variable string, pos long, m0 double, m1 double"
+
+
+def _spline_block(pdf: pd.DataFrame) -> tuple[np.ndarray, ...] | None:
     """Second derivatives at both ends of the intervals that hold gaps."""
-    if not pdf["home"].any():  # a block of halo copies only
-        return pd.DataFrame({c: [] for c in ("batch_id", "variable", "pos", "m0", "m1")})
-    pdf = pdf.sort_values("ordinal", kind="stable")
-    x = pdf["pos"].to_numpy(dtype=float)
-    m = second_derivatives(x, pdf["value"].to_numpy(dtype=float))
     home = pdf["home"].to_numpy(dtype=bool)
+    x = pdf["pos"].to_numpy(dtype=float)
     left = np.flatnonzero(home[:-1] & (np.diff(x) > 1))
-    return pd.DataFrame({
-        "batch_id": pdf["batch_id"].iloc[0], "variable": pdf["variable"].iloc[0],
-        "pos": x[left].astype("int64"), "m0": m[left], "m1": m[left + 1],
-    })
+    if not len(left):  # no gap, or a block of halo copies only
+        return None
+    m = second_derivatives(x, pdf["value"].to_numpy(dtype=float))
+    return left, x[left].astype("int64"), m[left], m[left + 1]
+
+
+def _spline_partition(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Solve the blocks of a sorted partition; a block may span Arrow batches,
+    so the last one of a batch waits for the next."""
+    held = None
+    for part in parts:
+        if part.empty:
+            continue
+        rows = part if held is None else pd.concat([held, part], ignore_index=True)
+        changed = (rows[KNOT_KEYS] != rows[KNOT_KEYS].shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(changed)
+        held = rows.iloc[starts[-1]:]
+        yield from _solve_blocks(rows, starts, len(starts) - 1)
+    if held is not None:
+        yield from _solve_blocks(held, np.array([0]), 1)
+
+
+def _solve_blocks(rows: pd.DataFrame, starts: np.ndarray, count: int) -> Iterator[pd.DataFrame]:
+    ends = [*starts[1:], len(rows)]
+    out: list[list] = [[], [], [], [], []]
+    for start, end in zip(starts[:count], ends[:count]):
+        solved = _spline_block(rows.iloc[start:end])
+        if solved is None:
+            continue
+        left, pos, m0, m1 = solved
+        out[0] += [rows["batch_id"].iloc[start]] * len(left)
+        out[1] += [rows["variable"].iloc[start]] * len(left)
+        for box, values in zip(out[2:], (pos, m0, m1)):
+            box.extend(values)
+    if out[0]:
+        yield pd.DataFrame(dict(zip(("batch_id", "variable", "pos", "m0", "m1"), out)))
 
 
 def spline_intervals(knots: DataFrame) -> DataFrame:
@@ -213,9 +245,8 @@ def spline_intervals(knots: DataFrame) -> DataFrame:
     spread = knots.withColumn("_home", block).withColumn("block", F.explode(blocks)).withColumn(
         "home", F.col("_home") == F.col("block")
     ).drop("_home")
-    return spread.groupBy("batch_id", "variable", "block").applyInPandas(
-        _spline_block, "batch_id string, variable string, pos long, m0 double, m1 double"
-    )
+    ordered = spread.repartition(*KNOT_KEYS).sortWithinPartitions(*KNOT_KEYS, "ordinal")
+    return ordered.mapInPandas(_spline_partition, INTERVALS)
 
 
 def impute(readings: DataFrame, variables: Sequence[str], cubic: bool = True) -> DataFrame:
