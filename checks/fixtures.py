@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.base import cte
+from trajecta.functions.numeric import rounded
 from trajecta.operators.align import align
 from trajecta.operators.features import basic_features
 from trajecta.operators.label import default_target, label_quality, split_by_target
@@ -146,7 +147,8 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stage
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basic_features(readings(spark, sf_dir), VARIABLES)
+    """Rounded, so that equal means tie whatever the order of the additions."""
+    return rounded(basic_features(readings(spark, sf_dir), VARIABLES), 9, "value")
 
 
 @stage
@@ -301,7 +303,7 @@ cte("conformance_cpp", ("deviations",), """
 cte("conformance", ("conformance_cpp",), """
   SELECT batch_id, avg(score) AS overall FROM conformance_cpp GROUP BY batch_id""")
 cte("features", ("reading_cells",), """
-  SELECT batch_id, variable || '_' || stat AS feature, value FROM (
+  SELECT batch_id, variable || '_' || stat AS feature, round(value, 9) AS value FROM (
     SELECT batch_id, variable, avg(value) AS mean, stddev_pop(value) AS std
     FROM reading_cells GROUP BY batch_id, variable)
   UNPIVOT INCLUDE NULLS (value FOR stat IN (mean, std))""")
