@@ -142,10 +142,13 @@ def matrix_fill(spark, sf_dir):
     return rounded(rounded(im.fill_matrix(runs), 5, "value"), 6, "time_norm")
 
 
+cte("basic", ("reading_cells",), CTES["features"][1].replace("round(value, 9) AS value", "value"))
+
+
 @entry("basic_features", twin("""
-  SELECT batch_id, feature, round(value, 5) AS value FROM features""", "features"))
+  SELECT batch_id, feature, round(value, 8) AS value FROM basic""", "basic"))
 def basic_features(spark, sf_dir):
-    return rounded(ft.basic_features(fx.readings(spark, sf_dir), fx.VARIABLES), 5, "value")
+    return rounded(ft.basic_features(fx.readings(spark, sf_dir), fx.VARIABLES), 8, "value")
 
 
 cte("rich_wide", ("reading_cells",), """
@@ -168,9 +171,9 @@ cte("rich", ("rich_wide",), """
 
 
 @entry("rich_features", twin("""
-  SELECT batch_id, feature, round(value, 5) AS value FROM rich""", "rich"))
+  SELECT batch_id, feature, round(value, 8) AS value FROM rich""", "rich"))
 def rich_features(spark, sf_dir):
-    return rounded(ft.rich_features(fx.readings(spark, sf_dir), fx.VARIABLES), 5, "value")
+    return rounded(ft.rich_features(fx.readings(spark, sf_dir), fx.VARIABLES), 8, "value")
 
 
 cte("event_rich_wide", ("event_cells",), CTES["rich_wide"][1].replace("reading_cells", "event_cells"))
