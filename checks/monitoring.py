@@ -615,11 +615,11 @@ def ideal_ranges(spark, sf_dir):
 
 @entry("profile_meta", twin("""
   SELECT count(*) AS n_golden, max(golden_pct_used) AS golden_pct_used, max(yield_threshold) AS yield_threshold,
-    list(batch_id ORDER BY batch_id) AS batch_ids, round(any_value(t_crit), 6) AS t_crit, 0.05::DOUBLE AS alpha
+    round(any_value(t_crit), 6) AS t_crit, 0.05::DOUBLE AS alpha
   FROM golden_members, t_crit WHERE batch_id NOT IN (SELECT batch_id FROM erratic)""",
     "golden_members", "t_crit", recursive=True))
 def profile_meta(spark, sf_dir):
-    return rounded(pf.profile_meta(fx.batches(spark, sf_dir), fx.aligned(spark, sf_dir)), 6, "t_crit")
+    return rounded(pf.profile_meta(pf.profile_members(fx.batches(spark, sf_dir), fx.aligned(spark, sf_dir))), 6, "t_crit")
 
 
 @entry("golden_members", twin("""

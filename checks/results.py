@@ -143,17 +143,19 @@ def saved_rankings(spark, sf_dir):
   SELECT 5::BIGINT AS run_id, variable, round(avg(mean), 5) AS mean_avg, round(avg(std), 5) AS std_avg,
     round(max(upper), 5) AS upper_max, round(min(lower), 5) AS lower_min,
     (SELECT CAST(n AS INTEGER) FROM t_size) AS n_golden,
-    (SELECT round(max(yield_threshold), 6) FROM golden_members) AS yield_threshold
+    (SELECT round(max(yield_threshold), 6) FROM golden_members) AS yield_threshold,
+    (SELECT n FROM t_size) AS n_members
   FROM profile GROUP BY variable""", "profile", recursive=True))
 def saved_profile(spark, sf_dir):
     store = _store(spark)
-    meta = pf.profile_meta(fx.batches(spark, sf_dir), fx.aligned(spark, sf_dir))
+    members = pf.profile_members(fx.batches(spark, sf_dir), fx.aligned(spark, sf_dir))
     for _ in range(2):
-        store.save_profile(fx.profile(spark, sf_dir), meta, 5)
+        store.save_profile(fx.profile(spark, sf_dir), pf.profile_meta(members), 5, members)
     out = store.profile(5).select(
         "run_id", "n_golden", "yield_threshold", F.explode("cpp_stats").alias("variable", "s"))
-    return rounded(out.select("run_id", "n_golden", F.round("yield_threshold", 6).alias("yield_threshold"),
-                              "variable", "s.*"), 5, "mean_avg", "std_avg", "upper_max", "lower_min")
+    count = store.golden_members(5).agg(F.count(F.lit(1)).alias("n_members"))
+    return rounded(out.crossJoin(count).select(
+        "run_id", "n_golden", "n_members", F.round("yield_threshold", 6).alias("yield_threshold"), "variable", "s.*"), 5, "mean_avg", "std_avg", "upper_max", "lower_min")
 
 
 def _requests(spark, sf_dir):

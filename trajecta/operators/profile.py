@@ -109,19 +109,20 @@ def build_profile(batches: DataFrame, aligned: DataFrame, consistent: bool = Tru
     return band(profile_rows(batches, aligned, consistent))
 
 
-def profile_meta(batches: DataFrame, aligned: DataFrame) -> DataFrame:
-    """One row: size, critical value, ladder rung, threshold and members.
-
-    The member list is one reference set, a result the caller asked for whole.
-    """
+def profile_members(batches: DataFrame, aligned: DataFrame) -> DataFrame:
+    """The batches behind the profile, one row each, with their ladder rung."""
     members = golden_members(batches, aligned)
     dropped = inconsistent_members(golden_rows(batches, aligned))
-    kept = members.join(dropped, "batch_id", "left_anti")
-    return kept.agg(
+    return members.join(dropped, "batch_id", "left_anti")
+
+
+def profile_meta(members: DataFrame) -> DataFrame:
+    """One row: size, critical value, ladder rung and threshold.  The members
+    themselves grow with the data and stay a table."""
+    return members.agg(
         F.count(F.lit(1)).alias("n_golden"),
         F.max("golden_pct_used").alias("golden_pct_used"),
         F.max("yield_threshold").alias("yield_threshold"),
-        F.array_sort(F.collect_list("batch_id")).alias("batch_ids"),
     ).withColumn(
         "t_crit", t_quantile(F.lit(1 - config.BAND_ALPHA / 2), (F.col("n_golden") - 1).cast("double"))
     ).withColumn("alpha", F.lit(config.BAND_ALPHA))

@@ -29,6 +29,7 @@ class Analysis:
     readings: DataFrame
     aligned: DataFrame
     profile: DataFrame
+    members: DataFrame
     profile_meta: DataFrame
     basic: DataFrame
     rich: DataFrame
@@ -52,13 +53,15 @@ def analyse(
     filled = cut_lineage(im.impute(readings, variables), "readings")
     runs = cut_lineage(align(filled, variables, points), "aligned")
     profile = pf.require_profile(cut_lineage(pf.build_profile(batches, runs), "profile"))
+    members = cut_lineage(pf.profile_members(batches, runs), "members")
     basic = cut_lineage(ft.basic_features(filled, variables), "basic")
     return Analysis(
         batches=batches,
         readings=filled,
         aligned=runs,
         profile=profile,
-        profile_meta=pf.profile_meta(batches, runs),
+        members=members,
+        profile_meta=pf.profile_meta(members),
         basic=basic,
         rich=cut_lineage(ft.rich_features(filled, variables), "rich"),
         missing=missing,
@@ -99,7 +102,7 @@ def save(
         golden_pct_used=meta["golden_pct_used"], cpp_vars=variables, run_name=run_name,
     )
     store.save_batches(found.batches, run_id)
-    store.save_profile(found.profile, found.profile_meta, run_id)
+    store.save_profile(found.profile, found.profile_meta, run_id, found.members)
     if ranking is not None:
         store.save_rankings(asn.best_rows(ranking), run_id)
     return run_id

@@ -26,14 +26,13 @@ SCHEMAS = {
     "pca_score double, lasso_score double, avg_score double, method_agreement int, "
     "created_at timestamp, run_id long",
     "golden_profile_meta": "n_golden int, yield_threshold double, t_crit double, "
-    "golden_batch_ids array<string>, "
     "cpp_stats map<string,struct<mean_avg:double,std_avg:double,upper_max:double,lower_min:double>>, "
     "created_at timestamp, run_id long",
+    "golden_members": "batch_id string, run_id long",
     "audit_log": "run_id long, action string, detail string, status string, ip_address string, "
     "user_agent string, duration_ms int, created_at timestamp",
     "deleted_runs": "run_id long, deleted_at timestamp",
 }
-OWNED = ("batches", "cpp_rankings", "golden_profile_meta")
 
 
 def profile_stats(profile: DataFrame) -> DataFrame:
@@ -185,19 +184,27 @@ class ResultStore:
     def rankings(self, run_id: int) -> DataFrame:
         return self.read("cpp_rankings").where(F.col("run_id") == run_id).orderBy("rank")
 
-    def save_profile(self, profile: DataFrame, meta: DataFrame, run_id: int) -> None:
-        """Replace the profile summary of a run."""
+    def save_profile(
+        self, profile: DataFrame, meta: DataFrame, run_id: int, members: DataFrame | None = None
+    ) -> None:
+        """Replace the profile summary of a run, and its golden batches."""
+        if members is not None:
+            self._replace("golden_members", members.select(
+                "batch_id", F.lit(run_id).cast("long").alias("run_id")))
         entry = F.struct("variable", F.struct("mean_avg", "std_avg", "upper_max", "lower_min"))
         stats = profile_stats(profile).agg(F.map_from_entries(F.collect_list(entry)).alias("cpp_stats"))
         self._replace("golden_profile_meta", _stamped(meta.crossJoin(stats).select(
             F.lit(run_id).cast("long").alias("run_id"), F.col("n_golden").cast("int").alias("n_golden"),
             finite(F.col("yield_threshold")).alias("yield_threshold"), finite(F.col("t_crit")).alias("t_crit"),
-            F.col("batch_ids").alias("golden_batch_ids"), "cpp_stats",
+            "cpp_stats",
         )))
 
     def profile(self, run_id: int) -> DataFrame:
         return self.read("golden_profile_meta").where(F.col("run_id") == run_id)
 
+    def golden_members(self, run_id: int) -> DataFrame:
+        return self.read("golden_members").where(F.col("run_id") == run_id)
+
     # ── audit ───────────────────────────────────────────────────────────────
 
     def audit(self, action: str, run_id: int | None = None, detail: str = "", status: str = "success") -> None:
