@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,27 @@ def build_session(cores: str = "*", partitions: int = 8, app: str = "trajecta")
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Python workers import the functions of Arrow steps by name; without this
+    they find them only where the driver's folder happens to be on their path.
+    """
+    sc = spark.sparkContext
+    if _LOCAL.get("shipped") == sc.applicationId:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="trajecta-code-"), "trajecta_code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    sc.addPyFile(target)
+    _LOCAL["shipped"] = sc.applicationId
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees, named by ``spark.checkpoint.dir``.
 
