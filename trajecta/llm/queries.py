@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trajecta.llm import (
-    best_fit_packing, html_extraction, language_id, license_scan, toxicity,
+    best_fit_packing, decontamination, html_extraction, language_id, license_scan, line_frequency,
+    line_spread, simhash_golay, toxicity, twins,
 )
 from trajecta.llm.common import table
 
@@ -30,21 +31,43 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+@entry("op2_line_frequency", twins.QUALITY)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.quality(table(spark, sf_dir, "documents"))
+
+
 @entry("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+@entry("op5_decontamination", twins.DECONTAMINATION)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 @entry("op6_license_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@entry("op7_simhash_golay")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_golay.digest(simhash_golay.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 @entry("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@entry("op9_line_spread", twins.LINE_SPREAD)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.remove_spread_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", "n_chars", "n_removed")
+
+
 @entry("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
