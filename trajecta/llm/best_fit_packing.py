@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,14 @@ from pyspark.sql import functions as F
 from trajecta.llm.common import map_slices, stage, texts_of
 
 GROUP_PIECES = 8192
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_500_000
 PIECE_TYPES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(),
                "length": pa.int64(), "ids_crc32": pa.int64()}
 
 
+_MARKS = re.compile(rb"(?<=[a-zA-Z])([.,;:!?]+)(?=[\x20\t-\r]|\Z)")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -40,8 +45,10 @@ def tokenizer_path() -> str:
 class WordTokenizer:
     """Token ids of texts by a cache of the ids of white-space separated chunks.
 
-    The vocabulary drops white space and no rule of it looks across white space,
-    so a text's ids are its chunks' ids in a row (tested against whole texts).
+    The vocabulary drops white space and case, and no rule of it looks across
+    white space, so a text's ids are its chunks' ids in a row.  Marks after an
+    ASCII letter are a chunk of their own, as they are for the vocabulary.  All
+    this is tested against whole texts.  The cache starts anew at ``CACHE_WORDS``.
     """
 
     def __init__(self, path: str):
@@ -49,51 +56,60 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.first, self.size, self.ids = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16))
 
-    def learn(self, words: list[bytes], run: int = 4096) -> None:
+    def learn(self, words: list[bytes], run: int = 512) -> None:
         """Encode unseen chunks many at a time and split the ids by their offsets."""
+        sizes, flat = [], []
         for i in range(0, len(words), run):
             part = [w.decode() for w in words[i:i + run]]
-            ends = np.cumsum([len(w) + 1 for w in part])
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            owner = np.searchsorted(ends, np.fromiter(
-                (o[0] for o in got.offsets), np.int64, len(got.offsets)), side="right")
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            ids = got.ids
-            for k, w in enumerate(words[i:i + run]):
-                self.known[w] = tuple(ids[cuts[k]:cuts[k + 1]])
+            starts = np.fromiter(itertools.chain.from_iterable(got.offsets), np.int64, 2 * len(got))[::2]
+            sizes.append(np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(part)))
+            flat.append(np.array(got.ids, np.uint16))
+        size = np.concatenate(sizes)
+        begun = len(self.ids) + np.cumsum(size) - size
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.first, self.size = np.concatenate([self.first, begun]), np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *flat])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        counts = np.array([len(w) for w in split], np.int64)
+        # special tokens are known by their exact case, so those texts keep it
+        split = [_MARKS.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
         coded = pa.array(itertools.chain.from_iterable(split), pa.binary()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        self.learn([w for w in distinct if w not in self.known])
-        ids = [self.known[w] for w in distinct]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        per_word = sizes[index]
+        if len(self.known) + len(distinct) > CACHE_WORDS:
+            self.forget()
+        if unseen := [w for w in distinct if w not in self.known]:
+            self.learn(unseen)
+        known = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
+        index = known[coded.indices.to_numpy(zero_copy_only=False)]
+        per_word = self.size[index]
         ends = np.cumsum(per_word)
-        first = (np.cumsum(sizes) - sizes)[index]
-        tokens = flat[np.repeat(first - (ends - per_word), per_word) + np.arange(int(per_word.sum()))]
+        tokens = self.ids[np.repeat(self.first[index] - (ends - per_word), per_word) + np.arange(int(per_word.sum()))]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return [tokens[a:b] for a, b in itertools.pairwise(bounds)]
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker, kept over its tasks."""
+    return WordTokenizer(path)
+
+
 def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) of every text."""
     path = path or tokenizer_path()
-    made: dict[str, WordTokenizer] = {}
 
     def pieces(batch: pa.RecordBatch) -> dict:
-        if path not in made:
-            made[path] = WordTokenizer(path)
         out: dict[str, list] = {c: [] for c in PIECE_TYPES}
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), made[path](texts_of(batch))):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), word_tokenizer(path)(texts_of(batch))):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             for k, start in enumerate(range(0, len(ids), capacity)):
                 part = ids[start:start + capacity]

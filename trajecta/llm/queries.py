@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trajecta.llm import (
     best_fit_packing, decontamination, html_extraction, language_id, license_scan, line_frequency,
-    line_spread, simhash_golay, toxicity, twins,
+    line_spread, ppm_score, simhash_golay, toxicity, twins,
 )
 from trajecta.llm.common import table
 
@@ -41,6 +41,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+@entry("op4_ppm_score")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_score.score(table(spark, sf_dir, "documents"))
+
+
 @entry("op5_decontamination", twins.DECONTAMINATION)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(
