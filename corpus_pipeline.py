@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import best_fit_packing, language_id
+from trajecta.llm import best_fit_packing, decontamination, language_id, line_spread, simhash_golay
 from trajecta.llm.common import stage, table
 
-ORACLE_SQL = None  # language identification and tokens are beyond SQL; tests compare with brute force
+ORACLE_SQL = None  # n-gram hashes, XXH64 and token ids are beyond SQL; tests compare with brute force
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +15,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_identified(docs)
 
 
+def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many sites share leave the texts; every document stays."""
+    return line_spread.remove_spread_lines(docs).select(*docs.columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of every component stays."""
+    return simhash_golay.keep_one(docs)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item stay."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents as pieces of packed sequences."""
     return best_fit_packing.pack_documents(docs)
@@ -22,6 +37,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language_id", identify_language),
+    ("line_spread", remove_boilerplate),
+    ("simhash_golay", remove_near_duplicates),
+    ("decontamination", remove_contaminated),
     ("best_fit_packing", pack_sequences),
 ]
 

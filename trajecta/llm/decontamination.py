@@ -155,5 +155,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
     bad = contamination(docs, benchmark, **options).where("n_hit > 0").select(
         F.col("doc_id").alias("bad_id"), F.col("tk").alias("bad_tk")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (text_key(docs["text"]) == F.col("bad_tk")),
-                     "left_anti")
+    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (text_key(docs["text"]) == bad["bad_tk"])
+    return docs.join(bad, same, "left_anti")

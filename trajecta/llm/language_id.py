@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import fold, map_slices, text_key
+from trajecta.llm.common import fold, map_slices, slices, text_key
 
 BITS = 16
 SAMPLE_ROWS = 12_000
@@ -114,25 +114,25 @@ def has_letter(text: pa.Array) -> np.ndarray:
     return found.to_numpy(zero_copy_only=False)
 
 
-def predict(docs: DataFrame, model: Languages, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score of every row, and the columns in ``keep``."""
+def decide(text: pa.Array, model: Languages) -> tuple[list[str], np.ndarray]:
+    """Language and score of every text."""
+    if not model.names:
+        return ["und"] * len(text), np.zeros(len(text))
+    p, _ = posteriors(text, model)
+    letters, best = has_letter(text), p.argmax(axis=1)
+    return [model.names[b] if ok else "und" for b, ok in zip(best, letters)], np.where(letters, p.max(axis=1), 0.0)
+
+
+def predict(docs: DataFrame, model: Languages) -> DataFrame:
+    """doc_id, lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
-    types = {"doc_id": pa.int64()} | {c: kinds[dict(docs.dtypes)[c]] for c in keep} | {
-        "lang_pred": pa.string(), "score": pa.float64()}
 
-    def score(batch: pa.RecordBatch) -> dict:
-        model, text = shared.value, batch.column("text")
-        out = {"doc_id": batch.column("doc_id")} | {c: batch.column(c) for c in keep}
-        if not model.names:
-            return out | {"lang_pred": ["und"] * len(text), "score": [0.0] * len(text)}
-        p, _ = posteriors(text, model)
-        letters, best = has_letter(text), p.argmax(axis=1)
-        return out | {"lang_pred": [model.names[b] if ok else "und" for b, ok in zip(best, letters)],
-                      "score": np.where(letters, p.max(axis=1), 0.0)}
+    def run(batch: pa.RecordBatch) -> dict:
+        names, scores = decide(batch.column("text"), shared.value)
+        return {"doc_id": batch.column("doc_id"), "lang_pred": names, "score": scores}
 
-    columns = dict.fromkeys(("doc_id", "text", *keep))
-    return map_slices(docs.select(*columns), score, types)
+    return map_slices(docs.select("doc_id", "text"), run,
+                      {"doc_id": pa.int64(), "lang_pred": pa.string(), "score": pa.float64()})
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, **options) -> DataFrame:
@@ -144,7 +144,12 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, **options) -> DataF
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` whose language is identified with ``least_score`` or more."""
-    model = train(docs, **options)
-    found = predict(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
-    return kept.select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, **options))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                names, scores = decide(part.column("text"), shared.value)
+                yield part.filter(pa.array((np.array(names) != "und") & (scores >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)

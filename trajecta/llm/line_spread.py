@@ -72,16 +72,19 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
 
 
 def remove_spread_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with spread lines removed from ``text`` and ``n_chars`` brought in line,
-    and n_removed, the number of lines that went."""
-    gone = removals(docs, **options)
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], text_key(F.col("text")).alias("_tk_"))
-    found = keyed.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d._tk_ = g.tk"), "left")
-    kept = F.array_join(F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains(F.col("g.places"), i)), "\n")
-    text = F.when(F.col("g.places").isNull(), F.col("d.text")).otherwise(kept)
-    out = found.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text"], text.alias("text"),
-                       F.coalesce(F.size("g.places"), F.lit(0)).cast("long").alias("n_removed_"))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "n_chars"]
-    return out.select(*columns, F.when(F.col("n_removed_") > 0, F.length("text")).otherwise(
-        F.col("n_chars") if "n_chars" in docs.columns else F.length("text")).cast("long").alias("n_chars"),
-        F.greatest("n_removed_", F.lit(0)).cast("long").alias("n_removed"))
+    """``docs`` with spread lines removed from ``text``, ``n_chars`` brought in line
+    where lines went, and n_removed, the number of lines that went."""
+    gone = removals(docs, **options).alias("g")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       text_key(F.col("text")).alias("tk")).alias("d")
+    found = rows.join(gone, F.expr("d.row.doc_id <=> g.doc_id AND d.tk = g.tk"), "left")
+    kept = F.array_join(F.filter(
+        F.split(F.col("d.row.text"), "\n"), lambda x, i: ~F.array_contains(F.col("g.places"), i)), "\n")
+    changed = F.col("g.places").isNotNull()
+    out = found.select("d.row", F.when(changed, kept).otherwise(F.col("d.row.text")).alias("text"),
+                       F.when(changed, F.size("g.places")).otherwise(0).cast("long").alias("n_removed"))
+    before = F.col("row.n_chars") if "n_chars" in docs.columns else F.length("text")
+    own = {"text": F.col("text"), "n_removed": F.col("n_removed"),
+           "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(before).cast("long")}
+    columns = [*docs.columns, *[c for c in ("n_chars", "n_removed") if c not in docs.columns]]
+    return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in columns])

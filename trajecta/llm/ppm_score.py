@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from trajecta.llm.common import fold, slices, stage, texts_of
 
-ORDER = 4
-CONTEXTS = 1 << 17
+ORDER = 5
+CONTEXTS = 1 << 18
 WORDS = 1 << 20
 END = 0xFF
 WORD, GRAM = 0, 1
