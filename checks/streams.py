@@ -70,12 +70,11 @@ def sliding_summary(spark, sf_dir):
     SELECT CAST(user_id AS VARCHAR) AS batch_id, epoch_us(ts) AS "at", value,
       CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < {6 * HOUR} THEN 0 ELSE 1 END AS fresh
     FROM events))
-  GROUP BY batch_id, g
-  HAVING max("at") + {6 * HOUR} <= (SELECT epoch_ms(max(ts)) * 1000 - {2 * HOUR} FROM events)""")
+  GROUP BY batch_id, g""")
 def run_sessions(spark, sf_dir):
-    """Sessions the watermark has closed; a pause of six hours ends one."""
+    """All sessions, open ones included; a pause of six hours ends one."""
     out = windows.run_sessions(_event_stream(spark, sf_dir), "6 hours")
-    table = sources.run_to_table(out, "sessions")
+    table = sources.complete_now(out, "sessions")
     return rounded(_micros(table, "session_start", "session_end"), 6, "mean")
 
 
@@ -105,16 +104,16 @@ def online_alignment(spark, sf_dir):
     return rounded(online.steps_of_cells(table), 6, "time_norm", "value")
 
 
-def _aligned_files(spark, sf_dir):
+def _watched(spark, sf_dir, disorder: bool = False):
+    """The monitor over the aligned steps in files by step; with ``disorder``
+    every reading comes twice, in files that mix all steps."""
     runs = fx.aligned(spark, sf_dir)
     path = scratch_path(spark, "aligned")
-    runs.repartitionByRange(4, "step").write.parquet(path)
-    return path, runs.schema
-
-
-def _watched(spark, sf_dir):
-    path, schema = _aligned_files(spark, sf_dir)
-    stream = sources.reading_stream(spark, path, schema, files_per_trigger=1)
+    if disorder:
+        runs.union(runs).repartition(5, F.xxhash64("batch_id", "variable", "step", F.rand(3))).write.parquet(path)
+    else:
+        runs.repartitionByRange(4, "step").write.parquet(path)
+    stream = sources.reading_stream(spark, path, runs.schema, files_per_trigger=1)
     out = online.monitor_stream(
         stream, mon.model_terms(spark, sf_dir), mon.model_meta(spark, sf_dir), fx.VARIABLES, mon.COMPONENTS)
     return sources.run_to_table(out, "watched")
@@ -126,17 +125,39 @@ def _watched(spark, sf_dir):
     "steps", "forecast_steps"))
 def online_monitor(spark, sf_dir):
     """The stream gives the batch result."""
-    out = _watched(spark, sf_dir).where("NOT late")
+    return _steps(_watched(spark, sf_dir))
+
+
+def _steps(watched):
+    out = watched.where("NOT late AND NOT repeated")
     return rounded(out.select(
         "batch_id", "time_step", F.round("t2", 5).alias("t2"), F.round("spe", 4).alias("spe"), "predicted_yield"),
         5, "predicted_yield")
 
 
+@entry("online_monitor_disordered", twin("""
+  SELECT batch_id, CAST(time_step AS INTEGER) AS time_step, round(t2, 5) AS t2, round(spe, 4) AS spe,
+    round(predicted_yield, 5) AS predicted_yield FROM steps JOIN forecast_steps USING (batch_id, time_step)""",
+    "steps", "forecast_steps"))
+def online_monitor_disordered(spark, sf_dir):
+    """Repeated and disordered readings leave the result as it is."""
+    return _steps(_watched(spark, sf_dir, disorder=True))
+
+
+@entry("online_asides", twin("""
+  SELECT batch_id, variable, CAST(step + 1 AS INTEGER) AS time_step, 1::BIGINT AS n FROM aligned
+  WHERE value IS NOT NULL""", "aligned"))
+def online_asides(spark, sf_dir):
+    """Every second copy of a reading comes out as late or repeated, once."""
+    return _watched(spark, sf_dir, disorder=True).where("late OR repeated").groupBy(
+        "batch_id", "variable", "time_step").agg(F.count(F.lit(1)).alias("n"))
+
+
 @entry("online_alarms", twin("""
   SELECT batch_id, CAST(time_step AS INTEGER) AS time_step, t2_breach_95, t2_breach_99, spe_breach_95,
     spe_breach_99, t2_sustained, spe_sustained FROM rules""", "rules"))
 def online_alarms(spark, sf_dir):
-    return _watched(spark, sf_dir).where("NOT late").select(
+    return _watched(spark, sf_dir).where("NOT late AND NOT repeated").select(
         "batch_id", "time_step", "t2_breach_95", "t2_breach_99", "spe_breach_95", "spe_breach_99",
         "t2_sustained", "spe_sustained")
 

@@ -1,5 +1,7 @@
 """The balanced plans give the results of the simple ones."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,11 +48,10 @@ def test_lookup_paths(spark, skewed, monkeypatch):
 
 
 @pytest.mark.parametrize("keys", [[], ["batch_id"]])
-def test_quantiles_located_by_histogram(skewed, keys, monkeypatch):
+def test_quantiles_inside_brackets(skewed, keys, monkeypatch):
     probs = [0.0, 0.1, 0.5, 0.77, 1.0]
     plain = sc.quantiles(skewed, keys, "v", probs).collect()
     monkeypatch.setattr(config, "QUANTILE_ROWS", 3)
-    monkeypatch.setattr(config, "QUANTILE_BINS", 16)
     split = sc.quantiles(skewed, keys, "v", probs).collect()
     by = lambda rows: {tuple(r[k] for k in keys): r["q"] for r in rows}
     a, b = by(plain), by(split)
@@ -61,8 +62,7 @@ def test_quantiles_located_by_histogram(skewed, keys, monkeypatch):
 
 def test_average_ranks_split(skewed, monkeypatch):
     plain = collected(sc.average_ranks(skewed, ["batch_id"], "v"))
-    monkeypatch.setattr(config, "QUANTILE_ROWS", 3)
-    monkeypatch.setattr(config, "QUANTILE_BINS", 16)
+    monkeypatch.setattr(config, "HOT_ROWS", 3)
     assert collected(sc.average_ranks(skewed, ["batch_id"], "v").select(
         "batch_id", "v", "ties", "rank")) == plain
 
@@ -83,16 +83,62 @@ def test_alignment_without_broadcast(skewed, monkeypatch):
     assert collected(align(skewed, ["v"])) == plain
 
 
-def test_bootstrap_of_large_groups_agrees_with_resampling(spark, monkeypatch):
+@pytest.fixture
+def uneven(spark):
+    """One outlier of 1e15, and half of the rows at one value."""
+    rng = np.random.default_rng(3)
+    values = [1e15, *[7.0] * 4000, *rng.normal(size=4000)]
+    return spark.createDataFrame([("b", float(v), float(i)) for i, v in enumerate(values)],
+                                 "batch_id string, v double, other double")
+
+
+def test_chunks_of_uneven_values_stay_small(uneven, monkeypatch):
+    tie = F.xxhash64("other")
+    order = [F.col("v"), tie, F.col("other")]
+    plain, _ = sc.positions(uneven, ["batch_id"], order, F.col("v"), tie=tie)
+    want = collected(plain)
+    monkeypatch.setattr(config, "HOT_ROWS", 500)
+    split, cell = sc.positions(uneven, ["batch_id"], order, F.col("v"), tie=tie)
+    assert max(r["count"] for r in split.groupBy(*cell).count().collect()) <= 500
+    assert collected(sc.plain(split).select(plain.columns)) == want
+
+
+def test_quantiles_and_ranks_of_uneven_values(uneven, monkeypatch):
+    probs = [0.0, 0.05, 0.5, 0.999, 1.0]
+    quantiles = sc.quantiles(uneven, [], "v", probs).first()["q"]
+    ranks = collected(sc.average_ranks(uneven, ["batch_id"], "v"))
+    monkeypatch.setattr(config, "QUANTILE_ROWS", 500)
+    monkeypatch.setattr(config, "HOT_ROWS", 500)
+    assert sc.quantiles(uneven, [], "v", probs).first()["q"] == pytest.approx(quantiles)
+    assert collected(sc.average_ranks(uneven, ["batch_id"], "v").select("batch_id", "v", "ties", "rank")) == ranks
+
+
+def bootstrap_input(spark, n):
     rng = np.random.default_rng(8)
-    rows = [(f"b{i}", "f", float(v), 1.0, True) for i, v in enumerate(rng.normal(size=400))]
-    marked = spark.createDataFrame(
+    rows = [(f"b{i}", "f", float(v), 1.0, True) for i, v in enumerate(rng.normal(size=n))]
+    return spark.createDataFrame(
         rows, "batch_id string, feature string, value double, yield double, is_target boolean")
-    exact = rc.bootstrap_limits(marked).first()
-    monkeypatch.setattr(config, "BOOTSTRAP_ROWS", 100)
-    drawn = rc.bootstrap_limits(marked).first()
-    for c in ("p10_low", "p10_high", "p90_low", "p90_high"):
-        assert drawn[c] == pytest.approx(exact[c], abs=0.08)
+
+
+def test_bootstrap_has_one_law(spark, monkeypatch):
+    marked = bootstrap_input(spark, 400)
+    plain = rc.bootstrap_limits(marked).first()
+    monkeypatch.setattr(config, "BOOTSTRAP_BINS", 16)
+    monkeypatch.setattr(config, "BOOTSTRAP_RANGE", 37)
+    assert rc.bootstrap_limits(marked).first() == plain
+
+
+def test_bootstrap_is_resampling(spark):
+    values = sorted(r["value"] for r in bootstrap_input(spark, 50).collect())
+    n, p10, p90 = len(values), [], []
+    for rep in range(40):
+        words = [int(hashlib.md5(f"f|{rep}|{d}".encode()).hexdigest()[:8], 16) for d in range(n)]
+        sample = [values[w % n] for w in words]
+        p10.append(np.percentile(sample, 10))
+        p90.append(np.percentile(sample, 90))
+    got = rc.bootstrap_limits(bootstrap_input(spark, 50), reps=40).first()
+    want = [*np.percentile(p10, [5, 95]), *np.percentile(p90, [5, 95])]
+    assert [got[c] for c in ("p10_low", "p10_high", "p90_low", "p90_high")] == pytest.approx(want)
 
 
 def test_bootstrap_of_tiny_groups_keeps_the_point(spark):

@@ -54,8 +54,9 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
 SALT_BUCKETS = 32
 QUANTILE_ROWS = 1_000_000
-QUANTILE_BINS = 1 << 20
+QUANTILE_ACCURACY = 10_000
 SPLINE_BLOCK = 50_000
 SPLINE_HALO = 64
 MATRIX_LIMIT = 4096
-BOOTSTRAP_ROWS = 20_000
+BOOTSTRAP_RANGE = 50_000
+BOOTSTRAP_BINS = 4096

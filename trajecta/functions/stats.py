@@ -79,21 +79,23 @@ def pearson_p(r: float, n: float) -> float:
 
 
 def exact_u_tail(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact Mann-Whitney p for samples without ties."""
-    size = n1 * n2
-    counts = np.zeros(size + 1)
+    """Two-sided exact Mann-Whitney p for samples without ties.
+
+    The generating function of U is a Gaussian binomial coefficient; by its
+    symmetry only the coefficients of the lower tail are needed.
+    """
+    n1, n2 = min(n1, n2), max(n1, n2)
+    low = int(math.floor(min(u, n1 * n2 - u)))
+    counts = np.zeros(low + 1)
     counts[0] = 1.0
-    # the generating function of U is a Gaussian binomial coefficient
     for i in range(1, n1 + 1):
         grown = counts.copy()
-        step = n2 + i
-        grown[step:] -= counts[: size + 1 - step] if step <= size else 0.0
-        for s in range(i, size + 1):
-            grown[s] += grown[s - i]
+        if n2 + i <= low:
+            grown[n2 + i:] -= counts[: low + 1 - n2 - i]
+        for r in range(min(i, low + 1)):
+            grown[r::i] = np.cumsum(grown[r::i])
         counts = grown
-    share = counts / counts.sum()
-    top = max(u, size - u)
-    return float(min(1.0, 2.0 * share[int(math.ceil(top)):].sum()))
+    return float(min(1.0, 2.0 * counts.sum() / math.comb(n1 + n2, n1)))
 
 
 def normal_u_tail(u: float, n1: float, n2: float, tie_term: float) -> float:
@@ -108,11 +110,11 @@ def normal_u_tail(u: float, n1: float, n2: float, tie_term: float) -> float:
 
 
 def mann_whitney(u: float, n1: float, n2: float, tie_term: float) -> float:
-    """Exact without ties when one side is at most 8 (and the other at most
-    500), normal otherwise; NaN under five values on a side."""
+    """Exact without ties when one side is at most 8, normal otherwise; NaN under
+    five values on a side."""
     if n1 < 5 or n2 < 5 or any(map(math.isnan, (u, tie_term))):
         return math.nan
-    if tie_term == 0 and min(n1, n2) <= 8 and max(n1, n2) <= 500:
+    if tie_term == 0 and min(n1, n2) <= 8:
         return exact_u_tail(u, int(n1), int(n2))
     return normal_u_tail(u, n1, n2, tie_term)
 

@@ -69,7 +69,7 @@ def normalise_time(
         return out.withColumn("progress", moving.otherwise(F.lit(0.0)))
     flat = out.where((span == 0) & (F.col("_rows") > 1))
     order = [F.col(f"`{tie}`")] if tie else _tie_order(variables)
-    placed, _ = positions(flat, ["batch_id"], order, order[0], "_pos")
+    placed, _ = positions(flat, ["batch_id"], order, order[0], "_pos", tie=None if tie else order[0])
     placed = plain(placed).withColumn(
         "progress", F.col("_pos") / (F.col("_rows") - 1).cast("double")
     ).drop("_pos")
@@ -79,6 +79,13 @@ def normalise_time(
     return rest.unionByName(placed)
 
 
+def untimed(readings: DataFrame) -> DataFrame:
+    """``(batch_id, n_untimed, n_readings)`` of the runs with readings that have no time."""
+    return readings.groupBy("batch_id").agg(
+        F.count(F.when(F.col("time_index").isNull(), 1)).alias("n_untimed"), F.count(F.lit(1)).alias("n_readings"),
+    ).where("n_untimed > 0")
+
+
 def align(
     readings: DataFrame, variables: Sequence[str], points: int = config.GRID_POINTS,
     tie: str | None = None,
@@ -86,7 +93,10 @@ def align(
     """``(batch_id, variable, step, time_norm, value)`` on an even grid.
 
     Linear interpolation; gaps are first filled with the run's own mean of
-    the variable, and a variable the run lacks altogether is zero.
+    the variable, and a variable the run lacks altogether is zero.  Of samples
+    that share an instant the first and the last one count, in the order of
+    ``tie`` or else of their values.  Readings without a time take no part;
+    :func:`untimed` counts them.
     """
     variables = list(variables)
     top = points - 1
@@ -96,13 +106,16 @@ def align(
         F.coalesce(F.col(f"`{v}`"), F.col(f"_avg_{i}"), F.lit(0.0)).alias(f"_v{i}")
         for i, v in enumerate(variables)
     ]
-    rows = timed.select("batch_id", u.alias("_u"), F.floor(u).cast("int").alias("_cell"), *filled)
     n = range(len(variables))
+    # samples of one instant: by the given column, else by value, whatever order they come in
+    order = [F.col(f"`{tie}`").alias("_tie")] if tie else []
+    rows = timed.select("batch_id", u.alias("_u"), F.floor(u).cast("int").alias("_cell"), *filled, *order)
+    at = [F.struct("_u", "_tie" if tie else f"_v{i}") for i in n]
     cells = rows.groupBy("batch_id", "_cell").agg(
         F.min("_u").alias("_ua"),
         F.max("_u").alias("_ub"),
-        *[F.min_by(f"_v{i}", "_u").alias(f"_a{i}") for i in n],
-        *[F.max_by(f"_v{i}", "_u").alias(f"_b{i}") for i in n],
+        *[F.min_by(f"_v{i}", at[i]).alias(f"_a{i}") for i in n],
+        *[F.max_by(f"_v{i}", at[i]).alias(f"_b{i}") for i in n],
     )
     # at most `points` cells per run from here on
     w = Window.partitionBy("batch_id").orderBy("_cell")
@@ -251,8 +264,10 @@ def trapezoid_pairs(readings: DataFrame, x: Column, columns: Sequence[str]) -> D
     rows = readings.select("batch_id", x.alias("_x"), *[
         F.col(f"`{c}`").alias(f"_y{i}") for i, c in enumerate(columns)
     ])
-    rows, cell = split_hot(rows, ["batch_id"], F.col("_x"))
-    w = Window.partitionBy(*cell).orderBy("_x")
+    tie = F.xxhash64(*[F.col(f"_y{i}") for i in n])
+    rows, cell = split_hot(rows, ["batch_id"], F.col("_x"), tie)
+    order = [F.col("_x"), tie]
+    w = Window.partitionBy(*cell).orderBy(*order)
 
     def strips(df: DataFrame) -> list[Column]:
         width = F.col("_x") - F.col("_px")
@@ -265,8 +280,8 @@ def trapezoid_pairs(readings: DataFrame, x: Column, columns: Sequence[str]) -> D
     if cell != ["batch_id"]:
         ends = chunk_table(rows, cell, [
             F.min("_x").alias("_x0"), F.max("_x").alias("_x1"),
-            *[F.min_by(f"_y{i}", "_x").alias(f"_s{i}") for i in n],
-            *[F.max_by(f"_y{i}", "_x").alias(f"_e{i}") for i in n],
+            *[F.min_by(f"_y{i}", F.struct(*order)).alias(f"_s{i}") for i in n],
+            *[F.max_by(f"_y{i}", F.struct(*order)).alias(f"_e{i}") for i in n],
         ])
         across = Window.partitionBy("batch_id").orderBy("_chunk")
         joints = ends.select(

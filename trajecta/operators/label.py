@@ -20,9 +20,8 @@ __all__ = [
 
 
 def yield_cuts(batches: DataFrame, probs: Sequence[float], name: str = "_cuts") -> DataFrame:
-    """Quantiles of the batch yields.  Ingest rounds a yield to two decimals of
-    a percentage, so its distinct values are few however many batches there are."""
-    return quantiles(batches, [], "yield", probs, name, few_values=True)
+    """Quantiles of the batch yields."""
+    return quantiles(batches, [], "yield", probs, name)
 
 
 def label_quality(batches: DataFrame) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from trajecta.functions.numeric import pearson, tier
 from trajecta.functions.stats import mann_whitney_p
 from trajecta.operators.label import yield_cuts
 from trajecta.operators.scale import average_ranks, lookup, plain, positions, quantiles
+from trajecta.session import cut_lineage
 
 
 def mark_target(prepared: DataFrame, target: DataFrame) -> DataFrame:
@@ -90,8 +89,9 @@ def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> Da
     """90 % bootstrap intervals of P10 and P90 of the target group per feature.
 
     Draws are hashes of (feature, repetition, draw), so that every run of the
-    job gives the same interval.  A group above ``BOOTSTRAP_ROWS`` is not
-    resampled row by row: its order statistics are drawn from their exact law.
+    job gives the same interval.  They are generated in split ranges and only
+    counted: per bin of sorted positions first, then, where a bin holds more
+    than one position, inside the bins that a percentile falls in.
     """
     target = marked.where(F.col("is_target") & F.col("value").isNotNull())
     placed, _ = positions(
@@ -99,35 +99,55 @@ def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> Da
     )
     placed = plain(placed).select("feature", "idx", "value")
     sizes = target.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
+    turns = sizes.where("_n >= 3").withColumn(
+        "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
+    ).withColumn(
+        "_from", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(config.BOOTSTRAP_RANGE).cast("long")))
+    ).repartition("feature", "rep", "_from").withColumn(
+        "draw", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + config.BOOTSTRAP_RANGE, n) - 1)))
+    key = F.concat_ws("|", "feature", F.col("rep").cast("string"), F.col("draw").cast("string"))
+    word = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
+    width = F.ceil(n / config.BOOTSTRAP_BINS)
+    draws = turns.select("feature", "rep", "_n", (word % n).alias("idx"), width.alias("_w"))
+    ranks = F.array(*[
+        F.struct(F.lit(tail).alias("tail"), edge((n - 1) * F.lit(p)).cast("long").alias("r"),
+                 (share if side else 1 - share).alias("weight"))
+        for tail, p in enumerate((0.10, 0.90))
+        for share in [(n - 1) * F.lit(p) - F.floor((n - 1) * F.lit(p))]
+        for side, edge in enumerate((F.floor, F.ceil))])
+
+    def locate(counted: DataFrame, within: list[str], at: str) -> DataFrame:
+        """Rows of ``counted`` that hold a wanted rank; the rank counts from their start on."""
+        run = Window.partitionBy(*within).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return counted.withColumn("_start", F.coalesce(F.sum("_c").over(run), F.lit(0)))
+
+    bins = draws.groupBy("feature", "rep", "_n", "_w", F.floor(F.col("idx") / F.col("_w")).alias("bin")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    held = (F.col("r") >= F.col("_start")) & (F.col("r") < F.col("_start") + F.col("_c"))
+    found = locate(bins, ["feature", "rep"], "bin").withColumn("t", F.explode(ranks)).select(
+        "feature", "rep", "bin", "_c", "_start", "t.*", "_w").where(held).select(
+        "feature", "rep", "bin", "tail", "weight", (F.col("r") - F.col("_start")).alias("r"), "_w")
     biggest = sizes.agg(F.max("_n")).first()[0] or 0
-    if biggest > config.BOOTSTRAP_ROWS:
-        drawn = _order_statistics(sizes.where("_n >= 3"), reps)
-        # reps x four positions per feature
-        values = placed.join(
-            F.broadcast(drawn.select("feature", "idx").distinct()), ["feature", "idx"])
-        tails = drawn.join(values, ["feature", "idx"]).groupBy("feature", "rep").agg(
-            F.sum(F.when(F.col("tail") == 0, F.col("value") * F.col("weight"))).alias("p10"),
-            F.sum(F.when(F.col("tail") == 1, F.col("value") * F.col("weight"))).alias("p90"),
-        )
+    if biggest <= config.BOOTSTRAP_BINS:  # a bin is one position
+        drawn = found.select("feature", "rep", "tail", "weight", F.col("bin").cast("long").alias("idx"))
     else:
-        turns = sizes.where("_n >= 3").withColumn(
-            "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-        ).repartition("feature", "rep").withColumn(
-            "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-        key = F.concat_ws("|", "feature", F.col("rep").cast("string"), F.col("draw").cast("string"))
-        word = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
-        draws = turns.select("feature", "rep", (word % F.col("_n")).alias("idx"))
-        # at most BOOTSTRAP_ROWS draws per (feature, rep)
-        tails = lookup(draws, placed, ["feature", "idx"]).groupBy("feature", "rep").agg(
-            F.percentile("value", F.array(F.lit(0.10), F.lit(0.90))).alias("p")
-        ).select("feature", "rep", F.col("p")[0].alias("p10"), F.col("p")[1].alias("p90"))
+        found = cut_lineage(found, "bootstrap-bins")  # four rows per feature and repetition
+        wanted = found.select("feature", "rep", "bin").distinct()
+        inside = draws.withColumn("bin", F.floor(F.col("idx") / F.col("_w"))).join(
+            wanted, ["feature", "rep", "bin"]).groupBy("feature", "rep", "bin", "idx").agg(F.count(F.lit(1)).alias("_c"))
+        drawn = locate(inside, ["feature", "rep", "bin"], "idx").join(
+            found, ["feature", "rep", "bin"]).where(held).select("feature", "rep", "tail", "weight", "idx")
+    share = F.col("value") * F.col("weight")
+    tails = lookup(drawn, placed, ["feature", "idx"]).groupBy("feature", "rep").agg(
+        F.sum(F.when(F.col("tail") == 0, share)).alias("p10"), F.sum(F.when(F.col("tail") == 1, share)).alias("p90"))
     ci = F.array(F.lit(0.05), F.lit(0.95))
     out = tails.groupBy("feature").agg(
         F.percentile("p10", ci).alias("a"), F.percentile("p90", ci).alias("b"))
     # groups of one or two keep their point values
     few = quantiles(
-        target.join(F.broadcast(sizes.where("_n < 3").select("feature")), "feature", "left_semi"),
-        ["feature"], "value", [0.10, 0.90], "q", few_values=True,
+        lookup(target, sizes.where("_n < 3").select("feature"), ["feature"], "left_semi"),
+        ["feature"], "value", [0.10, 0.90], "q",
     ).select("feature", F.array(F.col("q")[0], F.col("q")[0]).alias("a"),
              F.array(F.col("q")[1], F.col("q")[1]).alias("b"))
     both = out.unionByName(few)
@@ -140,34 +160,6 @@ def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> Da
     )
 
 
-def _order_statistics(sizes: DataFrame, reps: int, seed: int = 42) -> DataFrame:
-    """Sorted-sample positions behind P10 and P90 of a bootstrap sample.
-
-    The k-th smallest of n uniform draws is Beta(k, n + 1 - k), and the next
-    one is again a Beta step above it.
-    """
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        feature, n = pdf["feature"].iloc[0], int(pdf["_n"].iloc[0])
-        rng = np.random.default_rng([seed, *feature.encode()])
-        out = []
-        for tail, p in enumerate((0.10, 0.90)):
-            at = p * (n - 1)
-            k, share = int(at) + 1, at - int(at)
-            u = rng.beta(k, n + 1 - k, reps)
-            nxt = u + (1 - u) * rng.beta(1, max(n - k, 1), reps)
-            for value, weight in ((u, 1 - share), (nxt, share)):
-                out.append(pd.DataFrame({
-                    "feature": feature, "rep": range(reps), "tail": tail,
-                    "idx": np.minimum((value * n).astype("int64"), n - 1), "weight": weight,
-                }))
-        return pd.concat(out)
-
-    return sizes.groupBy("feature").applyInPandas(
-        draw, "feature string, rep int, tail int, idx long, weight double"
-    )
-
-
 def priorities(windows: DataFrame, tests: DataFrame) -> DataFrame:
     """Effect size, raised by half when significant; rank and tier."""
     significant = F.coalesce(F.col("p_value") < 0.05, F.lit(False))

@@ -72,6 +72,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in its own type."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    system, at = folder(spark, path)
+    return system.exists(at)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write the rows to a table in the shared folder and read them back.
 

@@ -12,7 +12,6 @@ variables x grid points per run, so one state per run is small.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,8 +33,8 @@ def cell_stream(
     placed = readings.where(F.col("value").isNotNull()).join(runs, "batch_id").withColumn("_u", u).where(
         (F.col("_u") >= 0) & (F.col("_u") <= points - 1))
     return placed.groupBy("batch_id", "variable", F.floor("_u").cast("int").alias("cell")).agg(
-        F.min("_u").alias("ua"), F.min_by("value", "_u").alias("va"),
-        F.max("_u").alias("ub"), F.max_by("value", "_u").alias("vb"),
+        F.min("_u").alias("ua"), F.min_by("value", F.struct("_u", "value")).alias("va"),
+        F.max("_u").alias("ub"), F.max_by("value", F.struct("_u", "value")).alias("vb"),
     )
 
 
@@ -70,8 +69,19 @@ def steps_of_cells(cells: DataFrame, points: int = config.GRID_POINTS) -> DataFr
 OUTPUT = (
     "batch_id string, time_step int, t2 double, spe double, predicted_yield double, "
     "t2_breach_95 boolean, t2_breach_99 boolean, spe_breach_95 boolean, spe_breach_99 boolean, "
-    "t2_sustained boolean, spe_sustained boolean, late boolean"
+    "t2_sustained boolean, spe_sustained boolean, late boolean, repeated boolean, variable string, value double"
 )
+# closed step, running sums and alarm streaks; then the open cells: step, variable and sums of each
+STATE = (
+    "closed int, total array<double>, streak array<int>, steps array<int>, slots array<int>, sums array<double>"
+)
+
+
+def streaks(breach: np.ndarray, before: int) -> np.ndarray:
+    """Length of the run of breaches that ends at each step."""
+    at = np.arange(1, len(breach) + 1)
+    last_clear = np.maximum.accumulate(np.where(breach, -before, at))
+    return np.where(breach, at - last_clear, 0)
 
 
 def monitor_stream(
@@ -79,20 +89,27 @@ def monitor_stream(
     points: int = config.GRID_POINTS, idle_ms: int | None = None, run: int = 3,
 ) -> DataFrame:
     """One row per completed step of every run: T², SPE, forecast, breaches and
-    the run rule.  A row for a step that is closed already comes out ``late``.
-
-    A step is complete when all variables arrived and the step before is
-    closed.  A finished run keeps only its closed mark.  On a continuous
-    trigger give ``idle_ms``: state then goes after that long without input
-    (such a timer keeps an ``availableNow`` query from ending).
+    the run rule.  A reading for a closed step comes out ``late``, a second one
+    of a variable in an open step ``repeated``, each with its variable and
+    value; neither changes the result.
+
+    A step is complete when every variable has arrived and the step before is
+    closed, in whatever order readings come.  A finished run keeps only its
+    closed mark; give ``idle_ms`` on a continuous trigger, and state goes after
+    that long without input (such a timer keeps an ``availableNow`` query from
+    ending).
     """
-    width = len(list(variables))
+    names = list(variables)
+    width, size = len(names), components + 2
     z = (F.col("value") - F.col("mu")) / F.col("sigma")
     known = terms.select("variable", "step", "mu", "sigma", "loadings", "coef")
-    rows = aligned.join(F.broadcast(known), ["variable", "step"]).select(
-        "batch_id", "step", z.alias("z"), "loadings", "coef")
+    rows = aligned.where(F.col("variable").isin(names) & F.col("value").isNotNull()).join(
+        F.broadcast(known), ["variable", "step"]).select(
+        "batch_id", "variable", "value", F.col("step").cast("int").alias("step"),
+        (F.array_position(F.array(*map(F.lit, names)), F.col("variable")) - 1).cast("int").alias("slot"),
+        z.alias("z"), "loadings", "coef")
     parts = rows.select(
-        "batch_id", F.col("step").cast("int").alias("step"),
+        "batch_id", "variable", "value", "step", "slot",
         F.concat(
             F.array(F.col("z") * F.col("z"), F.col("z") * F.col("coef")),
             F.transform("loadings", lambda p: p * F.col("z")),
@@ -102,51 +119,72 @@ def monitor_stream(
     eigen = np.array(m["eigenvalues"][:components])
     limits = (m["t2_95"], m["t2_99"], m["spe_95"], m["spe_99"])
     base = float(m["intercept"]) if "intercept" in m else 0.0
+    columns = [c.split()[0] for c in OUTPUT.split(", ")]
+    flags = [c.split()[0] for c in OUTPUT.split(", ") if c.endswith("boolean")]
+
+    def aside(key, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({
+            "batch_id": key[0], "time_step": rows["step"] + 1, "late": late, "repeated": not late,
+            "variable": rows["variable"], "value": rows["value"]})
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if idle_ms and state.hasTimedOut:
             state.remove()
             return
         if state.exists:
-            (blob,) = state.get
-            held = json.loads(blob)
+            closed, total, streak, steps, slots, sums = state.get
         else:
-            held = {"closed": -1, "sums": [0.0] * (components + 2), "streak": [0, 0], "open": {}}
-        total, open_steps = np.array(held["sums"]), held["open"]
+            closed, total, streak, steps, slots, sums = -1, [0.0] * size, [0, 0], [], [], []
+        new = pd.concat(list(frames), ignore_index=True)
         out = []
-        for frame in frames:
-            for step, sums in zip(frame["step"], frame["sums"]):
-                if step <= held["closed"]:
-                    out.append((key[0], int(step) + 1, *[None] * 9, True))
-                    continue
-                seen = open_steps.setdefault(str(int(step)), [0, [0.0] * (components + 2)])
-                seen[0] += 1
-                seen[1] = [a + b for a, b in zip(seen[1], sums)]
-        while (nxt := open_steps.get(str(held["closed"] + 1))) and nxt[0] == width:
-            held["closed"] += 1
-            total = total + np.array(open_steps.pop(str(held["closed"]))[1])
-            scores = total[2:]
-            t2 = float((scores ** 2 / eigen).sum())
-            spe = float(total[0] - (scores ** 2).sum())
-            breach = (t2 > limits[0], t2 > limits[1], spe > limits[2], spe > limits[3])
-            held["streak"] = [
-                held["streak"][0] + 1 if breach[0] else 0, held["streak"][1] + 1 if breach[2] else 0]
-            out.append((
-                key[0], held["closed"] + 1, t2, spe, base + float(total[1]),
-                *[bool(b) for b in breach], *[s >= run for s in held["streak"]], False))
-        held["sums"] = total.tolist()
-        if held["closed"] == points - 1 and not open_steps:
-            # keep the closed mark, so that a repeated row still counts as late
-            held["sums"] = []
-        state.update((json.dumps(held),))
+        late = new["step"] <= closed
+        if late.any():
+            out.append(aside(key, new[late], True))
+            new = new[~late]
+        cell = np.concatenate([np.array(steps, np.int64) * width + np.array(slots, np.int64),
+                               new["step"].to_numpy(np.int64) * width + new["slot"].to_numpy(np.int64)])
+        held = np.array(sums, float).reshape(-1, size)
+        arrived = np.stack(new["sums"].to_list()) if len(new) else np.zeros((0, size))
+        values = np.concatenate([held, arrived])
+        cell, first = np.unique(cell, return_index=True)  # the first arrival of a cell counts
+        again = np.setdiff1d(np.arange(len(held), len(values)), first) - len(held)
+        if len(again):
+            out.append(aside(key, new.iloc[again], False))
+        values = values[first]
+        # whole steps that follow the closed one
+        counts = np.bincount(cell // width - closed - 1, minlength=1)
+        ready = int(np.argmax(np.append(counts, 0) != width))
+        if ready:
+            use = ready * width
+            step_sums = values[:use].reshape(ready, width, size).sum(axis=1)
+            running = np.array(total) + np.cumsum(step_sums, axis=0)
+            scores = running[:, 2:]
+            t2 = (scores ** 2 / eigen).sum(axis=1)
+            spe = running[:, 0] - (scores ** 2).sum(axis=1)
+            rows = pd.DataFrame({
+                "batch_id": key[0], "time_step": closed + 2 + np.arange(ready), "t2": t2, "spe": spe,
+                "predicted_yield": base + running[:, 1], "t2_breach_95": t2 > limits[0],
+                "t2_breach_99": t2 > limits[1], "spe_breach_95": spe > limits[2], "spe_breach_99": spe > limits[3],
+                "late": False, "repeated": False})
+            lengths = [streaks(rows[c].to_numpy(), b) for c, b in zip(("t2_breach_95", "spe_breach_95"), streak)]
+            rows["t2_sustained"], rows["spe_sustained"] = (n >= run for n in lengths)
+            streak = [int(n[-1]) for n in lengths]
+            total = running[-1].tolist()
+            closed += ready
+            cell, values = cell[use:], values[use:]
+            out.append(rows)
+        if closed == points - 1:  # the closed mark tells late readings
+            total, streak = [], []
+        state.update((closed, total, streak, (cell // width).tolist(), (cell % width).tolist(),
+                      values.ravel().tolist()))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({
-                c: "boolean" for c in (
-                    "t2_breach_95", "t2_breach_99", "spe_breach_95", "spe_breach_99",
-                    "t2_sustained", "spe_sustained", "late")})
+            rows = pd.concat([o.reindex(columns=columns) for o in out], ignore_index=True)
+            yield rows.astype({c: "boolean" for c in flags} | {
+                "batch_id": "object", "variable": "object", "time_step": "int32"} | {
+                c: "float64" for c in ("t2", "spe", "predicted_yield", "value")})
 
     return parts.groupBy("batch_id").applyInPandasWithState(
-        advance, OUTPUT, "held string", "append",
+        advance, OUTPUT, STATE, "append",
         GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from trajecta.session import scratch_path
+from trajecta.session import cut_lineage, folder_exists, scratch_path
 
 
 def reading_stream(
@@ -55,18 +55,29 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def upsert(stream: DataFrame, path: str, state: str, mode: str = "update") -> StreamingQuery:
-    """Start a sink that writes each micro-batch as one version.
+UPSERT_PARTS = 16
 
-    Replaying a micro-batch replaces its own version, so a restart leaves the
-    same rows; :func:`latest` keeps the newest version of every key.
+
+def upsert(stream: DataFrame, path: str, state: str, keys: Sequence[str], mode: str = "update") -> StreamingQuery:
+    """Start a sink that keeps one row per key.
+
+    Rows lie in partitions by a hash of the key.  A micro-batch reads the
+    partitions it touches, replaces its keys and overwrites those partitions;
+    replaying it writes the same rows again.
     """
+    keys = list(keys)
 
     def write(rows: DataFrame, epoch: int) -> None:
-        (
-            rows.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(path)
-        )
+        spark = rows.sparkSession
+        part = F.pmod(F.xxhash64(*keys), F.lit(UPSERT_PARTS)).cast("int")
+        fresh = cut_lineage(rows.withColumn("_part", part), "upsert-rows")
+        kept = fresh
+        if folder_exists(spark, path):
+            touched = [r[0] for r in fresh.select("_part").distinct().collect()]  # UPSERT_PARTS at most
+            old = spark.read.schema(fresh.schema).parquet(path).where(F.col("_part").isin(touched))
+            kept = old.join(fresh.select(*keys), keys, "left_anti").select(*fresh.columns).union(fresh)
+        cut_lineage(kept, "upsert-merged").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
 
     return (
         stream.writeStream.foreachBatch(write).outputMode(mode)
@@ -74,18 +85,24 @@ def upsert(stream: DataFrame, path: str, state: str, mode: str = "update") -> St
     )
 
 
-def latest(spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType) -> DataFrame:
-    """Newest version of every key of an upserted table."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_epoch", T.LongType())])).parquet(path)
-    rest = [f.name for f in schema.fields if f.name not in keys]
-    return rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), "_epoch").alias("_v")
-    ).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+def upsert_now(stream: DataFrame, name: str, keys: Sequence[str], mode: str = "update") -> DataFrame:
+    """Upsert what is there now and read the table."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+    upsert(stream, path, scratch_path(spark, f"{name}-state"), keys, mode).awaitTermination()
+    columns = [f.name for f in stream.schema.fields]
+    schema = T.StructType([*stream.schema.fields, T.StructField("_part", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path).select(*columns)
 
 
-def upsert_now(stream: DataFrame, name: str, keys: Sequence[str], mode: str = "update") -> DataFrame:
-    """Upsert what is there now and read the newest versions."""
+def complete_now(stream: DataFrame, name: str) -> DataFrame:
+    """The whole result of what is there now, open windows and sessions included."""
     spark = stream.sparkSession
     path = scratch_path(spark, name)
-    upsert(stream, path, scratch_path(spark, f"{name}-state"), mode).awaitTermination()
-    return latest(spark, path, keys, stream.schema)
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option(
+        "checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
