@@ -515,10 +515,13 @@ def unfolded_cells(spark, sf_dir):
 
 
 @entry("unfolded_rows", twin("""
-  SELECT batch_id, list(round(value, 5) ORDER BY list_position(['quantity', 'price', 'discount', 'tax'], variable), step) AS x
+  SELECT batch_id, list(CASE WHEN round(value, 5) = 0 THEN 0.0 ELSE round(value, 5) END
+    ORDER BY list_position(['quantity', 'price', 'discount', 'tax'], variable), step) AS x
   FROM aligned GROUP BY batch_id""", "aligned"))
 def unfolded_rows(spark, sf_dir):
-    return al.unfold(rounded(fx.aligned(spark, sf_dir), 5, "value"), fx.VARIABLES)
+    value = F.round("value", 5)  # one zero, not two
+    return al.unfold(fx.aligned(spark, sf_dir).withColumn(
+        "value", F.when(value == 0, F.lit(0.0)).otherwise(value)), fx.VARIABLES)
 
 
 cte("phase_stats", ("aligned", "phases"), """

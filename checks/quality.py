@@ -39,7 +39,7 @@ def confidence_tiers(spark, sf_dir):
   WHERE confidence = 'Low' ORDER BY gap_summary.max_missing_rate DESC, batch_id LIMIT 8""", "gap_summary"))
 def least_certain_batches(spark, sf_dir):
     summary = im.missing_summary(fx.gappy_readings(spark, sf_dir), fx.VARIABLES)
-    return rounded(im.least_certain(summary), 6, "max_missing_rate")
+    return rounded(im.least_certain(summary, first=8), 6, "max_missing_rate")
 
 
 @entry("global_medians", twin("""
@@ -65,8 +65,7 @@ def imputation_methods(spark, sf_dir):
 
 
 @entry("imputation_method_counts", twin("""
-  SELECT method, count(*) AS n_series FROM sparse_methods GROUP BY method
-  ORDER BY n_series DESC, method LIMIT 4""", "sparse_methods"))
+  SELECT method, count(*) AS n_series FROM sparse_methods GROUP BY method""", "sparse_methods"))
 def imputation_method_counts(spark, sf_dir):
     return im.method_counts(im.methods(fx.sparse_readings(spark, sf_dir), fx.KINDS))
 
@@ -219,10 +218,7 @@ def outlier_batches(spark, sf_dir):
 
 
 @entry("outlier_summary", twin("""
-  SELECT lo AS n_low, hi AS n_high, pr AS n_process, CASE WHEN lo + hi + pr = 0 THEN 'No outliers detected.'
-    ELSE concat_ws('; ', CASE WHEN lo > 0 THEN lo || ' very-low-yield batch(es)' END,
-      CASE WHEN hi > 0 THEN hi || ' unusually-high-yield batch(es)' END,
-      CASE WHEN pr > 0 THEN pr || ' process outlier(s)' END) END AS summary
+  SELECT lo AS n_low, hi AS n_high, pr AS n_process, lo + hi + pr > 0 AS any_outlier
   FROM (SELECT count(*) FILTER (yield < q1 - 2.5 * (q3 - q1)) AS lo,
       count(*) FILTER (yield > q3 + 2.5 * (q3 - q1)) AS hi
     FROM event_batches, (SELECT quantile_cont(yield, 0.25) AS q1, quantile_cont(yield, 0.75) AS q3
@@ -235,19 +231,3 @@ def outlier_batches(spark, sf_dir):
 def outlier_summary(spark, sf_dir):
     found = ft.rich_features(fx.event_readings(spark, sf_dir), ["value"])
     return ft.outlier_counts(fx.event_batches(spark, sf_dir), found)
-
-
-@entry("quality_score", twin("""
-  SELECT batch_id, round(t, 5) AS temperature_score, round(a, 5) AS acidity_score,
-    round(o, 5) AS oxygen_score, round(g, 5) AS agitation_score,
-    round(least(greatest(60 + 18 * t + 12 * a + 6 * o + 2 * g, 45), 98), 5) AS score
-  FROM (SELECT batch_id,
-      greatest(0, 1 - abs(avg(quantity) - 25.5) * 0.8 - stddev_samp(quantity) * 0.55) AS t,
-      greatest(0, 1 - abs(avg(discount) - 0.05) * 5 - stddev_samp(discount) * 4) AS a,
-      greatest(0, (least(min(quantity), 45) - 5) / 40) AS o,
-      greatest(0, 1 - abs(avg(price) - 52000) / 100) AS g
-    FROM readings GROUP BY batch_id)""", "readings"))
-def quality_score(spark, sf_dir):
-    out = ft.quality_score(fx.readings(spark, sf_dir), "quantity", "discount", "quantity", "price",
-                           targets=(25.5, 0.05, 52000.0))
-    return rounded(out, 5, *[c for c in out.columns if c != "batch_id"])

@@ -31,8 +31,7 @@ cte("marked", ("prepared", "target"), """
 @entry("training_choice", twin("""
   SELECT CASE WHEN n0 >= 3 THEN n0 WHEN n1 >= 3 THEN n1 WHEN n2 >= 3 THEN n2 ELSE n END::BIGINT AS n_good,
     CASE WHEN n0 >= 3 THEN c0 WHEN n1 >= 3 THEN c1 WHEN n2 >= 3 THEN c2 ELSE lo END AS threshold_used,
-    CASE WHEN n0 >= 3 THEN '75th percentile' WHEN n1 >= 3 THEN '60th percentile'
-      WHEN n2 >= 3 THEN 'median' ELSE 'all batches (fallback)' END AS threshold_label
+    CASE WHEN n0 >= 3 THEN 'p75' WHEN n1 >= 3 THEN 'p60' WHEN n2 >= 3 THEN 'p50' ELSE 'all' END AS rung
   FROM (SELECT c0, c1, c2, count(yield) AS n, min(yield) AS lo, sum((yield >= c0)::INT) AS n0,
       sum((yield >= c1)::INT) AS n1, sum((yield >= c2)::INT) AS n2
     FROM batches, (SELECT quantile_cont(yield, 0.75) AS c0, quantile_cont(yield, 0.6) AS c1,
@@ -153,10 +152,10 @@ def temperature_variables(spark, sf_dir):
 
 
 @entry("build_flags", twin("""
-  SELECT golden_pct_used, n_good, threshold_label, golden_pct_used < 0.75 AS golden_degraded,
-    threshold_label <> '75th percentile' AS few_training_batches,
+  SELECT golden_pct_used, n_good, rung, golden_pct_used < 0.75 AS golden_degraded,
+    rung <> 'p75' AS few_training_batches,
     CAST(100 - floor(golden_pct_used * 100) AS INTEGER) AS top_pct
-  FROM golden_choice, (SELECT count(*) AS n_good, '75th percentile' AS threshold_label FROM batches
+  FROM golden_choice, (SELECT count(*) AS n_good, 'p75' AS rung FROM batches
     WHERE yield >= (SELECT quantile_cont(yield, 0.75) FROM batches))""", "golden_choice"))
 def build_flags(spark, sf_dir):
     runs = fx.batches(spark, sf_dir)
@@ -225,19 +224,37 @@ def correlations(spark, sf_dir):
     WHEN c.combined > 0.4 THEN 'moderate' ELSE 'weak' END AS strength
   FROM correlation c ORDER BY c.combined DESC, feature LIMIT 3""", "correlation"))
 def strongest_features(spark, sf_dir):
-    top = asn.strongest(asn.correlations(prepared(spark, sf_dir), with_p=False))
+    top = asn.strongest(asn.correlations(prepared(spark, sf_dir), with_p=False), first=3)
     return top.select("feature", F.round("combined", 6).alias("combined"), "strength")
 
 
 @entry("trend_lines", twin("""
   SELECT feature, count(*) AS n, round(corr(value, yield), 6) AS r,
-    round(regr_slope(yield, value), 5) AS slope, round(regr_intercept(yield, value), 5) AS intercept
-  FROM prepared WHERE feature IN (SELECT feature FROM correlation ORDER BY combined DESC, feature LIMIT 3)
-  GROUP BY feature""", "correlation"))
+    round(regr_slope(yield, value), 5) AS slope, round(regr_intercept(yield, value), 5) AS intercept,
+    round(any_value(p_value), 6) AS p_value
+  FROM prepared JOIN correlation_p USING (feature)
+  WHERE feature IN (SELECT feature FROM correlation ORDER BY combined DESC, feature LIMIT 3)
+  GROUP BY feature""", "correlation", "correlation_p"))
 def trend_lines(spark, sf_dir):
     rows = prepared(spark, sf_dir)
-    top = asn.strongest(asn.correlations(rows, with_p=False))
-    return rounded(rounded(asn.trend_lines(rows, top), 6, "r"), 5, "slope", "intercept")
+    top = asn.strongest(asn.correlations(rows, with_p=False), first=3)
+    return rounded(rounded(asn.trend_lines(rows, top), 6, "r", "p_value"), 5, "slope", "intercept")
+
+
+@entry("significant_features", twin("""
+  SELECT count(p_value) AS n_features, count(*) FILTER (p_value < 0.05) AS n_significant FROM correlation_p""",
+                                    "correlation_p"))
+def significant_features(spark, sf_dir):
+    return asn.significant(asn.correlations(prepared(spark, sf_dir)))
+
+
+@entry("ranking_guard", twin("""
+  SELECT count(*) AS n_batches, count(yield) AS n_with_yield,
+    (SELECT count(DISTINCT feature) FROM features WHERE value IS NOT NULL) AS n_features,
+    count(*) >= 5 AND count(yield) >= 5 AS enough
+  FROM batches WHERE batch_id IN (SELECT batch_id FROM features)""", "features", "batches"))
+def ranking_guard(spark, sf_dir):
+    return lb.ranking_guard(fx.features(spark, sf_dir), fx.batches(spark, sf_dir))
 
 
 @fx.stage
@@ -260,9 +277,15 @@ def boosted_importance(spark, sf_dir):
     return rounded(boosted(spark, sf_dir), 6, "importance")
 
 
-@entry("tree_score")
+@entry("tree_score", twin("""
+  SELECT feature, round((a / sum(a) OVER () + b / sum(b) OVER ()) / 2, 6) AS score FROM (
+    SELECT feature, abs(corr(value, yield)) AS a, stddev_pop(value) / (abs(avg(value)) + 1) AS b
+    FROM prepared GROUP BY feature)""", "prepared"))
 def tree_score(spark, sf_dir):
-    return rounded(asn.tree_score(forest(spark, sf_dir), boosted(spark, sf_dir)), 6, "score")
+    """Over importances that plain SQL can give; the fitted ones are in ``fitted_ranking``."""
+    rows = prepared(spark, sf_dir).groupBy("feature")
+    first, second = (rows.agg(METHODS[m]().alias("importance")) for m in ("corr", "tree"))
+    return rounded(asn.tree_score(first, second), 6, "score")
 
 
 @entry("component_importance")
@@ -501,15 +524,14 @@ def yield_correlation(spark, sf_dir):
 
 
 @entry("action_plan", twin("""
-  SELECT feature, rank, tier, CASE WHEN abs(round(delta_sigma, 2)) < 0.1
-      THEN 'Maintain ' || feature || ' at current level.'
-      ELSE printf('%s %s [%s] from current avg %.3f to target %.3f (range: %.3f - %.3f).',
-        CASE WHEN delta > 0 THEN 'Increase' ELSE 'Decrease' END, feature, stat_type, round(current_avg, 3),
-        round(target_median, 3), round(rec_min, 3), round(rec_max, 3)) END AS action
+  SELECT feature, rank, tier, CASE WHEN abs(round(delta_sigma, 2)) < 0.1 THEN 'hold'
+      WHEN delta > 0 THEN 'raise' ELSE 'lower' END AS action,
+    CASE WHEN abs(round(delta_sigma, 2)) >= 0.1 THEN printf('%s (%s): %.3f -> %.3f, window %.3f to %.3f',
+      feature, stat_type, round(current_avg, 3), round(target_median, 3), round(rec_min, 3), round(rec_max, 3)) END AS change
   FROM plan""", "plan"))
 def action_plan(spark, sf_dir):
     named = lb.with_labels(plan(spark, sf_dir), lb.dimension(spark), "feature")
-    return rc.action_text(named).select("feature", "rank", "tier", "action")
+    return rc.action_text(named).select("feature", "rank", "tier", "action", "change")
 
 
 @entry("top_actions", twin("""
@@ -519,7 +541,7 @@ def action_plan(spark, sf_dir):
   UNION ALL SELECT 'shifted', feature, rank FROM plan WHERE abs(round(delta_sigma, 2)) > 0.05""", "plan"))
 def top_actions(spark, sf_dir):
     items = plan(spark, sf_dir)
-    lists = {"priority": rc.top_actions(items), "significant": rc.top_significant(items),
+    lists = {"priority": rc.top_actions(items, 5), "significant": rc.top_significant(items, 5),
              "shifted": rc.shifted(items)}
     parts = [t.select(F.lit(k).alias("list"), "feature", "rank") for k, t in lists.items()]
     return parts[0].union(parts[1]).union(parts[2])

@@ -11,7 +11,8 @@ from trajecta.functions.numeric import rounded
 from trajecta.operators import association as asn
 from trajecta.operators import profile as pf
 from trajecta.session import scratch_path
-from trajecta.sources.store import ResultStore, audit_rows, write_recipe
+from trajecta.sources import ingest
+from trajecta.sources.store import ResultStore, RunHeader, audit_rows, write_recipe
 
 
 def _store(spark) -> ResultStore:
@@ -102,21 +103,59 @@ def run_history(spark, sf_dir):
     counts = _by_nation(spark, sf_dir).groupBy("run_id").agg(
         F.count(F.lit(1)).cast("int").alias("n_batches"))
     store.save_runs(_headers(counts))
-    return store.runs()
+    return store.runs(first=10, width=30)  # a top-k report
 
 
-@entry("run_header")
+@entry("run_header", twin("""
+  SELECT 0::BIGINT AS run_id, 'lineitem.parquet' AS filename, CAST((SELECT count(*) FROM batches) AS INTEGER) AS n_batches,
+    4 AS n_cpps, 'quantity,price,discount,tax' AS variables, (SELECT max(yield) FROM batches) AS best_yield,
+    action, 'success' AS status, CASE action WHEN 'pipeline_built' THEN (SELECT count(*) FROM batches)
+      ELSE (SELECT count(*) FROM batches) END::BIGINT AS counted
+  FROM (VALUES ('pipeline_built'), ('batches_saved')) AS t(action)""", "batches"))
 def run_header(spark, sf_dir):
-    """Header and audit row of one analysed data set."""
+    """Header of run 0 and the audit rows of building and saving it."""
     store = _store(spark)
     runs = fx.batches(spark, sf_dir)
-    run_id = store.save_run(
-        filename="lineitem.parquet", data_format="long", n_batches=runs.count(),
-        n_cpps=len(fx.VARIABLES), has_yield=True, cpp_vars=fx.VARIABLES,
-        pipeline_meta={"golden_pct_used": 0.75})
+    best = runs.agg(F.max("yield")).first()[0]
+    run_id = store.save_run(RunHeader(
+        filename="lineitem.parquet", data_format="long", n_batches=runs.count(), n_cpps=len(fx.VARIABLES),
+        has_yield=True, cpp_vars=fx.VARIABLES, facts={"best_yield": best}), run_id=0)
+    store.save_batches(runs, run_id)
     heads = store.run(run_id).select(
-        "run_id", "filename", "n_batches", "n_cpps", "cpp_vars", "pipeline_meta")
-    return heads.join(store.audit_log(run_id).select("run_id", "action", "status"), "run_id")
+        "run_id", "filename", "n_batches", "n_cpps", F.concat_ws(",", "cpp_vars").alias("variables"),
+        F.get_json_object("pipeline_meta", "$.best_yield").cast("double").alias("best_yield"))
+    counted = F.coalesce(F.get_json_object("detail", "$.rows"), F.get_json_object("detail", "$.batches"))
+    return heads.join(store.audit_log(run_id).select(
+        "run_id", "action", "status", counted.cast("long").alias("counted")), "run_id")
+
+
+@entry("replaced_rows", twin("""
+  SELECT run_id, batch_id FROM owned WHERE run_id = 7
+  UNION ALL SELECT run_id, batch_id FROM owned WHERE run_id > 8""", "owned"))
+def replaced_rows(spark, sf_dir):
+    """An empty save empties a run; a deleted run that is saved again is back."""
+    store = _store(spark)
+    rows = _by_nation(spark, sf_dir).where("run_id >= 7")
+    store.save_runs(_headers(rows.groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("n_batches"))))
+    store.save_batches(rows)
+    store.save_batches(rows.where("run_id = 8").limit(0), 8)
+    store.delete_run(7)
+    store.save_batches(rows.where("run_id = 7"), 7)
+    return store.read("batches").select("run_id", "batch_id")
+
+
+@entry("unchanged_input", """
+  SELECT 1::BIGINT AS run_of_same, NULL::BIGINT AS run_of_other, (SELECT count(*) FROM events) AS n_rows""")
+def unchanged_input(spark, sf_dir):
+    """The fingerprint finds the run of the same input in another row order, and no other."""
+    store = _store(spark)
+    rows = fx.event_readings(spark, sf_dir)
+    first = ingest.fingerprint_text({"readings": rows})
+    store.save_run(RunHeader("events", "long", 1, 1, facts={"fingerprint": first}))
+    same = store.run_of(ingest.fingerprint_text({"readings": rows.orderBy(F.desc("value"))}))
+    other = store.run_of(ingest.fingerprint_text({"readings": rows.withColumn("value", F.col("value") + 1)}))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(same).cast("long").alias("run_of_same"), F.lit(other).cast("long").alias("run_of_other"), "n_rows")
 
 
 @entry("saved_rankings", twin("""

@@ -20,8 +20,7 @@ def test_analysis_end_to_end(spark, sf_dir, tmp_path):
     ranking = analysis.rank_parameters(found.basic, batches, boosted=False)
     assert sorted(r["rank"] for r in ranking.collect()) == list(range(1, 9))
     store = ResultStore(spark, str(tmp_path / "results"))
-    run_id = analysis.save(store, found, ranking, filename="x.csv", data_format="long",
-                           variables=fx.VARIABLES)
+    run_id = analysis.save(store, found, ranking, filename="x.csv", data_format="long")
     assert store.batches(run_id).count() == n
     assert store.rankings(run_id).count() == len(fx.VARIABLES)
     assert store.profile(run_id).first()["n_golden"] >= 3

@@ -14,7 +14,7 @@ from trajecta.operators import linear_models as lm
 from trajecta.operators import monitor as mo
 from trajecta.operators import profile as pf
 from trajecta.sources import detect, ingest
-from trajecta.sources.store import ResultStore
+from trajecta.sources.store import ResultStore, RunHeader
 
 
 def batches(spark, yields):
@@ -46,9 +46,9 @@ def test_golden_ladder(spark):
     assert pick(range(5))["golden_pct_used"] == 0.50
     assert pick(range(4))["golden_pct_used"] is None
     got = lb.choose_training(batches(spark, range(12)), target=10.5).first()
-    assert (got["n_good"], got["threshold_label"]) == (3, "75th percentile")
+    assert (got["n_good"], got["rung"]) == (3, "p75")
     got = lb.choose_training(batches(spark, range(12)), target=5).first()
-    assert got["threshold_label"] == "user target (5.0%)"
+    assert got["rung"] == "target"
 
 
 def test_alignment_edges(spark):
@@ -245,7 +245,7 @@ def test_fingerprint_sees_changed_readings(spark):
 def test_store_cleans_and_replaces(spark, tmp_path):
     store = ResultStore(spark, str(tmp_path / "results"))
     rows = lb.label_quality(batches(spark, [1, 2, 3, None]))
-    first, second = (store.save_run(filename=f, data_format="long", n_batches=4, n_cpps=1) for f in "ab")
+    first, second = (store.save_run(RunHeader(f, "long", 4, 1)) for f in "ab")
     assert (first, second) == (1, 2)
     for run in (1, 2, 2):
         store.save_batches(rows, run)
@@ -253,5 +253,10 @@ def test_store_cleans_and_replaces(spark, tmp_path):
     assert store.batches(2).where("yield_value IS NULL").count() == 1
     assert store.delete_run(1) and not store.delete_run(1)
     assert store.batches(1).count() == 0 and store.batches(2).count() == 4
-    assert store.audit_log().where("run_id IS NULL").count() == 2
+    assert store.audit_log().where("run_id IS NULL").count() == 3  # built, saved, deleted
+    store.save_batches(rows.limit(0), 2)
+    assert store.batches(2).count() == 0
+    store.save_batches(rows, 1)
+    assert store.batches(1).count() == 4
+    assert store.save_run(RunHeader("c", "long", 4, 1), run_id=0) == 0 and store.delete_run(0)
     assert [r["run_id"] for r in store.runs().collect()] == [2]

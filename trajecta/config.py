@@ -8,7 +8,7 @@ GRID_POINTS = 100
 GOLDEN_PERCENTILE = 0.75
 GOOD_PERCENTILE = 0.50
 GOLDEN_LADDER = (0.75, 0.67, 0.60, 0.50)
-TRAINING_LADDER = ((0.75, "75th percentile"), (0.60, "60th percentile"), (0.50, "median"))
+TRAINING_LADDER = ((0.75, "p75"), (0.60, "p60"), (0.50, "p50"))
 K_SIGMA = 2.0
 BAND_ALPHA = 0.05
 OUTLIER_IQR = 2.5

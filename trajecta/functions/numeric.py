@@ -47,3 +47,8 @@ def to_long(
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Round the named columns, the output edge of a report."""
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+def first_rows(ordered: DataFrame, first: int | None) -> DataFrame:
+    """An ordered report: all of it, or its head if the caller asks for one."""
+    return ordered if first is None else ordered.limit(first)

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajecta.functions.numeric import finite, pearson
+from trajecta.functions.numeric import finite, first_rows, pearson
 from trajecta.functions.stats import correlation_p
 from trajecta.operators.linear_models import FeatureMatrix, vector_frame
 from trajecta.operators.scale import average_ranks, lookup
@@ -47,17 +47,17 @@ def strength(score: Column) -> Column:
     return F.when(score > 0.7, "strong").when(score > 0.4, "moderate").otherwise("weak")
 
 
-def strongest(scores: DataFrame, first: int = 3) -> DataFrame:
-    """The features with the highest combined score (a top-k report)."""
-    return scores.orderBy(F.desc_nulls_last("combined"), "feature").limit(first).withColumn(
+def strongest(scores: DataFrame, first: int | None = None) -> DataFrame:
+    """The features by combined score, or the ``first`` of them."""
+    return first_rows(scores.orderBy(F.desc_nulls_last("combined"), "feature"), first).withColumn(
         "strength", strength(F.col("combined"))
     )
 
 
 def trend_lines(prepared: DataFrame, top: DataFrame) -> DataFrame:
-    """Least-squares line and r of every top feature."""
+    """Least-squares line, r and its p-value of every top feature."""
     x, y = F.col("value"), F.col("yield")
-    return prepared.join(F.broadcast(top.select("feature")), "feature", "left_semi").groupBy(
+    lines = lookup(prepared, top.select("feature"), ["feature"], "left_semi").groupBy(
         "feature"
     ).agg(
         F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n"),
@@ -65,9 +65,16 @@ def trend_lines(prepared: DataFrame, top: DataFrame) -> DataFrame:
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
     )
+    return lines.withColumn("p_value", correlation_p(F.col("r"), F.col("n").cast("double")))
 
 
-ROWS_PER_TREE_TASK = 20_000
+def significant(scores: DataFrame, level: float = 0.05) -> DataFrame:
+    """One row: features tested, and those with a p-value under ``level``."""
+    return scores.agg(F.count("p_value").alias("n_features"),
+                      F.count(F.when(F.col("p_value") < level, 1)).alias("n_significant"))
+
+
+TREE_PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -90,9 +97,10 @@ def tree_sizes(n: int, p: int) -> TreeSizes:
 
 
 def _importances(matrix: FeatureMatrix, estimator) -> DataFrame:
-    # one row per batch: few batches need no more than a task or two per pass
-    data = matrix.rows.select(array_to_vector("x").alias("features"), F.col("y").alias("label"))
-    data = data.coalesce(1 + matrix.n // ROWS_PER_TREE_TASK).persist()
+    # the same rows in the same parts whatever the number of batches or cores: sampling
+    # draws by part.  Adaptive coalescing would change the parts with the size.
+    data = matrix.rows.select("batch_id", array_to_vector("x").alias("features"), F.col("y").alias("label"))
+    data = data.repartition(TREE_PARTS, "batch_id").sortWithinPartitions("batch_id").drop("batch_id").persist()
     found = estimator.fit(data).featureImportances.toArray()
     data.unpersist()
     return vector_frame(matrix.rows.sparkSession, matrix.names, importance=found)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta import config
-from trajecta.functions.numeric import as_number, to_long
+from trajecta.functions.numeric import as_number, first_rows, to_long
 from trajecta.functions.spline import second_derivatives
 from trajecta.operators.scale import chunk_table, lookup, plain, positions, quantiles
 from trajecta.session import cut_lineage
@@ -56,12 +56,11 @@ def confidence_counts(summary: DataFrame) -> DataFrame:
     return summary.groupBy("confidence").agg(F.count(F.lit(1)).alias("n_batches"))
 
 
-def least_certain(summary: DataFrame, first: int = 8) -> DataFrame:
-    """The Low-confidence batches with the most gaps (a top-k report)."""
-    return (
+def least_certain(summary: DataFrame, first: int | None = None) -> DataFrame:
+    """The Low-confidence batches, those with the most gaps first."""
+    return first_rows(
         summary.where(F.col("confidence") == "Low")
-        .orderBy(F.desc("max_missing_rate"), "batch_id").limit(first)
-        .select("batch_id", "max_missing_rate")
+        .orderBy(F.desc("max_missing_rate"), "batch_id").select("batch_id", "max_missing_rate"), first
     )
 
 
@@ -109,11 +108,11 @@ def methods(readings: DataFrame, variables: Sequence[str]) -> DataFrame:
     )
 
 
-def method_counts(found: DataFrame, first: int = 4) -> DataFrame:
-    """Series per method, most frequent first (a top-k report)."""
-    return (
+def method_counts(found: DataFrame, first: int | None = None) -> DataFrame:
+    """Series per method, most frequent first."""
+    return first_rows(
         found.groupBy("method").agg(F.count(F.lit(1)).alias("n_series"))
-        .orderBy(F.desc("n_series"), "method").limit(first)
+        .orderBy(F.desc("n_series"), "method"), first
     )
 
 

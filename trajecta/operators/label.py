@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta import config
-from trajecta.functions.numeric import pearson
+from trajecta.functions.numeric import first_rows, pearson
 from trajecta.operators.scale import lookup, quantiles
 from trajecta.session import cut_lineage
 
@@ -29,7 +29,6 @@ def label_quality(batches: DataFrame) -> DataFrame:
 
     Labels need every yield and at least four batches.
     """
-    batches = cut_lineage(batches, "batches")  # one row per batch, read three times
     cuts = yield_cuts(batches, [config.GOLDEN_PERCENTILE, config.GOOD_PERCENTILE])
     totals = batches.agg(
         F.count(F.lit(1)).alias("_n"), F.count("yield").alias("_known")
@@ -100,7 +99,8 @@ def ladder(marked: DataFrame) -> DataFrame:
 
 
 def choose_training(batches: DataFrame, target: float | None = None) -> DataFrame:
-    """One row ``(n_good, threshold_used, threshold_label)`` for the monitor fit."""
+    """One row ``(n_good, threshold_used, rung)`` for the monitor fit; ``rung`` is
+    ``target``, the ladder's code, or ``all``."""
     probs = [p for p, _ in config.TRAINING_LADDER]
     rungs = _rungs(batches.select("yield"), probs, F.lit(True))
     low = batches.agg(F.min("yield").alias("_min"), F.count("yield").alias("_all"),
@@ -111,7 +111,7 @@ def choose_training(batches: DataFrame, target: float | None = None) -> DataFram
         enough = F.col("_user") >= 3
         n = n.when(enough, F.col("_user"))
         cut = cut.when(enough, F.lit(float(target)))
-        label = label.when(enough, F.lit(f"user target ({target:.1f}%)"))
+        label = label.when(enough, F.lit("target"))
     for i, (_, text) in enumerate(config.TRAINING_LADDER):
         enough = F.col(f"n{i}") >= 3
         n = n.when(enough, F.col(f"n{i}"))
@@ -120,7 +120,7 @@ def choose_training(batches: DataFrame, target: float | None = None) -> DataFram
     return row.select(
         n.otherwise(F.col("_all")).alias("n_good"),
         cut.otherwise(F.col("_min")).alias("threshold_used"),
-        label.otherwise(F.lit("all batches (fallback)")).alias("threshold_label"),
+        label.otherwise(F.lit("all")).alias("rung"),
     )
 
 
@@ -161,9 +161,22 @@ def segment_summary(segmented: DataFrame) -> DataFrame:
     )
 
 
-def by_quality(batches: DataFrame, tiers: Sequence[str], first: int) -> DataFrame:
-    """The first batches of the wanted tiers (a chart's series list)."""
-    return batches.where(F.col("quality").isin(list(tiers))).orderBy("batch_id").limit(first)
+def by_quality(batches: DataFrame, tiers: Sequence[str], first: int | None = None) -> DataFrame:
+    """The batches of the wanted tiers by id, or the first of them."""
+    return first_rows(batches.where(F.col("quality").isin(list(tiers))).orderBy("batch_id"), first)
+
+
+def ranking_guard(features: DataFrame, batches: DataFrame, least: int = 5) -> DataFrame:
+    """One row: shared batches, features with a value, batches left with a yield,
+    and whether a ranking makes sense: ``least`` batches and one feature, before
+    and after batches without a yield go."""
+    shared = features.join(batches.select("batch_id", "yield"), "batch_id")
+    known = F.col("yield").isNotNull()
+    per_batch = shared.groupBy("batch_id").agg(F.max(known).alias("_known")).agg(
+        F.count(F.lit(1)).alias("n_batches"), F.count(F.when(F.col("_known"), 1)).alias("n_with_yield"))
+    usable = shared.where("value IS NOT NULL").select("feature").distinct().agg(F.count(F.lit(1)).alias("n_features"))
+    return per_batch.crossJoin(usable).withColumn(
+        "enough", (F.col("n_batches") >= least) & (F.col("n_with_yield") >= least) & (F.col("n_features") >= 1))
 
 
 def prepare_features(features: DataFrame, batches: DataFrame) -> DataFrame:
@@ -226,10 +239,9 @@ def temperature_like(variables: DataFrame) -> DataFrame:
 
 def build_flags(golden: DataFrame, training: DataFrame) -> DataFrame:
     """One row that tells whether the reference and the monitor set are degraded."""
-    label = F.col("threshold_label")
-    strong = label.contains("75th") | label.contains("user target")
+    strong = F.col("rung").isin("target", config.TRAINING_LADDER[0][1])
     return golden.crossJoin(F.broadcast(training)).select(
-        "golden_pct_used", "n_good", "threshold_label",
+        "golden_pct_used", "n_good", "rung",
         (F.col("golden_pct_used") < config.GOLDEN_PERCENTILE).alias("golden_degraded"),
         (~strong).alias("few_training_batches"),
         (F.lit(100) - F.floor(F.col("golden_pct_used") * 100)).cast("int").alias("top_pct"),

@@ -326,7 +326,7 @@ def good_runs(aligned: DataFrame, batches: DataFrame, target: float | None = Non
     chosen = choose_training(known, target)
     return cut_lineage(
         known.crossJoin(F.broadcast(chosen)).where(F.col("yield") >= F.col("threshold_used")).select(
-            "batch_id", "yield", "n_good", "threshold_used", "threshold_label"), "training")
+            "batch_id", "yield", "n_good", "threshold_used", "rung"), "training")
 
 
 def fit_monitor(
@@ -351,7 +351,7 @@ def fit_monitor(
         "eigenvalues array<double>, n_components int, variance_reached double",
     )
     limits = control_limits(cut_lineage(run_statistics(cells, terms, axes, kept), "training-stats"))
-    rung = good.select("n_good", "threshold_used", "threshold_label").limit(1)
+    rung = good.select("n_good", "threshold_used", "rung").limit(1)
     meta = cut_lineage(axes.crossJoin(limits).crossJoin(rung), "meta")
     return Model(terms, meta, kept, variables, {"variance_reached": float(reached[-1])})
 
@@ -433,16 +433,19 @@ def leave_one_out(
     aligned: DataFrame, batches: DataFrame, model: Model,
     points: int = config.GRID_POINTS, components: int = config.FORECAST_COMPONENTS,
 ) -> DataFrame:
-    """``(batch_id, actual, predicted, fitted)``: each run predicted without it.
+    """``(batch_id, actual, predicted, fitted)``: each run predicted without it;
+    ``predicted`` is NULL under four runs.
 
     The totals are one matrix bounded by the matrix limit; runs are spread
     over the cluster.
     """
     total = model.info["moments"]
     n = int(total.n)
-    if n < 4:
-        raise ValueError("leave-one-out needs at least four runs with a yield")
     known = batches.where(F.col("yield").isNotNull())
+    fitted = forecast(aligned, model.terms, model.meta).withColumnRenamed("predicted_yield", "fitted")
+    if n < 4:  # too few runs to leave one out
+        return known.select("batch_id", F.col("yield").alias("actual"), F.lit(None).cast("double").alias(
+            "predicted")).join(fitted, "batch_id")
     rows = scaled_rows(aligned, model.terms, model.variables, known)
     shared = aligned.sparkSession.sparkContext.broadcast(total.cross)
     kept = max(1, min(components, n - 2, len(model.variables) * points))
@@ -459,7 +462,6 @@ def leave_one_out(
                 "batch_id": pdf["batch_id"], "actual": y, "predicted": np.concatenate(guesses)})
 
     folds = rows.mapInPandas(predict, "batch_id string, actual double, predicted double")
-    fitted = forecast(aligned, model.terms, model.meta).withColumnRenamed("predicted_yield", "fitted")
     return folds.join(fitted, "batch_id")
 
 

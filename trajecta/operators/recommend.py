@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta import config
-from trajecta.functions.numeric import pearson, tier
+from trajecta.functions.numeric import first_rows, pearson, tier
 from trajecta.functions.stats import mann_whitney_p
 from trajecta.operators.label import yield_cuts
 from trajecta.operators.scale import average_ranks, lookup, plain, positions, quantiles
@@ -192,25 +192,23 @@ def model_agreement(plan: DataFrame, direction: DataFrame) -> DataFrame:
 
 
 def action_text(plan: DataFrame) -> DataFrame:
-    """One sentence per feature; ``label`` names it."""
-    shift = F.round(F.col("delta_sigma"), 2)
-    verb = F.when(F.col("delta") > 0, "Increase").otherwise("Decrease")
+    """What to do per feature: a code (``hold``, ``raise``, ``lower``) and, for
+    ``label``, the move and the window it should end in."""
+    hold = F.abs(F.round("delta_sigma", 2)) < 0.1
+    code = F.when(hold, "hold").when(F.col("delta") > 0, "raise").otherwise("lower")
     digits = [F.round(c, 3) for c in ("current_avg", "target_median", "rec_min", "rec_max")]
-    change = F.format_string(
-        "%s %s [%s] from current avg %.3f to target %.3f (range: %.3f - %.3f).",
-        verb, F.col("label"), F.col("stat_type"), *digits,
-    )
-    keep = F.format_string("Maintain %s at current level.", F.col("label"))
-    return plan.withColumn("action", F.when(F.abs(shift) < 0.1, keep).otherwise(change))
+    move = F.format_string("%s (%s): %.3f -> %.3f, window %.3f to %.3f", "label", "stat_type", *digits)
+    return plan.withColumn("action", code).withColumn(
+        "change", F.when(hold, F.lit(None).cast("string")).otherwise(move))
 
 
-def top_actions(plan: DataFrame, first: int = 5) -> DataFrame:
-    """The leading Critical and High items (a top-k report)."""
-    return plan.where(F.col("tier").isin("Critical", "High")).orderBy("rank").limit(first)
+def top_actions(plan: DataFrame, first: int | None = None) -> DataFrame:
+    """The Critical and High items by rank, or the ``first`` of them."""
+    return first_rows(plan.where(F.col("tier").isin("Critical", "High")).orderBy("rank"), first)
 
 
-def top_significant(plan: DataFrame, first: int = 5) -> DataFrame:
-    return plan.where("significant").orderBy("rank").limit(first)
+def top_significant(plan: DataFrame, first: int | None = None) -> DataFrame:
+    return first_rows(plan.where("significant").orderBy("rank"), first)
 
 
 def shifted(plan: DataFrame, least: float = 0.05) -> DataFrame:

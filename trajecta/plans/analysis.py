@@ -18,13 +18,20 @@ from trajecta.operators import monitor as mo
 from trajecta.operators import profile as pf
 from trajecta.operators.align import align
 from trajecta.session import cut_lineage
-from trajecta.sources.store import ResultStore
+from trajecta.sources.ingest import fingerprint_text
+from trajecta.sources.store import ResultStore, RunHeader
 
 
 @dataclass
 class Analysis:
     """Every table later steps read; each is written once."""
 
+    variables: list[str]
+    points: int
+    methods: DataFrame
+    imputed: DataFrame
+    golden: DataFrame
+    training: DataFrame
     batches: DataFrame
     readings: DataFrame
     aligned: DataFrame
@@ -56,6 +63,12 @@ def analyse(
     members = cut_lineage(pf.profile_members(batches, runs), "members")
     basic = cut_lineage(ft.basic_features(filled, variables), "basic")
     return Analysis(
+        variables=variables,
+        points=points,
+        methods=im.method_counts(im.methods(readings, variables)),
+        imputed=im.imputed_share(readings, variables),
+        golden=lb.choose_golden(batches, runs),
+        training=lb.choose_training(batches),
         batches=batches,
         readings=filled,
         aligned=runs,
@@ -90,19 +103,50 @@ def rank_parameters(features: DataFrame, batches: DataFrame, boosted: bool = Tru
     return asn.combined_ranking(scores, matrix.n, len(matrix.names))
 
 
+def facts(found: Analysis) -> dict:
+    """What a saved run remembers of its building: imputation, missingness, rungs, outliers."""
+    def table(df: DataFrame, key: str, value: str) -> dict:
+        return {r[key]: r[value] for r in df.collect()}  # a handful of rows
+
+    share = found.imputed.first()
+    golden, training = found.golden.first(), found.training.first()
+    return {
+        "imputation_methods": table(found.methods, "method", "n_series"),
+        "confidence": table(im.confidence_counts(found.missing), "confidence", "n_batches"),
+        "imputed_pct": share["imputed_pct"], "imputed_cells": share["imputed_cells"],
+        "golden_pct_used": golden["golden_pct_used"], "training_batches": training["n_good"],
+        "training_rung": training["rung"],
+        "outliers": table(found.outliers.groupBy("reasons").agg(F.count(F.lit(1)).alias("n")), "reasons", "n"),
+    }
+
+
 def save(
     store: ResultStore, found: Analysis, ranking: DataFrame | None, *, filename: str,
-    data_format: str, variables: Sequence[str], run_name: str | None = None,
+    data_format: str, run_name: str | None = None, fingerprint: str | None = None,
 ) -> int:
     """Write the analysis to the result tables; returns the run id."""
-    meta = found.profile_meta.select("golden_pct_used").first()
-    run_id = store.save_run(
-        filename=filename, data_format=data_format, n_batches=found.batches.count(),
-        n_cpps=len(list(variables)), n_time_steps=config.GRID_POINTS, has_yield=True,
-        golden_pct_used=meta["golden_pct_used"], cpp_vars=variables, run_name=run_name,
-    )
+    known = facts(found) | ({"fingerprint": fingerprint} if fingerprint else {})
+    totals = found.batches.agg(F.count(F.lit(1)), F.count("yield")).first()
+    run_id = store.save_run(RunHeader(
+        filename=filename, data_format=data_format, n_batches=totals[0], n_cpps=len(found.variables),
+        n_time_steps=found.points, has_yield=totals[1] > 0, golden_pct_used=known["golden_pct_used"],
+        cpp_vars=found.variables, run_name=run_name, facts=known))
     store.save_batches(found.batches, run_id)
     store.save_profile(found.profile, found.profile_meta, run_id, found.members)
     if ranking is not None:
         store.save_rankings(asn.best_rows(ranking), run_id)
     return run_id
+
+
+def run_once(
+    store: ResultStore, batches: DataFrame, readings: DataFrame, variables: Sequence[str], *,
+    filename: str, data_format: str, points: int = config.GRID_POINTS, run_name: str | None = None,
+) -> int:
+    """Analyse and save, unless a saved run was built from the same input; the run id either way."""
+    mark = fingerprint_text({"batches": batches, "readings": readings}) + f";{points};{','.join(variables)}"
+    known = store.run_of(mark)
+    if known is not None:
+        return known
+    found = analyse(batches, readings, variables, points)
+    ranking = rank_parameters(found.basic, batches)
+    return save(store, found, ranking, filename=filename, data_format=data_format, run_name=run_name, fingerprint=mark)

@@ -264,3 +264,9 @@ def fingerprint(tables: Mapping[str, DataFrame]) -> DataFrame:
             F.bit_xor("_h").alias("hash_xor"),
         ).select(F.lit(name).alias("table_name"), F.lit(",".join(columns)).alias("columns"), "*"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def fingerprint_text(tables: Mapping[str, DataFrame]) -> str:
+    """The fingerprint of some tables as one text, for :meth:`ResultStore.run_of`."""
+    rows = fingerprint(tables).collect()  # one row per table
+    return ";".join(":".join(map(str, r)) for r in sorted(rows))

@@ -1,21 +1,25 @@
 """Result tables in a folder: runs, batches, rankings, profiles, audit log.
 
-Tables are Parquet, partitioned by ``run_id`` where a run owns the rows, so a
-read of one run touches one partition and saving it again replaces only that
-partition.  A deletion appends a marker that every reader joins against; no
-file of another run is rewritten.
+Tables are Parquet, partitioned by ``run_id``: a read of one run touches one
+partition, saving it again replaces that partition (an empty save empties it),
+and deleting a run removes its partitions.  Audit rows of a deleted run stay,
+without the link.  Run ids are taken by creating a file, which only one writer
+can do.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.functions.numeric import finite
+from trajecta.session import cut_lineage, folder
 
+# Names and types of the stored tables.
 SCHEMAS = {
     "batch_runs": "run_id long, run_name string, filename string, data_format string, "
     "n_batches int, n_cpps int, n_time_steps int, has_yield boolean, golden_pct_used double, "
@@ -31,8 +35,24 @@ SCHEMAS = {
     "golden_members": "batch_id string, run_id long",
     "audit_log": "run_id long, action string, detail string, status string, ip_address string, "
     "user_agent string, duration_ms int, created_at timestamp",
-    "deleted_runs": "run_id long, deleted_at timestamp",
 }
+OWNED = ("batch_runs", "batches", "cpp_rankings", "golden_profile_meta", "golden_members")
+
+
+@dataclass(frozen=True)
+class RunHeader:
+    """What a run's row in ``batch_runs`` says; ``facts`` goes to ``pipeline_meta``."""
+
+    filename: str
+    data_format: str
+    n_batches: int
+    n_cpps: int
+    cpp_vars: Sequence[str] = ()
+    n_time_steps: int | None = None
+    has_yield: bool = False
+    golden_pct_used: float | None = None
+    run_name: str | None = None
+    facts: dict = field(default_factory=dict)
 
 
 def profile_stats(profile: DataFrame) -> DataFrame:
@@ -52,6 +72,7 @@ def audit_rows(requests: DataFrame) -> DataFrame:
         return F.col(name).cast(kind) if name in known else F.lit(None).cast(kind)
 
     duration = optional("duration_ms", "int")
+    # Fixed format of the stored detail.
     detail = F.concat(
         F.lit("http_status="), code.cast("string"),
         F.lit(" duration_ms="), F.coalesce(duration.cast("string"), F.lit("None")),
@@ -78,81 +99,90 @@ class ResultStore:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def _raw(self, table: str) -> DataFrame:
-        if not self._exists(table):
+    def read(self, table: str) -> DataFrame:
+        """All rows of a table."""
+        system, at = folder(self.spark, self._path(table))
+        if not system.exists(at):
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(self._path(table))
+        return self.spark.read.schema(SCHEMAS[table]).parquet(self._path(table)).select(*_names(table))
 
-    def read(self, table: str) -> DataFrame:
-        """A table without the rows of deleted runs; audit rows stay, unlinked."""
-        rows = self._raw(table)
-        gone = self._raw("deleted_runs").select("run_id").distinct()
-        if table == "audit_log":
-            marked = rows.join(gone.withColumn("_gone", F.lit(True)), "run_id", "left")
-            return marked.withColumn("run_id", F.when(F.col("_gone").isNull(), F.col("run_id"))).drop("_gone")
-        return rows.join(gone, "run_id", "left_anti")
-
-    def _append(self, table: str, rows: DataFrame) -> None:
-        names = [f.split()[0] for f in _fields(SCHEMAS[table])]
-        rows.select(*names).write.mode("append").parquet(self._path(table))
-
-    def _replace(self, table: str, rows: DataFrame) -> None:
-        names = [f.split()[0] for f in _fields(SCHEMAS[table])]
-        (
-            rows.select(*names).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
-            .parquet(self._path(table))
-        )
+    def _write(self, table: str, rows: DataFrame, mode: str) -> None:
+        rows.select(*_names(table)).write.mode(mode).option(
+            "partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self._path(table))
+
+    def _drop(self, table: str, run_id: int) -> None:
+        system, at = folder(self.spark, f"{self._path(table)}/run_id={run_id}")
+        system.delete(at, True)
+
+    def _replace(self, table: str, rows: DataFrame, run_id: int | None) -> None:
+        """Overwrite the runs that the rows name; ``run_id`` also if no row does."""
+        if run_id is not None:
+            rows = cut_lineage(rows, table)  # the rows may come from the partition that goes
+            self._drop(table, run_id)
+        self._write(table, rows, "overwrite")
 
     # ── runs ────────────────────────────────────────────────────────────────
 
-    def next_run_id(self) -> int:
-        top = self._raw("batch_runs").agg(F.max("run_id")).first()[0]
-        return 1 if top is None else top + 1
-
-    def save_run(
-        self, *, filename: str, data_format: str, n_batches: int, n_cpps: int,
-        n_time_steps: int | None = None, has_yield: bool = False,
-        golden_pct_used: float | None = None, cpp_vars: Sequence[str] = (),
-        pipeline_meta: dict | None = None, run_name: str | None = None, run_id: int | None = None,
-    ) -> int:
-        """Append a run header and its audit row; returns the run id."""
-        run_id = run_id or self.next_run_id()
-        row = (run_id, run_name, filename, data_format, n_batches, n_cpps, n_time_steps, has_yield,
-               golden_pct_used, list(cpp_vars), json.dumps(pipeline_meta or {}))
-        head = SCHEMAS["batch_runs"].rsplit(", ", 1)[0]
-        self.save_runs(self.spark.createDataFrame([row], head))
-        self.audit("pipeline_built", run_id,
-                   f"file={filename!r} format={data_format} batches={n_batches}")
+    def take_run_id(self) -> int:
+        """A free id above those in use, taken by creating its file."""
+        top = self.read("batch_runs").agg(F.max("run_id")).first()[0]
+        run_id = 1 if top is None else top + 1
+        while True:
+            system, at = folder(self.spark, f"{self.root}/_run_ids/{run_id}")
+            try:
+                if system.createNewFile(at):
+                    return run_id
+            except Exception as error:  # noqa: BLE001  only a file that is there already means taken
+                if not system.exists(at):
+                    raise error
+            run_id += 1
+
+    def save_run(self, header: RunHeader, run_id: int | None = None) -> int:
+        """Write a run header and its audit row; returns the run id."""
+        run_id = self.take_run_id() if run_id is None else run_id
+        values = asdict(header)
+        values["pipeline_meta"] = json.dumps(values.pop("facts"), sort_keys=True)
+        schema = SCHEMAS["batch_runs"].rsplit(", ", 1)[0]
+        row = tuple((values | {"run_id": run_id})[f.split()[0]] for f in _fields(schema))
+        self._replace("batch_runs", _stamped(self.spark.createDataFrame([row], schema)), run_id)
+        self.audit("pipeline_built", run_id, {
+            "source": header.filename, "layout": header.data_format, "batches": header.n_batches})
         return run_id
 
     def save_runs(self, rows: DataFrame) -> None:
-        """Append run headers in bulk."""
-        self._append("batch_runs", _stamped(rows))
+        """Write run headers in bulk."""
+        self._write("batch_runs", _stamped(rows), "overwrite")
 
-    def runs(self, first: int = 10) -> DataFrame:
-        """Newest runs with their display label (a top-k report)."""
+    def runs(self, first: int | None = None, width: int | None = None) -> DataFrame:
+        """Runs with their display label, newest first; all of them unless ``first``
+        is given, the label cut only to a given ``width``."""
         label = F.coalesce("run_name", "filename", F.concat(F.lit("Run #"), F.col("run_id").cast("string")))
-        return self.read("batch_runs").orderBy(F.desc("created_at"), F.desc("run_id")).limit(first).select(
-            "run_id", F.substring(label, 1, 30).alias("label"), "n_batches", "n_cpps",
-            F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created"),
+        rows = self.read("batch_runs").orderBy(F.desc("created_at"), F.desc("run_id"))
+        return (rows if first is None else rows.limit(first)).select(
+            "run_id", (label if width is None else F.substring(label, 1, width)).alias("label"),
+            "n_batches", "n_cpps", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created"),
         )
 
+    def run_of(self, fingerprint: str) -> int | None:
+        """The newest run built from input with this fingerprint, if any."""
+        row = self.read("batch_runs").where(
+            F.get_json_object("pipeline_meta", "$.fingerprint") == fingerprint).agg(F.max("run_id")).first()
+        return row[0]
+
     def run(self, run_id: int) -> DataFrame:
         return self.read("batch_runs").where(F.col("run_id") == run_id)
 
     def delete_run(self, run_id: int) -> bool:
         """Remove a run and everything it owns; False when it is not there."""
-        if self.run(run_id).limit(1).count() == 0:
+        header = self.run(run_id).select("run_name", "filename").first()
+        if header is None:
             return False
-        self.audit("run_deleted", run_id, "")
-        marker = self.spark.createDataFrame([(run_id,)], "run_id long").withColumn(
-            "deleted_at", F.current_timestamp())
-        self._append("deleted_runs", marker)
+        self.audit("run_deleted", run_id, {"run": run_id, "name": header["run_name"] or header["filename"]})
+        unlinked = self.read("audit_log").where(F.col("run_id") == run_id).withColumn(
+            "run_id", F.lit(None).cast("long"))
+        self._write("audit_log", cut_lineage(unlinked, "unlinked"), "append")
+        for table in ("audit_log", *OWNED):
+            self._drop(table, run_id)
         return True
 
     # ── rows a run owns ─────────────────────────────────────────────────────
@@ -167,7 +197,9 @@ class ResultStore:
             F.coalesce("quality", F.lit("Unknown")).alias("quality"),
             F.coalesce("is_golden", F.lit(False)).alias("is_golden"),
             F.col("duration").cast("int").alias("duration"),
-        )))
+        )), run_id)
+        if run_id is not None:
+            self.audit("batches_saved", run_id, {"rows": self.batches(run_id).count()})
 
     def batches(self, run_id: int) -> DataFrame:
         return self.read("batches").where(F.col("run_id") == run_id).orderBy("batch_id")
@@ -179,7 +211,8 @@ class ResultStore:
             F.lit(run_id).cast("long").alias("run_id"), "variable", F.col("rank").cast("int").alias("rank"),
             *[finite(F.col(c)).alias(c) for c in scores],
             F.col("method_agreement").cast("int").alias("method_agreement"),
-        )))
+        )), run_id)
+        self.audit("cpp_rankings_saved", run_id, {"rows": self.rankings(run_id).count()})
 
     def rankings(self, run_id: int) -> DataFrame:
         return self.read("cpp_rankings").where(F.col("run_id") == run_id).orderBy("rank")
@@ -190,14 +223,15 @@ class ResultStore:
         """Replace the profile summary of a run, and its golden batches."""
         if members is not None:
             self._replace("golden_members", members.select(
-                "batch_id", F.lit(run_id).cast("long").alias("run_id")))
+                "batch_id", F.lit(run_id).cast("long").alias("run_id")), run_id)
         entry = F.struct("variable", F.struct("mean_avg", "std_avg", "upper_max", "lower_min"))
         stats = profile_stats(profile).agg(F.map_from_entries(F.collect_list(entry)).alias("cpp_stats"))
         self._replace("golden_profile_meta", _stamped(meta.crossJoin(stats).select(
             F.lit(run_id).cast("long").alias("run_id"), F.col("n_golden").cast("int").alias("n_golden"),
             finite(F.col("yield_threshold")).alias("yield_threshold"), finite(F.col("t_crit")).alias("t_crit"),
             "cpp_stats",
-        )))
+        )), run_id)
+        self.audit("golden_profile_saved", run_id, {"golden_batches": self.golden_members(run_id).count()})
 
     def profile(self, run_id: int) -> DataFrame:
         return self.read("golden_profile_meta").where(F.col("run_id") == run_id)
@@ -207,14 +241,15 @@ class ResultStore:
 
     # ── audit ───────────────────────────────────────────────────────────────
 
-    def audit(self, action: str, run_id: int | None = None, detail: str = "", status: str = "success") -> None:
+    def audit(self, action: str, run_id: int | None = None, detail: dict | None = None,
+              status: str = "success") -> None:
         row = self.spark.createDataFrame(
-            [(run_id, action, detail, status, None, None, None)],
+            [(run_id, action, json.dumps(detail or {}, sort_keys=True), status, None, None, None)],
             SCHEMAS["audit_log"].rsplit(", ", 1)[0])
-        self._append("audit_log", _stamped(row))
+        self._write("audit_log", _stamped(row), "append")
 
     def audit_requests(self, requests: DataFrame) -> None:
-        self._append("audit_log", audit_rows(requests))
+        self._write("audit_log", audit_rows(requests), "append")
 
     def audit_log(self, run_id: int | None = None, first: int = 100) -> DataFrame:
         """Newest log rows, optionally of one run (a top-k report)."""
@@ -241,6 +276,10 @@ def _fields(schema: str) -> list[str]:
     return [*out, schema[start:].strip()]
 
 
+def _names(table: str) -> list[str]:
+    return [f.split()[0] for f in _fields(SCHEMAS[table])]
+
+
 def _stamped(rows: DataFrame) -> DataFrame:
     return rows if "created_at" in rows.columns else rows.withColumn("created_at", F.current_timestamp())
 
