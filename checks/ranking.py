@@ -322,10 +322,41 @@ def two_feature_components(spark, sf_dir):
 @entry("sparse_regression")
 def sparse_regression(spark, sf_dir):
     found = lm.sparse_regression(lm.feature_matrix(prepared(spark, sf_dir)))
-    return rounded(found.table, 6, "coef", "score").withColumn(
-        "direction", F.when(F.col("coef") > 0, "increases").when(F.col("coef") < 0, "decreases"))
-
-
+    return rounded(found.table, 6, "coef", "score").withColumns({
+        "alpha": F.lit(round(found.alpha, 6)), "r2": F.lit(round(found.r2, 6)),
+        "place": F.array_position(F.array(*map(F.lit, found.selected or [""])), F.col("feature"))})
+
+
+cte("one_feature", ("prepared",), """
+  SELECT row_number() OVER (ORDER BY batch_id) - 1 AS i, count(*) OVER () AS n, (value - avg(value) OVER ())
+    / stddev_pop(value) OVER () AS x, yield AS y FROM prepared WHERE feature = 'quantity_mean'""")
+
+
+@entry("sparse_single_feature", twin("""
+  SELECT 'quantity_mean' AS feature, round(alpha, 6) AS alpha,
+    CASE WHEN abs(xy) <= alpha THEN 0.0 ELSE round(sign(xy) * (abs(xy) - alpha) / xx, 6) END AS coef FROM (
+      SELECT regr_sxy(y, x) / count(*) AS xy, regr_sxx(y, x) / count(*) AS xx FROM one_feature), (
+    SELECT alpha FROM (
+      SELECT alpha, fold, avg(pow(y - my - w * (x - mx), 2)) AS err FROM (
+        SELECT t.alpha, t.fold, mx, my, sign(xy) * greatest(abs(xy) - t.alpha, 0) / xx AS w FROM (
+          SELECT g.alpha, f.fold, avg(o.x) AS mx, avg(o.y) AS my, covar_pop(o.x, o.y) AS xy, var_pop(o.x) AS xx
+          FROM grid g, (SELECT DISTINCT fold FROM folded) f JOIN folded o ON o.fold <> f.fold
+          GROUP BY g.alpha, f.fold) t) m JOIN folded USING (fold)
+      GROUP BY alpha, fold) GROUP BY alpha ORDER BY round(avg(err), 9), alpha DESC LIMIT 1)""", "folded", "grid"))
+def sparse_single_feature(spark, sf_dir):
+    """One feature has a closed form: the soft-thresholded covariance."""
+    one = prepared(spark, sf_dir).where("feature = 'quantity_mean'")
+    found = lm.sparse_regression(lm.feature_matrix(one))
+    coef = F.when(F.abs("coef") < 1e-9, 0.0).otherwise(F.col("coef")).alias("coef")
+    return rounded(found.table.select("feature", F.lit(found.alpha).alias("alpha"), coef), 6, "alpha", "coef")
+
+
+cte("folded", ("one_feature",), """
+  SELECT *, CASE WHEN i < n % 5 * (n // 5 + 1) THEN i // (n // 5 + 1)
+    ELSE n % 5 + (i - n % 5 * (n // 5 + 1)) // greatest(n // 5, 1) END AS fold FROM one_feature""")
+cte("grid", ("one_feature",), """
+  SELECT top * pow(10, -3.0::DOUBLE * k / 99) AS alpha
+  FROM (SELECT abs(regr_sxy(y, x)) / count(*) AS top FROM one_feature), (SELECT unnest(range(100)) AS k)""")
 # Scores of four methods that plain SQL can give as well: correlation, and
 # three closed forms of the features' spread.
 METHODS = {

@@ -58,5 +58,6 @@ QUANTILE_ACCURACY = 10_000
 SPLINE_BLOCK = 50_000
 SPLINE_HALO = 64
 MATRIX_LIMIT = 4096
+MATRIX_PARTS = 32
 BOOTSTRAP_RANGE = 50_000
 BOOTSTRAP_BINS = 4096

@@ -4,36 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
+from trajecta.functions.fill import many_second_derivatives
+
 
 def second_derivatives(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Second derivatives at the knots (four or more) of the interpolating
     cubic whose third derivative is continuous at the second and the
     second-last knot."""
-    n = len(x)
-    h = np.diff(x)
-    slope = np.diff(y) / h
-    diag = 2.0 * (h[:-1] + h[1:])
-    low, up = h[:-1].copy(), h[1:].copy()
-    rhs = 6.0 * np.diff(slope)
-    # the end values follow from their neighbours; fold them into the rows
-    diag[0] += h[0] * (1.0 + h[0] / h[1])
-    up[0] -= h[0] * h[0] / h[1]
-    diag[-1] += h[-1] * (1.0 + h[-1] / h[-2])
-    low[-1] -= h[-1] * h[-1] / h[-2]
-    m = n - 2
-    if m <= 64:
-        system = np.diag(diag) + np.diag(up[:-1], 1) + np.diag(low[1:], -1)
-        inner = np.linalg.solve(system, rhs)
-    else:
-        for i in range(1, m):
-            f = low[i] / diag[i - 1]
-            diag[i] -= f * up[i - 1]
-            rhs[i] -= f * rhs[i - 1]
-        inner = rhs / diag
-        for i in range(m - 2, -1, -1):
-            inner[i] = (rhs[i] - up[i] * inner[i + 1]) / diag[i]
-    out = np.empty(n)
-    out[1:-1] = inner
-    out[0] = inner[0] * (1.0 + h[0] / h[1]) - inner[1] * h[0] / h[1]
-    out[-1] = inner[-1] * (1.0 + h[-1] / h[-2]) - inner[-2] * h[-1] / h[-2]
-    return out
+    return many_second_derivatives(x, y, np.array([len(x)]))

@@ -9,15 +9,19 @@ chunk, with the last and first valid point carried across chunks.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajecta import config
 from trajecta.functions.numeric import as_number, first_rows, to_long
+from trajecta.functions.fill import fill_runs
 from trajecta.functions.spline import second_derivatives
 from trajecta.operators.scale import chunk_table, lookup, plain, positions, quantiles
 from trajecta.session import cut_lineage
@@ -248,25 +252,73 @@ def spline_intervals(knots: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_spline_partition, INTERVALS)
 
 
+BLOCK_ROWS = 200_000
+
+
+def _median_row(readings: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """One row with the global median of every variable."""
+    return global_medians(readings, variables).agg(*[
+        F.max(F.when(F.col("variable") == v, F.col("median"))).alias(f"_med{i}") for i, v in enumerate(variables)])
+
+
+def _fill_whole_runs(readings: DataFrame, variables: list[str]) -> DataFrame:
+    """Every treatment in one shuffle: runs lie whole in sorted partitions and
+    are filled many at a time."""
+    schema = T.StructType([
+        T.StructField(f.name, T.DoubleType()) if f.name in variables else f for f in readings.schema.fields])
+    order = ["batch_id", "time_index", F.xxhash64(*[F.col(f"`{v}`") for v in variables])]
+    rows = readings.withColumns({v: as_number(F.col(f"`{v}`")) for v in variables})
+    rows = rows.crossJoin(F.broadcast(_median_row(readings, variables))).repartition("batch_id").sortWithinPartitions(*order)
+    names = [f.name for f in schema.fields]
+
+    def solve(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        columns = [table.column(v).to_numpy(zero_copy_only=False).astype(float) for v in variables]
+        medians = [table.column(f"_med{i}")[0].as_py() for i in range(len(variables))]
+        filled = dict(zip(variables, fill_runs(starts, columns, medians)))
+        return pa.RecordBatch.from_arrays([
+            pa.array(filled[c]) if c in filled else table.column(c).combine_chunks() for c in names], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < BLOCK_ROWS:
+                    continue
+            if not sum(b.num_rows for b in held):
+                continue
+            table = pa.Table.from_batches(held)
+            codes = table.column("batch_id").combine_chunks().dictionary_encode().indices
+            codes = codes.fill_null(-1).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            whole = table.num_rows if batch is None else int(starts[-1])  # the last run may go on
+            if whole:
+                yield solve(table.slice(0, whole), starts[starts < whole])
+            held = table.slice(whole).to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
 def impute(readings: DataFrame, variables: Sequence[str], cubic: bool = True) -> DataFrame:
     """Readings without gaps, in the shape they came in.
 
     With ``cubic=False`` every series of two or more points is filled
-    linearly, the ends with the nearest valid value.
+    linearly, the ends with the nearest valid value.  Runs above the row limit
+    are windowed and solved chunk by chunk.
     """
     variables = list(variables)
     keep = [c for c in readings.columns if c not in variables]
     n = range(len(variables))
-    found = neighbours(readings, variables)
-    # valid cells need only their ordinal, gaps only their neighbours
-    gap = lambda i, c: F.when(F.col(f"_x{i}").isNull(), F.col(f"{c}{i}"))
-    slim = {f"{c}{i}": gap(i, c) for i in n for c in ("_p", "_v", "_q", "_w")}
-    slim.update({f"_r{i}": F.when(F.col(f"_x{i}").isNotNull(), F.col(f"_r{i}")) for i in n})
-    rows = cut_lineage(found.withColumns(slim).drop(*variables), "neighbours")
-    medians = {r["variable"]: r["median"] for r in global_medians(readings, variables).collect()}
-    counts = missing_cells(readings, variables)
-    splined = counts.where((F.col("n_missing") > 0) & (F.col("n_total") - F.col("n_missing") >= 4))
-    curved = {r["variable"] for r in splined.select("variable").distinct().collect()}
+    if cubic and (readings.groupBy("batch_id").count().agg(F.max("count")).first()[0] or 0) <= config.HOT_ROWS:
+        return _fill_whole_runs(readings, variables)
+    rows = neighbours(readings, variables)
+    if cubic:
+        # valid cells need only their ordinal, gaps only their neighbours
+        gap = lambda i, c: F.when(F.col(f"_x{i}").isNull(), F.col(f"{c}{i}"))
+        slim = {f"{c}{i}": gap(i, c) for i in n for c in ("_p", "_v", "_q", "_w")}
+        slim.update({f"_r{i}": F.when(F.col(f"_x{i}").isNotNull(), F.col(f"_r{i}")) for i in n})
+        rows = cut_lineage(rows.withColumns(slim).drop(*variables), "neighbours")
     filled = {}
     for i, v in enumerate(variables):
         p, q = F.col(f"_p{i}"), F.col(f"_q{i}")
@@ -274,11 +326,17 @@ def impute(readings: DataFrame, variables: Sequence[str], cubic: bool = True) ->
             (F.col("pos") - p) / F.nullif(q - p, F.lit(0))
         )
         filled[v] = F.coalesce(
-            F.col(f"_x{i}"), lerp, F.col(f"_w{i}"), F.col(f"_v{i}"), F.lit(medians[v])
+            F.col(f"_x{i}"), lerp, F.col(f"_w{i}"), F.col(f"_v{i}"), F.col(f"_med{i}")
         )
-    linear = rows.select(*keep, "pos", *[filled[v].alias(v) for v in variables])
-    if not cubic or not curved:
-        return linear.drop("pos")
+    linear = rows.crossJoin(F.broadcast(_median_row(readings, variables))).select(
+        *keep, "pos", *[filled[v].alias(v) for v in variables])
+    if not cubic:
+        return linear.drop("pos").select(*readings.columns)
+    counts = missing_cells(readings, variables)
+    splined = counts.where((F.col("n_missing") > 0) & (F.col("n_total") - F.col("n_missing") >= 4))
+    curved = {r["variable"] for r in splined.select("variable").distinct().collect()}
+    if not curved:
+        return linear.drop("pos").select(*readings.columns)
     chosen = [i for i in n if variables[i] in curved]
     point = lambda i, *fields: F.struct(F.lit(variables[i]).alias("variable"), *fields)
     knots = rows.select("batch_id", "pos", F.explode(F.array_compact(F.array(*[

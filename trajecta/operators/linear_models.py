@@ -2,7 +2,9 @@
 
 Every linear fit reads the data once: each partition adds up its own
 cross-product matrix, Spark sums the matrices row by row, and only a matrix
-whose side is the number of columns (checked against a limit) comes back.
+whose side is the number of columns comes back.  Data wider than the matrix
+limit is fitted by products of its rows with a few vectors instead: a pass over
+the rows per step, and only vectors as long as the columns come back.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta import config
-from trajecta.operators.align import unfold, variable_order
+from trajecta.operators.align import unfold
+from trajecta.operators.scale import lookup, plain, positions
 from trajecta.session import cut_lineage
 
 
@@ -64,11 +67,77 @@ class Moments:
 def check_width(columns: int) -> None:
     if columns > config.MATRIX_LIMIT:
         raise ValueError(
-            f"{columns} columns exceed the matrix limit of {config.MATRIX_LIMIT}; "
-            "use fewer variables or grid points"
+            f"{columns} columns exceed the matrix limit of {config.MATRIX_LIMIT}, "
+            "and this fit needs the whole matrix; use fewer variables or grid points"
         )
 
 
+PIECE = 1024
+
+
+class RowProducts:
+    """``XᵀX`` of rows ``x ARRAY<DOUBLE>``, ``y DOUBLE`` as an operator on vectors."""
+
+    def __init__(self, rows: DataFrame, columns: int):
+        self.rows, self.columns = cut_lineage(rows.select("x", "y"), "wide-rows"), columns
+
+        def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            flat = np.concatenate([x.sum(0), (x * x).sum(0), y @ x, [len(y), y.sum(), y @ y]])
+            return flat
+
+        flat = self._summed(sums, 3 * columns + 3)
+        self.n, self._y, self._yy = flat[-3:]
+        self.x_mean, self.y_mean = flat[:columns] / self.n, self._y / self.n
+        self.spread = flat[columns:2 * columns] - self.n * self.x_mean ** 2
+        self.xy = flat[2 * columns:3 * columns] - self.n * self.x_mean * self.y_mean
+        self.yy = self._yy - self.n * self.y_mean ** 2
+
+    def _summed(self, fn, size: int) -> np.ndarray:
+        """Sum over the rows of ``fn(x, y)``, a vector; parts are added piece by piece."""
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(size)
+            for pdf in batches:
+                for at in range(0, len(pdf), 64):
+                    part = pdf.iloc[at:at + 64]
+                    total += fn(np.stack(part["x"].to_numpy()), part["y"].to_numpy(dtype=float))
+            pieces = [np.pad(total[i:i + PIECE], (0, max(0, i + PIECE - size))) for i in range(0, size, PIECE)]
+            yield pd.DataFrame({"i": range(len(pieces)), "piece": pieces})
+
+        parts = self.rows.mapInPandas(partial, "i int, piece array<double>")
+        found = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("piece")).alias("v")).select(
+            "i", vector_to_array("v").alias("v")).collect()  # size / PIECE rows
+        out = np.zeros(-(-size // PIECE) * PIECE)
+        for r in found:
+            out[r["i"] * PIECE:(r["i"] + 1) * PIECE] = r["v"]
+        return out[:size]
+
+    def __matmul__(self, vectors: np.ndarray) -> np.ndarray:
+        """Centred ``XᵀX`` times one or a few vectors."""
+        v = vectors.reshape(self.columns, -1)
+        shared = self.rows.sparkSession.sparkContext.broadcast(v)  # columns x a few
+        raw = self._summed(lambda x, y: (x.T @ (x @ shared.value)).ravel(), v.size).reshape(v.shape)
+        raw -= self.n * np.outer(self.x_mean, self.x_mean @ v)
+        return raw.reshape(vectors.shape)
+
+    def axes(self, limit: int, share: float, rounds: int = 200, tol: float = 1e-10):
+        """As :func:`principal_axes`, by orthogonal iteration on a few vectors."""
+        most = max(1, min(limit, int(self.n) - 1, self.columns))
+        wide = min(self.columns, most + 5)
+        basis = np.linalg.qr(np.random.default_rng(0).normal(size=(self.columns, wide)))[0]
+        before = np.zeros(most)
+        for _ in range(rounds):
+            image = self @ basis
+            inner, turn = np.linalg.eigh(basis.T @ image)
+            now = inner[::-1][:most]
+            done = np.abs(now - before).max() <= tol * max(now[0], 1e-300)
+            before, vectors = now, (basis @ turn)[:, ::-1][:, :most]
+            if done:
+                break
+            basis = np.linalg.qr(image)[0]
+        return _kept_axes(before / max(self.n - 1, 1), vectors, self.spread.sum() / max(self.n - 1, 1), share)
+
+
 def moments(rows: DataFrame, columns: int, key: str | None = None) -> dict[object, Moments]:
     """Cross products of ``x ARRAY<DOUBLE>`` and ``y DOUBLE``, per ``key`` value."""
     check_width(columns)
@@ -87,7 +156,8 @@ def moments(rows: DataFrame, columns: int, key: str | None = None) -> dict[objec
             yield pd.DataFrame({"k": [int(k)] * side, "i": range(side), "row": list(total)})
 
     k = F.lit(0) if key is None else F.col(key)
-    parts = rows.select("x", "y", k.cast("int").alias("k")).mapInPandas(
+    # few parts: each gives a matrix, whatever the number of rows
+    parts = rows.select("x", "y", k.cast("int").alias("k")).coalesce(config.MATRIX_PARTS).mapInPandas(
         partial, "k int, i int, row array<double>"
     )
     summed = parts.groupBy("k", "i").agg(
@@ -115,16 +185,28 @@ def principal_axes(
     that reach the wanted share of the total variance."""
     most = max(1, min(limit, int(n) - 1, cov.shape[0]))
     values, vectors = np.linalg.eigh(cov)
-    values, vectors = values[::-1][:most], vectors[:, ::-1][:, :most]
-    reached = np.cumsum(values) / np.trace(cov)
-    keep = max(1, min(int(np.searchsorted(reached, share) + 1), most))
+    return _kept_axes(values[::-1][:most], vectors[:, ::-1][:, :most], np.trace(cov), share)
+
+
+def _kept_axes(values: np.ndarray, vectors: np.ndarray, total: float, share: float):
+    reached = np.cumsum(values) / total
+    keep = max(1, min(int(np.searchsorted(reached, share) + 1), len(values)))
     vectors = vectors[:, :keep]
     # sign rule: the largest entry of every loading is positive
     signs = np.sign(vectors[np.argmax(np.abs(vectors), axis=0), np.arange(keep)])
     return values[:keep], vectors * np.where(signs == 0, 1.0, signs), reached[:keep]
 
 
-def kernel_pls(xx: np.ndarray, xy: np.ndarray, components: int) -> dict[str, np.ndarray]:
+def cross_products(rows: DataFrame, columns: int) -> tuple[np.ndarray | RowProducts, Moments | RowProducts]:
+    """Centred ``XᵀX`` as a matrix, or beyond the limit as an operator, and the totals."""
+    if columns > config.MATRIX_LIMIT:
+        wide = RowProducts(rows, columns)
+        return wide, wide
+    total = moments(rows, columns)[0]
+    return total.centred()[0], total
+
+
+def kernel_pls(xx: np.ndarray | RowProducts, xy: np.ndarray, components: int) -> dict[str, np.ndarray]:
     """One-response PLS from cross products only."""
     xy = xy.copy()
     w_all, r_all, p_all, q_all, t_all = [], [], [], [], []
@@ -201,16 +283,12 @@ class FeatureMatrix:
 def feature_matrix(prepared: DataFrame) -> FeatureMatrix:
     """From ``(batch_id, feature, value, yield)``; features sorted by name."""
     prepared = cut_lineage(prepared, "prepared")
-    stats = sorted(scaler(prepared, ["feature"]).collect(), key=lambda r: r["feature"])
+    scale = cut_lineage(scaler(prepared, ["feature"]), "feature-scaler")
+    # names, means and deviations of the columns: one row per feature
+    stats = sorted(scale.collect(), key=lambda r: r["feature"])
     names = [r["feature"] for r in stats]
-    check_width(len(names))
-    spark = prepared.sparkSession
-    small = spark.createDataFrame(
-        [(r["feature"], i, r["mu"], r["sigma"]) for i, r in enumerate(stats)],
-        "feature string, k int, mu double, sigma double",
-    )
-    cell = F.struct("k", ((F.col("value") - F.col("mu")) / F.col("sigma")).alias("z"))
-    rows = prepared.join(F.broadcast(small), "feature").groupBy("batch_id").agg(
+    cell = F.struct("feature", ((F.col("value") - F.col("mu")) / F.col("sigma")).alias("z"))
+    rows = lookup(prepared, scale, ["feature"], rows=len(names)).groupBy("batch_id").agg(
         F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["z"]).alias("x"),
         F.max("yield").alias("y"),
     )
@@ -243,13 +321,17 @@ class ComponentAnalysis:
 
 def component_importance(matrix: FeatureMatrix) -> ComponentAnalysis:
     """Absolute loadings of the component that follows the yield most."""
-    total = moments(matrix.rows, len(matrix.names))[0]
-    xx, xy, yy = total.centred()
-    values, loadings, _ = principal_axes(
-        xx / (total.n - 1), total.n, config.RANKING_COMPONENTS, config.RANKING_VARIANCE
-    )
+    xx, total = cross_products(matrix.rows, len(matrix.names))
+    if isinstance(xx, RowProducts):
+        values, loadings, _ = xx.axes(config.RANKING_COMPONENTS, config.RANKING_VARIANCE)
+        xy, yy, trace = xx.xy, xx.yy, xx.spread.sum()
+    else:
+        _, xy, yy = total.centred()
+        trace = np.trace(xx)
+        values, loadings, _ = principal_axes(
+            xx / (total.n - 1), total.n, config.RANKING_COMPONENTS, config.RANKING_VARIANCE)
     # score variances and covariances follow from the cross products
-    spread = np.sqrt(np.einsum("ia,ij,ja->a", loadings, xx, loadings) * yy)
+    spread = np.sqrt((loadings * (xx @ loadings)).sum(axis=0) * yy)
     with np.errstate(divide="ignore", invalid="ignore"):
         corr = np.where(spread > 0, loadings.T @ xy / spread, 0.0)
     chosen = int(np.argmax(np.abs(corr)))
@@ -257,17 +339,17 @@ def component_importance(matrix: FeatureMatrix) -> ComponentAnalysis:
         matrix.rows.sparkSession, matrix.names,
         loading=loadings[:, chosen], score=np.abs(loadings[:, chosen]),
     )
-    return ComponentAnalysis(values / np.trace(xx / (total.n - 1)), loadings, corr, chosen, table)
+    return ComponentAnalysis(values / (trace / (total.n - 1)), loadings, corr, chosen, table)
 
 
 def with_fold(rows: DataFrame, n: int, folds: int) -> DataFrame:
     """Contiguous folds over the batches in id order; the first ones are
     one larger when the count does not divide."""
-    spark = rows.sparkSession
-    ordered = rows.select("batch_id").sort("batch_id").rdd.zipWithIndex().map(
-        lambda pair: (pair[0][0], pair[1])
-    )
-    index = spark.createDataFrame(ordered, "batch_id string, _at long")
+    # ids in order, cut at approximate quantiles of their place where they are many
+    ids = rows.select("batch_id").withColumn(
+        "_lead", F.conv(F.substring(F.hex(F.rpad("batch_id", 6, " ")), 1, 12), 16, 10).cast("double"))
+    placed, _ = positions(ids, [], [F.col("_lead"), F.col("batch_id")], F.col("_lead"), "_at")
+    index = plain(placed).select("batch_id", "_at")
     size, extra = divmod(n, folds)
     edge = extra * (size + 1)
     fold = F.when(F.col("_at") < edge, F.floor(F.col("_at") / (size + 1))).otherwise(
@@ -278,9 +360,12 @@ def with_fold(rows: DataFrame, n: int, folds: int) -> DataFrame:
 
 @dataclass
 class SparseRegression:
+    """The penalty, the fit's R², the coefficients, and the selected ones by size."""
+
     alpha: float
     coef: np.ndarray
     r2: float
+    selected: list[str]
     table: DataFrame = field(repr=False)
 
 
@@ -303,8 +388,10 @@ def sparse_regression(matrix: FeatureMatrix, folds: int = 5, alphas: int = 100)
     coef = lasso_path(xx, xy, total.n, grid[: best + 1])[-1]
     residual = yy - 2 * coef @ xy + coef @ xx @ coef
     r2 = 1.0 - residual / yy if yy > 0 else 0.0
-    table = vector_frame(matrix.rows.sparkSession, matrix.names, coef=coef, score=np.abs(coef))
-    return SparseRegression(float(grid[best]), coef, float(r2), table)
+    table = vector_frame(matrix.rows.sparkSession, matrix.names, coef=coef, score=np.abs(coef)).withColumn(
+        "direction", F.when(F.col("coef") > 0, "increases").when(F.col("coef") < 0, "decreases"))
+    selected = [matrix.names[i] for i in np.argsort(-np.abs(coef), kind="stable") if coef[i] != 0]
+    return SparseRegression(float(grid[best]), coef, float(r2), selected, table)
 
 
 # ── trajectory models ────────────────────────────────────────────────────────
@@ -337,11 +424,3 @@ def cell_table(
     ]
     schema = "variable string, step int, " + ", ".join(f"{a} array<double>" for a in names)
     return terms.join(F.broadcast(spark.createDataFrame(rows, schema)), ["variable", "step"])
-
-
-__all__ = [
-    "ComponentAnalysis", "FeatureMatrix", "Moments", "SparseRegression", "cell_table",
-    "check_width", "component_importance", "feature_matrix", "kernel_pls", "lasso_path",
-    "moments", "principal_axes", "scaled_rows", "scaler", "sparse_regression",
-    "variable_order", "vector_frame", "with_fold",
-]

@@ -20,7 +20,7 @@ from trajecta.functions.numeric import tier
 from trajecta.operators.align import index_phase
 from trajecta.operators.label import choose_training, yield_cuts
 from trajecta.operators.linear_models import (
-    cell_table, kernel_pls, moments, principal_axes, scaled_rows, scaler,
+    RowProducts, cell_table, check_width, cross_products, kernel_pls, principal_axes, scaled_rows, scaler,
 )
 from trajecta.operators.scale import quantiles
 from trajecta.session import cut_lineage
@@ -339,11 +339,12 @@ def fit_monitor(
     good = good_runs(aligned, batches, target)
     cells = aligned.join(good.select("batch_id"), "batch_id", "left_semi")
     scale = cut_lineage(scaler(cells, ["variable", "step"]), "scaler")
-    total = moments(scaled_rows(cells, scale, variables), len(variables) * points)[0]
-    values, loadings, reached = principal_axes(
-        total.centred()[0] / max(total.n - 1, 1), total.n,
-        config.MONITOR_COMPONENTS, config.MONITOR_VARIANCE,
-    )
+    cross, total = cross_products(scaled_rows(cells, scale, variables), len(variables) * points)
+    if isinstance(cross, RowProducts):
+        values, loadings, reached = cross.axes(config.MONITOR_COMPONENTS, config.MONITOR_VARIANCE)
+    else:
+        values, loadings, reached = principal_axes(
+            cross / max(total.n - 1, 1), total.n, config.MONITOR_COMPONENTS, config.MONITOR_VARIANCE)
     kept = len(values)
     terms = cut_lineage(cell_table(spark, variables, points, scale, loadings=loadings), "terms")
     axes = spark.createDataFrame(
@@ -366,8 +367,8 @@ def fit_forecast(
     known = batches.where(F.col("yield").isNotNull())
     cells = aligned.join(known.select("batch_id"), "batch_id", "left_semi")
     scale = cut_lineage(scaler(cells, ["variable", "step"]), "scaler")
-    total = moments(scaled_rows(cells, scale, variables, known), len(variables) * points)[0]
-    xx, xy, yy = total.centred()
+    xx, total = cross_products(scaled_rows(cells, scale, variables, known), len(variables) * points)
+    xy = xx.xy if isinstance(xx, RowProducts) else total.centred()[1]
     fit = kernel_pls(xx, xy, min(components, int(total.n) - 1, len(xy)))
     terms = cell_table(spark, variables, points, scale, weights=fit["w"], coefs=fit["coef"])
     terms = cut_lineage(terms.withColumn("coef", F.col("coefs")[0]).drop("coefs"), "terms")
@@ -446,6 +447,7 @@ def leave_one_out(
     if n < 4:  # too few runs to leave one out
         return known.select("batch_id", F.col("yield").alias("actual"), F.lit(None).cast("double").alias(
             "predicted")).join(fitted, "batch_id")
+    check_width(len(model.variables) * points)
     rows = scaled_rows(aligned, model.terms, model.variables, known)
     shared = aligned.sparkSession.sparkContext.broadcast(total.cross)
     kept = max(1, min(components, n - 2, len(model.variables) * points))
