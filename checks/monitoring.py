@@ -580,13 +580,18 @@ def deviation_profile(spark, sf_dir):
 
 
 @entry("conformance_yield_link", twin("""
-  SELECT count(*) AS n, round(corr(overall, yield), 6) AS r, round(regr_slope(yield, overall), 6) AS slope,
-    round(regr_intercept(yield, overall), 5) AS intercept FROM conformance JOIN batches USING (batch_id)""",
+  SELECT count(*) AS n, round(corr(x, y), 6) AS r, round(regr_slope(y, x), 6) AS slope,
+    round(regr_intercept(y, x), 5) AS intercept FROM (
+      SELECT round(overall, 1) AS x, round(yield, 1) AS y FROM conformance JOIN batches USING (batch_id))""",
     "conformance", recursive=True))
 def conformance_yield_link(spark, sf_dir):
-    scores = pf.conformance(fx.aligned(spark, sf_dir), fx.profile(spark, sf_dir)).join(
-        fx.batches(spark, sf_dir).select("batch_id", "yield"), "batch_id")
-    return rounded(rounded(lb.yield_link(scores, "overall"), 6, "r", "slope"), 5, "intercept")
+    """Over the rounded columns of the conformance table, as it is shown."""
+    link = lb.yield_link(_shown_scores(spark, sf_dir), "conformance_pct", "yield_pct")
+    return rounded(rounded(link, 6, "r", "slope"), 5, "intercept")
+
+
+def _shown_scores(spark, sf_dir):
+    return pf.conformance_table(fx.batches(spark, sf_dir), fx.aligned(spark, sf_dir), fx.profile(spark, sf_dir))
 
 
 P_SQL = """
@@ -594,15 +599,14 @@ P_SQL = """
     list_sum(list_transform(range(0, 4001), lambda k:
       (CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) *
       pow(1 + pow(t * k / 4000, 2) / df, -(df + 1) / 2))), 6) AS p_value
-  FROM (SELECT (count(*) - 2)::DOUBLE AS df, abs(corr(overall, yield)) *
-    sqrt((count(*) - 2) / (1 - pow(corr(overall, yield), 2))) AS t FROM conformance JOIN batches USING (batch_id))"""
+  FROM (SELECT (count(*) - 2)::DOUBLE AS df, abs(corr(x, y)) *
+    sqrt((count(*) - 2) / (1 - pow(corr(x, y), 2))) AS t FROM (
+      SELECT round(overall, 1) AS x, round(yield, 1) AS y FROM conformance JOIN batches USING (batch_id)))"""
 
 
 @entry("conformance_yield_p", twin(P_SQL, "conformance", recursive=True))
 def conformance_yield_p(spark, sf_dir):
-    scores = pf.conformance(fx.aligned(spark, sf_dir), fx.profile(spark, sf_dir)).join(
-        fx.batches(spark, sf_dir).select("batch_id", "yield"), "batch_id")
-    one = scores.agg(pearson(F.col("overall"), F.col("yield")).alias("r"),
+    one = _shown_scores(spark, sf_dir).agg(pearson(F.col("conformance_pct"), F.col("yield_pct")).alias("r"),
                      F.count(F.lit(1)).cast("double").alias("n"))
     return one.select(F.round(correlation_p("r", "n"), 6).alias("p_value"))
 

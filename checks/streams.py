@@ -99,7 +99,7 @@ def _reading_files(spark, sf_dir):
     round(value, 6) AS value FROM event_aligned""", "event_aligned"))
 def online_alignment(spark, sf_dir):
     """Cells updated over several micro-batches, then the steps they close."""
-    cells = online.cell_stream(_reading_files(spark, sf_dir), F.broadcast(_live_runs(spark, sf_dir)))
+    cells = online.cell_stream(_reading_files(spark, sf_dir), _live_runs(spark, sf_dir))
     table = sources.upsert_now(cells, "cells", ["batch_id", "variable", "cell"])
     return rounded(online.steps_of_cells(table), 6, "time_norm", "value")
 

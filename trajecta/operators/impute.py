@@ -93,19 +93,19 @@ def method_name(n_valid: Column, edge: Column) -> Column:
 def methods(readings: DataFrame, variables: Sequence[str]) -> DataFrame:
     """``(batch_id, variable, method, n_missing)`` of every series with gaps.
 
-    Whether an end is open follows from the first and last valid instant.
+    An end is open when the first or the last row, in the order that the
+    filling uses, has no value.
     """
-    t = F.col("time_index")
+    place = F.struct("time_index", F.xxhash64(*[F.col(f"`{v}`") for v in variables]))
     stats = readings.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("n_total"), F.min(t).alias("_t0"), F.max(t).alias("_t1"),
+        F.count(F.lit(1)).alias("n_total"),
         *[F.struct(
-            F.count(x).alias("n"), F.min(F.when(x.isNotNull(), t)).alias("a"),
-            F.max(F.when(x.isNotNull(), t)).alias("b"),
+            F.count(x).alias("n"), F.min_by(x.isNull(), place).alias("a"), F.max_by(x.isNull(), place).alias("b"),
         ).alias(v) for v in variables for x in [as_number(F.col(f"`{v}`"))]],
     )
-    cells = to_long(stats, ["batch_id", "n_total", "_t0", "_t1"], variables, "variable", "s")
+    cells = to_long(stats, ["batch_id", "n_total"], variables, "variable", "s")
     n = F.col("s.n")
-    edge = (F.col("s.a") > F.col("_t0")) | (F.col("s.b") < F.col("_t1"))
+    edge = F.col("s.a") | F.col("s.b")
     return cells.where(n < F.col("n_total")).select(
         "batch_id", "variable", method_name(n, edge).alias("method"),
         (F.col("n_total") - n).alias("n_missing"),

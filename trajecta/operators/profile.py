@@ -17,18 +17,17 @@ def golden_members(batches: DataFrame, aligned: DataFrame) -> DataFrame:
     """Golden batch ids by the percentile ladder; empty when no rung holds."""
     marked = mark_aligned(batches, aligned)
     chosen = ladder(marked)
-    members = (
+    return (
         marked.where("_in")
         .crossJoin(F.broadcast(chosen))
         .where(F.col("yield") >= F.col("yield_threshold"))
         .select("batch_id", "golden_pct_used", "yield_threshold")
     )
-    return cut_lineage(members, "golden")
 
 
-def golden_rows(batches: DataFrame, aligned: DataFrame) -> DataFrame:
+def golden_rows(batches: DataFrame, aligned: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Aligned rows of the golden members."""
-    members = golden_members(batches, aligned)
+    members = golden_members(batches, aligned) if members is None else members
     return aligned.join(members.select("batch_id"), "batch_id", "left_semi")
 
 
@@ -52,10 +51,10 @@ def inconsistent_members(rows: DataFrame) -> DataFrame:
 
     Nothing is left out under five members, or when fewer than three would stay.
     """
-    per_batch = cut_lineage(erratic_rates(rows).groupBy("batch_id").agg(
+    per_batch = erratic_rates(rows).groupBy("batch_id").agg(
         F.max("rate").alias("worst_rate"),
         F.sort_array(F.collect_set(F.when(F.col("rate") > 0.30, F.col("variable")))).alias("causes"),
-    ), "rates")
+    )
     counts = per_batch.agg(
         F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("worst_rate") <= 0.30, 1)).alias("_kept")
     )
@@ -66,14 +65,6 @@ def inconsistent_members(rows: DataFrame) -> DataFrame:
     )
 
 
-def profile_rows(batches: DataFrame, aligned: DataFrame, consistent: bool = True) -> DataFrame:
-    """Aligned rows that define the profile."""
-    rows = golden_rows(batches, aligned)
-    if not consistent:
-        return rows
-    return rows.join(inconsistent_members(rows), "batch_id", "left_anti")
-
-
 def band(rows: DataFrame, k_sigma: float = config.K_SIGMA) -> DataFrame:
     """The profile: mean, spread, interval and band per variable and step."""
     spread = rows.groupBy("variable", "step").agg(
@@ -104,15 +95,21 @@ def band(rows: DataFrame, k_sigma: float = config.K_SIGMA) -> DataFrame:
     )
 
 
-def build_profile(batches: DataFrame, aligned: DataFrame, consistent: bool = True) -> DataFrame:
-    """Profile of the golden set (see :func:`band` for the columns)."""
-    return band(profile_rows(batches, aligned, consistent))
+def build_profile(
+    batches: DataFrame, aligned: DataFrame, consistent: bool = True, members: DataFrame | None = None
+) -> DataFrame:
+    """Profile of the golden set (see :func:`band` for the columns); ``members``
+    are its batches when :func:`profile_members` has run already."""
+    if members is None:
+        members = (profile_members if consistent else golden_members)(batches, aligned)
+        members = cut_lineage(members, "members")  # one row per golden batch
+    return band(golden_rows(batches, aligned, members))
 
 
 def profile_members(batches: DataFrame, aligned: DataFrame) -> DataFrame:
     """The batches behind the profile, one row each, with their ladder rung."""
-    members = golden_members(batches, aligned)
-    dropped = inconsistent_members(golden_rows(batches, aligned))
+    members = cut_lineage(golden_members(batches, aligned), "golden")  # one row per golden batch
+    dropped = inconsistent_members(golden_rows(batches, aligned, members))
     return members.join(dropped, "batch_id", "left_anti")
 
 

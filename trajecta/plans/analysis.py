@@ -59,8 +59,8 @@ def analyse(
     missing = im.missing_summary(readings, variables)
     filled = cut_lineage(im.impute(readings, variables), "readings")
     runs = cut_lineage(align(filled, variables, points), "aligned")
-    profile = pf.require_profile(cut_lineage(pf.build_profile(batches, runs), "profile"))
     members = cut_lineage(pf.profile_members(batches, runs), "members")
+    profile = pf.require_profile(cut_lineage(pf.build_profile(batches, runs, members=members), "profile"))
     basic = cut_lineage(ft.basic_features(filled, variables), "basic")
     return Analysis(
         variables=variables,
