@@ -119,6 +119,19 @@ def _watched(spark, sf_dir, disorder: bool = False):
     return sources.run_to_table(out, "watched")
 
 
+@entry("readings_outside_schedule", """
+  SELECT batch_id, CAST(time_index AS BIGINT) AS "at", round(value, 6) AS value FROM (
+    SELECT CAST(user_id AS VARCHAR) AS batch_id, CAST(epoch_us(ts) AS DOUBLE) AS time_index, value,
+      min(CAST(epoch_us(ts) AS DOUBLE)) OVER w AS a, max(CAST(epoch_us(ts) AS DOUBLE)) OVER w AS b
+    FROM events WINDOW w AS (PARTITION BY user_id))
+  WHERE b > a AND time_index > a + (b - a) * 0.75""")
+def readings_outside_schedule(spark, sf_dir):
+    """What comes after the expected end, with the end set to three quarters."""
+    runs = _live_runs(spark, sf_dir).withColumn("duration", F.col("duration") * 0.75)
+    late = online.outside_schedule(fx.event_readings(spark, sf_dir), runs)
+    return late.select("batch_id", F.col("time_index").cast("long").alias("at"), F.round("value", 6).alias("value"))
+
+
 @entry("online_monitor", twin("""
   SELECT batch_id, CAST(time_step AS INTEGER) AS time_step, round(t2, 5) AS t2, round(spe, 4) AS spe,
     round(predicted_yield, 5) AS predicted_yield FROM steps JOIN forecast_steps USING (batch_id, time_step)""",

@@ -114,3 +114,19 @@ def test_split_runs_and_blocks_give_the_same(spark, monkeypatch):
     for b in series:
         assert split[b] == pytest.approx(plain[b], abs=1e-9)
         assert split_linear[b] == pytest.approx(linear[b], abs=1e-9)
+
+
+def test_blocks_with_gaps_of_many_decades(spark, monkeypatch):
+    """Blocks and halo against the whole solve where spacings differ a thousandfold."""
+    rng = np.random.default_rng(13)
+    v = []
+    for _ in range(260):
+        v += [float(rng.normal())] + [None] * int(10 ** rng.uniform(0, 3) - 1)
+    df = frame(spark, {"hot": [*v, 1.0], "small": [1, None, 2, 3, None, 4]})
+    plain = values(im.impute(df, ["v"]))
+    monkeypatch.setattr(config, "HOT_ROWS", 5000)
+    monkeypatch.setattr(config, "SPLINE_BLOCK", 150)
+    split = values(im.impute(df, ["v"]))
+    scale = np.abs(plain["hot"]).max()
+    assert np.abs(np.array(split["hot"]) - plain["hot"]).max() <= 1e-9 * scale
+    assert split["small"] == pytest.approx(plain["small"])

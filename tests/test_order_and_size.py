@@ -1,6 +1,7 @@
 """Results that must not depend on row order, on repeats or on size limits."""
 
 import math
+import time
 from itertools import combinations
 
 import numpy as np
@@ -75,3 +76,30 @@ def test_trapezoid_with_a_burst_at_one_instant(spark, monkeypatch, limit):
     monkeypatch.setattr(config, "HOT_ROWS", limit)
     area = trapezoid_pairs(df, F.col("t"), ["v"]).first()["_area0"]
     assert area == pytest.approx(4 * 1 + 1.5 + 2.5 + 4 * 3)
+
+
+def test_pivot_files_take_the_variable_of_the_file(spark, tmp_path):
+    for name, shift in (("Temp_run.csv", 0), ("pH_run.csv", 10)):
+        (tmp_path / name).write_text("t,B1\n1,%d\n2,%d\n" % (shift, shift + 1))
+    paths = [str(tmp_path / n) for n in ("Temp_run.csv", "pH_run.csv")]
+    found = ingest.read_pivot_files(spark, dict(zip(paths, ("temperature", "pH"))))
+    assert [name for name, _ in found] == ["temperature", "pH"]
+    assert [t.count() for _, t in found] == [2, 2]
+
+
+def test_unfolded_names():
+    assert al.unfolded_names(["a", "b"], 2) == ["a_t001", "a_t002", "b_t001", "b_t002"]
+
+
+def test_rate_source_gives_readings(spark):
+    from trajecta.streaming.sources import rate_stream
+    stream = rate_stream(spark, rows_per_second=50, batches=2)
+    query = stream.writeStream.format("memory").queryName("rate_rows").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(20):
+            time.sleep(1)
+            if spark.table("rate_rows").count():
+                break
+    finally:
+        query.stop()
+    assert {r["batch_id"] for r in spark.table("rate_rows").collect()} <= {"B0", "B1"}
