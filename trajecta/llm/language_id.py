@@ -64,34 +64,31 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAM
     """Bucket counts per language of the sample; sums are merged by Spark."""
     rows = docs.select("doc_id", "text", "lang").where(
         (fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = F.xxhash64("doc_id", text_key(F.col("text")))
-    sample = rows.withColumn("_order", order).orderBy("_order").limit(sample_rows).select("lang", "text")
-    types = {"lang": pa.string(), "rows": pa.int64(), "counts": pa.binary()}
+    n = rows.count()
+    draw = F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(1 << 40)) / float(1 << 40)
+    sample = rows.where(draw < sample_rows / max(n, 1)).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> dict:
         langs = batch.column("lang").to_pylist()
         buckets, owners, _ = gram_buckets(batch.column("text"), bits)
         names = sorted(set(langs))
         code = np.array([names.index(x) for x in langs], np.int64)
-        table = np.bincount(code[owners] << bits | buckets, minlength=len(names) << bits)
-        return {"lang": names, "rows": [langs.count(x) for x in names],
-                "counts": [x.astype("<i8").tobytes() for x in table.reshape(len(names), -1)]}
-
-    def merge(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), "<i8") for x in group.column("counts"))
-        return pa.table({"lang": group.column("lang")[:1].cast(pa.string()),
-                         "rows": pa.array([pc.sum(group.column("rows")).as_py()]),
-                         "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = map_slices(sample, count, types)
-    got = sorted(parts.groupBy("lang").applyInArrow(merge, "lang string, rows long, counts binary")
-                 .collect(), key=lambda r: r["lang"])  # one row per language
-    if not got:
+        pairs, seen = np.unique(code[owners] << bits | buckets, return_counts=True)
+        mask = (1 << bits) - 1
+        return {"lang": [*names, *np.array(names, object)[pairs >> bits]],
+                "bucket": np.concatenate([np.full(len(names), -1), pairs & mask]),  # -1: the rows
+                "n": np.concatenate([np.bincount(code, minlength=len(names)), seen])}
+
+    types = {"lang": pa.string(), "bucket": pa.int64(), "n": pa.int64()}
+    got = map_slices(sample, count, types).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(set(got.column("lang").to_pylist()))  # at most 2**bits + 1 rows for each
+    if not names:
         return Languages([], np.zeros((1 << bits, 0), np.float32), np.zeros(0))
-    counts = np.stack([np.frombuffer(r["counts"], "<i8") for r in got], axis=1) + smoothing
-    seen = np.array([r["rows"] for r in got], float)
-    return Languages([r["lang"] for r in got],
-                     np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(seen / seen.sum()))
+    table = np.zeros(((1 << bits) + 1, len(names)))
+    at = np.array([names.index(x) for x in got.column("lang").to_pylist()])
+    table[got.column("bucket").to_numpy(), at] = got.column("n").to_numpy()
+    seen, counts = table[-1], table[:-1] + smoothing
+    return Languages(names, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(seen / seen.sum()))
 
 
 def posteriors(text: pa.Array, model: Languages, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
