@@ -9,8 +9,8 @@ toxic ones is ``LEAST_Z`` standard errors off the mean; the others are noise of
 the sample and have the value 0.  The pairwise term sees two words that mean
 little apart (an insult and a group mention).
 The machine is fitted by AdaGrad on a bounded sample of labelled rows of the
-training folds (``sample_rows``, equally many of each class as far as there are,
-smallest hash first) and broadcast; scoring is numpy on Arrow slices of whole texts.
+training folds (about ``sample_rows``, as many of each class as far as there are,
+drawn by a hash of the id) and broadcast; scoring is numpy on Arrow slices of whole texts.
 
 Defined cases: NULL and empty texts have no feature and get the score of the
 bias; labels without a document, documents without a label and NULL labels
@@ -136,7 +136,7 @@ def fit(features: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: int =
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
           sample_rows: int = SAMPLE_ROWS, **options) -> Machine:
-    """Fit on at most ``sample_rows`` labelled documents outside the held-out fold.
+    """Fit on about ``sample_rows`` labelled documents outside the held-out fold.
 
     The texts of the sample become feature sets on the executors; the driver
     gets only those sets.
@@ -144,9 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         "doc_id").agg(F.max("toxic").alias("label"))
     marked = marked.where(fold(F.col("doc_id"), folds) != held)
-    order = F.xxhash64("doc_id")
-    chosen = [marked.where(F.col("label") == k).orderBy(order, "doc_id").limit(sample_rows // 2) for k in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    sizes = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}  # one row per class
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = marked.where(F.col("label").isin(0, 1) & (draw < F.when(
+        F.col("label") == 1, sample_rows / 2 / max(sizes.get(1, 0), 1)).otherwise(
+        sample_rows / 2 / max(sizes.get(0, 0), 1))))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def sets(batch: pa.RecordBatch) -> dict:
         features, sizes = term_sets(texts_of(batch))
