@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trajecta import config
 from trajecta.operators.scale import chunk_table, lookup, plain, positions, split_hot
+from trajecta.session import cut_lineage
 
 
 @dataclass
@@ -34,12 +35,12 @@ class RunStats:
 def run_stats(readings: DataFrame, variables: Sequence[str] = ()) -> RunStats:
     """One aggregation pass over the readings, kept for the passes after it."""
     t = F.col("time_index")
-    table = readings.where(t.isNotNull()).groupBy("batch_id").agg(
+    table = cut_lineage(readings.where(t.isNotNull()).groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.min(t).alias("_t0"),
         F.max(t).alias("_t1"),
         *[F.avg(F.col(f"`{v}`")).alias(f"_avg_{i}") for i, v in enumerate(variables)],
-    ).persist()
+    ), "run-stats")  # one row per run
     rows, heaviest, flat = table.agg(
         F.count(F.lit(1)), F.max("_rows"),
         F.count(F.when((F.col("_t0") == F.col("_t1")) & (F.col("_rows") > 1), 1)),

@@ -17,7 +17,7 @@ from trajecta.operators import linear_models as lm
 from trajecta.operators import monitor as mo
 from trajecta.operators import profile as pf
 from trajecta.operators.align import align
-from trajecta.session import cut_lineage
+from trajecta.session import cut_lineage, drop_stages, stage_count
 from trajecta.sources.ingest import fingerprint_text
 from trajecta.sources.store import ResultStore, RunHeader
 
@@ -56,6 +56,7 @@ def analyse(
     written once.
     """
     variables = list(variables)
+    batches = cut_lineage(batches, "batches")  # one row per batch, read by every step
     missing = im.missing_summary(readings, variables)
     filled = cut_lineage(im.impute(readings, variables), "readings")
     runs = cut_lineage(align(filled, variables, points), "aligned")
@@ -147,6 +148,10 @@ def run_once(
     known = store.run_of(mark)
     if known is not None:
         return known
+    spark, before = batches.sparkSession, stage_count(batches.sparkSession)
     found = analyse(batches, readings, variables, points)
     ranking = rank_parameters(found.basic, batches)
-    return save(store, found, ranking, filename=filename, data_format=data_format, run_name=run_name, fingerprint=mark)
+    run_id = save(
+        store, found, ranking, filename=filename, data_format=data_format, run_name=run_name, fingerprint=mark)
+    drop_stages(spark, before)  # the results are in the store
+    return run_id

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}
+_STAGES: dict[str, list[str]] = {}  # stage tables by application
 
 
 def build_session(cores: str = "*", partitions: int = 8, app: str = "trajecta") -> SparkSession:
@@ -64,6 +67,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
     if "folder" not in _LOCAL:
         _LOCAL["folder"] = tempfile.mkdtemp(prefix="trajecta-")
+        atexit.register(shutil.rmtree, _LOCAL["folder"], ignore_errors=True)
     return _LOCAL["folder"]
 
 
@@ -92,4 +96,19 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the stage tables this application has written since it had ``keep``
+    of them; nothing that reads them may run any more.  Returns how many are left."""
+    made = _STAGES.get(spark.sparkContext.applicationId, [])
+    while len(made) > keep:
+        system, at = folder(spark, made.pop())
+        system.delete(at, True)
+    return len(made)
+
+
+def stage_count(spark: SparkSession) -> int:
+    return len(_STAGES.get(spark.sparkContext.applicationId, []))
