@@ -33,6 +33,7 @@ from trajecta.llm.common import ascii_lower, plain_words, stage, text_key
 WINDOW = 10
 SHINGLE = 3
 BROADCAST_ROWS = 200_000
+SENTINEL = -(1 << 62)  # stands for a document itself, at place -1
 
 
 def item_words(text: Column) -> Column:
@@ -45,9 +46,8 @@ def shingle_hashes(words: str, size: Column | int) -> Column:
     w = F.col(words)
     places = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(
         F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.when(size == 3, F.xxhash64(w[i], w[i + 1], w[F.least(i + 2, F.size(w) - 1)]))
-                       .when(size == 2, F.xxhash64(w[i], w[F.least(i + 1, F.size(w) - 1)]))
-                       .otherwise(F.xxhash64(w[i])))
+    return F.transform(places, lambda i: F.when(size == 3, F.xxhash64(w[i], w[i + 1], w[i + 2]))
+                       .when(size == 2, F.xxhash64(w[i], w[i + 1])).otherwise(F.xxhash64(w[i])))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -79,16 +79,13 @@ def places(docs: DataFrame, shingles: DataFrame) -> DataFrame:
     words = docs.select("doc_id", text_key(F.col("text")).alias("tk"), item_words(F.col("text")).alias("words"))
     parts = []
     for size in sizes or [SHINGLE]:
-        sentinel = F.array(F.lit(None).cast("long")) if not parts else F.array().cast("array<long>")
+        sentinel = F.array(F.lit(SENTINEL)) if not parts else F.array().cast("array<long>")
         spread = words.select("doc_id", "tk", F.size("words").cast("long").alias("n_words"),
                               F.posexplode(F.concat(sentinel, shingle_hashes("words", size))).alias("place", "hash"))
-        known = wanted.where(F.col("size") == size).select("hash").union(
-            docs.sparkSession.range(1).select(F.lit(None).cast("long")) if not parts
-            else docs.sparkSession.range(0).select(F.lit(None).cast("long")))
-        joined = spread.join(
-            small(stage(known.select(F.coalesce("hash", F.lit(0)).alias("h"), F.col("hash").isNull().alias("first")),
-                        "known")),
-            (F.coalesce("hash", F.lit(0)) == F.col("h")) & (F.col("hash").isNull() == F.col("first")))
+        # a shingle that happens to hash to the sentinel only comes along for nothing
+        known = wanted.where(F.col("size") == size).select(F.col("hash").alias("h")).union(
+            docs.sparkSession.range(1).select(F.lit(SENTINEL))).distinct()
+        joined = spread.join(small(stage(known, "known")), F.col("hash") == F.col("h"))
         parts.append(joined.select("doc_id", "tk", "n_words", F.lit(size).alias("size"),
                                    (F.col("place") - (1 if not parts else 0)).alias("place"), "hash"))
     found = parts[0]
