@@ -397,6 +397,36 @@ def leave_one_out(spark, sf_dir):
     return rounded(mo.leave_one_out(runs, labels, model), 4, "predicted", "fitted")
 
 
+# With one component the left-out prediction has a closed form, too: totals minus one run.
+cte("left_out_cells", ("aligned", "batches"), """
+  SELECT batch_id AS i, j, n, (sy - y) / (n - 1) AS ybar, (sx - x) / (n - 1) AS m, x,
+    CASE WHEN sqrt(greatest((sxx - x * x) / (n - 1) - pow((sx - x) / (n - 1), 2), 0)) > 1e-12
+      THEN sqrt((sxx - x * x) / (n - 1) - pow((sx - x) / (n - 1), 2)) ELSE 1 END AS sd,
+    sxy - x * y - (sx - x) * (sy - y) / (n - 1) AS s
+  FROM (SELECT batch_id, j, x, y, count(*) OVER w AS n, sum(x) OVER w AS sx, sum(x * x) OVER w AS sxx,
+      sum(x * y) OVER w AS sxy, sum(y) OVER w AS sy
+    FROM (SELECT batch_id, variable || step AS j, value AS x, yield AS y FROM aligned JOIN batches USING (batch_id)
+      WHERE yield IS NOT NULL) WINDOW w AS (PARTITION BY j))""")
+
+
+@entry("leave_one_out_single", twin("""
+  SELECT i AS batch_id, any_value(yi) AS actual, round(any_value(ybar) + any_value(zi) * sum(t * (y - ybar)) / sum(t * t), 4) AS predicted
+  FROM (SELECT w.i, b.batch_id AS k, any_value(w.ybar) AS ybar, any_value(b.yield) AS y,
+      sum((a.x - w.m) / w.sd * w.w) AS t, any_value(own.zi) AS zi, any_value(yb.yield) AS yi
+    FROM (SELECT *, s / sd / sqrt(sum(pow(s / sd, 2)) OVER (PARTITION BY i)) AS w FROM left_out_cells) w
+    JOIN left_out_cells a ON a.j = w.j AND a.i <> w.i
+    JOIN batches b ON b.batch_id = a.i
+    JOIN batches yb ON yb.batch_id = w.i
+    JOIN (SELECT i, sum((x - m) / sd * w) AS zi FROM (
+      SELECT *, s / sd / sqrt(sum(pow(s / sd, 2)) OVER (PARTITION BY i)) AS w FROM left_out_cells) GROUP BY i) own ON own.i = w.i
+    GROUP BY w.i, b.batch_id) GROUP BY i""", "left_out_cells"))
+def leave_one_out_single(spark, sf_dir):
+    runs, labels = fx.aligned(spark, sf_dir), fx.batches(spark, sf_dir)
+    model = mo.fit_forecast(runs, labels, fx.VARIABLES, components=1)
+    found = mo.leave_one_out(runs, labels, model, components=1)
+    return rounded(found.select("batch_id", "actual", "predicted"), 4, "predicted")
+
+
 @entry("cross_validation", twin("""
   SELECT n, round(r2, 3) AS r2_loocv, round(rmse, 2) AS rmse_loocv, round(r2t, 3) AS r2_train,
     CASE WHEN round(r2, 3) >= 0.7 THEN 'reliable' WHEN round(r2, 3) >= 0.4 THEN 'moderate' ELSE 'low' END AS reliability,

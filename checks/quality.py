@@ -118,7 +118,62 @@ def linear_fill_sparse(spark, sf_dir):
                    8, "value").withColumn("time_index", F.col("time_index").cast("long"))
 
 
-@entry("adaptive_fill")
+cte("sparse_places", ("sparse_cells",), """
+  SELECT *, last_value(CASE WHEN value IS NOT NULL THEN p END IGNORE NULLS) OVER w AS a,
+    first_value(CASE WHEN value IS NOT NULL THEN p END IGNORE NULLS) OVER v AS b,
+    last_value(value IGNORE NULLS) OVER w AS va, first_value(value IGNORE NULLS) OVER v AS vb,
+    count(value) OVER (PARTITION BY batch_id, variable) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, variable ORDER BY time_index) - 1 AS p FROM sparse_cells)
+  WINDOW w AS (PARTITION BY batch_id, variable ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    v AS (PARTITION BY batch_id, variable ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+cte("spline_knots", ("sparse_places",), """
+  SELECT batch_id, variable, k, p, n, lead(p) OVER w - p AS h, (lead(value) OVER w - value) / (lead(p) OVER w - p) AS s
+  FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, variable ORDER BY p) - 1 AS k
+    FROM sparse_places WHERE value IS NOT NULL AND n >= 4)
+  WINDOW w AS (PARTITION BY batch_id, variable ORDER BY k)""")
+# the not-a-knot system, one row per inner knot
+cte("spline_rows", ("spline_knots",), """
+  SELECT batch_id, variable, k, n, 6 * (s - sa) AS r,
+    2 * (ha + h) + CASE WHEN k = 1 THEN ha * (1 + ha / h) ELSE 0 END
+      + CASE WHEN k = n - 2 THEN h * (1 + h / ha) ELSE 0 END AS diag,
+    ha - CASE WHEN k = n - 2 THEN h * h / ha ELSE 0 END AS low,
+    CASE WHEN k = n - 2 THEN 0 ELSE h - CASE WHEN k = 1 THEN ha * ha / h ELSE 0 END END AS up
+  FROM (SELECT *, (lag(h) OVER w)::DOUBLE AS ha, lag(s) OVER w AS sa FROM spline_knots
+    WINDOW w AS (PARTITION BY batch_id, variable ORDER BY k))
+  WHERE k BETWEEN 1 AND n - 2""")
+cte("spline_forward", ("spline_rows",), """
+  SELECT batch_id, variable, k, n, diag AS d, r, up FROM spline_rows WHERE k = 1
+  UNION ALL
+  SELECT t.batch_id, t.variable, t.k, t.n, t.diag - t.low / f.d * f.up, t.r - t.low / f.d * f.r, t.up
+  FROM spline_forward f JOIN spline_rows t ON t.batch_id = f.batch_id AND t.variable = f.variable AND t.k = f.k + 1""")
+cte("spline_back", ("spline_forward",), """
+  SELECT batch_id, variable, k, r / d AS m FROM spline_forward WHERE k = n - 2
+  UNION ALL
+  SELECT t.batch_id, t.variable, t.k, (t.r - t.up * b.m) / t.d
+  FROM spline_back b JOIN spline_forward t ON t.batch_id = b.batch_id AND t.variable = b.variable AND t.k = b.k - 1""")
+cte("spline_bends", ("spline_back", "spline_knots"), """
+  SELECT batch_id, variable, p, CASE WHEN k = 0 THEN m1 * (1 + h / h1) - m2 * h / h1
+    WHEN k = n - 1 THEN l1 * (1 + g1 / g2) - l2 * g1 / g2 ELSE m END AS m
+  FROM (SELECT q.*, b.m, lead(b.m) OVER w AS m1, lead(b.m, 2) OVER w AS m2, lag(b.m) OVER w AS l1,
+      lag(b.m, 2) OVER w AS l2, lead(h) OVER w AS h1, lag(h) OVER w AS g1, lag(h, 2) OVER w AS g2
+    FROM spline_knots q LEFT JOIN spline_back b USING (batch_id, variable, k)
+    WINDOW w AS (PARTITION BY batch_id, variable ORDER BY k))""")
+
+
+@entry("adaptive_fill", twin("""
+  SELECT s.batch_id, s.time_index, s.variable, round(CASE
+    WHEN s.value IS NOT NULL THEN s.value
+    WHEN a IS NULL AND b IS NULL THEN (SELECT coalesce(quantile_cont(value, 0.5), 0) FROM sparse_cells c
+      WHERE c.variable = s.variable)
+    WHEN a IS NULL THEN vb WHEN b IS NULL THEN va
+    WHEN n < 4 THEN va + (vb - va) * (s.p - a) / (b - a)
+    ELSE va * (b - s.p) / (b - a) + vb * (s.p - a) / (b - a) + (
+      (pow((b - s.p) / (b - a)::DOUBLE, 3) - (b - s.p) / (b - a)::DOUBLE) * x.m
+      + (pow((s.p - a) / (b - a)::DOUBLE, 3) - (s.p - a) / (b - a)::DOUBLE) * y.m) * (b - a) * (b - a) / 6 END, 4) AS value
+  FROM sparse_places s
+  LEFT JOIN spline_bends x ON x.batch_id = s.batch_id AND x.variable = s.variable AND x.p = s.a
+  LEFT JOIN spline_bends y ON y.batch_id = s.batch_id AND y.variable = s.variable AND y.p = s.b""",
+    "spline_bends", recursive=True))
 def adaptive_fill(spark, sf_dir):
     """The full treatment: cubic, linear, constant, median, edges."""
     filled = im.impute(fx.sparse_readings(spark, sf_dir), fx.KINDS)
