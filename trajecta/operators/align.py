@@ -166,7 +166,7 @@ def resample(
         *[F.lead(c).over(w).alias(f"_r_{c}") for c in columns],
     )
     out = samples.withColumns({"_u": u, "_cell": cell}).join(
-        F.broadcast(pairs), ["variable", "_cell"]
+        pairs, ["variable", "_cell"]
     )
     share = F.col("_u") - F.col("_cell")
     read = {c: F.col(f"_l_{c}") + (F.col(f"_r_{c}") - F.col(f"_l_{c}")) * share for c in columns}
@@ -217,7 +217,7 @@ def unfolded_cells(aligned: DataFrame) -> DataFrame:
 
 def impute_future(aligned: DataFrame, model_terms: DataFrame, current: int) -> DataFrame:
     """A run known up to step ``current``: later cells take the training mean."""
-    terms = F.broadcast(model_terms.select("variable", "step", "mu"))
+    terms = model_terms.select("variable", "step", "mu")
     seen = F.when(F.col("step") < current, F.col("value")).otherwise(F.col("mu"))
     return aligned.join(terms, ["variable", "step"]).select(
         "batch_id", "variable", "step", seen.alias("value")

@@ -23,7 +23,7 @@ def warp_from_profile(aligned: DataFrame, profile: DataFrame) -> DataFrame:
     """DTW distance of every run to the profile mean, per variable."""
     runs = _series(aligned, ["batch_id", "variable"], "value", "a")
     golden = _series(profile, ["variable"], "mean", "b")  # one row per variable
-    return runs.join(F.broadcast(golden), "variable").select(
+    return runs.join(golden, "variable").select(
         "batch_id", "variable", warp_distance("a", "b").alias("distance")
     )
 

@@ -386,7 +386,7 @@ def fill_matrix(aligned: DataFrame) -> DataFrame:
     ``was_missing`` marks the filled cells."""
     # one row per variable and step
     means = aligned.groupBy("variable", "step").agg(F.avg("value").alias("_mean"))
-    return aligned.join(F.broadcast(means), ["variable", "step"]).select(
+    return aligned.join(means, ["variable", "step"]).select(
         "batch_id", "variable", "step", "time_norm",
         F.coalesce("value", "_mean", F.lit(0.0)).alias("value"),
         F.col("value").isNull().alias("was_missing"),

@@ -214,11 +214,11 @@ def reconcile(selected: Sequence[str], profile: DataFrame) -> DataFrame:
     if len(set(selected)) < 2:
         raise ValueError("select at least two variables")
     wanted = spark.createDataFrame([(v,) for v in selected], "variable string")
-    matched = known.join(F.broadcast(wanted), "variable", "left_semi")
+    matched = known.join(wanted, "variable", "left_semi")
     any_match = matched.agg((F.count(F.lit(1)) > 0).alias("_any"))
     return (
         known.crossJoin(F.broadcast(any_match))
-        .join(F.broadcast(matched.withColumn("_hit", F.lit(True))), "variable", "left")
+        .join(matched.withColumn("_hit", F.lit(True)), "variable", "left")
         .where(F.col("_hit") | ~F.col("_any"))
         .select("variable")
     )
@@ -263,7 +263,7 @@ def with_labels(df: DataFrame, dim: DataFrame, column: str = "variable") -> Data
     names = dim.withColumnRenamed("variable", "_base")
     return (
         df.withColumn("_base", base)
-        .join(F.broadcast(names), "_base", "left")
+        .join(names, "_base", "left")
         .withColumn("label", F.coalesce("label", column))
         .drop("_base")
     )

@@ -400,9 +400,8 @@ def sparse_regression(matrix: FeatureMatrix, folds: int = 5, alphas: int = 100)
 def scaled_rows(
     aligned: DataFrame, terms: DataFrame, variables: Sequence[str], batches: DataFrame | None = None
 ) -> DataFrame:
-    """``(batch_id, x, y)`` of standardised unfolded runs.  The scaler has one
-    row per variable and step, so it is broadcast."""
-    z = aligned.join(F.broadcast(terms.select("variable", "step", "mu", "sigma")),
+    """``(batch_id, x, y)`` of standardised unfolded runs."""
+    z = aligned.join(terms.select("variable", "step", "mu", "sigma"),
                      ["variable", "step"]).withColumn(
         "z", (F.col("value") - F.col("mu")) / F.col("sigma"))
     rows = unfold(z, variables, "z")
@@ -423,4 +422,4 @@ def cell_table(
         for k, v in enumerate(variables) for s in range(points)
     ]
     schema = "variable string, step int, " + ", ".join(f"{a} array<double>" for a in names)
-    return terms.join(F.broadcast(spark.createDataFrame(rows, schema)), ["variable", "step"])
+    return terms.join(spark.createDataFrame(rows, schema), ["variable", "step"])

@@ -30,7 +30,7 @@ from trajecta.session import cut_lineage
 
 def scaled_cells(aligned: DataFrame, terms: DataFrame) -> DataFrame:
     """Cells with ``z`` and the model's per-cell terms (variables x steps rows)."""
-    return aligned.join(F.broadcast(terms), ["variable", "step"]).withColumn(
+    return aligned.join(terms, ["variable", "step"]).withColumn(
         "z", (F.col("value") - F.col("mu")) / F.col("sigma")
     )
 
@@ -115,7 +115,7 @@ def contributions(
     square = sum(
         (F.col(f"_t{a}") * F.col(f"_t{b}") * F.col(f"_m{a}_{b}") for a in n for b in n), F.lit(0.0)
     )
-    parts = totals.join(F.broadcast(products), "variable").withColumn(
+    parts = totals.join(products, "variable").withColumn(
         "_e", F.col("_q") - 2 * cross + square
     )
     total = F.sum("_e").over(whole)
@@ -146,7 +146,7 @@ def contribution_trajectory(aligned: DataFrame, terms: DataFrame, components: in
     square = sum(
         (F.col(f"_t{a}") * F.col(f"_t{b}") * F.col(f"_m{a}_{b}") for a in n for b in n), F.lit(0.0)
     )
-    parts = totals.join(F.broadcast(products), "variable").withColumn(
+    parts = totals.join(products, "variable").withColumn(
         "_e", F.col("_q") - 2 * cross + square
     )
     total = F.sum("_e").over(at)

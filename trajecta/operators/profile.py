@@ -39,7 +39,7 @@ def erratic_rates(rows: DataFrame) -> DataFrame:
     )
     z = F.abs(F.col("value") - F.col("_m")) / (F.col("_s") + 1e-9)
     return (
-        rows.join(F.broadcast(centre), ["variable", "step"])
+        rows.join(centre, ["variable", "step"])
         .groupBy("batch_id", "variable")
         .agg(F.avg(F.when(z > 2.5, 1.0).otherwise(0.0)).alias("rate"))
     )
@@ -83,7 +83,7 @@ def band(rows: DataFrame, k_sigma: float = config.K_SIGMA) -> DataFrame:
     ci = F.col("t_crit") * F.col("std") / F.sqrt("n_golden")
     sigma = F.lit(float(k_sigma)) * F.col("std")
     half = F.greatest(ci, sigma)
-    return spread.join(F.broadcast(sizes), "n_golden").select(
+    return spread.join(sizes, "n_golden").select(
         "variable", "step", "time_norm", "mean", "std",
         half.alias("half_width"),
         (F.col("mean") + half).alias("upper"),
@@ -137,7 +137,7 @@ def deviations(aligned: DataFrame, profile: DataFrame) -> DataFrame:
 
     The profile has variables x steps rows, so it is broadcast.
     """
-    small = F.broadcast(profile.select("variable", "step", "mean", "std", "half_width"))
+    small = profile.select("variable", "step", "mean", "std", "half_width")
     x, mean, half = F.col("value"), F.col("mean"), F.col("half_width")
     inside = (x >= mean - half) & (x <= mean + half)
     return aligned.join(small, ["variable", "step"]).select(

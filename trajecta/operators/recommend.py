@@ -45,7 +45,7 @@ def operating_windows(marked: DataFrame) -> DataFrame:
         F.sqrt((F.col("_st") * F.col("_st") + F.col("_sb") * F.col("_sb")) / 2),
     ).otherwise(std)
     # one row per feature
-    return stats.join(F.broadcast(cuts), "feature").withColumns({
+    return stats.join(cuts, "feature").withColumns({
         "rec_min": F.col("_q")[0], "rec_max": F.col("_q")[1], "target_median": F.col("_q")[2],
     }).select(
         "feature", "current_avg", "target_median", "rec_min", "rec_max",
@@ -164,7 +164,7 @@ def priorities(windows: DataFrame, tests: DataFrame) -> DataFrame:
     """Effect size, raised by half when significant; rank and tier."""
     significant = F.coalesce(F.col("p_value") < 0.05, F.lit(False))
     scored = windows.join(
-        F.broadcast(tests.select("feature", "p_value")), "feature", "left"
+        tests.select("feature", "p_value"), "feature", "left"
     ).withColumn("significant", significant).withColumn(
         "priority", F.round(F.col("cohens_d") * F.when(significant, 1.5).otherwise(1.0), 3)
     )
@@ -185,7 +185,7 @@ def model_agreement(plan: DataFrame, direction: DataFrame) -> DataFrame:
     base = F.regexp_replace(F.regexp_replace("feature", "_mean", ""), "_std", "")
     signs = direction.select(F.col("variable").alias("_base"), F.col("direction").alias("coef"))
     agrees = (F.col("coef") > 0) == (F.col("delta") > 0)
-    return plan.withColumn("_base", base).join(F.broadcast(signs), "_base", "left").drop(
+    return plan.withColumn("_base", base).join(signs, "_base", "left").drop(
         "_base").withColumn(
         "model_direction", F.when(F.col("coef") > 0, "up").when(F.col("coef").isNotNull(), "down")
     ).withColumn("model_agrees", F.when(F.col("coef").isNotNull(), agrees))

@@ -104,7 +104,7 @@ def monitor_stream(
     z = (F.col("value") - F.col("mu")) / F.col("sigma")
     known = terms.select("variable", "step", "mu", "sigma", "loadings", "coef")
     rows = aligned.where(F.col("variable").isin(names) & F.col("value").isNotNull()).join(
-        F.broadcast(known), ["variable", "step"]).select(
+        known, ["variable", "step"]).select(
         "batch_id", "variable", "value", F.col("step").cast("int").alias("step"),
         (F.array_position(F.array(*map(F.lit, names)), F.col("variable")) - 1).cast("int").alias("slot"),
         z.alias("z"), "loadings", "coef")
