@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -158,7 +159,7 @@ ODD_TEXTS = ["á ́x é́ İSTANBUL ΣΑΣ \x85x y <|endoftext|>z a<|startoftext
 def test_tokens_are_those_of_whole_texts(spark):
     texts = ODD_TEXTS + [r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
     whole = Tokenizer.from_file(best_fit_packing.tokenizer_path())
-    got = best_fit_packing.WordTokenizer(best_fit_packing.tokenizer_path())([t.encode() for t in texts])
+    got = best_fit_packing.WordTokenizer(best_fit_packing.tokenizer_path())(pa.array(texts))
     for t, ids in zip(texts, got):
         assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids
 

@@ -16,16 +16,16 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import map_slices, stage, texts_of
+from trajecta.llm.common import map_slices, stage
 
 GROUP_PIECES = 8192
 CACHE_WORDS = 1_500_000
@@ -33,7 +33,7 @@ PIECE_TYPES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(),
                "length": pa.int64(), "ids_crc32": pa.int64()}
 
 
-_MARKS = re.compile(rb"(?<=[a-zA-Z])([.,;:!?]+)(?=[\x20\t-\r]|\Z)")
+_MARKS = r"([a-zA-Z])([.,;:!?]+)([ \t-\r]|$)"
 
 
 def tokenizer_path() -> str:
@@ -59,14 +59,14 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.first, self.size, self.ids = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16))
 
-    def learn(self, words: list[bytes], run: int = 512) -> None:
+    def learn(self, words: list[str], run: int = 512) -> None:
         """Encode unseen chunks many at a time and split the ids by their offsets."""
         sizes, flat = [], []
         for i in range(0, len(words), run):
-            part = [w.decode() for w in words[i:i + run]]
+            part = words[i:i + run]
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = np.fromiter(itertools.chain.from_iterable(got.offsets), np.int64, 2 * len(got))[::2]
@@ -78,17 +78,20 @@ class WordTokenizer:
         self.first, self.size = np.concatenate([self.first, begun]), np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, *flat])
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         # special tokens are known by their exact case, so those texts keep it
-        split = [_MARKS.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        coded = pa.array(itertools.chain.from_iterable(split), pa.binary()).dictionary_encode()
+        special = pc.match_substring(texts, "<|")
+        plain = pc.if_else(special, texts, pc.ascii_lower(texts))
+        chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, _MARKS, r"\1 \2\3"))
+        counts = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
+        coded = chunks.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) + len(distinct) > CACHE_WORDS:
             self.forget()
         if unseen := [w for w in distinct if w not in self.known]:
             self.learn(unseen)
-        known = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
+        known = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         index = known[coded.indices.to_numpy(zero_copy_only=False)]
         per_word = self.size[index]
         ends = np.cumsum(per_word)
@@ -109,7 +112,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, e
 
     def pieces(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in PIECE_TYPES}
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), word_tokenizer(path)(texts_of(batch))):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), word_tokenizer(path)(batch.column("text"))):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             for k, start in enumerate(range(0, len(ids), capacity)):
                 part = ids[start:start + capacity]
