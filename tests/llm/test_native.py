@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tests.llm.conftest import frame
-from tools.check import alike, rows_of
+from tools.check import rows_alike, rows_of
 from trajecta.llm import decontamination, line_frequency, line_spread, twins
 
 
@@ -23,7 +23,7 @@ def same_as_sql(got, sql, **tables):
     names, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     have = rows_of(got.columns, [tuple(r) for r in got.collect()])
     assert have[0] == names and len(have[1]) == len(want)
-    assert not [(a, b) for a, b in zip(have[1], want) if not alike(a, b)][:3]
+    assert not [(a, b) for a, b in zip(have[1], want) if not rows_alike(a, b)][:3]
 
 
 def pages(n=400, seed=1):
