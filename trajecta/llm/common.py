@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.session import scratch_path
+from trajecta.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 4 << 20
@@ -21,9 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: later steps start from a scan."""
-    path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_lineage(df, f"llm-{name}")
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -73,12 +71,13 @@ DDL = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.float64(
        pa.list_(pa.binary()): "array<binary>", pa.list_(pa.int64()): "array<long>"}
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], types: dict) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], types: dict,
+               size: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn`` (slice -> columns by name) to every slice of every partition."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size):
                 out = fn(part)
                 yield pa.RecordBatch.from_arrays(
                     [out[c].cast(t) if isinstance(out[c], pa.Array) else pa.array(out[c], t)

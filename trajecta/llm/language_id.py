@@ -26,6 +26,7 @@ from trajecta.llm.common import fold, map_slices, slices, text_key
 
 BITS = 16
 SAMPLE_ROWS = 12_000
+SLICE = 1 << 18  # bytes of text at a time: some dozens of bytes are held per character
 EVIDENCE = 40.0  # n-grams to which the evidence of a longer text is tempered
 
 
@@ -80,7 +81,7 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAM
                 "n": np.concatenate([np.bincount(code, minlength=len(names)), seen])}
 
     types = {"lang": pa.string(), "bucket": pa.int64(), "n": pa.int64()}
-    got = map_slices(sample, count, types).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = map_slices(sample, count, types, SLICE).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(got.column("lang").to_pylist()))  # at most 2**bits + 1 rows for each
     if not names:
         return Languages([], np.zeros((1 << bits, 0), np.float32), np.zeros(0))
@@ -129,7 +130,7 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
         return {"doc_id": batch.column("doc_id"), "lang_pred": names, "score": scores}
 
     return map_slices(docs.select("doc_id", "text"), run,
-                      {"doc_id": pa.int64(), "lang_pred": pa.string(), "score": pa.float64()})
+                      {"doc_id": pa.int64(), "lang_pred": pa.string(), "score": pa.float64()}, SLICE)
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, **options) -> DataFrame:
@@ -145,7 +146,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, **options) -> Dat
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 names, scores = decide(part.column("text"), shared.value)
                 yield part.filter(pa.array((np.array(names) != "und") & (scores >= least_score)))
 
