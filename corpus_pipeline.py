@@ -17,7 +17,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites share leave the texts; every document stays."""
-    return line_spread.remove_spread_lines(docs).select(*docs.columns)
+    return line_spread.remove_spread_lines(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

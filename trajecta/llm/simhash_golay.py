@@ -191,6 +191,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The first document (smallest doc_id) of every component, once; rows without doc_id stay."""
     found = near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti")
     named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return named.unionByName(kept.where("doc_id IS NULL"))
