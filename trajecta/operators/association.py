@@ -74,7 +74,7 @@ def significant(scores: DataFrame, level: float = 0.05) -> DataFrame:
                       F.count(F.when(F.col("p_value") < level, 1)).alias("n_significant"))
 
 
-TREE_PARTS = 16
+TREE_PARTS = 8
 
 
 @dataclass(frozen=True)
