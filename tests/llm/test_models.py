@@ -164,6 +164,25 @@ def test_ppm_and_base_by_brute_force(spark, odd_rows, contexts, words):
         round(r["score"], 3)) for r in got) == want
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ppm_of_contexts_outside_the_fast_path(spark, monkeypatch, parts):
+    """The score is that of the whole model however few contexts are broadcast."""
+    monkeypatch.setattr(ppm_score, "FAST_CONTEXTS", 20)
+    monkeypatch.setattr(ppm_score, "FLUSH_GRAMS", 300)
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcd \n") for _ in range(rng.randrange(0, 60)))) for i in range(80)]
+    rows += [(500 + i, f"a rare word {'zzyzx é' * (i % 3)}") for i in range(12)] + [(None, None), (7, rows[7][1])]
+    train = [(t or "").encode() for i, t in rows if i is None or fold(i, 5) != 1]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = ppm_score.score(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = collections.Counter((i, round(ppm(train, ppm_score.ORDER, 1 << 40, (t or "").encode()), 3)) for i, t in rows)
+    assert collections.Counter((r["doc_id"], round(r["score"], 3)) for r in got) == want
+
+
 def test_ppm_without_rows(spark):
     docs = frame(spark, [(1, "abc")])
     assert ppm_score.score(docs.limit(0)).count() == 0

@@ -10,10 +10,16 @@ one end symbol (the byte 0xFF, which no text has), after as many start symbols.
 
 How it runs: every map task counts words and byte (ORDER + 1)-grams of its
 training texts; Spark sums them to one count table (shuffled, growing with the
-corpus).  Shorter contexts are marginal sums.  A context stays in the broadcast
-trie if it holds 1/``CONTEXTS`` of all symbols or more, so each order has at most
-``CONTEXTS`` contexts of 256 symbols whatever the corpus; a longer context always
-occurs less often than its suffixes, so suffixes of kept contexts are kept.
+corpus).  Shorter contexts are marginal sums.  The broadcast trie is a fast path:
+it has every context up to order ``WHOLE`` and the longer ones that hold
+1/``FAST_CONTEXTS`` of all symbols or more, so its size is bounded whatever the
+corpus; a longer context always occurs less often than its suffixes, so suffixes
+of its contexts are there too.  A symbol behind any other context is looked up in
+the whole count table: every task sums up its distinct grams and sends them, and
+the counts, to the part that owns the last ``WHOLE + 1`` bytes of the context.
+There all longer contexts with that ending are complete, so the escape chain is
+exact and no context is lost.  Only a caller that gives ``contexts`` gets the
+smaller model of the contexts that hold that share of all symbols.
 
 The base score needs the count of every word.  Words that are 1/``WORDS`` of all
 tokens or more (at most ``WORDS``) are broadcast; the rest are joined by shuffle.
@@ -41,11 +47,16 @@ from pyspark.sql import functions as F
 from trajecta.llm.common import fold, slices, stage, texts_of
 
 ORDER = 5
-CONTEXTS = 1 << 18
+FAST_CONTEXTS = 1 << 18
+WHOLE = 2
 WORDS = 1 << 20
 END = 0xFF
 WORD, GRAM = 0, 1
 FLUSH_WORDS = 600_000
+FLUSH_GRAMS = 500_000
+PART_BYTES = 1 << 20  # of text at a time: eight-byte grams of it are held several times
+RUN_BITS = 10
+SHARES = 16  # buckets of endings for each part
 
 
 def stream_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,6 +79,12 @@ def grams_at(data: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray
     return packed[at - order]
 
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One (key, count) for each key, in order."""
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64)
+
+
 def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(kind, key, n): counts of words, of text ends (the empty word) and of packed grams."""
     def run(batches):
@@ -78,8 +95,7 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             if words:
                 yield WORD, pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())
             if grams:
-                keys, where = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([c for _, c in grams])).astype(np.int64)
+                keys, n = summed(grams)
                 raw = keys.astype(">u8").tobytes()
                 yield GRAM, pa.array([raw[i:i + 8] for i in range(0, len(raw), 8)], pa.binary()), pa.array(n)
             words.clear()
@@ -91,7 +107,7 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     [pa.array(np.full(len(key), kind, np.int32)), key, n], names=["kind", "key", "n"])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, PART_BYTES):
                 texts = texts_of(part)
                 words[b""] += len(texts)
                 for t in texts:
@@ -99,6 +115,8 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 data, at, _ = stream_of(texts, order)
                 found = pc.value_counts(pa.array(grams_at(data, at, order)))
                 grams.append((found.field(0).to_numpy(), found.field(1).to_numpy()))
+                if len(grams) >= 4:
+                    grams[:] = [summed(grams)]
                 if len(words) > FLUSH_WORDS:
                     yield from frames()
         yield from frames()
@@ -125,6 +143,7 @@ class Trie:
     levels: list[Level]
     slots: np.ndarray = field(default_factory=lambda: np.zeros(1, np.uint64))
     values: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
+    whole_model: bool = True  # or the count table has more contexts
 
     @property
     def order(self) -> int:
@@ -143,10 +162,10 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, sorted_keys[at] == keys
 
 
-def build_trie(tables: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
-    """From (gram, count) of every order, sorted by gram, of the kept contexts."""
-    levels: list[Level] = []
-    for j, (grams, counts) in enumerate(tables):
+def add_levels(levels: list[Level], tables: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
+    """``levels`` and those of the next orders, from (gram, count) sorted by gram."""
+    levels = list(levels)
+    for j, (grams, counts) in enumerate(tables, len(levels)):
         contexts, begin = np.unique(grams >> np.uint64(8), return_index=True)
         owner = np.repeat(np.arange(len(contexts)), np.diff(np.append(begin, len(grams))))
         total = np.bincount(owner, counts, minlength=len(contexts)).astype(np.float64)
@@ -160,8 +179,13 @@ def build_trie(tables: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
             total_left = above.total[parent] - np.bincount(owner, above.counts[at], minlength=len(contexts))
             distinct_left = above.distinct[parent] - distinct
         levels.append(Level(contexts, total, distinct, total_left, distinct_left, grams, counts.astype(np.float64)))
-    trie = Trie(levels)
-    top = levels[-1]
+    return levels
+
+
+def build_trie(tables: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
+    """From (gram, count) of every order, sorted by gram, of the kept contexts."""
+    trie = Trie(add_levels([], tables))
+    top = trie.levels[-1]
     owner, _ = find(top.contexts, top.grams >> np.uint64(8))
     direct = np.log10(top.counts / (top.total + top.distinct)[owner])
     # an open-addressed table of the longest grams, a quarter full at most
@@ -210,8 +234,9 @@ def chain_logs(trie: Trie, grams: np.ndarray) -> np.ndarray:
     return logs
 
 
-def code_lengths(trie: Trie, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of every text."""
+def code_lengths(trie: Trie, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probability of every text; the grams behind contexts that the trie
+    lacks, which are left out of it, and the text of each."""
     data, at, sizes = stream_of(texts, trie.order)
     grams = grams_at(data, at, trie.order)
     bits = len(trie.slots).bit_length() - 1
@@ -232,29 +257,157 @@ def code_lengths(trie: Trie, texts: list[bytes]) -> np.ndarray:
         step += 1
     missed = np.concatenate(unknown)
     distinct, where = np.unique(grams[missed], return_inverse=True)
-    logs[missed] = chain_logs(trie, distinct)[where]
-    return np.add.reduceat(logs, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
-
-
-def train_trie(counts: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> Trie:
-    """The kept contexts of every order, collected as (gram, count)."""
-    gram = F.conv(F.hex("key"), 16, 10).cast("long")
-    longest = stage(counts.where(F.col("kind") == GRAM).select(gram.alias("gram"), "n"), "grams")
+    _, held = find(trie.levels[-1].contexts, distinct >> np.uint64(8))
+    chained = np.zeros(len(distinct))
+    if trie.whole_model:
+        held[:] = True
+    chained[held] = chain_logs(trie, distinct[held])
+    logs[missed] = chained[where]
+    left = missed[~held[where]]
+    owners = np.searchsorted(np.cumsum(sizes), left, side="right")
+    sums = np.add.reduceat(logs, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+    return sums, owners, grams[left]
+
+
+def train_trie(longest: DataFrame, order: int = ORDER, contexts: int | None = None) -> Trie:
+    """The contexts of every order, collected as (gram, count): those of the model
+    that ``contexts`` limits, else those of the fast path."""
     symbols = longest.agg(F.sum("n")).first()[0] or 0
     tables = []
     for j in range(order + 1):
         mask = F.lit((1 << 8 * (j + 1)) - 1).cast("long")
-        level = longest.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
-        total = level.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("t")).where(
-            F.col("t") * contexts >= symbols)
-        kept = level.join(total, F.shiftright("gram", 8) == F.col("context")).select("gram", "n").toArrow()
+        kept = longest.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
+        if contexts or j > WHOLE:
+            total = kept.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("t")).where(
+                F.col("t") * (contexts or FAST_CONTEXTS) >= symbols)
+            kept = kept.join(total, F.shiftright("gram", 8) == F.col("context"))
+        kept = kept.select("gram", "n").toArrow()
         grams = kept.column("gram").to_numpy().astype(np.uint64)
         by_gram = np.argsort(grams)
         tables.append((grams[by_gram], kept.column("n").to_numpy()[by_gram]))
-    return build_trie(tables)
+    trie = build_trie(tables)
+    trie.whole_model = bool(contexts) or order <= WHOLE
+    return trie
+
+
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last ``WHOLE + 1`` bytes of the context."""
+    ending = (grams >> np.uint64(8)) & np.uint64((1 << 8 * (WHOLE + 1)) - 1)
+    return (((ending * MIX) >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16)
+
+
+def narrow(grams: np.ndarray) -> bytes:
+    """Without the two highest bytes, which grams of order 5 leave empty."""
+    if len(grams) and int(grams.max()) >> 48:
+        raise ValueError("grams of more than six bytes")
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def wide(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def dealt(grams: np.ndarray, with_each: np.ndarray, buckets: int):
+    """(bucket, its grams in order, ``with_each`` of them), bucket by bucket."""
+    order = np.argsort(grams, kind="stable")
+    order = order[np.argsort(bucket_of(grams[order], buckets), kind="stable")]
+    grams, with_each = grams[order], with_each[order]
+    bucket = bucket_of(grams, buckets)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(grams)]
+    for a, b in itertools.pairwise(cuts):
+        if b > a:
+            yield int(bucket[a]), grams[a:b], with_each[a:b]
+
 
+def packed_counts(longest: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, kind 0, row, grams, times, rows) of the count table; times are the counts."""
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            parts = list(dealt(*(np.concatenate(c) for c in zip(*held)), buckets)) if held else []
+            held.clear()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in parts], pa.int32()), pa.array([0] * len(parts), pa.int32()),
+                 pa.array([0] * len(parts), pa.int64()), pa.array([narrow(p[1]) for p in parts], pa.binary()),
+                 pa.array([p[2].tobytes() for p in parts], pa.binary()), pa.nulls(len(parts), pa.binary())],
+                names=["bucket", "kind", "row", "grams", "times", "rows"])
+
+        for batch in batches:
+            held.append((batch.column("gram").to_numpy().astype(np.uint64), batch.column("n").to_numpy()))
+            if sum(len(g) for g, _ in held) > FLUSH_GRAMS:
+                yield from flush()
+        yield from flush()
+
+    return longest.select("gram", "n").mapInArrow(
+        run, "bucket int, kind int, row long, grams binary, times binary, rows binary")
+
+
+def looked_up(packed: DataFrame, low: list[Level], order: int, parts: int) -> DataFrame:
+    """(row, logs): the exact chain of the grams of kind 1 by the counts of kind 0.
+    The sums of a part go back packed, by runs of rows, and are added up there."""
+    shared = packed.sparkSession.sparkContext.broadcast(low)
+
+    def run(batches):
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
+        asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        trie = None
+
+        def answer():
+            grams, times, rows = (np.concatenate(c) for c in zip(*asked))
+            asked.clear()
+            distinct, where = np.unique(grams, return_inverse=True)
+            logs = np.repeat(chain_logs(trie, distinct)[where], times)
+            found, owner = np.unique(rows, return_inverse=True)
+            sums = np.bincount(owner, logs, minlength=len(found))
+            begin = np.flatnonzero(np.diff(found >> RUN_BITS, prepend=-1))
+            cuts = list(itertools.pairwise([*begin.tolist(), len(found)]))
+            places = (found & ((1 << RUN_BITS) - 1)).astype(np.uint16)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found[begin] >> RUN_BITS), pa.array([places[a:b].tobytes() for a, b in cuts], pa.binary()),
+                 pa.array([sums[a:b].tobytes() for a, b in cuts], pa.binary())], names=["run", "places", "sums"])
+
+        for batch in batches:
+            kinds, blobs = batch.column("kind").to_numpy(), [batch.column(c) for c in ("grams", "times", "rows")]
+            for i, kind in enumerate(kinds):
+                grams = wide(blobs[0][i].as_buffer())
+                times = np.frombuffer(blobs[1][i].as_buffer(), np.int64 if kind == 0 else np.uint32)
+                if kind == 0:
+                    counted.append((grams, times.copy()))
+                    continue
+                if trie is None:
+                    keys, n = (np.concatenate(c) for c in zip(*counted)) if counted else (
+                        np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    counted.clear()
+                    tables = [summed([(keys & np.uint64((1 << 8 * (j + 1)) - 1), n)])
+                              for j in range(WHOLE + 1, order + 1)]
+                    trie = Trie(add_levels(shared.value, tables))
+                asked.append((grams, times, np.frombuffer(blobs[2][i].as_buffer(), np.uint32)
+                              + np.int64(batch.column("row")[i].as_py())))
+                if sum(len(rows) for *_, rows in asked[-64:]) > FLUSH_GRAMS or len(asked) >= 512:
+                    yield answer()
+            if asked:
+                yield answer()
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for which, places, sums in zip(*(batch.column(c) for c in ("run", "places", "sums"))):
+                total = totals.setdefault(which.as_py(), np.full(1 << RUN_BITS, np.nan))
+                at = np.frombuffer(places.as_buffer(), np.uint16)
+                total[at] = np.nan_to_num(total[at]) + np.frombuffer(sums.as_buffer(), np.float64)
+        for which, total in totals.items():
+            at = np.flatnonzero(~np.isnan(total))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((which << RUN_BITS) + at), pa.array(total[at])], names=["row", "logs"])
+
+    return packed.repartition(parts, "bucket").sortWithinPartitions("kind").mapInArrow(
+        run, "run long, places binary, sums binary").repartition(parts, "run").mapInArrow(add, "row long, logs double")
 
-def score(docs: DataFrame, folds: int = 5, held: int = 1, order: int = ORDER, contexts: int = CONTEXTS,
+
+def score(docs: DataFrame, folds: int = 5, held: int = 1, order: int = ORDER, contexts: int | None = None,
           words: int = WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     training = docs.where(fold(F.col("doc_id"), folds) != held)
@@ -264,14 +417,36 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, order: int = ORDER, co
     n_all = n_all or 0
     often = known_words.where(F.col("n") * words >= n_all).select("key", "n").toArrow()
     frequent = dict(zip((bytes(k) for k in often.column("key").to_pylist()), often.column("n").to_pylist()))
-    trie = train_trie(counts, order, contexts)
+    gram = F.conv(F.hex("key"), 16, 10).cast("long")
+    longest = stage(counts.where(F.col("kind") == GRAM).select(gram.alias("gram"), "n"), "grams")
+    trie = train_trie(longest, order, contexts)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(SHARES * parts, 1 << 16)
     shared = docs.sparkSession.sparkContext.broadcast((trie, frequent))
 
+    names = ["row", "doc_id", "n_tokens", "known", "logs", "score", "rare", "bucket", "grams", "times", "rows"]
+
     def run(batches):
         trie, frequent = shared.value
-        row = TaskContext.get().partitionId() << 40
+        first = row = TaskContext.get().partitionId() << 40
+        left: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            out = []
+            for bucket, grams, rows in dealt(*(np.concatenate(c) for c in zip(*left)), buckets) if left else ():
+                begin = np.flatnonzero(np.diff(grams, prepend=~grams[:1]))
+                out.append((bucket, narrow(grams[begin]),
+                            np.diff(np.append(begin, len(grams))).astype(np.uint32).tobytes(), rows.tobytes()))
+            left.clear()
+            columns = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([first] * len(out), pa.int64()), *[pa.nulls(len(out), t) for t in (
+                    pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))],
+                 *[pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]],
+                names=names)
+
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, PART_BYTES):
                 texts = texts_of(part)
                 split = [t.lower().split() for t in texts]
                 sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -288,23 +463,40 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, order: int = ORDER, co
                     pa.array(np.concatenate([[0], np.cumsum(rare_sizes)]), pa.int32()),
                     distinct.take(pa.array(index[rare])))
                 ends = frequent.get(b"", 0)
+                sums, owners, grams = code_lengths(trie, texts)
+                if len(grams):
+                    left.append((grams, (row - first + owners).astype(np.uint32)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(len(texts))), part.column("doc_id").cast(pa.int64()),
                      pa.array(sizes + 1), pa.array(sizes - rare_sizes + (ends > 0)),
                      pa.array(np.bincount(owner, logs, minlength=len(texts)) + math.log10(ends + 0.5)),
-                     pa.array(code_lengths(trie, texts)), rare_words],
-                    names=["row", "doc_id", "n_tokens", "known", "logs", "score", "rare"])
+                     pa.array(sums), rare_words, pa.nulls(len(texts), pa.int32()),
+                     *[pa.nulls(len(texts), pa.binary())] * 3], names=names)
                 row += len(texts)
-
-    scored = stage(docs.select("doc_id", "text").mapInArrow(
-        run, "row long, doc_id long, n_tokens long, known long, logs double, score double, rare array<binary>"), "scored")
+                if sum(len(g) for g, _ in left) > FLUSH_GRAMS:
+                    yield from flush()
+        yield from flush()
+
+    made = stage(docs.select("doc_id", "text").mapInArrow(
+        run, "row long, doc_id long, n_tokens long, known long, logs double, score double, rare array<binary>, "
+        "bucket int, grams binary, times binary, rows binary"), "scored")
+    scored = made.where(F.col("bucket").isNull()).drop("bucket", "grams", "times", "rows")
     others = known_words.where(F.col("n") * words < n_all).select("key", "n")
-    rare = scored.select("row", F.explode("rare").alias("word")).join(
-        others, F.col("word") == F.col("key"), "left").groupBy("row").agg(
-        F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_logs"))
+    more = scored.select("row", F.explode("rare").alias("word")).join(
+        others, F.col("word") == F.col("key"), "left").select(
+        "row", F.when(F.col("n").isNotNull(), 1).otherwise(0).alias("known"),
+        F.log10(F.coalesce("n", F.lit(0)) + 0.5).alias("base"), F.lit(0.0).alias("chain"))
+    if not trie.whole_model:
+        asked = made.where(F.col("bucket").isNotNull()).select(
+            "bucket", F.lit(1).alias("kind"), "row", "grams", "times", "rows")
+        more = more.union(looked_up(packed_counts(longest, buckets).union(asked), trie.levels[:WHOLE + 1], order, parts)
+                          .select("row", F.lit(0), F.lit(0.0), "logs"))
+    rare = more.groupBy("row").agg(
+        F.sum("known").alias("rare_known"), F.sum("base").alias("rare_logs"), F.sum("chain").alias("chain_logs"))
     room = math.log10(n_all + 0.5 * (n_distinct + 1))
     zero = lambda c, t: F.coalesce(F.col(c), F.lit(0).cast(t))
     return scored.drop("rare").join(rare, "row", "left").select(
         "doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens",
         (F.col("known") + zero("rare_known", "long")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("logs") + zero("rare_logs", "double") - F.col("n_tokens") * F.lit(room)).alias("base_score"), "score")
+        (F.col("logs") + zero("rare_logs", "double") - F.col("n_tokens") * F.lit(room)).alias("base_score"),
+        (F.col("score") + zero("chain_logs", "double")).alias("score"))
