@@ -83,6 +83,20 @@ def test_copies_on_many_sites_stay_whole(spark):
     assert {c for c in got[0].asDict()} >= {"words", "tk", "start"}  # other columns pass through
 
 
+def test_the_pipeline_removes_short_pages_boilerplate(spark, tmp_path):
+    """Short text of its own beside spread lines; copies of a whole text stay."""
+    import corpus_pipeline
+
+    text = "\n".join(f"line {k} of the article that others carry" for k in "abcdef")
+    menu = "all rights reserved by the owner"
+    rows = [(i, f"own{letters(i)}.\n{menu}", "en", f"s{i % 8}") for i in range(16)]
+    rows += [(50 + i, text, "en", f"s{i % 5}") for i in range(10)] + [(70, f"{menu}\nline a of the article that others carry", "en", "s1")]
+    rows += [(80 + i, f"{menu}\nline b of the article that others carry", "en", "s2") for i in range(6)]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_boilerplate(spark, docs, str(tmp_path)).collect()}
+    assert got == {r[0]: f"own{letters(r[0])}." if r[0] < 16 else text if r[0] < 70 else "" for r in rows}
+
+
 def items(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
 

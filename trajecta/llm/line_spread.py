@@ -7,7 +7,9 @@ whose estimate is clearly above ``min_sites`` is spread; estimates within
 only.  Spread lines are removed from every document that keeps at least
 ``least_share`` of its words without them.  A document that would not is a copy
 of a text that many sites carry, not a page with boilerplate around its own
-text: it stays whole, for the near-duplicate step to decide on.
+text: it stays whole, for the near-duplicate step to decide on.  With
+``proven_copies`` no share decides: every spread line goes, and only documents
+whose whole text is on ``min_sites`` sites stay whole (the pipeline's rule).
 
 DataFrame functions only.  Lines are a stage table without their texts; the
 spread lines are joined back salted, as a line may be in a third of all documents.
@@ -57,7 +59,7 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAN
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
-             least_share: float = LEAST_SHARE, salts: int = SALTS) -> DataFrame:
+             least_share: float = LEAST_SHARE, salts: int = SALTS, proven_copies: bool = False) -> DataFrame:
     """(doc_id, tk, places) of the lines to remove, for documents that change."""
     lines = stage(line_table(docs), "lines")
     spread = spread_lines(lines, min_sites, band).withColumn(
@@ -67,6 +69,13 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
     per_doc = marked.groupBy("doc_id", "tk").agg(
         F.sum("words").alias("words"), F.sum(F.when(F.col("spread"), F.col("words")).otherwise(0)).alias("lost"),
         F.collect_set(F.when(F.col("spread"), F.col("place"))).alias("places"))
+    if proven_copies:
+        copies = lines.groupBy("tk", "site").agg(F.lit(1).alias("one")).groupBy("tk").agg(
+            F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(
+            "tk", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        return per_doc.where(F.col("lost") > 0).withColumn(
+            "salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(
+            copies, ["tk", "salt"], "left_anti").select("doc_id", "tk", "places")
     return per_doc.where((F.col("lost") > 0) & (
         F.col("words") - F.col("lost") >= F.lit(least_share) * F.col("words"))).select("doc_id", "tk", "places")
 
