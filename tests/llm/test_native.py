@@ -63,6 +63,17 @@ def test_depleted_documents_are_rejected(spark):
     assert [got[i]["kept"] for i in (0, 30)] == [False, True]  # 80 of 380 words are left
 
 
+def test_frequent_lines_of_a_host_above_ten_thousand_documents(spark):
+    """The limit does not rise with the host; with the share of the SQL twin it does."""
+    own = lambda i: " ".join(f"w{letters(i)}x{letters(k)}" for k in range(4))
+    rows = [(i, f"{own(i)}\nshared line" if i < 22 else f"{own(i)}\nrare line" if i < 42 else own(i), "en", "hot")
+            for i in range(11_500)]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["n_frequent_lines"] for r in line_frequency.quality(docs).collect()}
+    assert [got[i] for i in range(11_500)] == [1] * 22 + [0] * 11_478
+    assert line_frequency.quality(docs, most_share=0.002).where("n_frequent_lines > 0").count() == 0
+
+
 def test_line_spread_equals_sql(documents):
     got = line_spread.remove_spread_lines(documents).select("doc_id", "text", "n_chars", "n_removed")
     same_as_sql(got, twins.LINE_SPREAD, documents=documents)

@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, white space folded, digits as one mark) and
 hashed; per host the distinct documents of every line are counted.  A line in
-more than ``most_docs`` documents and more than ``most_share`` of the documents
-of its host is boilerplate there.  A document is depleted, and rejected, if what
+more than ``most_docs`` documents of its host is boilerplate there, however many
+documents the host has; only a caller that gives ``most_share`` also asks for that
+share of the host's documents.  A document is depleted, and rejected, if what
 is left without such lines is under ``least_words`` words or under
 ``least_share`` of its word characters.
 
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from trajecta.llm.common import ascii_lower, space_words, stage, text_key
 
 MOST_DOCS = 20
-MOST_SHARE = 0.002
 LEAST_WORDS = 50
 LEAST_SHARE = 0.3
 SALTS = 16
@@ -90,19 +90,21 @@ def host_lines(rows: DataFrame) -> DataFrame:
                                                   F.count("*").alias("times"))
 
 
-def frequent_lines(lines: DataFrame, most_docs: int, most_share: float) -> DataFrame:
-    """(host, line) in more documents of the host than both limits allow; a
+def frequent_lines(lines: DataFrame, most_docs: int, most_share: float | None = None) -> DataFrame:
+    """(host, line) in more documents of the host than the limits given allow; a
     host's documents are those with a line that has a word."""
     hosts = lines.groupBy("host", "doc_id", "tk").agg(F.lit(1).alias("one")).groupBy("host").agg(
         F.count("*").alias("docs"))
     per_line = lines.groupBy("host", "line").agg(F.count("*").alias("line_docs")).where(
         F.col("line_docs") > most_docs)
+    if most_share is None:
+        return per_line.select("host", "line")
     return per_line.alias("l").join(
         hosts.alias("h"), F.expr(f"l.host <=> h.host AND l.line_docs > h.docs * {most_share!r}D")
     ).select("l.host", "l.line")
 
 
-def quality(docs: DataFrame, most_docs: int = MOST_DOCS, most_share: float = MOST_SHARE,
+def quality(docs: DataFrame, most_docs: int = MOST_DOCS, most_share: float | None = None,
             least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, salts: int = SALTS) -> DataFrame:
     """Base counts, what boilerplate lines take away, and the verdict, per row."""
     rows = rows_of(docs)
