@@ -92,6 +92,25 @@ def test_machine_learns_a_pair():
     assert p[2] > 0.7 and max(p[0], p[1], p[3]) < 0.3
 
 
+def test_toxicity_of_a_pair_whose_words_carry_no_sign_alone():
+    """As many toxic documents with either word as without; toxic are both together and neither."""
+    rng = np.random.default_rng(1)
+    def made(n):
+        sets, labels = [], []
+        for i in range(n):
+            cell = i % 4
+            some = set(rng.integers(10, 60, 5).tolist()) | ({1} if cell & 1 else set()) | ({2} if cell & 2 else set())
+            sets.append(np.array(sorted(some), np.int64))
+            labels.append(float(cell in (0, 3)))
+        return np.concatenate(sets), np.array([len(x) for x in sets]), np.array(labels)
+
+    features, sizes, labels = made(4000)
+    machine = toxicity.fit(features, sizes, labels, bits=6)
+    features, sizes, labels = made(800)
+    scores = toxicity.raw_scores(features, sizes, machine)
+    assert ((scores > 0) == (labels > 0)).mean() > 0.95
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     toxic = {r["doc_id"]: r["toxic"] for r in table(spark, sf, "labels").collect()}

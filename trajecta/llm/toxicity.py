@@ -4,10 +4,10 @@ score(x) = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j)
 
 Terms are the lower-cased words and, so that inflected forms meet, their first
 four characters; a document has the set of them, hashed to ``2**bits`` features.
-A feature is live if it occurs in ``LEAST_DF`` sampled documents and its share of
-toxic ones is ``LEAST_Z`` standard errors off the mean; the others are noise of
-the sample and have the value 0.  The pairwise term sees two words that mean
-little apart (an insult and a group mention).
+A feature is live if it occurs in ``LEAST_DF`` sampled documents, whatever its own
+share of toxic ones: the pairwise term sees two words that mean little or nothing
+apart (an insult and a group mention).  A linear weight is learnt only where that
+share is ``LEAST_Z`` standard errors off the mean; others are noise of the sample.
 The machine is fitted by AdaGrad on a bounded sample of labelled rows of the
 training folds (about ``sample_rows``, as many of each class as far as there are,
 drawn by a hash of the id) and broadcast; scoring is numpy on Arrow slices of whole texts.
@@ -92,8 +92,8 @@ def fit(features: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: int =
     df_one = np.bincount(features, weights=labels[owners], minlength=dims)
     share = labels.mean() if n else 0.0
     spread = np.sqrt(np.maximum(df * share * (1 - share) * (1 - df / max(n, 1)), 1e-9))
-    z = (df_one - df * share) / spread
-    value = np.where((df >= LEAST_DF) & (np.abs(z) >= LEAST_Z), 1.0, 0.0).astype(np.float32)
+    signed = np.abs((df_one - df * share) / spread) >= LEAST_Z
+    value = (df >= LEAST_DF).astype(np.float32)
     share = (labels.sum() + 0.5) / (n + 1.0)
     m = Machine(float(np.log(share / (1 - share))), value, np.zeros(dims, np.float32),
                 (rng.normal(size=(dims, factors)) * 0.01).astype(np.float32))
@@ -121,7 +121,7 @@ def fit(features: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: int =
             error = 1.0 / (1.0 + np.exp(-np.clip(raw, -30, 30))) - labels[docs]
             e = error[owner] * x
             uniq, where = np.unique(idx, return_inverse=True)
-            d_lin = np.bincount(where, e) / len(docs) + ridge * m.linear[uniq]
+            d_lin = (np.bincount(where, e) / len(docs) + ridge * m.linear[uniq]) * signed[uniq]
             pair = e[:, None] * (sums[owner] - vx)
             d_fac = np.stack([np.bincount(where, pair[:, k]) for k in range(factors)], axis=1) / len(docs)
             d_fac += ridge * m.factors[uniq]
