@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trajecta.llm import (
-    best_fit_packing, decontamination, html_extraction, language_id, license_scan, line_frequency,
-    line_spread, ppm_score, simhash_golay, toxicity, twins,
+    best_fit_packing, decontamination, embedding_whitening, html_extraction, language_id, lexical_search,
+    license_scan, line_frequency, line_spread, ppm_score, simhash_golay, token_counts, toxicity, twins,
 )
 from trajecta.llm.common import table
 
@@ -76,3 +76,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@entry("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@entry("op12_lexical_search", twins.LEXICAL_SEARCH)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@entry("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))

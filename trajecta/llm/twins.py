@@ -104,3 +104,33 @@ SELECT d.doc_id, CASE WHEN c.rid IS NULL THEN d.text ELSE coalesce(k.text, '') E
   coalesce(c.n, 0)::BIGINT AS n_removed
 FROM d LEFT JOIN changed c USING (rid) LEFT JOIN kept k USING (rid)
 """
+
+LEXICAL_SEARCH = r"""
+WITH d AS (
+  SELECT rid, doc_id, w, len(w) AS n FROM (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL)
+  WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+items AS (
+  SELECT row_number() OVER () AS item, item_id, w FROM (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL))),
+asked AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(w) AS term FROM items) GROUP BY item, term),
+tf AS (
+  SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY rid, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, totals GROUP BY term, n_docs),
+scores AS (
+  SELECT item, rid, sum(times * weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN d USING (rid), totals GROUP BY item, rid),
+ranked AS (
+  SELECT item, doc_id, score, row_number() OVER (
+    PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scores JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked JOIN items USING (item) WHERE rank <= 10
+"""
