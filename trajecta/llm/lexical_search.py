@@ -51,10 +51,10 @@ LEVELS = (1, 2, 3, 4, 6, 9, 14, 24, 48)  # least counts; the last level is open
 BITS_PER_KEY = 12
 HASHES = 4
 BLOCK_DOCS = 512
-BLOCK_BITS = 32 << 20
+BLOCK_BITS = 8 << 20
 MOST_KEYS = 1 << 20
-SLICE_BYTES = 2 << 20
-TERM_ROWS = 1 << 20
+SLICE_BYTES = 1 << 20
+TERM_ROWS = 1 << 18
 ITEM_TERMS = 200_000  # terms of a block of items, all of them together
 BROADCAST_BYTES = 32 << 20
 
