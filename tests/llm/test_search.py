@@ -44,6 +44,16 @@ def test_chunks_widen_without_boundaries(encode):
     assert token_counts.count_long(text, watched, 256, 64) == len(encode(text)) and max(sizes) == 256
 
 
+def test_short_texts_by_words(encode):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(60))) for _ in range(400)]
+    assert token_counts.counter(token_counts.tokenizer_path())(texts) == [len(encode(t)) for t in texts]
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        sizes = token_counts.counter(token_counts.tokenizer_path(name), 64, 40)(texts)
+        assert name.endswith(".model") or sizes == [
+            len(e) for e in Tokenizer.from_file(token_counts.tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_counts(spark, odd_rows, encode):
     got = token_counts.count_tokens(frame(spark, odd_rows)).collect()
     want = [(i, len((t or "").encode()), len(encode(t or "")), len(encode(t or "")) > 2048) for i, t, *_ in odd_rows]

@@ -1,6 +1,7 @@
 """Exact token counts of whole texts, long ones by overlap resynchronisation.
 
-A text of up to ``chunk`` characters is encoded in one go.  A longer one is
+A text of up to ``chunk`` characters is encoded in one go; where the vocabulary
+drops white space and case, from the remembered ids of its words.  A longer one is
 encoded in chunks that overlap, with offsets, and two neighbours are spliced where
 both start a new piece of the pre-tokeniser (a word, a digit, a run of marks) at
 the same character.  Such a place is proven when
@@ -26,6 +27,7 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 from functools import lru_cache
@@ -34,12 +36,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from trajecta.llm.best_fit_packing import word_tokenizer
 from trajecta.llm.common import map_slices
 
 CHUNK = 16_384  # characters
 OVERLAP = 512
 MARGIN = 32  # longer than any special string or fixed alternative of a pre-tokeniser
-SLICE_BYTES = 1 << 20
 LIMIT = 2048
 
 
@@ -95,6 +97,15 @@ def count_long(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = O
     return total + left.size - left.tokens(since)
 
 
+def reads_words(path: str) -> bool:
+    """Whether no rule of the vocabulary looks across white space and case plays no part."""
+    with open(path) as file:
+        spec = json.load(file)
+    parts = (spec["normalizer"] or {}).get("normalizers", [])
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    return [p["type"] for p in parts] == ["NFC", "Replace", "Lowercase"] and steps[0].get("behavior") == "Removed"
+
+
 @lru_cache(maxsize=4)
 def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[list[str]], list[int]]:
     """Counts of many texts by the library that the file at ``path`` belongs to."""
@@ -113,9 +124,13 @@ def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[
     def encode(text: str):
         return tokenizer.encode(text, add_special_tokens=False)
 
+    by_words = reads_words(path)
+
     def count(texts: list[str]) -> list[int]:
         short = [t for t in texts if len(t) <= chunk]
-        sizes = iter([len(e) for e in tokenizer.encode_batch_fast(short, add_special_tokens=False)])
+        coded = word_tokenizer(path)(pa.array(short, pa.string())) if by_words else tokenizer.encode_batch_fast(
+            short, add_special_tokens=False)
+        sizes = iter([len(e) for e in coded])
         return [next(sizes) if len(t) <= chunk else count_long(t, encode, chunk, overlap) for t in texts]
 
     return count
@@ -139,4 +154,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT,
         return {"doc_id": batch.column("doc_id"), "n_bytes": pc.binary_length(texts), "n_tokens": sizes,
                 "over_limit": [n > limit for n in sizes]}
 
-    return map_slices(docs.select("doc_id", "text"), run, types, SLICE_BYTES)
+    return map_slices(docs.select("doc_id", "text"), run, types)
