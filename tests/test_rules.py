@@ -173,7 +173,7 @@ def test_kernel_pls_and_leave_one_out_equal_refits():
     yc = y - y.mean()
     assert lm.kernel_pls(z.T @ z, z.T @ yc, 4)["coef"] == pytest.approx(nipals(z, yc, 4))
     a = np.column_stack([z, y, np.ones(20)])
-    got = mo._fold_predictions(z, y, a.T @ a, 4)
+    got = mo._fold_predictions(z, y, mo.Totals.of_matrix(a.T @ a), 4)
     for i in range(20):
         keep = np.arange(20) != i
         mean, std = z[keep].mean(0), z[keep].std(0)

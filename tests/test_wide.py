@@ -41,3 +41,73 @@ def test_component_importance_beyond_the_limit(spark, rows, monkeypatch):
     wide = lm.component_importance(lm.feature_matrix(cells))
     assert wide.explained == pytest.approx(narrow.explained) and wide.chosen == narrow.chosen
     assert wide.yield_corr == pytest.approx(narrow.yield_corr, abs=1e-5)
+
+
+def test_moments_use_every_split_of_the_scan(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(500, 9)), rng.normal(size=500)
+    a = np.column_stack([x, y, np.ones(500)])
+    for parts in (1, 40):
+        rows = spark.createDataFrame([(v.tolist(), float(w), i % 3) for i, (v, w) in enumerate(zip(x, y))],
+                                     "x array<double>, y double, k int").repartition(parts)
+        assert lm.partial_products(rows, 9).rdd.getNumPartitions() == parts
+        assert np.allclose(lm.moments(rows, 9)[0].cross, a.T @ a, rtol=1e-12, atol=1e-12)
+        by_key = lm.moments(rows, 9, "k")
+        for k in range(3):
+            assert np.allclose(by_key[k].cross, a[k::3].T @ a[k::3], rtol=1e-12, atol=1e-12)
+
+
+def matrix_of(spark, x, y):
+    rows = spark.createDataFrame([(f"BATCH-{i:06d}", v.tolist(), float(w)) for i, (v, w) in enumerate(zip(x, y))],
+                                 "batch_id string, x array<double>, y double").repartition(4).cache()
+    p = x.shape[1]
+    return lm.FeatureMatrix([f"f{k:05d}" for k in range(p)], np.zeros(p), np.ones(p), rows, len(y))
+
+
+def test_sparse_path_by_products_equals_the_matrix_path(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 40))
+    x[:, 7] = x[:, 3] + 0.01 * rng.normal(size=50)
+    y = 2 * x[:, 3] - x[:, 11] + rng.normal(size=50) + 60
+    matrix = matrix_of(spark, (x - x.mean(0)) / x.std(0), y)
+    narrow = lm.sparse_regression(matrix, alphas=30)
+    monkeypatch.setattr(config, "SPARSE_LIMIT", 10)
+    wide = lm.sparse_regression(matrix, alphas=30)
+    assert wide.alpha == pytest.approx(narrow.alpha) and wide.r2 == pytest.approx(narrow.r2, abs=1e-7)
+    assert wide.coef == pytest.approx(narrow.coef, abs=1e-5) and wide.selected == narrow.selected
+
+
+def test_sparse_regression_of_five_thousand_columns_is_optimal(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 5000))
+    x = (x - x.mean(0)) / x.std(0)
+    y = 3 * x[:, 17] - 2 * x[:, 4000] + 0.5 * rng.normal(size=60) + 70
+    found = lm.sparse_regression(matrix_of(spark, x, y), alphas=8)
+    slope = x.T @ ((y - y.mean()) - x @ found.coef) / 60
+    assert np.abs(slope).max() <= found.alpha * (1 + 1e-6)
+    live = found.coef != 0
+    assert slope[live] == pytest.approx(found.alpha * np.sign(found.coef[live]), rel=1e-6)
+    assert found.selected[:2] == ["f00017", "f04000"] and found.r2 > 0.9
+    assert lm.sparse_regression(matrix_of(spark, np.zeros((12, 600)), np.arange(12.0)), alphas=5).selected == []
+
+
+def test_leave_one_out_beyond_the_limit(spark, monkeypatch):
+    from trajecta.operators import monitor as mo
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(14, 3)) @ rng.normal(size=(3, 20)) + 0.1 * rng.normal(size=(14, 20))
+    cells = [(f"b{i:02d}", v, s, s / 9.0, float(base[i, k * 10 + s])) for i in range(14)
+             for k, v in enumerate("pq") for s in range(10)]
+    runs = spark.createDataFrame(cells, "batch_id string, variable string, step int, time_norm double, value double")
+    labels = spark.createDataFrame([(f"b{i:02d}", float(base[i, 0] + 50), 1) for i in range(14)],
+                                   "batch_id string, yield double, duration int")
+
+    def predictions(**limits):
+        for name, value in limits.items():
+            monkeypatch.setattr(config, name, value)
+        model = mo.fit_forecast(runs, labels, ["p", "q"], points=10, components=3)
+        return {r["batch_id"]: r["predicted"] for r in
+                mo.leave_one_out(runs, labels, model, points=10, components=3).collect()}
+
+    narrow = predictions()
+    assert predictions(MATRIX_LIMIT=5, FOLD_VALUES=100) == pytest.approx(narrow, abs=1e-9)  # blocks of five runs

@@ -58,6 +58,7 @@ QUANTILE_ACCURACY = 10_000
 SPLINE_BLOCK = 50_000
 SPLINE_HALO = 64
 MATRIX_LIMIT = 4096
-MATRIX_PARTS = 32
+SPARSE_LIMIT = 512
+FOLD_VALUES = 4_000_000
 BOOTSTRAP_RANGE = 50_000
 BOOTSTRAP_BINS = 4096

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +75,8 @@ def check_width(columns: int) -> None:
 
 
 PIECE = 1024
+MERGE_SHARES = 16
+NEAR = 0.8
 
 
 class RowProducts:
@@ -92,15 +96,17 @@ class RowProducts:
         self.xy = flat[2 * columns:3 * columns] - self.n * self.x_mean * self.y_mean
         self.yy = self._yy - self.n * self.y_mean ** 2
 
-    def _summed(self, fn, size: int) -> np.ndarray:
-        """Sum over the rows of ``fn(x, y)``, a vector; parts are added piece by piece."""
+    def _summed(self, fn, size: int, key: str | None = None) -> np.ndarray:
+        """Sum over the rows of ``fn(x, y)`` (with a key, ``fn(x, y, key)``), a vector; parts are
+        added piece by piece."""
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(size)
             for pdf in batches:
                 for at in range(0, len(pdf), 64):
                     part = pdf.iloc[at:at + 64]
-                    total += fn(np.stack(part["x"].to_numpy()), part["y"].to_numpy(dtype=float))
+                    more = () if key is None else (part[key].to_numpy(),)
+                    total += fn(np.stack(part["x"].to_numpy()), part["y"].to_numpy(dtype=float), *more)
             pieces = [np.pad(total[i:i + PIECE], (0, max(0, i + PIECE - size))) for i in range(0, size, PIECE)]
             yield pd.DataFrame({"i": range(len(pieces)), "piece": pieces})
 
@@ -120,6 +126,10 @@ class RowProducts:
         raw -= self.n * np.outer(self.x_mean, self.x_mean @ v)
         return raw.reshape(vectors.shape)
 
+    def raw(self, vectors: np.ndarray) -> np.ndarray:
+        """``XᵀX`` about the origin times one or a few vectors."""
+        return self @ vectors + self.n * np.multiply.outer(self.x_mean, self.x_mean @ vectors)
+
     def axes(self, limit: int, share: float, rounds: int = 200, tol: float = 1e-10):
         """As :func:`principal_axes`, by orthogonal iteration on a few vectors."""
         most = max(1, min(limit, int(self.n) - 1, self.columns))
@@ -138,34 +148,53 @@ class RowProducts:
         return _kept_axes(before / max(self.n - 1, 1), vectors, self.spread.sum() / max(self.n - 1, 1), share)
 
 
-def moments(rows: DataFrame, columns: int, key: str | None = None) -> dict[object, Moments]:
-    """Cross products of ``x ARRAY<DOUBLE>`` and ``y DOUBLE``, per ``key`` value."""
+def partial_products(rows: DataFrame, columns: int, key: str | None = None) -> DataFrame:
+    """``(k, i, share, row)``: the rows of every scan task's half matrix of cross products.
+
+    As many tasks as the scan has splits; row ``i`` begins at its diagonal entry.
+    """
     check_width(columns)
     side = columns + 2
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[object, np.ndarray] = {}
-        for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy())
-            a = np.column_stack([x, pdf["y"].to_numpy(dtype=float), np.ones(len(pdf))])
-            keys = pdf["k"].to_numpy()
+    upper = np.triu_indices(side)
+    ends = np.append(0, np.cumsum(np.arange(side, 0, -1))).astype(np.int32)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, columns)
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            a = np.column_stack([x, y, np.ones(len(y))])
+            keys = batch.column("k").to_numpy()
             for k in np.unique(keys):
                 part = a[keys == k]
-                sums[k] = sums.get(k, 0.0) + part.T @ part
+                sums[int(k)] = sums.get(int(k), 0.0) + part.T @ part
+        share = TaskContext.get().partitionId() % MERGE_SHARES
         for k, total in sums.items():
-            yield pd.DataFrame({"k": [int(k)] * side, "i": range(side), "row": list(total)})
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(side, k, np.int32)), pa.array(np.arange(side, dtype=np.int32)),
+                pa.array(np.full(side, share, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(total[upper])),
+            ], names=["k", "i", "share", "row"])
 
     k = F.lit(0) if key is None else F.col(key)
-    # few parts: each gives a matrix, whatever the number of rows
-    parts = rows.select("x", "y", k.cast("int").alias("k")).coalesce(config.MATRIX_PARTS).mapInPandas(
-        partial, "k int, i int, row array<double>"
-    )
-    summed = parts.groupBy("k", "i").agg(
-        Summarizer.sum(array_to_vector("row")).alias("row")
-    ).select("k", "i", vector_to_array("row").alias("row"))
+    return rows.select("x", F.col("y").cast("double").alias("y"), k.cast("int").alias("k")).mapInArrow(
+        partial, "k int, i int, share int, row array<double>")
+
+
+def moments(rows: DataFrame, columns: int, key: str | None = None) -> dict[object, Moments]:
+    """Cross products of ``x ARRAY<DOUBLE>`` and ``y DOUBLE``, per ``key`` value.
+
+    The tasks' half matrices are merged as a tree: by (row, share) first, so that
+    many tasks' rows are added up in parallel, then by row.
+    """
+    side = columns + 2
+    merged = partial_products(rows, columns, key).select("k", "i", "share", array_to_vector("row").alias("row"))
+    for keys in (["k", "i", "share"], ["k", "i"]):
+        merged = merged.groupBy(*keys).agg(Summarizer.sum(F.col("row")).alias("row"))
     out: dict[object, np.ndarray] = {}
-    for r in summed.collect():  # (columns + 2) rows per key
-        out.setdefault(r["k"], np.zeros((side, side)))[r["i"]] = r["row"]
+    for r in merged.select("k", "i", vector_to_array("row").alias("row")).collect():  # (columns + 2) rows per key
+        cross = out.setdefault(r["k"], np.zeros((side, side)))
+        cross[r["i"], r["i"]:] = r["row"]
+        cross[r["i"]:, r["i"]] = r["row"]
     return {name: Moments(cross) for name, cross in out.items()}
 
 
@@ -236,33 +265,55 @@ def kernel_pls(xx: np.ndarray | RowProducts, xy: np.ndarray, components: int) ->
     return {"w": w, "q": q, "tt": tt, "coef": r @ q}
 
 
-def soft(value: float, by: float) -> float:
-    return np.sign(value) * max(abs(value) - by, 0.0)
+def feature_sign(g: np.ndarray, b: np.ndarray, penalty: float, w: np.ndarray, tol: float = 1e-10) -> np.ndarray:
+    """Minimum of ``w'gw / 2 - b'w + penalty |w|`` by active signs: with the signs given it is
+    a linear system, and a step stops where a coefficient would change its sign."""
+    w = w.copy()
+    if not len(b):
+        return w
+    sign = np.sign(w)
+    scale = max(np.abs(b).max(initial=0.0), penalty, 1e-300)
+
+    def cost(v: np.ndarray, at: np.ndarray) -> float:
+        return float(v @ (g[np.ix_(at, at)] @ v) / 2 - b[at] @ v + penalty * np.abs(v).sum())
+
+    for _ in range(50 * len(b) + 100):
+        slope = g @ w - b
+        held = sign != 0
+        settled = not held.any() or np.abs(slope[held] + penalty * sign[held]).max() <= tol * scale
+        if settled:
+            free = np.where(held, 0.0, np.abs(slope))
+            j = int(np.argmax(free))
+            if free[j] <= penalty + tol * scale:
+                break
+            sign[j] = -np.sign(slope[j])
+        at = np.flatnonzero(sign)
+        system, right = g[np.ix_(at, at)], b[at] - penalty * sign[at]
+        try:
+            goal = np.linalg.solve(system, right)
+        except np.linalg.LinAlgError:
+            goal = np.linalg.lstsq(system, right, rcond=None)[0]
+        now = w[at]
+        step = goal - now
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = np.where(now * goal < 0, -now / step, 1.0)
+        points = [now + t * step for t in np.unique(np.append(cross, 1.0))]
+        for p, t in zip(points, np.unique(np.append(cross, 1.0))):
+            p[np.isclose(cross, t, rtol=1e-12, atol=0) & (now * goal < 0)] = 0.0
+        best = points[int(np.argmin([cost(p, at) for p in points]))]
+        if np.array_equal(best, now):
+            break
+        w[at] = best
+        sign = np.sign(w)
+    return w
 
 
-def lasso_path(
-    xx: np.ndarray, xy: np.ndarray, n: float, alphas: Sequence[float], tol: float = 1e-9
-) -> list[np.ndarray]:
-    """Coordinate descent on centred cross products, warm-started along the path."""
-    p = len(xy)
-    w = np.zeros(p)
-    grad = xy.copy()  # Xᵀ(y − Xw)
-    diag = np.diag(xx).copy()
-    live = np.flatnonzero(diag > 1e-12 * max(diag.max(), 1e-300))
-    out = []
+def lasso_path(xx: np.ndarray, xy: np.ndarray, n: float, alphas: Sequence[float]) -> list[np.ndarray]:
+    """L1 fits on centred cross products, warm-started along the path."""
+    w, out = np.zeros(len(xy)), []
     for alpha in alphas:
-        for _ in range(10_000):
-            biggest = 0.0
-            for j in live:
-                old = w[j]
-                new = soft(grad[j] + diag[j] * old, n * alpha) / diag[j]
-                if new != old:
-                    grad -= xx[:, j] * (new - old)
-                    w[j] = new
-                    biggest = max(biggest, abs(new - old))
-            if biggest <= tol * max(1.0, np.abs(w).max()):
-                break
-        out.append(w.copy())
+        w = feature_sign(xx, xy, n * alpha, w)
+        out.append(w)
     return out
 
 
@@ -369,9 +420,142 @@ class SparseRegression:
     table: DataFrame = field(repr=False)
 
 
-def sparse_regression(matrix: FeatureMatrix, folds: int = 5, alphas: int = 100) -> SparseRegression:
-    """L1 regression with the penalty chosen by cross-validation."""
-    folds = min(folds, matrix.n)
+class FoldProducts:
+    """Cross products of standardised rows by fold, asked for only where the L1 path needs them.
+
+    A problem leaves one fold out; the last one leaves out none.  A pass gives every
+    problem's ``XᵀXw`` for a few ``w``, or the folds' products among chosen columns;
+    the driver holds vectors as long as the columns, and a matrix of the chosen ones.
+    """
+
+    def __init__(self, rows: DataFrame, columns: int, folds: int):
+        self.columns, self.folds = columns, folds
+        self.products = RowProducts.__new__(RowProducts)
+        self.products.rows = cut_lineage(rows.select("x", "y", "fold"), "fold-rows")
+        self.products.columns = columns
+
+        def sums(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+            out = np.zeros((folds, 3 * columns + 3))
+            for f in np.unique(fold):
+                a, b = x[fold == f], y[fold == f]
+                out[f] = np.concatenate([a.sum(0), (a * a).sum(0), b @ a, [len(b), b.sum(), b @ b]])
+            return out.ravel()
+
+        flat = self.products._summed(sums, folds * (3 * columns + 3), "fold").reshape(folds, -1)
+        self.part = flat
+        train = np.vstack([flat.sum(0) - flat, flat.sum(0)])
+        self.n, self.y_sum, self.yy = train[:, -3], train[:, -2], train[:, -1]
+        self.mean = train[:, :columns] / self.n[:, None]
+        self.y_mean = self.y_sum / self.n
+        self.xy = train[:, 2 * columns:3 * columns] - self.n[:, None] * self.mean * self.y_mean[:, None]
+
+    def times(self, chosen: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """Centred ``XᵀX`` of every problem times vectors that are zero outside the chosen columns:
+        ``(problems, chosen, k)`` in, ``(problems, columns, k)`` out."""
+        problems, _, k = vectors.shape
+        flat = np.ascontiguousarray(vectors.transpose(1, 0, 2)).reshape(len(chosen), problems * k)
+        shared = self.products.rows.sparkSession.sparkContext.broadcast(flat)
+
+        def one(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+            score = (x[:, chosen] @ shared.value).reshape(len(x), problems, k)
+            score[np.arange(len(fold)), fold] = 0.0  # a fold is not among its problem's rows
+            return (score.reshape(len(x), -1).T @ x).ravel()
+
+        shape = (problems, k, self.columns)
+        raw = self.products._summed(one, int(np.prod(shape)), "fold").reshape(shape).transpose(0, 2, 1)
+        inner = np.einsum("fp,fpk->fk", self.mean[:, chosen], vectors)
+        return raw - self.n[:, None, None] * self.mean[:, :, None] * inner[:, None, :]
+
+    def among(self, chosen: np.ndarray) -> np.ndarray:
+        """Centred products of the chosen columns, ``(problems, chosen, chosen)``."""
+        size, folds = len(chosen), self.folds
+
+        def one(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+            out, a = np.zeros((folds, size, size)), x[:, chosen]
+            for f in np.unique(fold):
+                out[f] = a[fold == f].T @ a[fold == f]
+            return out.ravel()
+
+        part = self.products._summed(one, folds * size * size, "fold").reshape(folds, size, size)
+        raw = np.concatenate([part.sum(0) - part, part.sum(0)[None]])
+        m = self.mean[:, chosen]
+        return raw - self.n[:, None, None] * m[:, :, None] * m[:, None, :]
+
+    def left_out_error(self, problem: int, w: np.ndarray, product: np.ndarray) -> float:
+        """Mean squared error of a problem's fit on the fold it leaves out; ``product`` is
+        the centred ``XᵀXw`` of that fold's rows."""
+        x_sum, xy, (n, y_sum, yy) = (self.part[problem, :self.columns],
+                                     self.part[problem, 2 * self.columns:3 * self.columns], self.part[problem, -3:])
+        mean, y_mean = x_sum / n, y_sum / n
+        spread = yy - n * y_mean ** 2 - 2 * w @ (xy - n * mean * y_mean) + w @ product
+        off = y_mean - self.y_mean[problem] - (mean - self.mean[problem]) @ w
+        return float(spread / n + off ** 2)
+
+
+def screened_paths(found: FoldProducts, grid: np.ndarray, together: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Every problem's coefficients along ``grid`` (problems, penalties, columns) of the chosen columns, and those.
+
+    ``together`` penalties are solved at a time among the columns held, then one pass
+    checks the optimality conditions of all columns.  Penalties before the first one
+    that fails are done; there the columns enter that fail or come within ``NEAR`` of
+    it, and the path goes on from there.
+    """
+    problems = len(found.xy)
+    chosen, grams = np.zeros(0, np.int64), np.zeros((problems, 0, 0))
+    paths = np.zeros((problems, len(grid), 0))
+    begin = 0
+    while begin < len(grid):
+        alphas = grid[begin:begin + together]
+        for f in range(problems):
+            w = paths[f, begin - 1] if begin else np.zeros(len(chosen))
+            for k, alpha in enumerate(alphas):
+                w = feature_sign(grams[f], found.xy[f, chosen], found.n[f] * alpha, w)
+                paths[f, begin + k] = w
+        w = paths[:, begin:begin + len(alphas)].transpose(0, 2, 1)
+        slope = np.abs(found.xy[:, :, None] - (found.times(chosen, w) if len(chosen) else 0.0))
+        slope = slope / (found.n[:, None, None] * np.maximum(alphas, 1e-300))
+        slope[:, chosen, :] = 0.0
+        failed = (slope > 1 + 1e-7).any(axis=(0, 1))
+        if not failed.any():
+            begin += len(alphas)
+            continue
+        k = int(np.argmax(failed))
+        begin += k
+        fresh = np.flatnonzero((slope[:, :, k] > NEAR).any(axis=0))
+        chosen = np.append(chosen, fresh)
+        grams = found.among(chosen)
+        paths = np.pad(paths, ((0, 0), (0, 0), (0, len(fresh))))
+    return paths, chosen
+
+
+def _products_fit(matrix: FeatureMatrix, folds: int, alphas: int):
+    """(penalty, coefficients, R²) by passes over the rows, for any number of columns."""
+    columns = len(matrix.names)
+    found = FoldProducts(with_fold(matrix.rows, matrix.n, folds), columns, folds)
+    top = np.abs(found.xy[-1]).max() / found.n[-1]
+    grid = np.geomspace(top, top * 1e-3, alphas) if top > 0 else np.zeros(1)
+    paths, chosen = screened_paths(found, grid)
+    errors = np.zeros((folds, len(grid)))
+    full = found.among(chosen) if len(chosen) else np.zeros((folds + 1, 0, 0))
+    raw_mean = found.mean[:, chosen]
+    n_part, mean_part = found.part[:, -3], found.part[:, :columns][:, chosen] / found.part[:, -3:-2]
+    totals = full + found.n[:, None, None] * raw_mean[:, :, None] * raw_mean[:, None, :]
+    for f in range(folds):
+        own = totals[-1] - totals[f] - n_part[f] * np.outer(mean_part[f], mean_part[f])
+        for k in range(len(grid)):
+            w, product = np.zeros(columns), np.zeros(columns)
+            w[chosen], product[chosen] = paths[f, k], own @ paths[f, k]
+            errors[f, k] = found.left_out_error(f, w, product)
+    best = int(np.argmin(errors.mean(axis=0)))
+    coef = np.zeros(columns)
+    coef[chosen] = paths[-1, best]
+    yy = found.yy[-1] - found.n[-1] * found.y_mean[-1] ** 2
+    residual = yy - 2 * coef @ found.xy[-1] + paths[-1, best] @ full[-1] @ paths[-1, best]
+    return float(grid[best]), coef, float(1.0 - residual / yy if yy > 0 else 0.0)
+
+
+def _matrix_fit(matrix: FeatureMatrix, folds: int, alphas: int):
+    """(penalty, coefficients, R²) from one matrix per fold, where few columns make it small."""
     parts = moments(with_fold(matrix.rows, matrix.n, folds), len(matrix.names), "fold")
     total = Moments(sum(m.cross for m in parts.values()))
     xx, xy, yy = total.centred()
@@ -387,11 +571,18 @@ def sparse_regression(matrix: FeatureMatrix, folds: int = 5, alphas: int = 100)
     best = int(np.argmin(errors.mean(axis=0)))
     coef = lasso_path(xx, xy, total.n, grid[: best + 1])[-1]
     residual = yy - 2 * coef @ xy + coef @ xx @ coef
-    r2 = 1.0 - residual / yy if yy > 0 else 0.0
+    return float(grid[best]), coef, float(1.0 - residual / yy if yy > 0 else 0.0)
+
+
+def sparse_regression(matrix: FeatureMatrix, folds: int = 5, alphas: int = 100) -> SparseRegression:
+    """L1 regression with the penalty chosen by cross-validation; any number of columns."""
+    folds = min(folds, matrix.n)
+    fit = _products_fit if len(matrix.names) > config.SPARSE_LIMIT else _matrix_fit
+    alpha, coef, r2 = fit(matrix, folds, alphas)
     table = vector_frame(matrix.rows.sparkSession, matrix.names, coef=coef, score=np.abs(coef)).withColumn(
         "direction", F.when(F.col("coef") > 0, "increases").when(F.col("coef") < 0, "decreases"))
     selected = [matrix.names[i] for i in np.argsort(-np.abs(coef), kind="stable") if coef[i] != 0]
-    return SparseRegression(float(grid[best]), coef, float(r2), selected, table)
+    return SparseRegression(alpha, coef, r2, selected, table)
 
 
 # ── trajectory models ────────────────────────────────────────────────────────

@@ -7,7 +7,8 @@ every run costs one pass instead of one projection per step.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from trajecta.functions.numeric import tier
 from trajecta.operators.align import index_phase
 from trajecta.operators.label import choose_training, yield_cuts
 from trajecta.operators.linear_models import (
-    RowProducts, cell_table, check_width, cross_products, kernel_pls, principal_axes, scaled_rows, scaler,
+    RowProducts, cell_table, cross_products, kernel_pls, principal_axes, scaled_rows, scaler,
 )
 from trajecta.operators.scale import quantiles
 from trajecta.session import cut_lineage
@@ -380,28 +381,48 @@ def fit_forecast(
     return Model(terms, meta, kept, variables, {"moments": total})
 
 
-def _fold_predictions(
-    x: np.ndarray, y: np.ndarray, cross: np.ndarray, components: int
-) -> np.ndarray:
+@dataclass
+class Totals:
+    """Sums of ``[x, y]`` over all runs; ``times`` gives ``XᵀX`` times vectors in rows."""
+
+    n: float
+    sx: np.ndarray
+    sy: float
+    xy: np.ndarray
+    squares: np.ndarray
+    times: Callable[[np.ndarray], np.ndarray]
+
+    @classmethod
+    def of_matrix(cls, cross: np.ndarray) -> Totals:
+        xx = cross[:-2, :-2]
+        return cls(cross[-1, -1], cross[:-2, -1], cross[-2, -1], cross[:-2, -2], np.diag(xx), lambda u: u @ xx)
+
+    @classmethod
+    def of_rows(cls, rows: RowProducts) -> Totals:
+        """Every product is a pass over the rows."""
+        n, mean = rows.n, rows.x_mean
+        return cls(n, n * mean, n * rows.y_mean, rows.xy + n * mean * rows.y_mean, rows.spread + n * mean ** 2,
+                   lambda u: rows.raw(u.T).T)
+
+
+def _fold_predictions(x: np.ndarray, y: np.ndarray, totals: Totals, components: int) -> np.ndarray:
     """Prediction of every run by a model fitted without it.
 
     The training statistics of a fold are the totals minus one run; PLS needs
     them only through products with a few vectors, done for the block at once.
     """
-    n = cross[-1, -1]
+    n, sx, sy, xy = totals.n, totals.sx, totals.sy, totals.xy
     m = n - 1
-    xx, xy = cross[:-2, :-2], cross[:-2, -2]
-    sx, sy = cross[:-2, -1], cross[-2, -1]
     mean = (sx - x) / m
     y_mean = (sy - y) / m
-    var = (np.diag(xx) - x * x) / m - mean * mean
+    var = (totals.squares - x * x) / m - mean * mean
     std = np.sqrt(np.maximum(var, 0.0))
     std = np.where(std > 1e-12, std, 1.0)
     s = (xy - x * y[:, None] - m * mean * y_mean[:, None]) / std
 
     def product(r: np.ndarray) -> np.ndarray:
         u = r / std
-        inner = u @ xx - x * (u * x).sum(1)[:, None] - m * mean * (u * mean).sum(1)[:, None]
+        inner = totals.times(u) - x * (u * x).sum(1)[:, None] - m * mean * (u * mean).sum(1)[:, None]
         return inner / std
 
     scale = np.linalg.norm(s, axis=1)
@@ -437,8 +458,10 @@ def leave_one_out(
     """``(batch_id, actual, predicted, fitted)``: each run predicted without it;
     ``predicted`` is NULL under four runs.
 
-    The totals are one matrix bounded by the matrix limit; runs are spread
-    over the cluster.
+    Up to the matrix limit the totals are one matrix and the runs are spread over
+    the cluster.  Wider runs are left out in blocks of ``FOLD_VALUES`` numbers: a pass
+    over the rows gives the next direction of every run of a block, and only the
+    block's vectors are on the driver.
     """
     total = model.info["moments"]
     n = int(total.n)
@@ -447,24 +470,34 @@ def leave_one_out(
     if n < 4:  # too few runs to leave one out
         return known.select("batch_id", F.col("yield").alias("actual"), F.lit(None).cast("double").alias(
             "predicted")).join(fitted, "batch_id")
-    check_width(len(model.variables) * points)
+    width = len(model.variables) * points
     rows = scaled_rows(aligned, model.terms, model.variables, known)
+    kept = max(1, min(components, n - 2, width))
+    schema = "batch_id string, actual double, predicted double"
+    if isinstance(total, RowProducts):
+        totals, block = Totals.of_rows(total), max(1, config.FOLD_VALUES // width)
+        runs = cut_lineage(rows.select("batch_id", "x", "y"), "left-out").toLocalIterator()
+        found = []
+        while part := list(itertools.islice(runs, block)):
+            y = np.array([r["y"] for r in part])
+            guess = _fold_predictions(np.array([r["x"] for r in part]), y, totals, kept)
+            found += zip([r["batch_id"] for r in part], y.tolist(), guess.tolist())
+        return aligned.sparkSession.createDataFrame(found, schema).join(fitted, "batch_id")
     shared = aligned.sparkSession.sparkContext.broadcast(total.cross)
-    kept = max(1, min(components, n - 2, len(model.variables) * points))
 
     def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = Totals.of_matrix(shared.value)
         for pdf in parts:
             y = pdf["y"].to_numpy(dtype=float)
             x = np.stack(pdf["x"].to_numpy())
             guesses = [
-                _fold_predictions(x[i:i + 64], y[i:i + 64], shared.value, kept)
+                _fold_predictions(x[i:i + 64], y[i:i + 64], totals, kept)
                 for i in range(0, len(y), 64)
             ]
             yield pd.DataFrame({
                 "batch_id": pdf["batch_id"], "actual": y, "predicted": np.concatenate(guesses)})
 
-    folds = rows.mapInPandas(predict, "batch_id string, actual double, predicted double")
-    return folds.join(fitted, "batch_id")
+    return rows.mapInPandas(predict, schema).join(fitted, "batch_id")
 
 
 def cross_validation(pairs: DataFrame) -> DataFrame:
