@@ -300,8 +300,10 @@ def feature_sign(g: np.ndarray, b: np.ndarray, penalty: float, w: np.ndarray, to
         points = [now + t * step for t in np.unique(np.append(cross, 1.0))]
         for p, t in zip(points, np.unique(np.append(cross, 1.0))):
             p[np.isclose(cross, t, rtol=1e-12, atol=0) & (now * goal < 0)] = 0.0
-        best = points[int(np.argmin([cost(p, at) for p in points]))]
-        if np.array_equal(best, now):
+        costs = [cost(p, at) for p in points]
+        best = points[int(np.argmin(costs))]
+        held_cost = cost(now, at)
+        if not min(costs) < held_cost - 1e-15 * abs(held_cost):  # down to rounding
             break
         w[at] = best
         sign = np.sign(w)
