@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -12,14 +14,17 @@ from trajecta.session import scratch_path
 from trajecta.streaming import online, sources, windows
 
 
-def _event_stream(spark, sf_dir, copies: int = 1):
-    """The events as a file stream; ``copies`` repeats every reading."""
+def _event_stream(spark, sf_dir, copies: int = 1, close: timedelta | None = None):
+    """The events as a file stream; ``copies`` repeats every reading.  With ``close`` a last
+    file moves the watermark that far past the last event."""
     static = fx.table(spark, sf_dir, "events").select(
         F.col("event_id"), F.col("user_id").cast("string").alias("batch_id"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("variable"), "value")
     path = scratch_path(spark, "events")
     for _ in range(copies):
         static.write.mode("append").parquet(path)
+    if close is not None:
+        sources.heartbeat(spark, path, static.schema, static.agg(F.max("ts")).first()[0] + close)
     return sources.reading_stream(spark, path, static.schema)
 
 
@@ -49,17 +54,21 @@ def _micros(df, *columns):
 HOUR = 3_600_000_000
 
 
+def _week():
+    return F.date_format(F.date_trunc("week", F.col("window_start")), "yyyy-MM-dd")
+
+
 @entry("tumbling_summary", window_sql(6 * HOUR, 6 * HOUR))
 def tumbling_summary(spark, sf_dir):
     out = windows.window_summary(_event_stream(spark, sf_dir), "6 hours")
-    table = sources.upsert_now(out, "tumbling", ["window_start", "window_end", "variable"])
+    table = sources.upsert_now(out, "tumbling", ["window_start", "window_end", "variable"], part=_week())
     return rounded(_micros(table, "window_start", "window_end"), 6, "mean", "std")
 
 
 @entry("sliding_summary", window_sql(12 * HOUR, 4 * HOUR))
 def sliding_summary(spark, sf_dir):
     out = windows.window_summary(_event_stream(spark, sf_dir), "12 hours", "4 hours")
-    table = sources.upsert_now(out, "sliding", ["window_start", "window_end", "variable"])
+    table = sources.upsert_now(out, "sliding", ["window_start", "window_end", "variable"], part=_week())
     return rounded(_micros(table, "window_start", "window_end"), 6, "mean", "std")
 
 
@@ -72,10 +81,13 @@ def sliding_summary(spark, sf_dir):
     FROM events))
   GROUP BY batch_id, g""")
 def run_sessions(spark, sf_dir):
-    """All sessions, open ones included; a pause of six hours ends one."""
-    out = windows.run_sessions(_event_stream(spark, sf_dir), "6 hours")
-    table = sources.complete_now(out, "sessions")
-    return rounded(_micros(table, "session_start", "session_end"), 6, "mean")
+    """All sessions, in append mode; a pause of six hours ends one."""
+    return rounded(_micros(_sessions(spark, sf_dir), "session_start", "session_end"), 6, "mean")
+
+
+def _sessions(spark, sf_dir, progress: list | None = None):
+    out = windows.run_sessions(_event_stream(spark, sf_dir, close=timedelta(hours=9)), "6 hours")
+    return sources.run_to_table(out, "sessions", progress=progress)
 
 
 def _live_runs(spark, sf_dir):
@@ -86,11 +98,15 @@ def _live_runs(spark, sf_dir):
 
 
 def _reading_files(spark, sf_dir):
-    """Long readings as files of one day each, in any order inside a day."""
-    static = fx.event_readings(spark, sf_dir).withColumn("variable", F.lit("value"))
+    """Long readings as six files by time, in any order inside a file; a last file closes the clock."""
+    static = fx.event_readings(spark, sf_dir).withColumn("variable", F.lit("value")).withColumn(
+        "ts", F.timestamp_micros(F.col("time_index").cast("long")))
     path = scratch_path(spark, "readings")
-    day = F.floor(F.col("time_index") / 86_400_000_000)
-    static.repartitionByRange(6, day).write.parquet(path)
+    first, last, end = static.agg(F.min("time_index"), F.max("time_index"), F.max("ts")).first()
+    part = F.least(F.floor((F.col("time_index") - first) / (last - first) * 6), F.lit(5))
+    for k in range(6):  # one after the other, as files are read in the order of their times
+        static.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    sources.heartbeat(spark, path, static.schema, end + timedelta(days=1))
     return sources.reading_stream(spark, path, static.schema, files_per_trigger=2)
 
 
@@ -98,25 +114,40 @@ def _reading_files(spark, sf_dir):
   SELECT batch_id, variable, CAST(step AS INTEGER) AS step, round(time_norm, 6) AS time_norm,
     round(value, 6) AS value FROM event_aligned""", "event_aligned"))
 def online_alignment(spark, sf_dir):
-    """Cells updated over several micro-batches, then the steps they close."""
+    """Steps in append mode over several micro-batches, as their segments close."""
+    return rounded(_live_steps(spark, sf_dir), 6, "time_norm", "value")
+
+
+def _live_steps(spark, sf_dir, progress: list | None = None):
+    readings, runs = _reading_files(spark, sf_dir), _live_runs(spark, sf_dir)
+    steps = online.aligned_stream(readings, runs, delay="1 hour", unit_ms=0.001)
+    return sources.run_to_table(steps, "live-steps", progress=progress)
+
+
+@entry("online_cells", twin("""
+  SELECT batch_id, variable, CAST(step AS INTEGER) AS step, round(time_norm, 6) AS time_norm,
+    round(value, 6) AS value FROM event_aligned""", "event_aligned"))
+def online_cells(spark, sf_dir):
+    """Cells updated over several micro-batches, however late, then the steps they close."""
     cells = online.cell_stream(_reading_files(spark, sf_dir), _live_runs(spark, sf_dir))
     table = sources.upsert_now(cells, "cells", ["batch_id", "variable", "cell"])
     return rounded(online.steps_of_cells(table), 6, "time_norm", "value")
 
 
-def _watched(spark, sf_dir, disorder: bool = False):
+def _watched(spark, sf_dir, disorder: bool = False, progress: list | None = None):
     """The monitor over the aligned steps in files by step; with ``disorder``
     every reading comes twice, in files that mix all steps."""
-    runs = fx.aligned(spark, sf_dir)
+    runs = fx.aligned(spark, sf_dir).withColumn("ts", F.timestamp_seconds(946_684_800 + F.col("step") * 60))
     path = scratch_path(spark, "aligned")
     if disorder:
         runs.union(runs).repartition(5, F.xxhash64("batch_id", "variable", "step", F.rand(3))).write.parquet(path)
     else:
         runs.repartitionByRange(4, "step").write.parquet(path)
+    sources.heartbeat(spark, path, runs.schema, datetime(2000, 1, 2), variable=fx.VARIABLES[0], step=-1)
     stream = sources.reading_stream(spark, path, runs.schema, files_per_trigger=1)
     out = online.monitor_stream(
         stream, mon.model_terms(spark, sf_dir), mon.model_meta(spark, sf_dir), fx.VARIABLES, mon.COMPONENTS)
-    return sources.run_to_table(out, "watched")
+    return sources.run_to_table(out, "watched", progress=progress)
 
 
 @entry("readings_outside_schedule", """
@@ -180,6 +211,6 @@ def online_alarms(spark, sf_dir):
   FROM events GROUP BY user_id""")
 def upserted_batches(spark, sf_dir):
     """Running totals per batch, newest version kept."""
-    stream = _reading_files(spark, sf_dir)
+    stream = _reading_files(spark, sf_dir).where("batch_id <> ''")
     totals = stream.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return rounded(sources.upsert_now(totals, "totals", ["batch_id"]), 2, "total")

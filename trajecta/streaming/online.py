@@ -1,10 +1,11 @@
 """Online alignment, monitoring and alarms.
 
 Alignment of a live run needs its start and expected duration; both come from
-a table of runs.  A reading then falls in a known grid cell, and a streaming
-aggregation keeps the first and last sample of each cell: partial aggregation
-runs before the shuffle, state is bounded by the grid, and a late reading just
-updates its cell.
+a table of runs.  A reading then falls in a known grid cell.  Either a streaming
+aggregation keeps the first and last sample of each cell (``cell_stream``: a late
+reading just updates its cell), or, for streams that never end, the state of a run
+holds only the cells that the watermark has not closed yet, and its steps come out
+once (``aligned_stream``).
 
 Monitoring follows the aligned steps of a run.  Its input is bounded by
 variables x grid points per run, so one state per run is small.
@@ -64,6 +65,90 @@ def steps_of_cells(cells: DataFrame, points: int = config.GRID_POINTS) -> DataFr
         value.alias("value"))
 
 
+CELLS = "first boolean, anchor double, pace double, cell array<int>, ua array<double>, va array<double>, " \
+        "ub array<double>, vb array<double>"
+ALIGNED = "batch_id string, variable string, step int, time_norm double, value double"
+
+
+def merged_cells(u: np.ndarray, value: np.ndarray, held: tuple) -> tuple:
+    """First and last sample of every cell, of new samples and of cells held."""
+    cell, ua, va, ub, vb = held
+    cells = np.concatenate([cell, np.floor(u)]).astype(np.int64)
+    out = [np.unique(cells)]
+    for (pu, pv), last in (((ua, va), False), ((ub, vb), True)):
+        us, vs = np.concatenate([pu, u]), np.concatenate([pv, value])
+        order = np.lexsort((vs, us, cells))
+        edge = np.searchsorted(cells[order], out[0], side="right") - 1 if last else np.searchsorted(cells[order], out[0])
+        out += [us[order][edge], vs[order][edge]]
+    return tuple(out)
+
+
+def closed_steps(cells: tuple, first: bool, segments: int, ended: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Steps and values of the leading ``segments`` between neighbouring cells; of an ended
+    run also the step of a single first sample that lies on the grid."""
+    cell, ua, va, ub, vb = cells
+    start = cell + 1
+    if len(cell) and first and ua[0] == cell[0]:
+        start[0] = cell[0]
+    stop = np.append(cell[1:], cell[-1:])
+    use = segments + int(ended)
+    many = np.maximum(stop[:use] - start[:use] + 1, 0)
+    at = np.repeat(np.arange(use), many)
+    step = np.repeat(start[:use], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    ahead = np.minimum(at + 1, len(cell) - 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = vb[at] + (va[ahead] - vb[at]) * ((step - ub[at]) / (ua[ahead] - ub[at]))
+    return step, np.where(step == cell[at], va[at], between)
+
+
+def aligned_stream(
+    readings: DataFrame, runs: DataFrame, points: int = config.GRID_POINTS, time: str = "time_index",
+    clock: str = "ts", delay: str = "2 hours", unit_ms: float = 1.0,
+) -> DataFrame:
+    """Grid steps ``(batch_id, variable, step, time_norm, value)`` of a stream of long readings,
+    in append mode; ``runs`` is ``(batch_id, start, duration)`` in units of ``unit_ms``.
+
+    A segment between two neighbouring samples' cells comes out when the watermark of
+    ``clock`` has passed its later sample.  A run's state leaves with its last segment,
+    by a timer at its expected end; what comes later than ``delay`` is dropped by Spark.
+    """
+    top = points - 1
+    pace = F.col("duration") * unit_ms / top  # milliseconds of a grid step
+    u = (F.col(time) - F.col("start")) / F.col("duration") * top
+    rows = readings.withWatermark(clock, delay).where(F.col("value").isNotNull()).join(runs, "batch_id").select(
+        "batch_id", "variable", "value", clock, u.alias("u"), pace.alias("pace"),
+        (F.unix_millis(clock) - u * pace).alias("anchor")).where((F.col("u") >= 0) & (F.col("u") <= top))
+
+    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            first, anchor, pace, *held = state.get
+            held = tuple(np.array(x, float) for x in held)
+        else:
+            first, anchor, pace, held = True, None, None, (np.zeros(0),) * 5
+        for new in frames:
+            if anchor is None:
+                anchor, pace = float(new["anchor"].iloc[0]), float(new["pace"].iloc[0])
+            held = merged_cells(new["u"].to_numpy(float), new["value"].to_numpy(float), held)
+        held = (held[0].astype(np.int64), *held[1:])
+        settled = (state.getCurrentWatermarkMs() - anchor) / pace
+        ended = state.hasTimedOut or settled > top
+        later = held[1][1:]
+        segments = len(later) if ended else int(np.argmin(np.append(later < settled, False)))
+        step, value = closed_steps(held, first, segments, ended)
+        if ended:
+            state.remove()
+        else:
+            left = [x[segments:].tolist() for x in held]
+            state.update((first and not segments, anchor, pace, *left))
+            state.setTimeoutTimestamp(max(int(anchor + top * pace) + 1, state.getCurrentWatermarkMs() + 1))
+        if len(step):
+            yield pd.DataFrame({"batch_id": key[0], "variable": key[1], "step": step.astype(np.int32),
+                                "time_norm": step / float(top), "value": value})
+
+    return rows.groupBy("batch_id", "variable").applyInPandasWithState(
+        advance, ALIGNED, CELLS, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 # ── monitoring ───────────────────────────────────────────────────────────────
 
 OUTPUT = (
@@ -71,9 +156,11 @@ OUTPUT = (
     "t2_breach_95 boolean, t2_breach_99 boolean, spe_breach_95 boolean, spe_breach_99 boolean, "
     "t2_sustained boolean, spe_sustained boolean, late boolean, repeated boolean, variable string, value double"
 )
-# closed step, running sums and alarm streaks; then the open cells: step, variable and sums of each
+# closed step, running sums and alarm streaks; then the open cells: step, variable and sums of each;
+# the event time of the last reading
 STATE = (
-    "closed int, total array<double>, streak array<int>, steps array<int>, slots array<int>, sums array<double>"
+    "closed int, total array<double>, streak array<int>, steps array<int>, slots array<int>, sums array<double>, "
+    "latest long"
 )
 
 
@@ -87,6 +174,7 @@ def streaks(breach: np.ndarray, before: int) -> np.ndarray:
 def monitor_stream(
     aligned: DataFrame, terms: DataFrame, meta: DataFrame, variables: Sequence[str], components: int,
     points: int = config.GRID_POINTS, idle_ms: int | None = None, run: int = 3,
+    clock: str | None = "ts", delay: str = "2 hours",
 ) -> DataFrame:
     """One row per completed step of every run: T², SPE, forecast, breaches and
     the run rule.  A reading for a closed step comes out ``late``, a second one
@@ -95,10 +183,16 @@ def monitor_stream(
 
     A step is complete when every variable has arrived and the step before is
     closed, in whatever order readings come.  A finished run keeps only its
-    closed mark; give ``idle_ms`` on a continuous trigger, and state goes after
-    that long without input (such a timer keeps an ``availableNow`` query from
-    ending).
+    closed mark.  Where the stream has the event time ``clock``, the mark leaves when
+    the watermark (``delay`` behind) has passed the run's last reading, as later ones are
+    dropped by Spark then, so state is bounded by the open runs.  Without event time
+    give ``idle_ms`` on a continuous trigger, and state goes after that long without
+    input (such a timer keeps an ``availableNow`` query from ending).
     """
+    timed = clock is not None and clock in aligned.columns
+    if timed:
+        aligned = aligned.withWatermark(clock, delay)
+    at = [clock, F.unix_millis(clock).alias("_at")] if timed else []
     names = list(variables)
     width, size = len(names), components + 2
     z = (F.col("value") - F.col("mu")) / F.col("sigma")
@@ -107,9 +201,9 @@ def monitor_stream(
         known, ["variable", "step"]).select(
         "batch_id", "variable", "value", F.col("step").cast("int").alias("step"),
         (F.array_position(F.array(*map(F.lit, names)), F.col("variable")) - 1).cast("int").alias("slot"),
-        z.alias("z"), "loadings", "coef")
+        z.alias("z"), "loadings", "coef", *at)
     parts = rows.select(
-        "batch_id", "variable", "value", "step", "slot",
+        "batch_id", "variable", "value", "step", "slot", *([clock, "_at"] if timed else []),
         F.concat(
             F.array(F.col("z") * F.col("z"), F.col("z") * F.col("coef")),
             F.transform("loadings", lambda p: p * F.col("z")),
@@ -128,14 +222,16 @@ def monitor_stream(
             "variable": rows["variable"], "value": rows["value"]})
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if idle_ms and state.hasTimedOut:
+        if state.hasTimedOut:
             state.remove()
             return
         if state.exists:
-            closed, total, streak, steps, slots, sums = state.get
+            closed, total, streak, steps, slots, sums, latest = state.get
         else:
-            closed, total, streak, steps, slots, sums = -1, [0.0] * size, [0, 0], [], [], []
+            closed, total, streak, steps, slots, sums, latest = -1, [0.0] * size, [0, 0], [], [], [], 0
         new = pd.concat(list(frames), ignore_index=True)
+        if timed:
+            latest = max(latest, int(new["_at"].max()))
         out = []
         late = new["step"] <= closed
         if late.any():
@@ -176,8 +272,10 @@ def monitor_stream(
         if closed == points - 1:  # the closed mark tells late readings
             total, streak = [], []
         state.update((closed, total, streak, (cell // width).tolist(), (cell % width).tolist(),
-                      values.ravel().tolist()))
-        if idle_ms:
+                      values.ravel().tolist(), latest))
+        if timed and closed == points - 1:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
+        elif idle_ms and not timed:
             state.setTimeoutDuration(idle_ms)
         if out:
             rows = pd.concat([o.reindex(columns=columns) for o in out], ignore_index=True)
@@ -187,4 +285,5 @@ def monitor_stream(
 
     return parts.groupBy("batch_id").applyInPandasWithState(
         advance, OUTPUT, STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout if timed
+        else GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

@@ -22,8 +22,15 @@ def window_summary(
 
 
 def run_sessions(readings: DataFrame, gap: str, time: str = "ts", delay: str = "2 hours") -> DataFrame:
-    """Stretches of activity per batch: a pause longer than ``gap`` ends one."""
-    return _watermarked(readings, time, delay).groupBy(
+    """Stretches of activity per batch: a pause longer than ``gap`` ends one.
+
+    In append mode a session comes out, and its state leaves, when the watermark has
+    passed its end.  Rows with an empty batch_id only move the watermark (a heartbeat),
+    so that the last sessions of a source that pauses come out too.
+    """
+    # the condition names the event time, so that Spark does not move it below the watermark
+    told = (F.col("batch_id") != "") | F.col(time).isNull()
+    return _watermarked(readings, time, delay).where(told).groupBy(
         F.session_window(time, gap).alias("w"), "batch_id"
     ).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select(
         "batch_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"),
