@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from checks import fixtures as fx
 from trajecta.operators import monitor as mo
 from trajecta.plans import analysis
@@ -43,3 +45,22 @@ def test_unchanged_input_is_not_built_again(spark, sf_dir, tmp_path, monkeypatch
     monkeypatch.setattr(analysis, "analyse", None)
     again = analysis.run_once(store, batches, readings.orderBy("price"), fx.VARIABLES, filename="x", data_format="long")
     assert again == first
+
+
+def test_a_run_that_died_half_way_is_built_again(spark, sf_dir, tmp_path, monkeypatch):
+    batches, readings = fx.batches(spark, sf_dir), fx.gappy_readings(spark, sf_dir)
+    monkeypatch.setattr(analysis, "rank_parameters", lambda *a: None)
+    store = ResultStore(spark, str(tmp_path / "results"))
+
+    def die(*args):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "save_profile", die)  # after the batches, before the rest
+        with pytest.raises(RuntimeError):
+            analysis.run_once(store, batches, readings, fx.VARIABLES, filename="x", data_format="long")
+    assert store.runs().count() == 0
+    found = analysis.run_once(store, batches, readings, fx.VARIABLES, filename="x", data_format="long")
+    assert store.batches(found).count() == batches.count() and store.profile(found).count() > 0
+    meta = json.loads(store.run(found).first()["pipeline_meta"])
+    assert meta["tree_warning"].startswith("high overfitting risk")

@@ -59,8 +59,10 @@ def _sweep(x: np.ndarray, y: np.ndarray, real: np.ndarray, length: np.ndarray) -
     return m
 
 
-def fill_runs(starts: np.ndarray, columns: Sequence[np.ndarray], medians: Sequence[float]) -> list[np.ndarray]:
-    """The columns without NaN: cubic from four valid points of a run on, linear
+def fill_runs(
+    starts: np.ndarray, columns: Sequence[np.ndarray], medians: Sequence[float], cubic: bool = True
+) -> list[np.ndarray]:
+    """The columns without NaN: cubic from four valid points of a run on (if wanted), linear
     from two, constant from one, the median without any; ends take the nearest."""
     n = len(columns[0])
     run = np.zeros(n, np.int64)
@@ -87,7 +89,7 @@ def fill_runs(starts: np.ndarray, columns: Sequence[np.ndarray], medians: Sequen
         counts = np.add.reduceat(valid.astype(np.int64), starts)
         inside = np.zeros(len(starts), bool)
         inside[run[gap[both]]] = True
-        curved = inside & (counts >= 4)
+        curved = inside & (counts >= 4) & cubic
         if curved.any():
             knots = np.flatnonzero(valid & curved[run])
             m = np.zeros(n)

@@ -261,7 +261,7 @@ def _median_row(readings: DataFrame, variables: Sequence[str]) -> DataFrame:
         F.max(F.when(F.col("variable") == v, F.col("median"))).alias(f"_med{i}") for i, v in enumerate(variables)])
 
 
-def _fill_whole_runs(readings: DataFrame, variables: list[str]) -> DataFrame:
+def _fill_whole_runs(readings: DataFrame, variables: list[str], cubic: bool) -> DataFrame:
     """Every treatment in one shuffle: runs lie whole in sorted partitions and
     are filled many at a time."""
     schema = T.StructType([
@@ -275,7 +275,7 @@ def _fill_whole_runs(readings: DataFrame, variables: list[str]) -> DataFrame:
         table = table.combine_chunks()
         columns = [table.column(v).to_numpy(zero_copy_only=False).astype(float) for v in variables]
         medians = [table.column(f"_med{i}")[0].as_py() for i in range(len(variables))]
-        filled = dict(zip(variables, fill_runs(starts, columns, medians)))
+        filled = dict(zip(variables, fill_runs(starts, columns, medians, cubic)))
         return pa.RecordBatch.from_arrays([
             pa.array(filled[c]) if c in filled else table.column(c).combine_chunks() for c in names], names=names)
 
@@ -310,8 +310,8 @@ def impute(readings: DataFrame, variables: Sequence[str], cubic: bool = True) ->
     variables = list(variables)
     keep = [c for c in readings.columns if c not in variables]
     n = range(len(variables))
-    if cubic and (readings.groupBy("batch_id").count().agg(F.max("count")).first()[0] or 0) <= config.HOT_ROWS:
-        return _fill_whole_runs(readings, variables)
+    if (readings.groupBy("batch_id").count().agg(F.max("count")).first()[0] or 0) <= config.HOT_ROWS:
+        return _fill_whole_runs(readings, variables, cubic)
     rows = neighbours(readings, variables)
     if cubic:
         # valid cells need only their ordinal, gaps only their neighbours

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +88,28 @@ def rank_tests(marked: DataFrame, with_p: bool = True) -> DataFrame:
     return out
 
 
+def _counted_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Draws of every (feature, repetition, range), only counted per bin of positions.
+
+    Draw ``d`` is the number in the first eight hex digits of the MD5 of
+    ``feature|rep|d``, modulo the size, so it is the same however the ranges are cut.
+    """
+    for batch in batches:
+        for feature, rep, n, width, begin in zip(*(c.to_pylist() for c in batch.columns)):
+            head = hashlib.md5(f"{feature}|{rep}|".encode(), usedforsecurity=False)
+            words = bytearray()
+            for d in range(begin, min(begin + config.BOOTSTRAP_RANGE, n)):
+                one = head.copy()
+                one.update(b"%d" % d)
+                words += one.digest()[:4]
+            place = np.frombuffer(words, ">u4").astype(np.int64) % n // width
+            found, count = np.unique(place, return_counts=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([feature] * len(found)), pa.array(np.full(len(found), rep, np.int32)),
+                pa.array(np.full(len(found), n)), pa.array(np.full(len(found), width)), pa.array(found),
+                pa.array(count.astype(np.int64))], names=["feature", "rep", "_n", "_w", "bin", "_c"])
+
+
 def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> DataFrame:
     """90 % bootstrap intervals of P10 and P90 of the target group per feature.
 
@@ -104,12 +129,12 @@ def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> Da
         "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
     ).withColumn(
         "_from", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(config.BOOTSTRAP_RANGE).cast("long")))
-    ).repartition("feature", "rep", "_from").withColumn(
+    ).withColumn("_w", F.ceil(n / config.BOOTSTRAP_BINS)).repartition("feature", "rep", "_from")
+    each = turns.withColumn(
         "draw", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + config.BOOTSTRAP_RANGE, n) - 1)))
     key = F.concat_ws("|", "feature", F.col("rep").cast("string"), F.col("draw").cast("string"))
     word = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
-    width = F.ceil(n / config.BOOTSTRAP_BINS)
-    draws = turns.select("feature", "rep", "_n", (word % n).alias("idx"), width.alias("_w"))
+    draws = each.select("feature", "rep", "_n", (word % n).alias("idx"), "_w")
     ranks = F.array(*[
         F.struct(F.lit(tail).alias("tail"), edge((n - 1) * F.lit(p)).cast("long").alias("r"),
                  (share if side else 1 - share).alias("weight"))
@@ -122,8 +147,9 @@ def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> Da
         run = Window.partitionBy(*within).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
         return counted.withColumn("_start", F.coalesce(F.sum("_c").over(run), F.lit(0)))
 
-    bins = draws.groupBy("feature", "rep", "_n", "_w", F.floor(F.col("idx") / F.col("_w")).alias("bin")).agg(
-        F.count(F.lit(1)).alias("_c"))
+    bins = turns.select("feature", "rep", "_n", "_w", "_from").mapInArrow(
+        _counted_draws, "feature string, rep int, _n long, _w long, bin long, _c long").groupBy(
+        "feature", "rep", "_n", "_w", "bin").agg(F.sum("_c").alias("_c"))
     held = (F.col("r") >= F.col("_start")) & (F.col("r") < F.col("_start") + F.col("_c"))
     found = locate(bins, ["feature", "rep"], "bin").withColumn("t", F.explode(ranks)).select(
         "feature", "rep", "bin", "_c", "_start", "t.*", "_w").where(held).select(

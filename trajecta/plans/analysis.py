@@ -125,18 +125,24 @@ def save(
     store: ResultStore, found: Analysis, ranking: DataFrame | None, *, filename: str,
     data_format: str, run_name: str | None = None, fingerprint: str | None = None,
 ) -> int:
-    """Write the analysis to the result tables; returns the run id."""
+    """Write the analysis to the result tables; returns the run id.
+
+    The header with the fingerprint comes last and makes the run known: what a run
+    that died before has written belongs to an id that no header names.
+    """
     known = facts(found) | ({"fingerprint": fingerprint} if fingerprint else {})
     totals = found.batches.agg(F.count(F.lit(1)), F.count("yield")).first()
-    run_id = store.save_run(RunHeader(
-        filename=filename, data_format=data_format, n_batches=totals[0], n_cpps=len(found.variables),
-        n_time_steps=found.points, has_yield=totals[1] > 0, golden_pct_used=known["golden_pct_used"],
-        cpp_vars=found.variables, run_name=run_name, facts=known))
+    columns = found.basic.select("feature").distinct().count()
+    known["tree_warning"] = asn.tree_sizes(totals[1], columns).warning
+    run_id = store.take_run_id()
     store.save_batches(found.batches, run_id)
     store.save_profile(found.profile, found.profile_meta, run_id, found.members)
     if ranking is not None:
         store.save_rankings(asn.best_rows(ranking), run_id)
-    return run_id
+    return store.save_run(RunHeader(
+        filename=filename, data_format=data_format, n_batches=totals[0], n_cpps=len(found.variables),
+        n_time_steps=found.points, has_yield=totals[1] > 0, golden_pct_used=known["golden_pct_used"],
+        cpp_vars=found.variables, run_name=run_name, facts=known), run_id)
 
 
 def run_once(
