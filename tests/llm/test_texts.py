@@ -148,10 +148,27 @@ def test_near_duplicates_of_texts(spark, odd_rows):
     want = collections.Counter((i, f"{fingerprint(t):016x}", least[root(fingerprint(t))]) for i, t, *_ in rows)
     assert collections.Counter(tuple(r) for r in found) == want
     kept = [r["doc_id"] for r in simhash_golay.keep_one(frame(spark, rows)).collect()]
+    # one row per component, also where no row of it has an id
+    assert len(kept) == len({root(fingerprint(t)) for _, t, *_ in rows})
     assert sorted(k for k in kept if k is not None) == sorted({v for v in least.values() if v is not None})
     assert simhash_golay.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_keep_one_goes_by_row(spark):
+    """One id with two texts keeps both; copies without an id go."""
+    far = " ".join(f"q{i}" for i in range(40))
+    rows = [(1, "a first text of seven words here"), (None, "a first text of seven words here"), (2, far),
+            (2, "quite another text with its own words"), (2, far), (None, "a first text of seven words here")]
+    docs = frame(spark, rows)
+    got = simhash_golay.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [
+        (1, rows[0][1]), (2, far), (2, rows[3][1])]
+    nameless = frame(spark, [(None, far), (None, far)])
+    assert [r["text"] for r in simhash_golay.keep_one(nameless).collect()] == [far]
+    assert simhash_golay.keep_one(docs.limit(0)).count() == 0
+
+
 ODD_TEXTS = ["á ́x é́ İSTANBUL ΣΑΣ \x85x y <|endoftext|>z a<|startoftext|>b \x1c\x1d", "it's don't'll 123 ½x₂ 日本語 한글",
              "x." * 3000 + " I.E. A.B., it's. <|ENDOFTEXT|>, Don't!! a.. É. b.;\n " + "é" * 900, "", "  ", "a\x00b  c"]
 

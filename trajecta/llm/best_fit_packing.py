@@ -171,8 +171,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int | None = None,
     caps = np.array([capacity, max_docs or capacity, attention or capacity ** 2], float)
     w = np.array(weights)
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn(
-        "sequence_id", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # a row number parts exact repeats, too; of a stage table it is the same in every attempt
+    dealt = pieces.withColumn("sequence_id", F.pmod(
+        F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def place(group: pa.Table) -> pa.Table:
         length = group.column("length").to_numpy()

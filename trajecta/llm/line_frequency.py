@@ -3,8 +3,8 @@
 Lines are normalised (lower case, white space folded, digits as one mark) and
 hashed; per host the distinct documents of every line are counted.  A line in
 more than ``most_docs`` documents of its host is boilerplate there, however many
-documents the host has; only a caller that gives ``most_share`` also asks for that
-share of the host's documents.  A document is depleted, and rejected, if what
+documents the host has; ``remove_frequent_lines`` takes such lines out of the texts.
+A document is depleted, and rejected, if what
 is left without such lines is under ``least_words`` words or under
 ``least_share`` of its word characters.
 
@@ -90,31 +90,46 @@ def host_lines(rows: DataFrame) -> DataFrame:
                                                   F.count("*").alias("times"))
 
 
-def frequent_lines(lines: DataFrame, most_docs: int, most_share: float | None = None) -> DataFrame:
-    """(host, line) in more documents of the host than the limits given allow; a
-    host's documents are those with a line that has a word."""
-    hosts = lines.groupBy("host", "doc_id", "tk").agg(F.lit(1).alias("one")).groupBy("host").agg(
-        F.count("*").alias("docs"))
-    per_line = lines.groupBy("host", "line").agg(F.count("*").alias("line_docs")).where(
-        F.col("line_docs") > most_docs)
-    if most_share is None:
-        return per_line.select("host", "line")
-    return per_line.alias("l").join(
-        hosts.alias("h"), F.expr(f"l.host <=> h.host AND l.line_docs > h.docs * {most_share!r}D")
-    ).select("l.host", "l.line")
+def frequent_lines(lines: DataFrame, most_docs: int) -> DataFrame:
+    """(host, line) in more than ``most_docs`` documents of the host."""
+    return lines.groupBy("host", "line").agg(F.count("*").alias("line_docs")).where(
+        F.col("line_docs") > most_docs).select("host", "line")
 
 
-def quality(docs: DataFrame, most_docs: int = MOST_DOCS, most_share: float | None = None,
+def lines_that_go(lines: DataFrame, most_docs: int, salts: int) -> DataFrame:
+    """The rows of ``host_lines`` whose line is frequent on its host."""
+    often = frequent_lines(lines, most_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(salts)).cast("int"))
+    return salted.alias("a").join(
+        often.alias("b"), F.expr("a.host <=> b.host AND a.line = b.line AND a.salt = b.salt"), "left_semi")
+
+
+def remove_frequent_lines(docs: DataFrame, most_docs: int = MOST_DOCS, salts: int = SALTS) -> DataFrame:
+    """``docs`` without the lines that are frequent on their host; other columns as they
+    are, but for ``n_chars``, which follows a changed text."""
+    lines = stage(host_lines(rows_of(docs)), "host-lines")
+    gone = lines_that_go(lines, most_docs, salts).groupBy("doc_id", "tk", "host").agg(
+        F.collect_set("line").alias("gone")).alias("g")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       text_key(F.col("text")).alias("tk")).alias("d")
+    found = rows.join(gone, F.expr("d.row.doc_id <=> g.doc_id AND d.tk = g.tk AND d.row.source <=> g.host"), "left")
+    text = F.col("d.row.text")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: x.rlike(BLANK) | ~F.array_contains(
+        F.col("g.gone"), F.xxhash64(normalised(x)))), "\n")
+    changed = F.col("g.gone").isNotNull()
+    out = found.select("d.row", F.when(changed, kept).otherwise(text).alias("text"), changed.alias("changed"))
+    own = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(F.col("row.n_chars")).cast("long")
+    return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def quality(docs: DataFrame, most_docs: int = MOST_DOCS,
             least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, salts: int = SALTS) -> DataFrame:
     """Base counts, what boilerplate lines take away, and the verdict, per row."""
     rows = rows_of(docs)
     lines = stage(host_lines(rows), "host-lines")
-    often = frequent_lines(lines, most_docs, most_share).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(salts)).cast("int"))
-    gone = salted.alias("a").join(
-        often.alias("b"), F.expr("a.host <=> b.host AND a.line = b.line AND a.salt = b.salt"), "left_semi"
-    ).groupBy("doc_id", "tk", "host").agg(
+    gone = lines_that_go(lines, most_docs, salts).groupBy("doc_id", "tk", "host").agg(
         F.sum("words").alias("gone_words"), F.sum("chars").alias("gone_chars"),
         F.sum("times").alias("gone_lines"))
     # repeated rows are one document here: their lines were counted together

@@ -4,12 +4,9 @@ Lines are normalised as in the quality rule and hashed.  Per line a HyperLogLog
 sketch of its sites is aggregated (partial sketches per task, merged).  A line
 whose estimate is clearly above ``min_sites`` is spread; estimates within
 ``band`` of the limit are settled by an exact distinct count over those lines
-only.  Spread lines are removed from every document that keeps at least
-``least_share`` of its words without them.  A document that would not is a copy
-of a text that many sites carry, not a page with boilerplate around its own
-text: it stays whole, for the near-duplicate step to decide on.  With
-``proven_copies`` no share decides: every spread line goes, and only documents
-whose whole text is on ``min_sites`` sites stay whole (the pipeline's rule).
+only.  Every spread line is removed.  Only documents whose whole text
+stands on ``min_sites`` distinct sites stay whole: they are copies of a text, not
+pages with boilerplate around their own, and the near-duplicate step decides on them.
 
 DataFrame functions only.  Lines are a stage table without their texts; the
 spread lines are joined back salted, as a line may be in a third of all documents.
@@ -24,24 +21,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import space_words, stage, text_key
+from trajecta.llm.common import stage, text_key
 from trajecta.llm.line_frequency import BLANK, normalised
 
 MIN_SITES = 5
 BAND = 0.25
-LEAST_SHARE = 0.3
 SALTS = 16
 LG_K = 11
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, place, line, words, site) of every line with a word."""
+    """(doc_id, tk, place, line, site) of every line with a word."""
     rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"),
                        F.coalesce(F.col("source"), F.lit("\u0000")).alias("site"),
                        F.posexplode(F.split("text", "\n")).alias("place", "line"))
     return rows.where(~F.col("line").rlike(BLANK)).select(
-        "doc_id", "tk", "place", "site", F.xxhash64(normalised(F.col("line"))).alias("line"),
-        F.size(space_words(F.col("line"))).cast("long").alias("words"))
+        "doc_id", "tk", "place", "site", F.xxhash64(normalised(F.col("line"))).alias("line"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
@@ -58,26 +53,18 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAN
     return clear.union(exact.select("line"))
 
 
-def removals(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
-             least_share: float = LEAST_SHARE, salts: int = SALTS, proven_copies: bool = False) -> DataFrame:
+def removals(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, salts: int = SALTS) -> DataFrame:
     """(doc_id, tk, places) of the lines to remove, for documents that change."""
     lines = stage(line_table(docs), "lines")
-    spread = spread_lines(lines, min_sites, band).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    spread = spread_lines(lines, min_sites, band).withColumn("salt", every)
     marked = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(salts)).cast("int")).join(
-        spread.withColumn("spread", F.lit(True)), ["line", "salt"], "left")
-    per_doc = marked.groupBy("doc_id", "tk").agg(
-        F.sum("words").alias("words"), F.sum(F.when(F.col("spread"), F.col("words")).otherwise(0)).alias("lost"),
-        F.collect_set(F.when(F.col("spread"), F.col("place"))).alias("places"))
-    if proven_copies:
-        copies = lines.groupBy("tk", "site").agg(F.lit(1).alias("one")).groupBy("tk").agg(
-            F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(
-            "tk", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        return per_doc.where(F.col("lost") > 0).withColumn(
-            "salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(
-            copies, ["tk", "salt"], "left_anti").select("doc_id", "tk", "places")
-    return per_doc.where((F.col("lost") > 0) & (
-        F.col("words") - F.col("lost") >= F.lit(least_share) * F.col("words"))).select("doc_id", "tk", "places")
+        spread, ["line", "salt"], "left_semi")
+    per_doc = marked.groupBy("doc_id", "tk").agg(F.collect_set("place").alias("places"))
+    copies = lines.groupBy("tk", "site").agg(F.lit(1).alias("one")).groupBy("tk").agg(
+        F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select("tk", every.alias("salt"))
+    return per_doc.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(
+        copies, ["tk", "salt"], "left_anti").select("doc_id", "tk", "places")
 
 
 def remove_spread_lines(docs: DataFrame, **options) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import map_slices, stage, texts_of
+from trajecta.llm.common import map_slices, stage, text_key, texts_of
 from trajecta.llm.components import components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # lowest bit and size of each
@@ -128,12 +128,13 @@ def fingerprint_of(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long."""
+    """(doc_id, tk, fp) of every row: id, a key of the text, and the fingerprint as a signed long."""
     def run(batch: pa.RecordBatch) -> dict:
         prints = np.array([fingerprint_of(t) for t in texts_of(batch)], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "fp": prints.view(np.int64)}
+        return {"doc_id": batch.column("doc_id"), "tk": batch.column("tk"), "fp": prints.view(np.int64)}
 
-    return map_slices(docs.select("doc_id", "text"), run, {"doc_id": pa.int64(), "fp": pa.int64()})
+    return map_slices(docs.select("doc_id", "text", text_key(F.col("text")).alias("tk")), run,
+                      {"doc_id": pa.int64(), "tk": pa.int64(), "fp": pa.int64()})
 
 
 def reporting_table(a: Column, b: Column) -> Column:
@@ -171,15 +172,16 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs``."""
+    """doc_id, tk, fp, root, component_id of every row of ``docs``; root is the component's
+    smallest fingerprint, which names it also where no row has an id."""
     prints = stage(fingerprints(docs), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(nodes))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select(F.col("fp").alias("node"), "component_id")
-    return prints.join(named, prints["fp"] == named["node"]).select("doc_id", "fp", "component_id")
+    named = placed.join(least, "root").select(F.col("fp").alias("node"), "root", "component_id")
+    return prints.join(named, prints["fp"] == named["node"]).select("doc_id", "tk", "fp", "root", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -188,9 +190,25 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The first document (smallest doc_id) of every component, once; rows without doc_id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    """One row of every component: that of smallest (doc_id, text key), NULL ids last.
+
+    The texts are not dealt out again but for rows that repeat the chosen id and text.
+    """
+    rows = stage(near_duplicates(docs).groupBy("root", "doc_id", "tk").agg(F.count("*").alias("copies")), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")
+    chosen = rows.groupBy("root").agg(F.min(order).alias("first"))
+    marked = rows.join(chosen, "root").select(
+        "doc_id", "tk", "copies", order.eqNullSafe(F.col("first")).alias("stays"))
+    tk = text_key(docs["text"])
+
+    def among(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        k = keys.select(F.col("doc_id").alias("_key_id"), F.col("tk").alias("_key_text"))
+        return df.join(k, df["doc_id"].eqNullSafe(k["_key_id"]) & (tk == k["_key_text"]), how)
+
+    kept = among(docs, marked.where("NOT stays"), "left_anti")
+    repeated = marked.where("stays AND copies > 1")
+    names = [f"`{c}`" for c in docs.columns]
+    once = among(kept, repeated, "left_semi").select("doc_id", tk.alias("_tk"), F.struct(*names).alias("_row")).groupBy(
+        "doc_id", "_tk").agg(F.first("_row").alias("_row")).select(
+        *[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return among(kept, repeated, "left_anti").select(*names).union(once)

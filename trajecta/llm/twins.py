@@ -21,14 +21,9 @@ normal AS (
     regexp_replace(trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS l
   FROM lines),
-hosts AS (
-  SELECT source, count(DISTINCT {'i': doc_id, 't': t}) AS docs
-  FROM d WHERE rid IN (SELECT rid FROM lines) GROUP BY source),
 often AS (
   SELECT d.source, l FROM normal JOIN d USING (rid) GROUP BY d.source, l
-  HAVING count(DISTINCT {'i': doc_id, 't': t}) > 20
-     AND count(DISTINCT {'i': doc_id, 't': t}) > 0.002 * (
-       SELECT h.docs FROM hosts h WHERE h.source IS NOT DISTINCT FROM d.source)),
+  HAVING count(DISTINCT {'i': doc_id, 't': t}) > 20),
 gone AS (
   SELECT rid, sum(words) AS words, sum(chars) AS chars, count(*) AS n
   FROM normal JOIN d USING (rid) JOIN often o ON o.l = normal.l AND o.source IS NOT DISTINCT FROM d.source
@@ -85,16 +80,17 @@ WITH d AS (
 split AS (SELECT rid, site, unnest(string_split(text, chr(10))) AS l,
             unnest(range(len(string_split(text, chr(10))))) AS place FROM d),
 lines AS (
-  SELECT rid, site, place, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words,
+  SELECT rid, site, place,
     regexp_replace(trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS key
   FROM split WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 spread AS (SELECT key FROM lines GROUP BY key HAVING count(DISTINCT site) >= 5),
 marked AS (SELECT lines.*, key IN (SELECT key FROM spread) AS gone FROM lines),
+copies AS (SELECT text FROM d WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT site) >= 5),
 changed AS (
-  SELECT rid, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n FROM marked GROUP BY rid
-  HAVING sum(CASE WHEN gone THEN words ELSE 0 END) > 0
-     AND sum(CASE WHEN gone THEN 0 ELSE words END) >= 0.3 * sum(words)),
+  SELECT rid, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n FROM marked
+  WHERE rid NOT IN (SELECT rid FROM d JOIN copies USING (text)) GROUP BY rid
+  HAVING sum(CASE WHEN gone THEN 1 ELSE 0 END) > 0),
 kept AS (
   SELECT s.rid, string_agg(s.l, chr(10) ORDER BY s.place) AS text
   FROM split s JOIN changed c USING (rid) LEFT JOIN marked m ON m.rid = s.rid AND m.place = s.place
