@@ -17,11 +17,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites share leave the texts, also short ones; every document stays."""
-    return line_spread.remove_spread_lines(docs, proven_copies=True).select(*[f"`{c}`" for c in docs.columns])
+    return line_spread.remove_spread_lines(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every component stays."""
+    """The document of smallest id of every component stays, rows without id being members too."""
     return simhash_golay.keep_one(docs)
 
 
