@@ -54,8 +54,8 @@ def test_pages_of_the_table(spark):
 
 
 def test_automaton_statistics():
-    automaton, _, vocabulary = license_scan.scanner()
-    sequences = [license_scan.words_of(t.encode()) for _, t in license_scan.TEMPLATES]
+    known = license_scan.Scanner([x for x in license_scan.TEMPLATES if len(x[1]) < 400])
+    automaton, vocabulary, sequences = known.automaton, known.vocabulary, known.sequences
     places = collections.defaultdict(set)
     for s, words in enumerate(sequences):
         for i in range(len(words)):
@@ -71,8 +71,52 @@ def test_automaton_statistics():
         assert length == want and (not want or automaton.ends[state] == places[tuple(words[i + 1 - want:i + 1])])
 
 
+def test_matches_are_all_that_grow_to_neither_side():
+    """Brute force: every run of a template in the text, also inside a longer match of another."""
+    rng = random.Random(3)
+    templates = [("a", "one two three four"), ("b", "zero one two three four five"), ("c", "two three four two three four six"),
+                 ("a", " ".join(rng.choice("one two three six".split()) for _ in range(20)))]
+    known = license_scan.Scanner(templates)
+    for _ in range(200):
+        words = [rng.choice(b"zero one two three four five six xx".split()) for _ in range(rng.randrange(40))]
+        if rng.random() < 0.7:
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice(known.sequences)
+        want = set()
+        for t, s in enumerate(known.sequences):
+            for i in range(len(words)):
+                for p in range(len(s)):
+                    if words[i] == s[p] and not (i and p and words[i - 1] == s[p - 1]):
+                        n = 0
+                        while i + n < len(words) and p + n < len(s) and words[i + n] == s[p + n]:
+                            n += 1
+                        if n >= 3:
+                            want.add((t, i, p, n))
+        got = known.matches(words, 3)
+        assert len(got) == len(set(got)) and set(got) == want
+    assert {t for t, *_ in known.matches(b"zero one two three four five".split(), 4)} == {0, 1}
+
+
+@pytest.mark.parametrize("text", [
+    "Songs released under the Apache License", "the dam was released under the bridge",
+    "released under the Freedom of Information Act", "all rights are reserved", "this work is licensed under a new name",
+    "Permission to use this software is hereby granted with the above notice"])
+def test_shared_words_give_no_label(text):
+    words = license_scan.words_of(text.encode())
+    assert license_scan.spans(words) == []
+
+
+def test_whole_licences_give_their_label():
+    for label, text in license_scan.TEMPLATES:
+        words = license_scan.words_of(("intro " + text + " outro").encode())
+        assert label in {s[0] for s in license_scan.spans(words)}
+    for label in ("mit", "isc", "bsd", "zlib"):
+        text = next(t for name, t in license_scan.TEMPLATES if name == label)
+        assert {s[0] for s in license_scan.spans(license_scan.words_of(text.encode()))} == {label}
+
+
 def test_licences(spark, odd_rows):
-    mit = license_scan.TEMPLATES[0][1]
+    mit = next(t for label, t in license_scan.TEMPLATES if label == "mit" and len(t) < 600 and t.startswith("Permission"))
     rows = [(1, "the MIT License, mit-license!"), (2, mit.replace("modify, merge,", "modify or join,")),
             (3, "General  Public\nLicense xMIT license"), (4, "permission is hereby"), (5, "apache license mit license"),
             (6, "Licensed under CC BY-NC 4.0.")]
@@ -82,6 +126,7 @@ def test_licences(spark, odd_rows):
     assert (got[3]["n_words"], got[3]["base_labels"]) == (5, "gpl") and got[4]["labels"] == ""
     assert got[5]["base_labels"] == "apache,mit" and got[6]["labels"] == "cc-by-nc"
     assert license_scan.scan(frame(spark, odd_rows)).count() == len(odd_rows)
+    assert license_scan.scan(frame(spark, odd_rows).limit(0)).count() == 0
     words = re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "Ünï Ab9,é_x".encode().lower())
     assert license_scan.words_of("Ünï Ab9,é_x".encode()) == words
 
@@ -181,6 +226,19 @@ def test_tokens_are_those_of_whole_texts(spark):
         assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_repeated_rows_are_dealt_apart(spark):
+    """Five thousand equal rows fill no group beyond twice the wanted size."""
+    rows = [(1, 0, 0, 10, 7)] * 5000 + [(k, 0, 0, 10 + k % 90, k) for k in range(2, 5002)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = best_fit_packing.pack(pieces, group_pieces=500).selectExpr("sequence_id >> 32 AS g", "length", "sequence_id", "offset")
+    found = packed.collect()
+    assert len(found) == 10_000 and max(collections.Counter(r["g"] for r in found).values()) < 1000
+    held = collections.Counter()
+    for r in found:
+        held[r["sequence_id"]] += r["length"]
+    assert max(held.values()) <= 2048 and len(held) <= sum(held.values()) / 2048 + 21
+
+
 @pytest.mark.parametrize("rule,weights", [("norm", (1, 0, 0)), ("dot", (1, 0.5, 0.5)), ("norm", (1, 0.2, 0.2))])
 def test_best_fit_keeps_every_capacity(rule, weights):
     rng = np.random.default_rng(2)

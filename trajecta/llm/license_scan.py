@@ -2,10 +2,13 @@
 
 The automaton holds the word sequences of the licence templates below, separated
 so that no match crosses two templates.  A text's words are streamed through it;
-wherever the longest match ends, and is ``MIN_MATCH`` words or more, it is placed
-in each template that holds it; places are chained in text order per template
-(positions ascending in text and template, gaps of ``MAX_GAP`` words at most) and
-a chain that covers ``COVER`` of a template's words gives the template's label.
+wherever a template's own match stops growing, and is ``MIN_MATCH`` words or more, it
+is placed (the automaton's suffix links lead to matches inside longer ones); places
+are chained in text order per template (positions ascending in text and template,
+gaps of ``MAX_GAP`` words at most).  A chain gives the template's label if it covers
+``COVER`` of its words and of the words that no template of another label has; of
+a template under ``SHORT`` words it must cover all, as such sentences share most of
+their words with common speech.
 
 Independently, a base phrase (words in a row) gives its label wherever it stands.
 
@@ -25,12 +28,44 @@ from trajecta.llm.common import map_slices, texts_of
 MIN_MATCH = 3
 MAX_GAP = 12
 COVER = 0.6
+SHORT = 16
 
 # Phrases that decide on their own, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Notices that licences ask to be put in a work, as published.
+# Licence texts, and notices that licences ask to be put in a work, as published.
 TEMPLATES = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+            "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+            "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+            "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+            "following conditions: The above copyright notice and this permission notice shall be included in all "
+            "copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+            "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+            "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+            "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF "
+            "OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+            "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+            "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+            "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+            "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+            "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+            "that the following conditions are met: Redistributions of source code must retain the above copyright "
+            "notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce "
+            "the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+            "and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "
+            "AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+            "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+             "held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+             "this software for any purpose, including commercial applications, and to alter it and redistribute it "
+             "freely, subject to the following restrictions"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+            "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License "
+            "for more details. You should have received a copy of the GNU General Public License along with this program."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
             "software and associated documentation files (the \"Software\"), to deal in the Software "
             "without restriction, including without limitation the rights to use, copy, modify, merge, "
@@ -133,56 +168,80 @@ class Automaton:
             yield state, length
 
 
-@lru_cache(maxsize=1)
-def scanner() -> tuple[Automaton, list[int], frozenset]:
-    sequences = [words_of(text.encode()) for _, text in TEMPLATES]
-    return Automaton(sequences), [len(s) for s in sequences], frozenset(w for s in sequences for w in s)
-
+class Scanner:
+    """The automaton over all templates, and what tells them apart."""
+
+    def __init__(self, templates: list[tuple[str, str]]):
+        self.labels = [label for label, _ in templates]
+        self.sequences = [words_of(text.encode()) for _, text in templates]
+        self.automaton = Automaton(self.sequences)
+        self.vocabulary = frozenset(w for s in self.sequences for w in s)
+        self.own: list[frozenset] = []  # places of a template whose word no other label has
+        for label, words in zip(self.labels, self.sequences):
+            others = {w for other, s in zip(self.labels, self.sequences) if other != label for w in s}
+            self.own.append(frozenset(i for i, w in enumerate(words) if w not in others))
+
+    def matches(self, words: list[bytes], min_match: int = MIN_MATCH) -> list[tuple[int, int, int, int]]:
+        """(template, start in the text, start in the template, length) of every match that grows
+        to neither side.
+
+        Words outside the templates' vocabulary end every match, so only runs of
+        vocabulary words are streamed.
+        """
+        automaton, sequences = self.automaton, self.sequences
+        found, at, n = [], 0, len(words)
+        marks = [i for i, w in enumerate(words) if w not in self.vocabulary]
+        for stop in (*marks, n):
+            if stop - at >= min_match:
+                for i, (state, length) in enumerate(automaton.statistics(words[at:stop]), at):
+                    after = words[i + 1] if i + 1 < stop else None
+                    known: set = set()
+                    while length >= min_match:
+                        for t, p in automaton.ends[state] - known:
+                            if p + 1 == len(sequences[t]) or sequences[t][p + 1] != after:
+                                found.append((t, i - length + 1, p - length + 1, length))
+                        known |= automaton.ends[state]
+                        state = automaton.link[state]
+                        length = automaton.length[state]
+            at = stop + 1
+        return found
+
+    def accepts(self, t: int, covered: set[int], cover: float) -> bool:
+        """Whether the covered places of a template give its label."""
+        size = len(self.sequences[t])
+        least = 1.0 if size < SHORT else cover
+        return len(covered) >= least * size and len(covered & self.own[t]) >= least * len(self.own[t])
 
-def matches(words: list[bytes], min_match: int = MIN_MATCH) -> list[tuple[int, int, int, int]]:
-    """(template, start in the text, start in the template, length) of every right-maximal match.
 
-    Words outside the templates' vocabulary end every match, so only runs of
-    vocabulary words are streamed.
-    """
-    automaton, _, vocabulary = scanner()
-    found, at, n = [], 0, len(words)
-    marks = [i for i, w in enumerate(words) if w not in vocabulary]
-    for stop in (*marks, n):
-        if stop - at >= min_match:
-            run = list(automaton.statistics(words[at:stop]))
-            for i, (state, length) in enumerate(run):
-                if length >= min_match and (i + 1 == len(run) or run[i + 1][1] <= length):
-                    for t, p in automaton.ends[state]:
-                        found.append((t, at + i - length + 1, p - length + 1, length))
-        at = stop + 1
-    return found
+@lru_cache(maxsize=1)
+def scanner() -> Scanner:
+    return Scanner(TEMPLATES)
 
 
 def spans(words: list[bytes], min_match: int = MIN_MATCH, max_gap: int = MAX_GAP,
-          cover: float = COVER) -> list[tuple[str, int, int, float]]:
+          cover: float = COVER, known: Scanner | None = None) -> list[tuple[str, int, int, float]]:
     """(label, first word, last word, coverage) of every chain that covers enough of its template."""
-    _, sizes, _ = scanner()
+    known = known or scanner()
     out: list[tuple[str, int, int, float]] = []
     by_template: dict[int, list] = {}
-    for t, start, place, length in matches(words, min(min_match, min(sizes))):
+    for t, start, place, length in known.matches(words, min_match):
         by_template.setdefault(t, []).append((start, place, length))
     for t, places in by_template.items():
-        chains: list[list[int]] = []  # first word, end in text, end in template, words covered
-        near: list[list[int]] = []  # those that can still grow: places come in text order
+        chains: list[list] = []  # first word, end in text, end in template, places covered
+        near: list[list] = []  # those that can still grow: places come in text order
         for start, place, length in sorted(places):
-            best, near = None, [c for c in near if start - c[1] <= max_gap]
-            for c in near:
-                if 0 <= start - c[1] <= max_gap and 0 <= place - c[2] <= max_gap and (
-                        best is None or c[3] > best[3]):
-                    best = c
-            if best is None:
-                near.append([start, start + length, place + length, length])
-                chains.append(near[-1])
+            near = [c for c in near if start - c[1] <= max_gap]
+            fits = [c for c in near if start >= c[1] and 0 <= place - c[2] <= max_gap]
+            here = range(place, place + length)
+            if fits:
+                best = max(fits, key=lambda c: len(c[3]))
+                best[1:3] = [start + length, place + length]
+                best[3].update(here)
             else:
-                best[1:] = [start + length, place + length, best[3] + length]
-        out += [(TEMPLATES[t][0], c[0], c[1] - 1, c[3] / sizes[t])
-                for c in chains if c[3] >= cover * sizes[t]]
+                near.append([start, start + length, place + length, set(here)])
+                chains.append(near[-1])
+        out += [(known.labels[t], c[0], c[1] - 1, len(c[3]) / len(known.sequences[t]))
+                for c in chains if known.accepts(t, c[3], cover)]
     return out
 
 
