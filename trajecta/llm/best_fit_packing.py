@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from trajecta.llm.common import map_slices, stage
 
 GROUP_PIECES = 8192
+WEIGHTS = (1.0, 0.25, 0.25)  # of the residual tokens, documents and attention cost
 CACHE_WORDS = 1_500_000
 PIECE_TYPES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(),
                "length": pa.int64(), "ids_crc32": pa.int64()}
@@ -162,7 +163,7 @@ def best_fit(demands: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tu
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int | None = None,
-         attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+         attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS,
          rule: str = "norm", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Add sequence_id and offset.  ``max_docs`` pieces and an ``attention`` cost
     (sum of squared lengths) at most per sequence; the defaults never bind, as a
