@@ -40,6 +40,48 @@ def test_small_pages(page, text):
     assert html_extraction.main_text(page) == text
 
 
+def paragraphs(n):
+    return "".join(f"<p>Sentence {i} has words, and more of them. Another one follows.</p>" for i in range(n))
+
+
+def test_every_article_and_every_lede_stays():
+    two = html_extraction.main_text(f"<body><article>{paragraphs(11)}</article><article>{paragraphs(9)}</article>")
+    assert len(two.split("\n")) == 20
+    for n in (3, 10, 30, 60):
+        page = f"<div id=x><div class=lede>The lede, a sentence of its own.</div><div class=t>{paragraphs(n)}</div></div>"
+        assert len(html_extraction.main_text(page).split("\n")) == n + 1
+
+
+@pytest.mark.parametrize("wrapper", [
+    "form", "div class=layout-sidebar-left", "div class=search-result", "div class=page-share",
+    "div class=blog-post-widget", "div class=header-image", "section", "div"])
+def test_wrappers_of_everything_are_no_boilerplate(wrapper):
+    page = f"<body><{wrapper}><div>{paragraphs(5)}</div><div class=comments>{paragraphs(9)}</div></{wrapper.split()[0]}>"
+    assert html_extraction.main_text(page).count("\n") == 4
+
+
+def test_unmarked_notices_go_and_headings_stay():
+    page = f"<div><h2>Heading</h2>{paragraphs(4)}<div>Subscribe now for more</div><h2>Next part</h2>{paragraphs(2)}</div>"
+    lines = html_extraction.main_text(page).split("\n")
+    assert lines[0] == "Heading" and "Next part" in lines and len(lines) == 8
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 50_000 + "x, y.", "a <b'x " * 150_000, "<i>" * 50_000 + "</b>" * 50_000, "<a '>' " * 100_000 + "x",
+    "<p><div>" + "<blockquote>" * 50_000, "</div>" * 100_000, "<b " * 300_000, "<!--" * 200_000])
+def test_hostile_pages_take_seconds(page):
+    import time
+
+    start = time.time()
+    html_extraction.main_text(page)
+    assert time.time() - start < 20
+
+
+def test_clashing_columns_of_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a, b.</p>", "t", 7)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_extraction.extract(pages).collect()] == [(1, "u", "a, b.", 5)]
+
+
 def test_pages_of_the_table(spark):
     pages = table(spark, "/root/testdata/sf0.01", "pages")
     got = {r["page_id"]: r for r in html_extraction.extract(pages).collect()}
