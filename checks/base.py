@@ -11,6 +11,7 @@ TWINS: dict[str, str | Callable[[], str]] = {}
 
 # Named pieces of the twins.  ``twin`` puts the ones a query needs in front.
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+MATERIALISED: set[str] = set()  # pieces read more than once that the other engine shall make once
 
 
 def entry(name: str, sql: str | Callable[[], str] | None = None):
@@ -27,8 +28,10 @@ def entry(name: str, sql: str | Callable[[], str] | None = None):
     return add
 
 
-def cte(name: str, needs: tuple[str, ...], body: str) -> None:
+def cte(name: str, needs: tuple[str, ...], body: str, once: bool = False) -> None:
     CTES[name] = (needs, body)
+    if once:
+        MATERIALISED.add(name)
 
 
 def twin(select: str, *needs: str, recursive: bool = False) -> Callable[[], str]:
@@ -46,7 +49,7 @@ def twin(select: str, *needs: str, recursive: bool = False) -> Callable[[], str]
 
         for name in needs:
             visit(name)
-        parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
+        parts = ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in MATERIALISED)}({CTES[n][1]})" for n in ordered)
         head = "WITH RECURSIVE " if recursive else "WITH "
         return (head + parts + "\n" if parts else "") + select
 

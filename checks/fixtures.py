@@ -240,7 +240,8 @@ def aligned_sql(cells: str, points: int = 100) -> str:
 
 
 cte("aligned", ("reading_cells",), aligned_sql("reading_cells"))
-cte("golden_choice", ("batches", "aligned"), """
+cte("aligned_ids", ("aligned",), "SELECT DISTINCT batch_id FROM aligned", once=True)
+cte("golden_choice", ("batches", "aligned_ids"), """
   SELECT CASE WHEN n0 >= 3 THEN 0.75 WHEN n1 >= 3 THEN 0.67 WHEN n2 >= 3 THEN 0.6
       WHEN n3 >= 3 THEN 0.5 END::DOUBLE AS golden_pct_used,
     CASE WHEN n0 >= 3 THEN c0 WHEN n1 >= 3 THEN c1 WHEN n2 >= 3 THEN c2 WHEN n3 >= 3 THEN c3 END AS yield_threshold,
@@ -249,11 +250,11 @@ cte("golden_choice", ("batches", "aligned"), """
       sum((yield >= c2)::INT) AS n2, sum((yield >= c3)::INT) AS n3
     FROM batches, (SELECT quantile_cont(yield, 0.75) AS c0, quantile_cont(yield, 0.67) AS c1,
       quantile_cont(yield, 0.6) AS c2, quantile_cont(yield, 0.5) AS c3 FROM batches)
-    WHERE batch_id IN (SELECT batch_id FROM aligned) GROUP BY ALL)""")
+    WHERE batch_id IN (SELECT batch_id FROM aligned_ids) GROUP BY ALL)""", once=True)
 cte("golden_members", ("golden_choice",), """
   SELECT batch_id, golden_pct_used, yield_threshold FROM batches, golden_choice
-  WHERE yield >= yield_threshold AND batch_id IN (SELECT batch_id FROM aligned)""")
-cte("golden_rows", ("golden_members",), """
+  WHERE yield >= yield_threshold AND batch_id IN (SELECT batch_id FROM aligned_ids)""")
+cte("golden_rows", ("golden_members", "aligned"), """
   SELECT * FROM aligned WHERE batch_id IN (SELECT batch_id FROM golden_members)""")
 cte("erratic_rates", ("golden_rows",), """
   SELECT batch_id, variable, avg(CASE WHEN abs(value - m) / (s + 1e-9) > 2.5 THEN 1.0::DOUBLE ELSE 0 END) AS rate

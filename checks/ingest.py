@@ -38,7 +38,16 @@ def csv_long_layout(spark, sf_dir):
     return runs.join(totals, "batch_id")
 
 
-@entry("column_roles")
+@entry("column_roles", """
+  SELECT * FROM (VALUES
+    ('long', 'batch_id', 'time_index', NULL::VARCHAR, 'quantity,price,discount,tax', 0, NULL::BIGINT, 0),
+    ('unnamed', 'l_suppkey', 'l_linenumber', NULL, 'l_quantity,l_extendedprice', 0, NULL, 0),
+    ('wide', 'batch_id', NULL, 'yield', 'quantity,discount', 0, NULL, 0),
+    ('pivot', NULL, 'Timestamp', NULL, '', (SELECT CAST(count(DISTINCT o_orderpriority) AS INTEGER) FROM orders),
+      (SELECT count(DISTINCT o_orderdate) FROM orders), 0),
+    ('stacked', NULL, 'l_orderkey', NULL,
+      'l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax', 0, NULL, 0))
+  r(layout, batch_col, time_col, yield_col, cpp_cols, n_batch_cols, n_timepoints, n_warnings)""")
 def column_roles(spark, sf_dir):
     """Detected roles of the long, wide, pivot and stacked layouts."""
     long = detect.detect_long(fx.readings(spark, sf_dir))

@@ -124,6 +124,26 @@ def test_distribution_functions():
     assert stats.exact_u_tail(u, n1, n2) == pytest.approx(want)
 
 
+def test_exact_u_law_by_counting_partitions():
+    def plain(low, n1, n2):  # coefficients of the Gaussian binomial, one array entry per U
+        counts = [1] + [0] * low
+        for i in range(1, n1 + 1):
+            counts = [c - (counts[k - n2 - i] if k >= n2 + i else 0) for k, c in enumerate(counts)]
+            for k in range(i, low + 1):
+                counts[k] += counts[k - i]
+        return min(1.0, 2 * sum(counts) / math.comb(n1 + n2, n1))
+
+    for n1, n2 in ((1, 1), (1, 9), (2, 2), (3, 7), (5, 5), (5, 40), (7, 23), (8, 8), (8, 150)):
+        for u in {0, 1, n1, n2, n1 * n2 // 3, n1 * n2 / 2, n1 * n2}:
+            assert stats.exact_u_tail(u, n1, n2) == plain(int(min(u, n1 * n2 - u)), n1, n2)
+    # both tails meet at the centre; near it the normal law of so large a sample agrees
+    n2 = 10**8
+    assert stats.exact_u_tail(4 * n2, 8, n2) == pytest.approx(1.0, abs=1e-6)
+    assert 0 < stats.exact_u_tail(8 * n2 * 0.1, 8, n2) < 1e-3
+    assert stats.exact_u_tail(8 * n2 * 0.4, 8, n2) == pytest.approx(
+        stats.normal_u_tail(8 * n2 * 0.4, 8, n2, 0), rel=0.05)
+
+
 def test_warping_equals_the_plain_recurrence():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(3, 17)), rng.normal(size=(3, 23))

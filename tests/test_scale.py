@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajecta import config
+from trajecta.operators import association as asn
 from trajecta.operators import features as ft
+from trajecta.operators import linear_models as lm
 from trajecta.operators import recommend as rc
 from trajecta.operators import scale as sc
 from trajecta.operators.align import align
@@ -156,3 +158,38 @@ def test_file_positions_follow_the_file(spark, tmp_path):
     got = file_positions(spark.read.parquet(path).select("id", "_metadata"))
     assert got.where("id <> pos").count() == 0
     assert got.count() == 5000
+
+
+def test_tree_draws_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(240, 4))
+    y = x[:, 0] * 2 + x[:, 1] * x[:, 2] + rng.normal(size=240)
+    cells = spark.createDataFrame(
+        [(f"b{i:03d}", f"f{k}", float(x[i, k]), float(y[i])) for i in range(240) for k in range(4)],
+        "batch_id string, feature string, value double, yield double")
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for parts in (4, 8, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        matrix = lm.feature_matrix(cells.repartition(parts))
+        got = [{r.feature: r.importance for r in fit(matrix, trees=6).collect()}
+               for fit in (asn.forest_importance, asn.boosted_importance)]
+        found.append(got)
+    spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    for other in found[1:]:
+        for a, b in zip(found[0], other):
+            assert b == pytest.approx(a, abs=1e-12)
+    assert max(found[0][0], key=found[0][0].get) == "f0"
+    with_more = asn.forest_importance  # more parts beyond the rows of one
+    old, asn.TREE_ROWS = asn.TREE_ROWS, 20
+    try:
+        assert sum(r.importance for r in with_more(matrix, trees=6).collect()) == pytest.approx(1.0)
+    finally:
+        asn.TREE_ROWS = old
+
+
+def test_folds_of_ids_with_a_common_prefix(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("format_string('BATCH-%05d', (id * 7919) % 20000) AS batch_id")
+    monkeypatch.setattr(config, "HOT_ROWS", 1_000)
+    got = lm.with_fold(rows, 20_000, 3).orderBy("batch_id").collect()
+    assert [r.fold for r in got] == [0] * 6_667 + [1] * 6_667 + [2] * 6_666

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,24 +78,46 @@ def pearson_p(r: float, n: float) -> float:
     return t_two_sided(abs(r) * math.sqrt(df / (1 - r * r)), df)
 
 
+@functools.cache
+def _part_counts(k: int) -> tuple[int, list[int]]:
+    """(L, N): partitions into parts 1, 1, 2, ..., k have the series N(q) / (1 - q^L)^(k+1)."""
+    period = math.lcm(*range(1, k + 1))
+    series = [1]
+    for part in (1, *range(1, k + 1)):
+        # times 1 + q^part + q^(2 part) + ... below q^period: running sums with a stride
+        grown = series + [0] * (period - part)
+        for i in range(part, len(grown)):
+            grown[i] += grown[i - part]
+        for i in range(len(grown) - 1, period - 1, -1):
+            grown[i] -= grown[i - period]
+        series = grown
+    return period, series
+
+
+def _partitions_up_to(m: int, k: int) -> int:
+    """Partitions of at most ``m`` into parts of at most ``k``."""
+    period, series = _part_counts(k)
+    return sum(series[t] * math.comb((m - t) // period + k, k)
+               for t in range(m % period, min(m, len(series) - 1) + 1, period))
+
+
 def exact_u_tail(u: float, n1: int, n2: int) -> float:
     """Two-sided exact Mann-Whitney p for samples without ties.
 
-    The generating function of U is a Gaussian binomial coefficient; by its
-    symmetry only the coefficients of the lower tail are needed.
+    U counts partitions into at most n1 parts of at most n2 each.  Their series
+    is that of partitions with parts up to n1 times the product of
+    (1 - q^(n2+i)), so the lower tail is a sum over the subsets of 1..n1 in
+    whole numbers: its cost grows with 2^n1 (n1 is 8 at most), not with n2.
     """
-    n1, n2 = min(n1, n2), max(n1, n2)
+    n1, n2 = int(min(n1, n2)), int(max(n1, n2))
     low = int(math.floor(min(u, n1 * n2 - u)))
-    counts = np.zeros(low + 1)
-    counts[0] = 1.0
+    signed = {0: 1}  # the product of (1 - q^(n2+i)) up to q^low
     for i in range(1, n1 + 1):
-        grown = counts.copy()
-        if n2 + i <= low:
-            grown[n2 + i:] -= counts[: low + 1 - n2 - i]
-        for r in range(min(i, low + 1)):
-            grown[r::i] = np.cumsum(grown[r::i])
-        counts = grown
-    return float(min(1.0, 2.0 * counts.sum() / math.comb(n1 + n2, n1)))
+        for at, sign in list(signed.items()):
+            if at + n2 + i <= low:
+                signed[at + n2 + i] = signed.get(at + n2 + i, 0) - sign
+    count = sum(sign * _partitions_up_to(low - at, n1) for at, sign in signed.items() if sign)
+    return float(min(1.0, 2 * count / math.comb(n1 + n2, n1)))
 
 
 def normal_u_tail(u: float, n1: float, n2: float, tie_term: float) -> float:

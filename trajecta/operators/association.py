@@ -75,6 +75,7 @@ def significant(scores: DataFrame, level: float = 0.05) -> DataFrame:
 
 
 TREE_PARTS = 8
+TREE_ROWS = 50_000  # batches of a part
 
 
 @dataclass(frozen=True)
@@ -97,10 +98,11 @@ def tree_sizes(n: int, p: int) -> TreeSizes:
 
 
 def _importances(matrix: FeatureMatrix, estimator) -> DataFrame:
-    # the same rows in the same parts whatever the number of batches or cores: sampling
-    # draws by part.  Adaptive coalescing would change the parts with the size.
+    # sampling draws by part, so the parts follow from the batches alone: their number from
+    # the count, their rows from the ids, in order; cores, input splits and settings don't matter
+    parts = max(TREE_PARTS, -(-matrix.n // TREE_ROWS))
     data = matrix.rows.select("batch_id", array_to_vector("x").alias("features"), F.col("y").alias("label"))
-    data = data.repartition(TREE_PARTS, "batch_id").sortWithinPartitions("batch_id").drop("batch_id").persist()
+    data = data.repartition(parts, "batch_id").sortWithinPartitions("batch_id").drop("batch_id").persist()
     found = estimator.fit(data).featureImportances.toArray()
     data.unpersist()
     return vector_frame(matrix.rows.sparkSession, matrix.names, importance=found)

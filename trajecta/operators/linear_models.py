@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta import config
 from trajecta.operators.align import unfold
-from trajecta.operators.scale import lookup, plain, positions
+from trajecta.operators.scale import lookup
 from trajecta.session import cut_lineage
 
 
@@ -398,11 +398,15 @@ def component_importance(matrix: FeatureMatrix) -> ComponentAnalysis:
 def with_fold(rows: DataFrame, n: int, folds: int) -> DataFrame:
     """Contiguous folds over the batches in id order; the first ones are
     one larger when the count does not divide."""
-    # ids in order, cut at approximate quantiles of their place where they are many
-    ids = rows.select("batch_id").withColumn(
-        "_lead", F.conv(F.substring(F.hex(F.rpad("batch_id", 6, " ")), 1, 12), 16, 10).cast("double"))
-    placed, _ = positions(ids, [], [F.col("_lead"), F.col("batch_id")], F.col("_lead"), "_at")
-    index = plain(placed).select("batch_id", "_at")
+    # ids in ranges of the text itself, each sorted; a place is the range's offset and the row in it
+    ranges = max(1, -(-2 * n // config.HOT_ROWS))
+    at = F.monotonically_increasing_id()
+    ids = cut_lineage(rows.select("batch_id").repartitionByRange(ranges, "batch_id").sortWithinPartitions(
+        "batch_id").select("batch_id", F.shiftright(at, 33).alias("_range"),
+                           at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "fold-ids")
+    offsets = ids.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # ranges rows
+    index = ids.join(offsets, "_range").select("batch_id", (F.col("_before") + F.col("_place")).alias("_at"))
     size, extra = divmod(n, folds)
     edge = extra * (size + 1)
     fold = F.when(F.col("_at") < edge, F.floor(F.col("_at") / (size + 1))).otherwise(

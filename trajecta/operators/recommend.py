@@ -95,10 +95,10 @@ def _counted_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     ``feature|rep|d``, modulo the size, so it is the same however the ranges are cut.
     """
     for batch in batches:
-        for feature, rep, n, width, begin in zip(*(c.to_pylist() for c in batch.columns)):
+        for feature, rep, n, width, begin, end in zip(*(c.to_pylist() for c in batch.columns)):
             head = hashlib.md5(f"{feature}|{rep}|".encode(), usedforsecurity=False)
             words = bytearray()
-            for d in range(begin, min(begin + config.BOOTSTRAP_RANGE, n)):
+            for d in range(begin, end):
                 one = head.copy()
                 one.update(b"%d" % d)
                 words += one.digest()[:4]
@@ -129,9 +129,9 @@ def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> Da
         "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
     ).withColumn(
         "_from", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(config.BOOTSTRAP_RANGE).cast("long")))
-    ).withColumn("_w", F.ceil(n / config.BOOTSTRAP_BINS)).repartition("feature", "rep", "_from")
-    each = turns.withColumn(
-        "draw", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + config.BOOTSTRAP_RANGE, n) - 1)))
+    ).withColumn("_to", F.least(F.col("_from") + config.BOOTSTRAP_RANGE, n)).withColumn(
+        "_w", F.ceil(n / config.BOOTSTRAP_BINS)).repartition("feature", "rep", "_from")
+    each = turns.withColumn("draw", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))
     key = F.concat_ws("|", "feature", F.col("rep").cast("string"), F.col("draw").cast("string"))
     word = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
     draws = each.select("feature", "rep", "_n", (word % n).alias("idx"), "_w")
@@ -147,7 +147,7 @@ def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> Da
         run = Window.partitionBy(*within).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
         return counted.withColumn("_start", F.coalesce(F.sum("_c").over(run), F.lit(0)))
 
-    bins = turns.select("feature", "rep", "_n", "_w", "_from").mapInArrow(
+    bins = turns.select("feature", "rep", "_n", "_w", "_from", "_to").mapInArrow(
         _counted_draws, "feature string, rep int, _n long, _w long, bin long, _c long").groupBy(
         "feature", "rep", "_n", "_w", "bin").agg(F.sum("_c").alias("_c"))
     held = (F.col("r") >= F.col("_start")) & (F.col("r") < F.col("_start") + F.col("_c"))
