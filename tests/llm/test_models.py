@@ -64,6 +64,25 @@ def test_language_of_odd_rows(spark, odd_rows):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_language_counts_by_brute_force_and_rare_languages(spark):
+    said = {"en": "the cat and the dog %d", "de": "der hund und die katze %d", "fr": "le chat et le chien %d"}
+    rows = [(i, said["en" if i % 2 else "de"] % i, "en" if i % 2 else "de") for i in range(3000)]
+    rows += [(5000 + i, said["fr"] % i, "fr") for i in range(16)]
+    docs = frame(spark, rows)
+    kept = [r for r in rows if fold(r[0], 4) != 2]
+    whole = language_id.train(docs, sample_rows=10**6)
+    assert whole.names == ["de", "en", "fr"]
+    for k, name in enumerate(whole.names):
+        mine = [t for _, t, lang in kept if lang == name]
+        buckets, _, _ = language_id.gram_buckets(pa.array(mine))
+        counts = np.bincount(buckets, minlength=1 << 16) + 0.5
+        assert np.allclose(whole.log_prob[:, k], np.log(counts / counts.sum()), atol=1e-5)
+        assert whole.prior[k] == pytest.approx(np.log(len(mine) / len(kept)))
+    few = language_id.train(docs, sample_rows=50)  # a sixtieth of the rows, and still every one of "fr"
+    assert few.names == whole.names and np.allclose(few.log_prob[:, 2], whole.log_prob[:, 2])
+    assert np.allclose(few.prior, whole.prior)
+
+
 def test_machine_scores_by_hand():
     rng = np.random.default_rng(1)
     m = toxicity.Machine(0.3, np.where(rng.random(64) < 0.7, 1, 0).astype(np.float32),

@@ -2,8 +2,8 @@
 
 Texts are lower-cased, every ASCII character that is no letter becomes a space,
 and the character 1-, 2- and 3-grams are hashed to ``2**bits`` buckets.  Training
-counts buckets per language on a bounded sample of labelled rows (``sample_rows``,
-those of smallest hash of id and text); the log-probability matrix, buckets x languages,
+counts buckets per language on a bounded sample of labelled rows (about ``sample_rows``,
+and ``LEAST_ROWS`` of every language, those of smallest hash of id and text); the log-probability matrix, buckets x languages,
 is broadcast.  Scoring is numpy on Arrow slices of whole texts.
 
 Defined cases: NULL texts and texts without a letter are ``und`` with score 0;
@@ -26,6 +26,7 @@ from trajecta.llm.common import fold, map_slices, slices, text_key
 
 BITS = 16
 SAMPLE_ROWS = 12_000
+LEAST_ROWS = 300  # of every language
 SLICE = 1 << 18  # bytes of text at a time: some dozens of bytes are held per character
 EVIDENCE = 40.0  # n-grams to which the evidence of a longer text is tempered
 
@@ -62,12 +63,22 @@ def gram_buckets(text: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarr
 
 def train(docs: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS,
           bits: int = BITS, smoothing: float = 0.5) -> Languages:
-    """Bucket counts per language of the sample; sums are merged by Spark."""
+    """Bucket counts per language of the sample; sums are merged by Spark.
+
+    A language gives its share of ``sample_rows``, but ``LEAST_ROWS`` rows at least (all, if it
+    has fewer), so that rare ones are learnt too; the prior is that of all training rows.
+    The driver holds a row per language, as the model holds a column.
+    """
     rows = docs.select("doc_id", "text", "lang").where(
         (fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
+        return Languages([], np.zeros((1 << bits, 0), np.float32), np.zeros(0))
+    n = sum(sizes.values())
+    shares = F.create_map(*[F.lit(v) for lang, size in sizes.items()
+                            for v in (lang, max(sample_rows / n, LEAST_ROWS / size))])
     draw = F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(1 << 40)) / float(1 << 40)
-    sample = rows.where(draw < sample_rows / max(n, 1)).select("lang", "text")
+    sample = rows.where(draw < shares[F.col("lang")]).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> dict:
         langs = batch.column("lang").to_pylist()
@@ -88,7 +99,7 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAM
     table = np.zeros(((1 << bits) + 1, len(names)))
     at = np.array([names.index(x) for x in got.column("lang").to_pylist()])
     table[got.column("bucket").to_numpy(), at] = got.column("n").to_numpy()
-    seen, counts = table[-1], table[:-1] + smoothing
+    seen, counts = np.array([sizes[x] for x in names], float), table[:-1] + smoothing
     return Languages(names, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(seen / seen.sum()))
 
 
