@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import frame
 from trajecta.llm import language_id, ppm_score, toxicity
@@ -202,9 +203,29 @@ def test_ppm_and_base_by_brute_force(spark, odd_rows, contexts, words):
         round(r["score"], 3)) for r in got) == want
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_ppm_of_contexts_outside_the_fast_path(spark, monkeypatch, parts):
-    """The score is that of the whole model however few contexts are broadcast."""
+def test_ppm_splits_hot_endings(spark):
+    """A bucket with a third of all questions is dealt over shares that all hold its counts."""
+    rows = [(b, 1, 0, bytes([b, k]), 10 if b else 300) for b in range(61) for k in range(30 if b else 90)]
+    asked = spark.createDataFrame(rows, "bucket int, kind int, row long, rows binary, questions long")
+    split = ppm_score.split_buckets(asked.select("bucket", "questions"), 8)
+    shares = {r["bucket"]: r["shares"] for r in split.collect()}
+    total = sum(r[-1] for r in rows)
+    assert shares == {0: math.ceil(90 * 300 * ppm_score.PIECES * 8 / total)} and shares[0] > 8
+    counts = spark.createDataFrame([(b, 0, 0, b"", 0) for b in range(61)], asked.schema)
+    got = ppm_score.shared_out(asked.union(counts), split).groupBy("bucket", "share").agg(
+        F.sum(1 - F.col("kind")).alias("counts"), F.sum("kind").alias("asked"), F.sum("questions").alias("n")).collect()
+    assert all(r["counts"] == 1 for r in got)  # the counts once in every share
+    assert sum(r["asked"] for r in got) == len(rows) and sum(r["n"] for r in got) == total
+    hot = [r["n"] for r in got if r["bucket"] == 0]
+    assert len(hot) == shares[0] and max(hot) < total / 8
+
+
+@pytest.mark.parametrize("parts, pieces", [(1, 4), (7, 4), (7, 64)])
+def test_ppm_of_contexts_outside_the_fast_path(spark, monkeypatch, parts, pieces):
+    """The score is that of the whole model however few contexts are broadcast and
+    however finely the buckets are split."""
+    monkeypatch.setattr(ppm_score, "PIECES", pieces)
+    monkeypatch.setattr(ppm_score, "HELD_SUMS", 64)
     monkeypatch.setattr(ppm_score, "FAST_CONTEXTS", 20)
     monkeypatch.setattr(ppm_score, "FLUSH_GRAMS", 300)
     rng = random.Random(4)

@@ -18,7 +18,9 @@ of its contexts are there too.  A symbol behind any other context is looked up i
 the whole count table: every task sums up its distinct grams and sends them, and
 the counts, to the part that owns the last ``WHOLE + 1`` bytes of the context.
 There all longer contexts with that ending are complete, so the escape chain is
-exact and no context is lost.  Only a caller that gives ``contexts`` gets the
+exact and no context is lost.  An ending with many questions is split: its
+questions are dealt over shares and its counts, which the alphabet bounds, copied
+to each.  Only a caller that gives ``contexts`` gets the
 smaller model of the contexts that hold that share of all symbols.
 
 The base score needs the count of every word.  Words that are 1/``WORDS`` of all
@@ -57,6 +59,8 @@ FLUSH_GRAMS = 500_000
 PART_BYTES = 1 << 20  # of text at a time: eight-byte grams of it are held several times
 RUN_BITS = 10
 SHARES = 16  # buckets of endings for each part
+PIECES = 4  # a bucket holds this part of a task's mean questions at most, or is split
+HELD_SUMS = 1 << 20  # rows whose sums a task holds before it sends them
 
 
 def stream_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -345,33 +349,67 @@ def packed_counts(longest: DataFrame, buckets: int) -> DataFrame:
         run, "bucket int, kind int, row long, grams binary, times binary, rows binary")
 
 
+def split_buckets(asked: DataFrame, parts: int) -> DataFrame:
+    """(bucket, shares) of the buckets with more questions than a ``PIECES``-th of a part's
+    mean: fewer than ``PIECES * parts`` rows.  ``asked`` is (bucket, questions)."""
+    piece = (asked.agg(F.sum("questions")).first()[0] or 0) / (PIECES * parts)
+    return asked.groupBy("bucket").agg(F.sum("questions").alias("load")).where(F.col("load") > piece).select(
+        "bucket", F.ceil(F.col("load") / F.lit(piece)).cast("int").alias("shares"))
+
+
+def shared_out(packed: DataFrame, split: DataFrame) -> DataFrame:
+    """``packed`` with a share: questions in one by hash, counts in all of their bucket."""
+    shares = F.coalesce("shares", F.lit(1))
+    one = F.pmod(F.xxhash64("row", "rows"), shares).cast("int")
+    return packed.join(F.broadcast(split), "bucket", "left").withColumn("share", F.explode(
+        F.when(F.col("kind") == 0, F.sequence(F.lit(0), shares - 1)).otherwise(F.array(one)))).drop("shares")
+
+
 def looked_up(packed: DataFrame, low: list[Level], order: int, parts: int) -> DataFrame:
-    """(row, logs): the exact chain of the grams of kind 1 by the counts of kind 0.
-    The sums of a part go back packed, by runs of rows, and are added up there."""
+    """(row, logs): the exact chain of the grams of kind 1 by the counts of kind 0, one
+    (bucket, share) after the other.  The sums of a part go back packed, by runs of rows,
+    and are added up there."""
     shared = packed.sparkSession.sparkContext.broadcast(low)
 
     def run(batches):
         counted: list[tuple[np.ndarray, np.ndarray]] = []
         asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        trie = None
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
+        trie = here = None
+
+        def added():
+            found, owner = np.unique(np.concatenate([r for r, _ in sums]), return_inverse=True)
+            return found, np.bincount(owner, np.concatenate([x for _, x in sums]), minlength=len(found))
 
         def answer():
             grams, times, rows = (np.concatenate(c) for c in zip(*asked))
             asked.clear()
             distinct, where = np.unique(grams, return_inverse=True)
-            logs = np.repeat(chain_logs(trie, distinct)[where], times)
             found, owner = np.unique(rows, return_inverse=True)
-            sums = np.bincount(owner, logs, minlength=len(found))
+            logs = np.repeat(chain_logs(trie, distinct)[where], times)
+            sums.append((found, np.bincount(owner, logs, minlength=len(found))))
+            if sum(len(r) for r, _ in sums) > HELD_SUMS:
+                sums[:] = [added()]
+
+        def send():
+            found, total = added()
+            sums.clear()
             begin = np.flatnonzero(np.diff(found >> RUN_BITS, prepend=-1))
             cuts = list(itertools.pairwise([*begin.tolist(), len(found)]))
             places = (found & ((1 << RUN_BITS) - 1)).astype(np.uint16)
             return pa.RecordBatch.from_arrays(
                 [pa.array(found[begin] >> RUN_BITS), pa.array([places[a:b].tobytes() for a, b in cuts], pa.binary()),
-                 pa.array([sums[a:b].tobytes() for a, b in cuts], pa.binary())], names=["run", "places", "sums"])
+                 pa.array([total[a:b].tobytes() for a, b in cuts], pa.binary())], names=["run", "places", "sums"])
 
         for batch in batches:
             kinds, blobs = batch.column("kind").to_numpy(), [batch.column(c) for c in ("grams", "times", "rows")]
-            for i, kind in enumerate(kinds):
+            groups = zip(batch.column("bucket").to_pylist(), batch.column("share").to_pylist())
+            for i, (kind, group) in enumerate(zip(kinds, groups)):
+                if group != here:
+                    if asked:
+                        answer()
+                    counted.clear()
+                    trie, here = None, group
                 grams = wide(blobs[0][i].as_buffer())
                 times = np.frombuffer(blobs[1][i].as_buffer(), np.int64 if kind == 0 else np.uint32)
                 if kind == 0:
@@ -387,9 +425,13 @@ def looked_up(packed: DataFrame, low: list[Level], order: int, parts: int) -> Da
                 asked.append((grams, times, np.frombuffer(blobs[2][i].as_buffer(), np.uint32)
                               + np.int64(batch.column("row")[i].as_py())))
                 if sum(len(rows) for *_, rows in asked[-64:]) > FLUSH_GRAMS or len(asked) >= 512:
-                    yield answer()
-            if asked:
-                yield answer()
+                    answer()
+                if sums and len(sums[0][0]) > HELD_SUMS // 2:
+                    yield send()
+        if asked:
+            answer()
+        if sums:
+            yield send()
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
@@ -403,7 +445,7 @@ def looked_up(packed: DataFrame, low: list[Level], order: int, parts: int) -> Da
             yield pa.RecordBatch.from_arrays(
                 [pa.array((which << RUN_BITS) + at), pa.array(total[at])], names=["row", "logs"])
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("kind").mapInArrow(
+    return packed.repartition(parts, "bucket", "share").sortWithinPartitions("bucket", "share", "kind").mapInArrow(
         run, "run long, places binary, sums binary").repartition(parts, "run").mapInArrow(add, "row long, logs double")
 
 
@@ -424,7 +466,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, order: int = ORDER, co
     buckets = min(SHARES * parts, 1 << 16)
     shared = docs.sparkSession.sparkContext.broadcast((trie, frequent))
 
-    names = ["row", "doc_id", "n_tokens", "known", "logs", "score", "rare", "bucket", "grams", "times", "rows"]
+    names = ["row", "doc_id", "n_tokens", "known", "logs", "score", "rare", "bucket", "grams", "times", "rows",
+             "questions"]
 
     def run(batches):
         trie, frequent = shared.value
@@ -436,13 +479,15 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, order: int = ORDER, co
             for bucket, grams, rows in dealt(*(np.concatenate(c) for c in zip(*left)), buckets) if left else ():
                 begin = np.flatnonzero(np.diff(grams, prepend=~grams[:1]))
                 out.append((bucket, narrow(grams[begin]),
-                            np.diff(np.append(begin, len(grams))).astype(np.uint32).tobytes(), rows.tobytes()))
+                            np.diff(np.append(begin, len(grams))).astype(np.uint32).tobytes(), rows.tobytes(),
+                            len(rows)))
             left.clear()
-            columns = zip(*out) if out else [()] * 4
+            columns = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array([first] * len(out), pa.int64()), *[pa.nulls(len(out), t) for t in (
                     pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))],
-                 *[pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]],
+                 *[pa.array(c, t) for c, t in zip(
+                     columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))]],
                 names=names)
 
         for batch in batches:
@@ -471,7 +516,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, order: int = ORDER, co
                      pa.array(sizes + 1), pa.array(sizes - rare_sizes + (ends > 0)),
                      pa.array(np.bincount(owner, logs, minlength=len(texts)) + math.log10(ends + 0.5)),
                      pa.array(sums), rare_words, pa.nulls(len(texts), pa.int32()),
-                     *[pa.nulls(len(texts), pa.binary())] * 3], names=names)
+                     *[pa.nulls(len(texts), pa.binary())] * 3, pa.nulls(len(texts), pa.int64())], names=names)
                 row += len(texts)
                 if sum(len(g) for g, _ in left) > FLUSH_GRAMS:
                     yield from flush()
@@ -479,8 +524,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, order: int = ORDER, co
 
     made = stage(docs.select("doc_id", "text").mapInArrow(
         run, "row long, doc_id long, n_tokens long, known long, logs double, score double, rare array<binary>, "
-        "bucket int, grams binary, times binary, rows binary"), "scored")
-    scored = made.where(F.col("bucket").isNull()).drop("bucket", "grams", "times", "rows")
+        "bucket int, grams binary, times binary, rows binary, questions long"), "scored")
+    scored = made.where(F.col("bucket").isNull()).drop("bucket", "grams", "times", "rows", "questions")
     others = known_words.where(F.col("n") * words < n_all).select("key", "n")
     more = scored.select("row", F.explode("rare").alias("word")).join(
         others, F.col("word") == F.col("key"), "left").select(
@@ -489,7 +534,9 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, order: int = ORDER, co
     if not trie.whole_model:
         asked = made.where(F.col("bucket").isNotNull()).select(
             "bucket", F.lit(1).alias("kind"), "row", "grams", "times", "rows")
-        more = more.union(looked_up(packed_counts(longest, buckets).union(asked), trie.levels[:WHOLE + 1], order, parts)
+        split = split_buckets(made.where(F.col("bucket").isNotNull()).select("bucket", "questions"), parts)
+        packed = shared_out(packed_counts(longest, buckets).union(asked), split)
+        more = more.union(looked_up(packed, trie.levels[:WHOLE + 1], order, parts)
                           .select("row", F.lit(0), F.lit(0.0), "logs"))
     rare = more.groupBy("row").agg(
         F.sum("known").alias("rare_known"), F.sum("base").alias("rare_logs"), F.sum("chain").alias("chain_logs"))
