@@ -280,11 +280,15 @@ def train_trie(longest: DataFrame, order: int = ORDER, contexts: int | None = No
     tables = []
     for j in range(order + 1):
         mask = F.lit((1 << 8 * (j + 1)) - 1).cast("long")
-        kept = longest.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
+        kept = longest
         if contexts or j > WHOLE:
-            total = kept.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("t")).where(
-                F.col("t") * (contexts or FAST_CONTEXTS) >= symbols)
-            kept = kept.join(total, F.shiftright("gram", 8) == F.col("context"))
+            context = F.shiftright(F.col("gram").bitwiseAND(mask), 8)
+            most = contexts or FAST_CONTEXTS  # contexts that hold that share of all symbols: no more than so many
+            total = longest.groupBy(context.alias("context")).agg(F.sum("n").alias("t")).where(
+                F.col("t") * most >= symbols).select("context")
+            kept = kept.join(F.broadcast(total) if most <= FAST_CONTEXTS else total,
+                             context == F.col("context"), "left_semi")
+        kept = kept.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
         kept = kept.select("gram", "n").toArrow()
         grams = kept.column("gram").to_numpy().astype(np.uint64)
         by_gram = np.argsort(grams)
