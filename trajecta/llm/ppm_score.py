@@ -90,25 +90,25 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(kind, key, n): counts of words, of text ends (the empty word) and of packed grams."""
+    """(kind, word, gram, n): counts of words, of text ends (the empty word) and of packed grams."""
     def run(batches):
         words: Counter = Counter()
         grams: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
             if words:
-                yield WORD, pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())
+                n = pa.array(list(words.values()), pa.int64())
+                yield WORD, pa.array(list(words), pa.binary()), pa.nulls(len(n), pa.int64()), n
             if grams:
                 keys, n = summed(grams)
-                raw = keys.astype(">u8").tobytes()
-                yield GRAM, pa.array([raw[i:i + 8] for i in range(0, len(raw), 8)], pa.binary()), pa.array(n)
+                yield GRAM, pa.nulls(len(n), pa.binary()), pa.array(keys.view(np.int64)), pa.array(n)
             words.clear()
             grams.clear()
 
         def frames():
-            for kind, key, n in flush():
+            for kind, word, gram, n in flush():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), kind, np.int32)), key, n], names=["kind", "key", "n"])
+                    [pa.array(np.full(len(n), kind, np.int32)), word, gram, n], names=["kind", "word", "gram", "n"])
 
         for batch in batches:
             for part in slices(batch, PART_BYTES):
@@ -125,8 +125,8 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     yield from frames()
         yield from frames()
 
-    parts = docs.select("text").mapInArrow(run, "kind int, key binary, n long")
-    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    parts = docs.select("text").mapInArrow(run, "kind int, word binary, gram long, n long")
+    return parts.groupBy("kind", "word", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -458,13 +458,12 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, order: int = ORDER, co
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     training = docs.where(fold(F.col("doc_id"), folds) != held)
     counts = stage(corpus_counts(training, order), "counts")
-    known_words = counts.where(F.col("kind") == WORD)
+    known_words = counts.where(F.col("kind") == WORD).select(F.col("word").alias("key"), "n")
+    longest = counts.where(F.col("kind") == GRAM).select("gram", "n")
     n_all, n_distinct = known_words.agg(F.sum("n"), F.count("*")).first()
     n_all = n_all or 0
     often = known_words.where(F.col("n") * words >= n_all).select("key", "n").toArrow()
     frequent = dict(zip((bytes(k) for k in often.column("key").to_pylist()), often.column("n").to_pylist()))
-    gram = F.conv(F.hex("key"), 16, 10).cast("long")
-    longest = stage(counts.where(F.col("kind") == GRAM).select(gram.alias("gram"), "n"), "grams")
     trie = train_trie(longest, order, contexts)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(SHARES * parts, 1 << 16)
