@@ -69,6 +69,16 @@ def test_a_replayed_epoch_changes_nothing(spark, monkeypatch):
     assert {f: os.stat(f"{path}/_part=c/{f}").st_mtime_ns for f in os.listdir(f"{path}/_part=c")} == kept
 
 
+def test_folders_do_not_grow_with_the_runs(spark):
+    path = scratch_path(spark, "many-runs")
+    rows = spark.range(300).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("run"), "id")
+    rows.write.parquet(path)
+    table = sources.upsert_now(sources.reading_stream(spark, path, rows.schema), "shares", ["run"])
+    assert sorted(map(tuple, table.collect()), key=lambda r: r[1]) == [(str(i) if i else None, i) for i in range(300)]
+    folder = os.path.dirname(os.path.dirname(table.inputFiles()[0].removeprefix("file://")))
+    assert len([f for f in os.listdir(folder) if f.startswith(sources.PART)]) <= sources.BUCKETS
+
+
 def test_monitor_model_is_fixed(spark, sf_dir):
     """The event time changes nothing: the stream without it gives the same steps."""
     runs = fx.aligned(spark, sf_dir)

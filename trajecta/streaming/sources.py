@@ -68,6 +68,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", progress: l
 
 
 PART = "_part"
+BUCKETS = 64
 
 
 def roll_forward(spark: SparkSession, aside: str, path: str) -> None:
@@ -113,11 +114,12 @@ def upsert_rows(rows: DataFrame, epoch: int, path: str, keys: Sequence[str], par
 
 def upsert(stream: DataFrame, path: str, state: str, keys: Sequence[str], mode: str = "update",
            part: Column | None = None) -> StreamingQuery:
-    """Start a sink that keeps one row per key, in partitions by ``part`` (the first key, the
-    run, if not given; a function of the key).  A micro-batch rewrites only the partitions
+    """Start a sink that keeps one row per key, in partitions by ``part`` (a function of the
+    key; if not given, ``BUCKETS`` shares of the first key's values, the runs, so that the
+    folders don't grow with the runs).  A micro-batch rewrites only the partitions
     it touches, and replaying one changes nothing."""
     keys = list(keys)
-    part = (F.col(keys[0]) if part is None else part).cast("string")
+    part = (F.pmod(F.xxhash64(keys[0]), F.lit(BUCKETS)) if part is None else part).cast("string")
     part = F.when(part != "", part).otherwise("none")  # NULL and empty are no names of a folder
     return (
         stream.writeStream.foreachBatch(lambda rows, epoch: upsert_rows(rows, epoch, path, keys, part)).outputMode(mode)
