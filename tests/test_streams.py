@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks import monitoring as mon
 from checks import streams
+from trajecta import config
 from trajecta.session import scratch_path
 from trajecta.streaming import online, sources
 
@@ -25,6 +26,19 @@ def test_no_state_is_left(spark, sf_dir):
 
 
 
+def test_runs_share_states(spark, sf_dir, monkeypatch):
+    """As many states as shares, and the same steps and asides."""
+    monkeypatch.setattr(config, "STREAM_BUCKETS", 2)
+    progress: list = []
+    out = streams._watched(spark, sf_dir, disorder=True, progress=progress)
+    aligned = fx.aligned(spark, sf_dir)
+    runs = aligned.select("batch_id").distinct().count()
+    assert runs > 2 >= max(state_rows(progress))
+    assert out.where("NOT late AND NOT repeated").count() == 100 * runs
+    asides = out.where("late OR repeated").select("batch_id", "variable", (F.col("time_step") - 1).alias("step"), "value")
+    assert asides.exceptAll(aligned.select(asides.columns)).count() == 0 and asides.count() == aligned.count()
+
+
 def test_closed_steps_by_hand():
     import numpy as np
 

@@ -8,16 +8,17 @@ holds only the cells that the watermark has not closed yet, and its steps come o
 once (``aligned_stream``).
 
 Monitoring follows the aligned steps of a run.  Its input is bounded by
-variables x grid points per run, so one state per run is small.
+variables x grid points per run, so what it holds of a run is small.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -65,8 +66,8 @@ def steps_of_cells(cells: DataFrame, points: int = config.GRID_POINTS) -> DataFr
         value.alias("value"))
 
 
-CELLS = "first boolean, anchor double, pace double, cell array<int>, ua array<double>, va array<double>, " \
-        "ub array<double>, vb array<double>"
+# a share of the runs has one state, so that a micro-batch costs a call per share, not per run
+HELD = "data binary, open long"
 ALIGNED = "batch_id string, variable string, step int, time_norm double, value double"
 
 
@@ -113,6 +114,7 @@ def aligned_stream(
     by a timer at its expected end; what comes later than ``delay`` is dropped by Spark.
     """
     top = points - 1
+    nothing = (np.zeros(0),) * 5
     pace = F.col("duration") * unit_ms / top  # milliseconds of a grid step
     u = (F.col(time) - F.col("start")) / F.col("duration") * top
     rows = readings.withWatermark(clock, delay).where(F.col("value").isNotNull()).join(runs, "batch_id").select(
@@ -120,33 +122,66 @@ def aligned_stream(
         (F.unix_millis(clock) - u * pace).alias("anchor")).where((F.col("u") >= 0) & (F.col("u") <= top))
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            first, anchor, pace, *held = state.get
-            held = tuple(np.array(x, float) for x in held)
-        else:
-            first, anchor, pace, held = True, None, None, (np.zeros(0),) * 5
-        for new in frames:
-            if anchor is None:
-                anchor, pace = float(new["anchor"].iloc[0]), float(new["pace"].iloc[0])
-            held = merged_cells(new["u"].to_numpy(float), new["value"].to_numpy(float), held)
-        held = (held[0].astype(np.int64), *held[1:])
-        settled = (state.getCurrentWatermarkMs() - anchor) / pace
-        ended = state.hasTimedOut or settled > top
-        later = held[1][1:]
-        segments = len(later) if ended else int(np.argmin(np.append(later < settled, False)))
-        step, value = closed_steps(held, first, segments, ended)
-        if ended:
+        series = pickle.loads(state.get[0]) if state.exists else {}  # first, anchor, pace, cells held
+        mark = state.getCurrentWatermarkMs()
+        for name, at, new in split_runs(frames, ["batch_id", "variable"], ["u", "value", "anchor", "pace"]):
+            first, anchor, pace, held = series.get(name) or (True, new["anchor"][at[0]], new["pace"][at[0]], nothing)
+            series[name] = first, anchor, pace, merged_cells(new["u"][at], new["value"][at], held)
+        left, ends, out = {}, [], []
+        for name, (first, anchor, pace, held) in series.items():
+            settled = (mark - anchor) / pace
+            end = int(anchor + top * pace) + 1
+            ended = settled > top or (state.hasTimedOut and end <= mark)
+            later = held[1][1:]
+            segments = len(later) if ended else int(np.argmin(np.append(later < settled, False)))
+            step, value = closed_steps(held, first, segments, ended)
+            if len(step):
+                out.append((name, step, value))
+            if not ended:
+                left[name] = first and not segments, anchor, pace, tuple(x[segments:] for x in held)
+                ends.append(end)
+        if left:
+            state.update((pickle.dumps(left), len(left)))
+            state.setTimeoutTimestamp(max(min(ends), mark + 1))
+        elif state.exists:
             state.remove()
-        else:
-            left = [x[segments:].tolist() for x in held]
-            state.update((first and not segments, anchor, pace, *left))
-            state.setTimeoutTimestamp(max(int(anchor + top * pace) + 1, state.getCurrentWatermarkMs() + 1))
-        if len(step):
-            yield pd.DataFrame({"batch_id": key[0], "variable": key[1], "step": step.astype(np.int32),
-                                "time_norm": step / float(top), "value": value})
-
-    return rows.groupBy("batch_id", "variable").applyInPandasWithState(
-        advance, ALIGNED, CELLS, "append", GroupStateTimeout.EventTimeTimeout)
+        if out:
+            many = [len(step) for _, step, _ in out]
+            step = np.concatenate([step for _, step, _ in out])
+            yield pd.DataFrame({
+                "batch_id": np.repeat(np.array([n[0] for n, *_ in out], object), many),
+                "variable": np.repeat(np.array([n[1] for n, *_ in out], object), many),
+                "step": step.astype(np.int32), "time_norm": step / float(top),
+                "value": np.concatenate([value for *_, value in out])})
+
+    return rows.withColumn("share", share_of_run()).groupBy("share").applyInPandasWithState(
+        advance, ALIGNED, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def share_of_run() -> Column:
+    return F.pmod(F.xxhash64("batch_id"), F.lit(config.STREAM_BUCKETS))
+
+
+def split_runs(
+    frames: Iterator[pd.DataFrame], keys: Sequence[str], columns: Sequence[str]
+) -> Iterator[tuple[tuple, np.ndarray, dict[str, np.ndarray]]]:
+    """Per run (values of ``keys``) of the new rows: the run, the places of its rows in order of
+    arrival, and the columns of all rows."""
+    parts = list(frames)
+    if not parts:
+        return
+    new = pd.concat(parts, ignore_index=True)
+    if not len(new):
+        return
+    whole = {c: new[c].to_numpy() for c in columns}
+    code, names = np.zeros(len(new), np.int64), [new[k].to_numpy(object) for k in keys]
+    for name in names:
+        part, found = pd.factorize(name, use_na_sentinel=False)  # NULL is a run, too
+        code = code * len(found) + part
+    order = np.argsort(code, kind="stable")
+    edges = np.flatnonzero(np.diff(code[order])) + 1
+    for at in np.split(order, edges):
+        yield tuple(None if pd.isna(n[at[0]]) else n[at[0]] for n in names), at, whole
 
 
 # ── monitoring ───────────────────────────────────────────────────────────────
@@ -156,12 +191,9 @@ OUTPUT = (
     "t2_breach_95 boolean, t2_breach_99 boolean, spe_breach_95 boolean, spe_breach_99 boolean, "
     "t2_sustained boolean, spe_sustained boolean, late boolean, repeated boolean, variable string, value double"
 )
-# closed step, running sums and alarm streaks; then the open cells: step, variable and sums of each;
-# the event time of the last reading
-STATE = (
-    "closed int, total array<double>, streak array<int>, steps array<int>, slots array<int>, sums array<double>, "
-    "latest long"
-)
+COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+FLAGS = [c.split()[0] for c in OUTPUT.split(", ") if c.endswith("boolean")]
+STEP_COLUMNS = COLUMNS[1:11]
 
 
 def streaks(breach: np.ndarray, before: int) -> np.ndarray:
@@ -188,6 +220,10 @@ def monitor_stream(
     dropped by Spark then, so state is bounded by the open runs.  Without event time
     give ``idle_ms`` on a continuous trigger, and state goes after that long without
     input (such a timer keeps an ``availableNow`` query from ending).
+
+    Runs share a state by a hash of their id (``STREAM_BUCKETS`` of them), in which each keeps
+    its closed step, running sums and alarm streaks, its open cells and their sums, the time
+    of its last reading and, without event time, of its last input.
     """
     timed = clock is not None and clock in aligned.columns
     if timed:
@@ -202,88 +238,93 @@ def monitor_stream(
         "batch_id", "variable", "value", F.col("step").cast("int").alias("step"),
         (F.array_position(F.array(*map(F.lit, names)), F.col("variable")) - 1).cast("int").alias("slot"),
         z.alias("z"), "loadings", "coef", *at)
+    sums = [f"_s{i}" for i in range(size)]
     parts = rows.select(
         "batch_id", "variable", "value", "step", "slot", *([clock, "_at"] if timed else []),
-        F.concat(
-            F.array(F.col("z") * F.col("z"), F.col("z") * F.col("coef")),
-            F.transform("loadings", lambda p: p * F.col("z")),
-        ).alias("sums"),
-    )
+        (F.col("z") * F.col("z")).alias(sums[0]), (F.col("z") * F.col("coef")).alias(sums[1]),
+        *[(F.col("loadings")[i] * F.col("z")).alias(sums[2 + i]) for i in range(components)])
     m = meta.first()  # one row
     eigen = np.array(m["eigenvalues"][:components])
     limits = (m["t2_95"], m["t2_99"], m["spe_95"], m["spe_99"])
     base = float(m["intercept"]) if "intercept" in m else 0.0
-    columns = [c.split()[0] for c in OUTPUT.split(", ")]
-    flags = [c.split()[0] for c in OUTPUT.split(", ") if c.endswith("boolean")]
-
-    def aside(key, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
-        return pd.DataFrame({
-            "batch_id": key[0], "time_step": rows["step"] + 1, "late": late, "repeated": not late,
-            "variable": rows["variable"], "value": rows["value"]})
-
-    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            closed, total, streak, steps, slots, sums, latest = state.get
-        else:
-            closed, total, streak, steps, slots, sums, latest = -1, [0.0] * size, [0, 0], [], [], [], 0
-        new = pd.concat(list(frames), ignore_index=True)
-        if timed:
-            latest = max(latest, int(new["_at"].max()))
-        out = []
-        late = new["step"] <= closed
-        if late.any():
-            out.append(aside(key, new[late], True))
-            new = new[~late]
-        cell = np.concatenate([np.array(steps, np.int64) * width + np.array(slots, np.int64),
-                               new["step"].to_numpy(np.int64) * width + new["slot"].to_numpy(np.int64)])
-        held = np.array(sums, float).reshape(-1, size)
-        arrived = np.stack(new["sums"].to_list()) if len(new) else np.zeros((0, size))
-        values = np.concatenate([held, arrived])
+    fresh = (-1, np.zeros(size), [0, 0], np.zeros(0, np.int64), np.zeros((0, size)), 0, 0)
+
+    def follow(held: tuple, cells: np.ndarray, arrived: np.ndarray) -> tuple:
+        """A run with new cells: what it holds then, its completed steps, and the places of
+        the late and the repeated ones."""
+        closed, total, streak, cell, values, *times = held
+        late = cells // width <= closed
+        kept = np.flatnonzero(~late)
+        cell = np.concatenate([cell, cells[kept]])
+        values = np.concatenate([values, arrived[kept]])
+        before = len(cell) - len(kept)
         cell, first = np.unique(cell, return_index=True)  # the first arrival of a cell counts
-        again = np.setdiff1d(np.arange(len(held), len(values)), first) - len(held)
-        if len(again):
-            out.append(aside(key, new.iloc[again], False))
+        again = kept[np.setdiff1d(np.arange(before, before + len(kept)), first) - before]
         values = values[first]
         # whole steps that follow the closed one
         counts = np.bincount(cell // width - closed - 1, minlength=1)
         ready = int(np.argmax(np.append(counts, 0) != width))
+        done = None
         if ready:
             use = ready * width
-            step_sums = values[:use].reshape(ready, width, size).sum(axis=1)
-            running = np.array(total) + np.cumsum(step_sums, axis=0)
+            running = total + np.cumsum(values[:use].reshape(ready, width, size).sum(axis=1), axis=0)
             scores = running[:, 2:]
             t2 = (scores ** 2 / eigen).sum(axis=1)
             spe = running[:, 0] - (scores ** 2).sum(axis=1)
-            rows = pd.DataFrame({
-                "batch_id": key[0], "time_step": closed + 2 + np.arange(ready), "t2": t2, "spe": spe,
-                "predicted_yield": base + running[:, 1], "t2_breach_95": t2 > limits[0],
-                "t2_breach_99": t2 > limits[1], "spe_breach_95": spe > limits[2], "spe_breach_99": spe > limits[3],
-                "late": False, "repeated": False})
-            lengths = [streaks(rows[c].to_numpy(), b) for c, b in zip(("t2_breach_95", "spe_breach_95"), streak)]
-            rows["t2_sustained"], rows["spe_sustained"] = (n >= run for n in lengths)
+            breaches = t2 > limits[0], t2 > limits[1], spe > limits[2], spe > limits[3]
+            lengths = [streaks(breach, b) for breach, b in zip((breaches[0], breaches[2]), streak)]
+            done = (closed + 2 + np.arange(ready), t2, spe, base + running[:, 1], *breaches, *(n >= run for n in lengths))
             streak = [int(n[-1]) for n in lengths]
-            total = running[-1].tolist()
+            total = running[-1]
             closed += ready
             cell, values = cell[use:], values[use:]
-            out.append(rows)
-        if closed == points - 1:  # the closed mark tells late readings
-            total, streak = [], []
-        state.update((closed, total, streak, (cell // width).tolist(), (cell % width).tolist(),
-                      values.ravel().tolist(), latest))
-        if timed and closed == points - 1:
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
-        elif idle_ms and not timed:
-            state.setTimeoutDuration(idle_ms)
-        if out:
-            rows = pd.concat([o.reindex(columns=columns) for o in out], ignore_index=True)
-            yield rows.astype({c: "boolean" for c in flags} | {
+        return (closed, total, streak, cell, values, *times), done, np.flatnonzero(late), again
+
+    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        runs = pickle.loads(state.get[0]) if state.exists else {}
+        now = 0 if timed else state.getCurrentProcessingTimeMs()
+        steps, asides = [], []
+        columns = ["step", "slot", "variable", "value", *sums, *(["_at"] if timed else [])]
+        for name, at, new in split_runs(frames, ["batch_id"], columns):
+            held, done, late, again = follow(
+                runs.get(name, fresh), new["step"][at].astype(np.int64) * width + new["slot"][at],
+                np.column_stack([new[c][at] for c in sums]).astype(float))
+            latest = max(held[5], int(new["_at"][at].max())) if timed else 0
+            runs[name] = (*held[:5], latest, now)
+            if done is not None:
+                steps.append((name[0], *done))
+            asides += [(name[0], new["step"][k] + 1, k in lost, new["variable"][k], new["value"][k])
+                       for lost, group in [(set(at[late]), at[np.concatenate([late, again])])] for k in group]
+        if timed:  # closed marks leave when the watermark has passed the last reading
+            mark = state.getCurrentWatermarkMs()
+            ends = {k: v[5] + 1 for k, v in runs.items() if v[0] == points - 1}
+            runs = {k: v for k, v in runs.items() if ends.get(k, mark + 1) > mark}
+            ends = [e for e in ends.values() if e > mark]
+        elif idle_ms:
+            runs = {k: v for k, v in runs.items() if v[6] + idle_ms > now}
+        if runs:
+            state.update((pickle.dumps(runs), len(runs)))
+            if timed and ends:
+                state.setTimeoutTimestamp(min(ends))
+            elif idle_ms and not timed:
+                state.setTimeoutDuration(max(1, min(v[6] for v in runs.values()) + idle_ms - now))
+        elif state.exists:
+            state.remove()
+        if steps:
+            many = [len(s[1]) for s in steps]
+            yield pd.DataFrame({
+                "batch_id": np.repeat(np.array([s[0] for s in steps], object), many),
+                **{c: np.concatenate([s[i + 1] for s in steps]) for i, c in enumerate(STEP_COLUMNS)},
+                "late": False, "repeated": False, "variable": None, "value": np.nan,
+            }).astype({"time_step": "int32", "variable": "object"})[COLUMNS]
+        if asides:
+            rows = pd.DataFrame(asides, columns=["batch_id", "time_step", "late", "variable", "value"])
+            rows["repeated"] = ~rows["late"]
+            yield rows.reindex(columns=COLUMNS).astype({c: "boolean" for c in FLAGS} | {
                 "batch_id": "object", "variable": "object", "time_step": "int32"} | {
                 c: "float64" for c in ("t2", "spe", "predicted_yield", "value")})
 
-    return parts.groupBy("batch_id").applyInPandasWithState(
-        advance, OUTPUT, STATE, "append",
+    return parts.withColumn("share", share_of_run()).groupBy("share").applyInPandasWithState(
+        advance, OUTPUT, HELD, "append",
         GroupStateTimeout.EventTimeTimeout if timed
         else GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
