@@ -280,3 +280,24 @@ def test_store_cleans_and_replaces(spark, tmp_path):
     assert store.batches(1).count() == 4
     assert store.save_run(RunHeader("c", "long", 4, 1), run_id=0) == 0 and store.delete_run(0)
     assert [r["run_id"] for r in store.runs().collect()] == [2]
+
+
+def test_cells_are_thinned_before_one_shuffle(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"b{i % 5}", float(u), int(u), float(rng.integers(5)), float(rng.integers(5)))
+            for i, u in enumerate(rng.integers(0, 40, 600) / 4)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        cells = al.edge_cells(spark.createDataFrame(rows, "batch_id string, _u double, _cell int, _v0 double, _v1 double"), 2)
+        got = {(r["batch_id"], r["_cell"]): tuple(r)[2:] for r in cells.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for b, u, c, *v in rows:
+        groups.setdefault((b, c), []).append((u, v))
+    assert got == {k: (min(u for u, _ in g), max(u for u, _ in g), *[min((u, v[i]) for u, v in g)[1] for i in (0, 1)],
+                       *[max((u, v[i]) for u, v in g)[1] for i in (0, 1)]) for k, g in groups.items()}
+    readings = spark.createDataFrame([(f"b{i % 3}", float(i), float(i)) for i in range(90)], "batch_id string, time_index double, v double")
+    plan = al.align(readings, ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(batch_id") == 1 and "_cell#" not in "".join(
+        line for line in plan.splitlines() if "Exchange" in line)
