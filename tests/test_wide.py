@@ -111,3 +111,27 @@ def test_leave_one_out_beyond_the_limit(spark, monkeypatch):
 
     narrow = predictions()
     assert predictions(MATRIX_LIMIT=5, FOLD_VALUES=100) == pytest.approx(narrow, abs=1e-9)  # blocks of five runs
+
+
+def test_leave_one_out_of_more_runs_than_columns(spark, monkeypatch):
+    """By panels of the matrix: no run comes to the driver, and the predictions are those of the matrix."""
+    from trajecta.operators import monitor as mo
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 3)) @ rng.normal(size=(3, 20)) + 0.1 * rng.normal(size=(30, 20))
+    cells = [(f"b{i:02d}", v, s, s / 9.0, float(base[i, k * 10 + s])) for i in range(30)
+             for k, v in enumerate("pq") for s in range(10)]
+    runs = spark.createDataFrame(cells, "batch_id string, variable string, step int, time_norm double, value double")
+    labels = spark.createDataFrame([(f"b{i:02d}", float(base[i, 0] + 50), 1) for i in range(30)],
+                                   "batch_id string, yield double, duration int")
+
+    def predictions():
+        model = mo.fit_forecast(runs, labels, ["p", "q"], points=10, components=3)
+        found = mo.leave_one_out(runs, labels, model, points=10, components=3)
+        return {r["batch_id"]: r["predicted"] for r in found.collect()}
+
+    narrow = predictions()
+    monkeypatch.setattr(config, "MATRIX_LIMIT", 5)
+    monkeypatch.setattr(config, "FOLD_VALUES", 100)  # panels of five columns
+    monkeypatch.setattr(type(runs), "toLocalIterator", None)
+    assert predictions() == pytest.approx(narrow, abs=1e-9)

@@ -130,6 +130,14 @@ class RowProducts:
         """``XᵀX`` about the origin times one or a few vectors."""
         return self @ vectors + self.n * np.multiply.outer(self.x_mean, self.x_mean @ vectors)
 
+    def panels(self) -> Iterator[np.ndarray]:
+        """``XᵀX`` about the origin in panels of columns, ``FOLD_VALUES`` numbers and a pass each."""
+        wide = max(1, config.FOLD_VALUES // self.columns)
+        for lo in range(0, self.columns, wide):
+            hi = min(lo + wide, self.columns)
+            yield self._summed(lambda x, y: (x.T @ x[:, lo:hi]).ravel(), self.columns * (hi - lo)).reshape(
+                self.columns, hi - lo)
+
     def axes(self, limit: int, share: float, rounds: int = 200, tol: float = 1e-10):
         """As :func:`principal_axes`, by orthogonal iteration on a few vectors."""
         most = max(1, min(limit, int(self.n) - 1, self.columns))

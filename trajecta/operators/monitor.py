@@ -7,6 +7,7 @@ every run costs one pass instead of one projection per step.
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -459,9 +460,11 @@ def leave_one_out(
     ``predicted`` is NULL under four runs.
 
     Up to the matrix limit the totals are one matrix and the runs are spread over
-    the cluster.  Wider runs are left out in blocks of ``FOLD_VALUES`` numbers: a pass
-    over the rows gives the next direction of every run of a block, and only the
-    block's vectors are on the driver.
+    the cluster.  So they are beyond it (``WIDE_MATRIX`` columns at most) where the runs outnumber
+    the columns: the matrix is made in panels, each summed in a pass and sent to the tasks, so the work
+    grows with the runs and not with their square.  Else wider runs are left out in blocks of
+    ``FOLD_VALUES`` numbers: a pass over the rows gives the next direction of every run of a
+    block, and only the block's vectors are on the driver.
     """
     total = model.info["moments"]
     n = int(total.n)
@@ -474,7 +477,12 @@ def leave_one_out(
     rows = scaled_rows(aligned, model.terms, model.variables, known)
     kept = max(1, min(components, n - 2, width))
     schema = "batch_id string, actual double, predicted double"
-    if isinstance(total, RowProducts):
+    context = aligned.sparkSession.sparkContext
+    panels = []
+    if isinstance(total, RowProducts) and width < n and width <= config.WIDE_MATRIX:
+        panels = [context.broadcast(p) for p in total.panels()]  # one at a time on the driver
+        ends = dataclasses.replace(Totals.of_rows(total), times=None)
+    elif isinstance(total, RowProducts):
         totals, block = Totals.of_rows(total), max(1, config.FOLD_VALUES // width)
         runs = cut_lineage(rows.select("batch_id", "x", "y"), "left-out").toLocalIterator()
         found = []
@@ -483,10 +491,14 @@ def leave_one_out(
             guess = _fold_predictions(np.array([r["x"] for r in part]), y, totals, kept)
             found += zip([r["batch_id"] for r in part], y.tolist(), guess.tolist())
         return aligned.sparkSession.createDataFrame(found, schema).join(fitted, "batch_id")
-    shared = aligned.sparkSession.sparkContext.broadcast(total.cross)
+    shared = context.broadcast(ends if panels else total.cross)
 
     def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = Totals.of_matrix(shared.value)
+        if panels:
+            totals = dataclasses.replace(
+                shared.value, times=lambda u: np.concatenate([u @ p.value for p in panels], axis=1))
+        else:
+            totals = Totals.of_matrix(shared.value)
         for pdf in parts:
             y = pdf["y"].to_numpy(dtype=float)
             x = np.stack(pdf["x"].to_numpy())
