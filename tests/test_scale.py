@@ -130,6 +130,24 @@ def test_bootstrap_has_one_law(spark, monkeypatch):
     assert rc.bootstrap_limits(marked).first() == plain
 
 
+def test_bootstrap_draws_are_spread(spark, monkeypatch, tmp_path):
+    """Small rows that make many draws are not put together into one task."""
+    drawn, seen = rc._counted_draws, str(tmp_path)
+
+    def watched(batches):
+        from pyspark import TaskContext
+        for batch in batches:
+            open(f"{seen}/{TaskContext.get().partitionId()}", "w").close()
+            yield from drawn(iter([batch]))
+
+    marked = bootstrap_input(spark, 400)
+    plain = rc.bootstrap_limits(marked).first()
+    monkeypatch.setattr(rc, "_counted_draws", watched)
+    monkeypatch.setattr(config, "BOOTSTRAP_TASK", 20_000, raising=False)
+    assert rc.bootstrap_limits(marked).first() == plain
+    assert len(list(tmp_path.iterdir())) > 5
+
+
 def test_bootstrap_is_resampling(spark):
     values = sorted(r["value"] for r in bootstrap_input(spark, 50).collect())
     n, p10, p90 = len(values), [], []

@@ -123,14 +123,18 @@ def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> Da
         target, ["feature"], [F.col("value"), F.col("batch_id")], F.col("value"), "idx"
     )
     placed = plain(placed).select("feature", "idx", "value")
-    sizes = target.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = cut_lineage(target.groupBy("feature").agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    biggest, drawn_rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    biggest = biggest or 0
+    # a task per so many draws: by number, as few small rows would else be put together into one task
+    tasks = max(1, min(-(-(drawn_rows or 0) * reps // config.BOOTSTRAP_TASK), config.BOOTSTRAP_BINS))
     n = F.col("_n")
     turns = sizes.where("_n >= 3").withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
     ).withColumn(
         "_from", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(config.BOOTSTRAP_RANGE).cast("long")))
     ).withColumn("_to", F.least(F.col("_from") + config.BOOTSTRAP_RANGE, n)).withColumn(
-        "_w", F.ceil(n / config.BOOTSTRAP_BINS)).repartition("feature", "rep", "_from")
+        "_w", F.ceil(n / config.BOOTSTRAP_BINS)).repartition(tasks, "feature", "rep", "_from")
     each = turns.withColumn("draw", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))
     key = F.concat_ws("|", "feature", F.col("rep").cast("string"), F.col("draw").cast("string"))
     word = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
@@ -154,7 +158,6 @@ def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> Da
     found = locate(bins, ["feature", "rep"], "bin").withColumn("t", F.explode(ranks)).select(
         "feature", "rep", "bin", "_c", "_start", "t.*", "_w").where(held).select(
         "feature", "rep", "bin", "tail", "weight", (F.col("r") - F.col("_start")).alias("r"), "_w")
-    biggest = sizes.agg(F.max("_n")).first()[0] or 0
     if biggest <= config.BOOTSTRAP_BINS:  # a bin is one position
         drawn = found.select("feature", "rep", "tail", "weight", F.col("bin").cast("long").alias("idx"))
     else:
