@@ -103,3 +103,33 @@ def test_rate_source_gives_readings(spark):
     finally:
         query.stop()
     assert {r["batch_id"] for r in spark.table("rate_rows").collect()} <= {"B0", "B1"}
+
+
+def test_the_model_of_the_golden_runs_aligns_no_others(spark, tmp_path):
+    from checks import fixtures as fx
+    from checks import monitoring
+
+    rng = np.random.default_rng(7)
+    runs = [k for k in [*range(14), None] for _ in range(int(rng.integers(3, 40)))]
+    rows = [(k, i // 3, int(rng.integers(9)), i % 3, float(rng.integers(50)), float(rng.integers(900)),
+             None if i % 9 == 0 else float(rng.random()), float(rng.random()), str(rng.choice(["R", "A", "N"])),
+             f"1995-01-{1 + i % 20:02d}") for i, k in enumerate(runs)]
+    spark.createDataFrame(rows + rows[:60], """l_suppkey long, l_orderkey long, l_partkey long, l_linenumber int,
+        l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string,
+        day string""").withColumn("l_shipdate", F.to_timestamp("day")).repartition(3).write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    sf_dir = str(tmp_path)
+    agreement = rows_of(monitoring.model_agreement(spark, sf_dir))
+    assert len(agreement) == 8 and all(r[1] is not None for r in agreement)
+    assert not {"readings", "aligned"} & {name for _, where, name in fx._STAGES if where == sf_dir}
+    golden = {r[0] for r in fx.batches(spark, sf_dir).where("is_golden").collect()} - {None}
+    assert 3 <= len(golden) < 14
+    assert {r[0] for r in fx.golden_readings(spark, sf_dir).collect()} == golden
+    few = rows_of(fx.golden_aligned(spark, sf_dir))
+    whole = [r for r in rows_of(fx.aligned(spark, sf_dir)) if r[0] in golden]
+    assert few == whole and len(whole) == 400 * len(golden)
+    assert rows_of(fx.golden_aligned(spark, sf_dir)) == whole  # now taken from all runs
+    by_run = fx.basic_features(fx.readings(spark, sf_dir), fx.VARIABLES)
+    value = {(b, f): v for b, f, v in by_run.collect()}
+    found = {(b, f): v for b, f, v in fx.features(spark, sf_dir).collect()}
+    assert found == pytest.approx(value, abs=1e-8) and len(found) == 8 * 15
