@@ -148,6 +148,20 @@ def test_bootstrap_draws_are_spread(spark, monkeypatch, tmp_path):
     assert len(list(tmp_path.iterdir())) > 5
 
 
+def test_bootstrap_draws_are_never_rows(spark, monkeypatch):
+    """Whole and split repetitions side by side; no plan makes rows of draws, which Spark would send to the driver."""
+    marked = bootstrap_input(spark, 400).unionByName(
+        bootstrap_input(spark, 90).withColumn("feature", F.lit("g"))).unionByName(
+        bootstrap_input(spark, 2).withColumn("feature", F.lit("h")))
+    want = collected(rc.bootstrap_limits(marked, reps=60))
+    monkeypatch.setattr(config, "BOOTSTRAP_BINS", 16)
+    monkeypatch.setattr(config, "BOOTSTRAP_RANGE", 100)
+    out = rc.bootstrap_limits(marked, reps=60)
+    assert collected(out) == want and len(want) == 3
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in plan and "strategy=merge" in plan
+
+
 def test_bootstrap_is_resampling(spark):
     values = sorted(r["value"] for r in bootstrap_input(spark, 50).collect())
     n, p10, p90 = len(values), [], []

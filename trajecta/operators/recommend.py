@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta import config
@@ -88,33 +88,70 @@ def rank_tests(marked: DataFrame, with_p: bool = True) -> DataFrame:
     return out
 
 
-def _counted_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Draws of every (feature, repetition, range), only counted per bin of positions.
+TAILS = (0.10, 0.90)
+_COUNTED = "feature string, rep int, _n long, _w long, bin long, _c long, _start long"
+
+
+def _draw(feature: str, rep: int, n: int, begin: int, end: int) -> np.ndarray:
+    """Positions of the draws ``begin`` to ``end`` of a repetition.
 
     Draw ``d`` is the number in the first eight hex digits of the MD5 of
     ``feature|rep|d``, modulo the size, so it is the same however the ranges are cut.
     """
+    head = hashlib.md5(f"{feature}|{rep}|".encode(), usedforsecurity=False)
+    words = bytearray()
+    for d in range(begin, end):
+        one = head.copy()
+        one.update(b"%d" % d)
+        words += one.digest()[:4]
+    return np.frombuffer(words, ">u4").astype(np.int64) % n
+
+
+def _counts(feature: str, rep: int, n: int, width: int, place, count, start) -> pa.RecordBatch:
+    k = len(place)
+    return pa.RecordBatch.from_arrays([
+        pa.array([feature] * k, pa.string()), pa.array(np.full(k, rep, np.int32)), pa.array(np.full(k, n)),
+        pa.array(np.full(k, width)), pa.array(place, pa.int64()), pa.array(count, pa.int64()),
+        pa.array(start, pa.int64())], names=["feature", "rep", "_n", "_w", "bin", "_c", "_start"])
+
+
+def _counted_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Draws of every (feature, repetition, range), only counted.
+
+    A range that is a whole repetition gives the positions its percentiles lie between, with the
+    draws below them; a part of one gives counts per bin of positions.
+    """
     for batch in batches:
         for feature, rep, n, width, begin, end in zip(*(c.to_pylist() for c in batch.columns)):
-            head = hashlib.md5(f"{feature}|{rep}|".encode(), usedforsecurity=False)
-            words = bytearray()
-            for d in range(begin, end):
-                one = head.copy()
-                one.update(b"%d" % d)
-                words += one.digest()[:4]
-            place = np.frombuffer(words, ">u4").astype(np.int64) % n // width
-            found, count = np.unique(place, return_counts=True)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([feature] * len(found)), pa.array(np.full(len(found), rep, np.int32)),
-                pa.array(np.full(len(found), n)), pa.array(np.full(len(found), width)), pa.array(found),
-                pa.array(count.astype(np.int64))], names=["feature", "rep", "_n", "_w", "bin", "_c"])
+            place = _draw(feature, rep, n, begin, end)
+            if end - begin == n:
+                place.sort()
+                at = np.unique([place[int(edge((n - 1) * p))] for p in TAILS for edge in (np.floor, np.ceil)])
+                low, high = place.searchsorted(at, "left"), place.searchsorted(at, "right")
+                yield _counts(feature, rep, n, 1, at, high - low, low)
+            else:
+                found, count = np.unique(place // width, return_counts=True)
+                yield _counts(feature, rep, n, width, found, count, [None] * len(found))
+
+
+def _draws_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Draws of every range that lie in the wanted bins, counted per position; ``_start`` is the bin's."""
+    for batch in batches:
+        for feature, rep, n, width, begin, end, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            place = _draw(feature, rep, n, begin, end)
+            bins = place // width
+            for held in wanted:
+                found, count = np.unique(place[bins == held["bin"]], return_counts=True)
+                yield _counts(feature, rep, n, held["bin"], found, count, np.full(len(found), held["_start"]))
 
 
 def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> DataFrame:
     """90 % bootstrap intervals of P10 and P90 of the target group per feature.
 
     Draws are hashes of (feature, repetition, draw), so that every run of the
-    job gives the same interval.  They are generated in split ranges and only
+    job gives the same interval.  They never are rows: a task makes a whole
+    repetition of up to ``BOOTSTRAP_RANGE`` draws and keeps the positions its
+    percentiles lie between.  Larger ones are generated in split ranges and only
     counted: per bin of sorted positions first, then, where a bin holds more
     than one position, inside the bins that a percentile falls in.
     """
@@ -129,46 +166,50 @@ def bootstrap_limits(marked: DataFrame, reps: int = config.BOOTSTRAP_REPS) -> Da
     # a task per so many draws: by number, as few small rows would else be put together into one task
     tasks = max(1, min(-(-(drawn_rows or 0) * reps // config.BOOTSTRAP_TASK), config.BOOTSTRAP_BINS))
     n = F.col("_n")
-    turns = sizes.where("_n >= 3").withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-    ).withColumn(
-        "_from", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(config.BOOTSTRAP_RANGE).cast("long")))
-    ).withColumn("_to", F.least(F.col("_from") + config.BOOTSTRAP_RANGE, n)).withColumn(
-        "_w", F.ceil(n / config.BOOTSTRAP_BINS)).repartition(tasks, "feature", "rep", "_from")
-    each = turns.withColumn("draw", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))
-    key = F.concat_ws("|", "feature", F.col("rep").cast("string"), F.col("draw").cast("string"))
-    word = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
-    draws = each.select("feature", "rep", "_n", (word % n).alias("idx"), "_w")
+
+    def ranged(repeated: DataFrame) -> DataFrame:
+        """A row per range of draws of every repetition, dealt over the tasks."""
+        return repeated.withColumn(
+            "_from", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(config.BOOTSTRAP_RANGE).cast("long")))
+        ).withColumn("_to", F.least(F.col("_from") + config.BOOTSTRAP_RANGE, n)).repartition(
+            tasks, "feature", "rep", "_from")
+
     ranks = F.array(*[
         F.struct(F.lit(tail).alias("tail"), edge((n - 1) * F.lit(p)).cast("long").alias("r"),
                  (share if side else 1 - share).alias("weight"))
-        for tail, p in enumerate((0.10, 0.90))
+        for tail, p in enumerate(TAILS)
         for share in [(n - 1) * F.lit(p) - F.floor((n - 1) * F.lit(p))]
         for side, edge in enumerate((F.floor, F.ceil))])
 
-    def locate(counted: DataFrame, within: list[str], at: str) -> DataFrame:
-        """Rows of ``counted`` that hold a wanted rank; the rank counts from their start on."""
+    def started(counted: DataFrame, within: list[str], at: str, base: Column) -> DataFrame:
         run = Window.partitionBy(*within).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-        return counted.withColumn("_start", F.coalesce(F.sum("_c").over(run), F.lit(0)))
-
-    bins = turns.select("feature", "rep", "_n", "_w", "_from", "_to").mapInArrow(
-        _counted_draws, "feature string, rep int, _n long, _w long, bin long, _c long").groupBy(
-        "feature", "rep", "_n", "_w", "bin").agg(F.sum("_c").alias("_c"))
-    held = (F.col("r") >= F.col("_start")) & (F.col("r") < F.col("_start") + F.col("_c"))
-    found = locate(bins, ["feature", "rep"], "bin").withColumn("t", F.explode(ranks)).select(
-        "feature", "rep", "bin", "_c", "_start", "t.*", "_w").where(held).select(
-        "feature", "rep", "bin", "tail", "weight", (F.col("r") - F.col("_start")).alias("r"), "_w")
-    if biggest <= config.BOOTSTRAP_BINS:  # a bin is one position
-        drawn = found.select("feature", "rep", "tail", "weight", F.col("bin").cast("long").alias("idx"))
-    else:
-        found = cut_lineage(found, "bootstrap-bins")  # four rows per feature and repetition
-        wanted = found.select("feature", "rep", "bin").distinct()
-        inside = draws.withColumn("bin", F.floor(F.col("idx") / F.col("_w"))).join(
-            wanted, ["feature", "rep", "bin"]).groupBy("feature", "rep", "bin", "idx").agg(F.count(F.lit(1)).alias("_c"))
-        drawn = locate(inside, ["feature", "rep", "bin"], "idx").join(
-            found, ["feature", "rep", "bin"]).where(held).select("feature", "rep", "tail", "weight", "idx")
+        return counted.withColumn("_start", base + F.coalesce(F.sum("_c").over(run), F.lit(0)))
+
+    def holding(counted: DataFrame) -> DataFrame:
+        """A row per wanted rank, where it lies."""
+        return counted.withColumn("t", F.explode(ranks)).select("*", "t.*").where(
+            (F.col("r") >= F.col("_start")) & (F.col("r") < F.col("_start") + F.col("_c")))
+
+    turns = sizes.where("_n >= 3").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
+        "_w", F.ceil(n / config.BOOTSTRAP_BINS))
+    columns = ["feature", "rep", "_n", "_w", "_from", "_to"]
+    whole = ranged(turns.where(n <= config.BOOTSTRAP_RANGE)).select(*columns).mapInArrow(_counted_draws, _COUNTED)
+    want = ["feature", "rep", "tail", "weight", F.col("bin").alias("idx")]
+    drawn = holding(whole).select(*want)
+    if biggest > config.BOOTSTRAP_RANGE:
+        split = ranged(turns.where(n > config.BOOTSTRAP_RANGE)).select(*columns).mapInArrow(_counted_draws, _COUNTED)
+        bins = split.groupBy("feature", "rep", "_n", "_w", "bin").agg(F.sum("_c").alias("_c"))
+        found = cut_lineage(holding(started(bins, ["feature", "rep"], "bin", F.lit(0))), "bootstrap-bins")
+        drawn = drawn.unionByName(found.where("_w = 1").select(*want))  # a bin is one position
+        inside = ranged(found.where("_w > 1").groupBy("feature", "rep", "_n", "_w").agg(
+            F.collect_set(F.struct("bin", "_start")).alias("_wanted")))
+        within = ["feature", "rep", "_n", "_w", "_start"]  # _w is the wanted bin here, as bin is the position
+        counted = inside.select(*columns, "_wanted").mapInArrow(_draws_inside, _COUNTED).groupBy(
+            *within, "bin").agg(F.sum("_c").alias("_c"))
+        drawn = drawn.unionByName(holding(started(counted, within, "bin", F.col("_start"))).select(*want))
     share = F.col("value") * F.col("weight")
-    tails = lookup(drawn, placed, ["feature", "idx"]).groupBy("feature", "rep").agg(
+    # four rows per feature and repetition meet all values of the target group: neither is broadcast
+    tails = drawn.join(placed.hint("merge"), ["feature", "idx"]).groupBy("feature", "rep").agg(
         F.sum(F.when(F.col("tail") == 0, share)).alias("p10"), F.sum(F.when(F.col("tail") == 1, share)).alias("p90"))
     ci = F.array(F.lit(0.05), F.lit(0.95))
     out = tails.groupBy("feature").agg(
