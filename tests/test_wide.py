@@ -135,3 +135,75 @@ def test_leave_one_out_of_more_runs_than_columns(spark, monkeypatch):
     monkeypatch.setattr(config, "FOLD_VALUES", 100)  # panels of five columns
     monkeypatch.setattr(type(runs), "toLocalIterator", None)
     assert predictions() == pytest.approx(narrow, abs=1e-9)
+
+
+def test_whole_runs_equal_cells(spark, monkeypatch):
+    """Samples of one instant, a run at one instant, one reading, gaps, and runs over many Arrow batches."""
+    from trajecta.operators import align as al, monitor as mo
+
+    rng = np.random.default_rng(6)
+    rows = [(f"r{i:02d}", float(rng.integers(0, 40)), float(rng.normal()), None if rng.random() < 0.2 else float(rng.normal()))
+            for i in range(24) for _ in range(rng.integers(2, 60))]
+    rows += [("flat", 3.0, float(v), float(-v)) for v in range(7)] + [("one", 5.0, 1.5, None), ("one", None, 9.0, 9.0)]
+    rows += [("short", 0.0, 2.0, 1.0), ("short", 0.0, 1.0, 4.0), ("short", 9.0, 8.0, 3.0), ("short", 9.0, 7.0, 5.0)]
+    readings = spark.createDataFrame(rows, "batch_id string, time_index double, p double, q double").repartition(5)
+    names = sorted({r[0] for r in rows})
+    labels = spark.createDataFrame(
+        [(b, float(rng.normal() + 50) if b != "r03" else None) for b in names], "batch_id string, yield double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        cells, runs = (al.align(readings, ["p", "q"], points=10, whole=w) for w in (False, True))
+        found = {r["batch_id"]: r["x"] for r in lm.RunRows(
+            lm.scaled_rows(runs, scale_of(spark, 2, 10), ["p", "q"]).table, runs.matrix()).dense().collect()}
+        assert found == {r["batch_id"]: r["x"] for r in al.unfold(cells, ["p", "q"]).collect()}
+
+        def predictions(aligned):
+            model = mo.fit_forecast(aligned, labels, ["p", "q"], points=10, components=2)
+            out = mo.leave_one_out(aligned, labels, model, points=10, components=2)
+            return {r["batch_id"]: (r["actual"], r["predicted"], r["fitted"]) for r in out.collect()}
+
+        want = predictions(cells)
+        assert len(want) == len(names) - 1
+        for limits in ({}, {"MATRIX_LIMIT": 5, "FOLD_VALUES": 100}, {"WIDE_MATRIX": 10}):  # matrix, panels, blocks
+            for name, value in limits.items():
+                monkeypatch.setattr(config, name, value)
+            got = predictions(runs)
+            assert got.keys() == want.keys()
+            assert [*got.values()] == [pytest.approx(want[b], abs=1e-8) for b in got]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def scale_of(spark, variables, points):
+    return spark.createDataFrame([("pq"[k], s, 0.0, 1.0) for k in range(variables) for s in range(points)],
+                                 "variable string, step int, mu double, sigma double")
+
+
+def test_panels_are_sent_by_few_tasks(spark, rows, monkeypatch):
+    monkeypatch.setattr(config, "MATRIX_LIMIT", 10)
+    wide, _ = lm.cross_products(rows.repartition(40), 30)
+    wide.rows, sent, add = wide.rows.repartition(60), [], lm.summed
+    monkeypatch.setattr(lm, "summed", lambda of, *more: sent.append(of.rdd.getNumPartitions()) or add(of, *more))
+    x = np.array([r["x"] for r in rows.collect()])
+    assert np.column_stack([*wide.panels()]) == pytest.approx(x.T @ x)
+    assert max(sent) <= max(lm.MERGE_SHARES, spark.sparkContext.defaultParallelism)
+
+
+def test_shuffle_files_go_with_the_stage_table(spark):
+    import time
+
+    from trajecta.session import cut_lineage
+
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while held.hasNext():
+            names.add(held.next().getName())
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before = files()
+    kept = cut_lineage(spark.range(1000).repartition(5, "id"), "freed")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 1000

@@ -9,7 +9,7 @@ the rows per step, and only vectors as long as the columns come back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta import config
-from trajecta.operators.align import unfold
+from trajecta.operators.align import AlignedRuns, unfold
 from trajecta.operators.scale import lookup
-from trajecta.session import cut_lineage
+from trajecta.session import cut_lineage, freeing_shuffles
 
 
 @dataclass
@@ -79,11 +79,64 @@ MERGE_SHARES = 16
 NEAR = 0.8
 
 
+def stacked(part: pd.DataFrame) -> np.ndarray:
+    return np.stack(part["x"].to_numpy())
+
+
+@dataclass
+class RunRows:
+    """Rows that are made where they are read: ``matrix`` gives those of a part of ``table``, which has ``y``."""
+
+    table: DataFrame
+    matrix: Callable[[pd.DataFrame], np.ndarray]
+
+    def dense(self) -> DataFrame:
+        """``(batch_id, x, y)``."""
+        matrix, kind = self.matrix, self.table.schema["batch_id"].dataType.simpleString()
+
+        def made(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                for at in range(0, len(pdf), 64):
+                    part = pdf.iloc[at:at + 64]
+                    yield pd.DataFrame({"batch_id": part["batch_id"], "x": [*matrix(part)], "y": part["y"]})
+
+        return self.table.mapInPandas(made, f"batch_id {kind}, x array<double>, y double")
+
+
+def summed(rows: DataFrame, matrix, fn, size: int, key: str | None = None) -> np.ndarray:
+    """Sum of ``fn(x, y)`` over ``rows``, a vector, where ``matrix`` gives the ``x`` of a part."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at:at + 64]
+                more = () if key is None else (part[key].to_numpy(),)
+                total += fn(matrix(part), part["y"].to_numpy(dtype=float), *more)
+        pieces = [np.pad(total[i:i + PIECE], (0, max(0, i + PIECE - size))) for i in range(0, size, PIECE)]
+        yield pd.DataFrame({"i": range(len(pieces)), "piece": pieces})
+
+    with freeing_shuffles(rows.sparkSession):
+        parts = rows.mapInPandas(partial, "i int, piece array<double>")
+        found = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("piece")).alias("v")).select(
+            "i", vector_to_array("v").alias("v")).toArrow()  # size / PIECE rows
+    out = np.zeros((-(-size // PIECE), PIECE))
+    for batch in found.to_batches():
+        out[batch.column("i").to_numpy()] = batch.column("v").flatten().to_numpy().reshape(-1, PIECE)
+    return out.ravel()[:size]
+
+
 class RowProducts:
     """``XᵀX`` of rows ``x ARRAY<DOUBLE>``, ``y DOUBLE`` as an operator on vectors."""
 
-    def __init__(self, rows: DataFrame, columns: int):
-        self.rows, self.columns = cut_lineage(rows.select("x", "y"), "wide-rows"), columns
+    matrix = staticmethod(stacked)
+
+    def __init__(self, rows: DataFrame | RunRows, columns: int):
+        self.columns = columns
+        if isinstance(rows, RunRows):
+            self.rows, self.matrix = rows.table, rows.matrix
+        else:
+            self.rows = cut_lineage(rows.select("x", "y"), "wide-rows")
 
         def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             flat = np.concatenate([x.sum(0), (x * x).sum(0), y @ x, [len(y), y.sum(), y @ y]])
@@ -96,27 +149,10 @@ class RowProducts:
         self.xy = flat[2 * columns:3 * columns] - self.n * self.x_mean * self.y_mean
         self.yy = self._yy - self.n * self.y_mean ** 2
 
-    def _summed(self, fn, size: int, key: str | None = None) -> np.ndarray:
+    def _summed(self, fn, size: int, key: str | None = None, tasks: int | None = None) -> np.ndarray:
         """Sum over the rows of ``fn(x, y)`` (with a key, ``fn(x, y, key)``), a vector; parts are
-        added piece by piece."""
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(size)
-            for pdf in batches:
-                for at in range(0, len(pdf), 64):
-                    part = pdf.iloc[at:at + 64]
-                    more = () if key is None else (part[key].to_numpy(),)
-                    total += fn(np.stack(part["x"].to_numpy()), part["y"].to_numpy(dtype=float), *more)
-            pieces = [np.pad(total[i:i + PIECE], (0, max(0, i + PIECE - size))) for i in range(0, size, PIECE)]
-            yield pd.DataFrame({"i": range(len(pieces)), "piece": pieces})
-
-        parts = self.rows.mapInPandas(partial, "i int, piece array<double>")
-        found = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("piece")).alias("v")).select(
-            "i", vector_to_array("v").alias("v")).collect()  # size / PIECE rows
-        out = np.zeros(-(-size // PIECE) * PIECE)
-        for r in found:
-            out[r["i"] * PIECE:(r["i"] + 1) * PIECE] = r["v"]
-        return out[:size]
+        added piece by piece.  ``tasks``: at most so many of them send a vector."""
+        return summed(self.rows if tasks is None else self.rows.coalesce(tasks), self.matrix, fn, size, key)
 
     def __matmul__(self, vectors: np.ndarray) -> np.ndarray:
         """Centred ``XᵀX`` times one or a few vectors."""
@@ -131,11 +167,15 @@ class RowProducts:
         return self @ vectors + self.n * np.multiply.outer(self.x_mean, self.x_mean @ vectors)
 
     def panels(self) -> Iterator[np.ndarray]:
-        """``XᵀX`` about the origin in panels of columns, ``FOLD_VALUES`` numbers and a pass each."""
+        """``XᵀX`` about the origin in panels of columns, ``FOLD_VALUES`` numbers and a pass each.
+
+        Every task sends a panel, so they follow the cores and not the rows.
+        """
         wide = max(1, config.FOLD_VALUES // self.columns)
+        tasks = max(MERGE_SHARES, self.rows.sparkSession.sparkContext.defaultParallelism)
         for lo in range(0, self.columns, wide):
             hi = min(lo + wide, self.columns)
-            yield self._summed(lambda x, y: (x.T @ x[:, lo:hi]).ravel(), self.columns * (hi - lo)).reshape(
+            yield self._summed(lambda x, y: (x.T @ x[:, lo:hi]).ravel(), self.columns * (hi - lo), tasks=tasks).reshape(
                 self.columns, hi - lo)
 
     def axes(self, limit: int, share: float, rounds: int = 200, tol: float = 1e-10):
@@ -206,6 +246,26 @@ def moments(rows: DataFrame, columns: int, key: str | None = None) -> dict[objec
     return {name: Moments(cross) for name, cross in out.items()}
 
 
+def run_scaler(runs: AlignedRuns, batches: DataFrame) -> DataFrame:
+    """:func:`scaler` of the cells of the runs in ``batches``, ``(variable, step, mu, sigma)``."""
+    rows = lookup(runs.table, batches.select("batch_id").distinct(), ["batch_id"], "left_semi").withColumn("y", F.lit(0.0))
+    matrix, columns = runs.matrix(), len(runs.variables) * runs.points
+    one = rows.limit(1).toArrow().to_pandas()
+    about = matrix(one)[0] if len(one) else np.zeros(columns)  # squares about a run, so that no digits are lost
+
+    def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = x - about
+        return np.concatenate([d.sum(0), (d * d).sum(0), [len(d)]])
+
+    flat = summed(rows, matrix, sums, 2 * columns + 1)
+    n, shift = max(flat[-1], 1.0), flat[:columns] / max(flat[-1], 1.0)
+    sigma = np.sqrt(np.maximum(flat[columns:-1] / n - shift * shift, 0.0))
+    sigma = np.where(sigma > 0, sigma, 1.0)
+    found = [(v, s, float(about[k * runs.points + s] + shift[k * runs.points + s]), float(sigma[k * runs.points + s]))
+             for k, v in enumerate(runs.variables) for s in range(runs.points)] if flat[-1] else []
+    return runs.table.sparkSession.createDataFrame(found, "variable string, step int, mu double, sigma double")
+
+
 def scaler(cells: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Mean and population std per column; a zero std becomes 1."""
     out = cells.groupBy(*keys).agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sigma"))
@@ -234,12 +294,14 @@ def _kept_axes(values: np.ndarray, vectors: np.ndarray, total: float, share: flo
     return values[:keep], vectors * np.where(signs == 0, 1.0, signs), reached[:keep]
 
 
-def cross_products(rows: DataFrame, columns: int) -> tuple[np.ndarray | RowProducts, Moments | RowProducts]:
+def cross_products(
+    rows: DataFrame | RunRows, columns: int
+) -> tuple[np.ndarray | RowProducts, Moments | RowProducts]:
     """Centred ``XᵀX`` as a matrix, or beyond the limit as an operator, and the totals."""
     if columns > config.MATRIX_LIMIT:
         wide = RowProducts(rows, columns)
         return wide, wide
-    total = moments(rows, columns)[0]
+    total = moments(rows.dense() if isinstance(rows, RunRows) else rows, columns)[0]
     return total.centred()[0], total
 
 
@@ -602,10 +664,28 @@ def sparse_regression(matrix: FeatureMatrix, folds: int = 5, alphas: int = 100)
 # ── trajectory models ────────────────────────────────────────────────────────
 
 
+def term_arrays(terms: DataFrame, variables: Sequence[str], *names: str) -> list[np.ndarray]:
+    """Columns of a cell table as arrays over the unfolded cells."""
+    place = {v: k for k, v in enumerate(variables)}
+    rows = sorted((place[r["variable"]], r["step"], *[r[c] for c in names])  # variables x points rows
+                  for r in terms.select("variable", "step", *names).collect())
+    return [np.array([r[2 + i] for r in rows]) for i in range(len(names))]
+
+
+def scaled_matrix(runs: AlignedRuns, terms: DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+    mu, sigma = term_arrays(terms, runs.variables, "mu", "sigma")
+    matrix = runs.matrix()
+    return lambda part: (matrix(part) - mu) / sigma
+
+
 def scaled_rows(
-    aligned: DataFrame, terms: DataFrame, variables: Sequence[str], batches: DataFrame | None = None
-) -> DataFrame:
+    aligned: DataFrame | AlignedRuns, terms: DataFrame, variables: Sequence[str], batches: DataFrame | None = None
+) -> DataFrame | RunRows:
     """``(batch_id, x, y)`` of standardised unfolded runs."""
+    if isinstance(aligned, AlignedRuns):
+        table = aligned.table.withColumn("y", F.lit(0.0)) if batches is None else lookup(
+            aligned.table, batches.select("batch_id", F.col("yield").alias("y")), ["batch_id"]).where("y IS NOT NULL")
+        return RunRows(table, scaled_matrix(aligned, terms))
     z = aligned.join(terms.select("variable", "step", "mu", "sigma"),
                      ["variable", "step"]).withColumn(
         "z", (F.col("value") - F.col("mu")) / F.col("sigma"))

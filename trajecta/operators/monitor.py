@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from trajecta import config
 from trajecta.functions.numeric import tier
-from trajecta.operators.align import index_phase
+from trajecta.operators.align import AlignedRuns, index_phase
 from trajecta.operators.label import choose_training, yield_cuts
 from trajecta.operators.linear_models import (
-    RowProducts, cell_table, cross_products, kernel_pls, principal_axes, scaled_rows, scaler,
+    RowProducts, RunRows, cell_table, cross_products, kernel_pls, principal_axes, run_scaler, scaled_matrix,
+    scaled_rows, scaler, stacked, term_arrays,
 )
 from trajecta.operators.scale import quantiles
 from trajecta.session import cut_lineage
@@ -227,8 +228,19 @@ def fleet_view(stats: DataFrame, meta: DataFrame, batches: DataFrame) -> DataFra
     )
 
 
-def forecast(aligned: DataFrame, terms: DataFrame, meta: DataFrame) -> DataFrame:
+def forecast(aligned: DataFrame | AlignedRuns, terms: DataFrame, meta: DataFrame) -> DataFrame:
     """Predicted yield of every complete run."""
+    if isinstance(aligned, AlignedRuns):
+        matrix, (coef,) = scaled_matrix(aligned, terms), term_arrays(terms, aligned.variables, "coef")
+        start = meta.first()["intercept"]
+
+        def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                found = [matrix(pdf.iloc[i:i + 64]) @ coef for i in range(0, len(pdf), 64)]
+                yield pd.DataFrame({"batch_id": pdf["batch_id"], "predicted_yield": start + np.concatenate([[], *found])})
+
+        kind = aligned.table.schema["batch_id"].dataType.simpleString()
+        return aligned.table.mapInPandas(predict, f"batch_id {kind}, predicted_yield double")
     return scaled_cells(aligned, terms).groupBy("batch_id").agg(
         F.sum(F.col("z") * F.col("coef")).alias("_f")
     ).crossJoin(F.broadcast(meta.select("intercept"))).select(
@@ -360,15 +372,19 @@ def fit_monitor(
 
 
 def fit_forecast(
-    aligned: DataFrame, batches: DataFrame, variables: Sequence[str],
+    aligned: DataFrame | AlignedRuns, batches: DataFrame, variables: Sequence[str],
     points: int = config.GRID_POINTS, components: int = config.FORECAST_COMPONENTS,
 ) -> Model:
     """One-response PLS of the yield on the unfolded runs."""
     variables = list(variables)
-    spark = aligned.sparkSession
+    spark = batches.sparkSession
     known = batches.where(F.col("yield").isNotNull())
-    cells = aligned.join(known.select("batch_id"), "batch_id", "left_semi")
-    scale = cut_lineage(scaler(cells, ["variable", "step"]), "scaler")
+    if isinstance(aligned, AlignedRuns):
+        cells, scale = aligned, run_scaler(aligned, known)
+    else:
+        cells = aligned.join(known.select("batch_id"), "batch_id", "left_semi")
+        scale = scaler(cells, ["variable", "step"])
+    scale = cut_lineage(scale, "scaler")
     xx, total = cross_products(scaled_rows(cells, scale, variables, known), len(variables) * points)
     xy = xx.xy if isinstance(xx, RowProducts) else total.centred()[1]
     fit = kernel_pls(xx, xy, min(components, int(total.n) - 1, len(xy)))
@@ -453,7 +469,7 @@ def _fold_predictions(x: np.ndarray, y: np.ndarray, totals: Totals, components:
 
 
 def leave_one_out(
-    aligned: DataFrame, batches: DataFrame, model: Model,
+    aligned: DataFrame | AlignedRuns, batches: DataFrame, model: Model,
     points: int = config.GRID_POINTS, components: int = config.FORECAST_COMPONENTS,
 ) -> DataFrame:
     """``(batch_id, actual, predicted, fitted)``: each run predicted without it;
@@ -477,20 +493,22 @@ def leave_one_out(
     rows = scaled_rows(aligned, model.terms, model.variables, known)
     kept = max(1, min(components, n - 2, width))
     schema = "batch_id string, actual double, predicted double"
-    context = aligned.sparkSession.sparkContext
+    context = batches.sparkSession.sparkContext
+    matrix = rows.matrix if isinstance(rows, RunRows) else stacked
     panels = []
     if isinstance(total, RowProducts) and width < n and width <= config.WIDE_MATRIX:
         panels = [context.broadcast(p) for p in total.panels()]  # one at a time on the driver
         ends = dataclasses.replace(Totals.of_rows(total), times=None)
     elif isinstance(total, RowProducts):
         totals, block = Totals.of_rows(total), max(1, config.FOLD_VALUES // width)
-        runs = cut_lineage(rows.select("batch_id", "x", "y"), "left-out").toLocalIterator()
+        dense = rows.dense() if isinstance(rows, RunRows) else rows
+        runs = cut_lineage(dense.select("batch_id", "x", "y"), "left-out").toLocalIterator()
         found = []
         while part := list(itertools.islice(runs, block)):
             y = np.array([r["y"] for r in part])
             guess = _fold_predictions(np.array([r["x"] for r in part]), y, totals, kept)
             found += zip([r["batch_id"] for r in part], y.tolist(), guess.tolist())
-        return aligned.sparkSession.createDataFrame(found, schema).join(fitted, "batch_id")
+        return batches.sparkSession.createDataFrame(found, schema).join(fitted, "batch_id")
     shared = context.broadcast(ends if panels else total.cross)
 
     def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -501,15 +519,14 @@ def leave_one_out(
             totals = Totals.of_matrix(shared.value)
         for pdf in parts:
             y = pdf["y"].to_numpy(dtype=float)
-            x = np.stack(pdf["x"].to_numpy())
             guesses = [
-                _fold_predictions(x[i:i + 64], y[i:i + 64], totals, kept)
+                _fold_predictions(matrix(pdf.iloc[i:i + 64]), y[i:i + 64], totals, kept)
                 for i in range(0, len(y), 64)
             ]
             yield pd.DataFrame({
-                "batch_id": pdf["batch_id"], "actual": y, "predicted": np.concatenate(guesses)})
+                "batch_id": pdf["batch_id"], "actual": y, "predicted": np.concatenate([[], *guesses])})
 
-    return rows.mapInPandas(predict, schema).join(fitted, "batch_id")
+    return (rows.table if isinstance(rows, RunRows) else rows).mapInPandas(predict, schema).join(fitted, "batch_id")
 
 
 def cross_validation(pairs: DataFrame) -> DataFrame:
