@@ -75,6 +75,7 @@ def check_width(columns: int) -> None:
 
 
 PIECE = 1024
+ROWS = 256
 MERGE_SHARES = 16
 NEAR = 0.8
 
@@ -107,16 +108,16 @@ def summed(rows: DataFrame, matrix, fn, size: int, key: str | None = None) -> np
     """Sum of ``fn(x, y)`` over ``rows``, a vector, where ``matrix`` gives the ``x`` of a part."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
+        total = np.zeros((-(-size // PIECE), PIECE))
         for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                part = pdf.iloc[at:at + 64]
+            for at in range(0, len(pdf), ROWS):
+                part = pdf.iloc[at:at + ROWS]
                 more = () if key is None else (part[key].to_numpy(),)
-                total += fn(matrix(part), part["y"].to_numpy(dtype=float), *more)
-        pieces = [np.pad(total[i:i + PIECE], (0, max(0, i + PIECE - size))) for i in range(0, size, PIECE)]
-        yield pd.DataFrame({"i": range(len(pieces)), "piece": pieces})
+                total.reshape(-1)[:size] += fn(matrix(part), part["y"].to_numpy(dtype=float), *more)
+        for at in range(0, len(total), 256):
+            yield pd.DataFrame({"i": range(at, min(at + 256, len(total))), "piece": [*total[at:at + 256]]})
 
-    with freeing_shuffles(rows.sparkSession):
+    with freeing_shuffles(rows.sparkSession, wide=True):
         parts = rows.mapInPandas(partial, "i int, piece array<double>")
         found = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("piece")).alias("v")).select(
             "i", vector_to_array("v").alias("v")).toArrow()  # size / PIECE rows
@@ -675,7 +676,14 @@ def term_arrays(terms: DataFrame, variables: Sequence[str], *names: str) -> list
 def scaled_matrix(runs: AlignedRuns, terms: DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
     mu, sigma = term_arrays(terms, runs.variables, "mu", "sigma")
     matrix = runs.matrix()
-    return lambda part: (matrix(part) - mu) / sigma
+
+    def scaled(part: pd.DataFrame) -> np.ndarray:
+        x = matrix(part)
+        x -= mu
+        x /= sigma
+        return x
+
+    return scaled
 
 
 def scaled_rows(

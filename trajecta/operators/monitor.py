@@ -240,7 +240,8 @@ def forecast(aligned: DataFrame | AlignedRuns, terms: DataFrame, meta: DataFrame
                 yield pd.DataFrame({"batch_id": pdf["batch_id"], "predicted_yield": start + np.concatenate([[], *found])})
 
         kind = aligned.table.schema["batch_id"].dataType.simpleString()
-        return aligned.table.mapInPandas(predict, f"batch_id {kind}, predicted_yield double")
+        found = aligned.table.mapInPandas(predict, f"batch_id {kind}, predicted_yield double")
+        return cut_lineage(found, "forecast", wide=True)  # one row per run
     return scaled_cells(aligned, terms).groupBy("batch_id").agg(
         F.sum(F.col("z") * F.col("coef")).alias("_f")
     ).crossJoin(F.broadcast(meta.select("intercept"))).select(
@@ -526,7 +527,11 @@ def leave_one_out(
             yield pd.DataFrame({
                 "batch_id": pdf["batch_id"], "actual": y, "predicted": np.concatenate([[], *guesses])})
 
-    return (rows.table if isinstance(rows, RunRows) else rows).mapInPandas(predict, schema).join(fitted, "batch_id")
+    if isinstance(rows, RunRows):
+        left_out = cut_lineage(rows.table.mapInPandas(predict, schema), "left-out", wide=True)  # one row per run
+    else:
+        left_out = rows.mapInPandas(predict, schema)
+    return left_out.join(fitted, "batch_id")
 
 
 def cross_validation(pairs: DataFrame) -> DataFrame:
